@@ -181,7 +181,7 @@ def index_bloat(
     width = F.coalesce("avg_width", F.lit(fv.DEFAULT_WIDTH))
     # an index appears with each of its key columns; the group is at most 32
     per_index = (
-        indexes.withColumn("attnum", F.explode(F.split("indkey", " ", -1)).cast("int"))
+        indexes.withColumn("attnum", F.explode(F.split("indkey", " ", -1).cast("array<int>")))
         .join(columns, ["db_id", "indrelid", "attnum"])
         .join(stats, ["db_id", "table_schema", "table", "attname"])
         .groupBy(
