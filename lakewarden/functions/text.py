@@ -6,21 +6,21 @@ word limits and are looked for as spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .detectors import detect
 
-_EDGE_LEFT = rf"(?<![^{fv.SPACE_CLASS}])"
-_EDGE_RIGHT = rf"(?![^{fv.SPACE_CLASS}])"
-# A word keeps no trailing punctuation, so its core must not end in any.
-_CORE_END = rf"(?<![{fv.WORD_TRAIL}])"
+_SPACE = f"[{fv.SPACE_CLASS}]"
+_NO_SPACE = f"[^{fv.SPACE_CLASS}]"
 _WORD_SHAPES = (
     fv.EMAIL,
     fv.JWT,
     fv.IBAN_CORE,
-    rf"{fv.PASSWORD_HASH}[^{fv.SPACE_CLASS}]*?",
+    rf"{fv.PASSWORD_HASH}{_NO_SPACE}*?",
     fv.IPV4,
     r"(?=[0-9a-fA-F:]{4,}[0-9a-fA-F])[0-9a-fA-F]*:[0-9a-fA-F:]*",
     fv.HEX_SECRET,
@@ -29,17 +29,37 @@ _WORD_SHAPES = (
 _CARD_WORD = r"-*[0-9](?:-*[0-9]){12,18}-*"
 
 
-def _word(core: str, group: str = "?:") -> str:
-    """A whole word whose inside, without outer punctuation, is `core`."""
+def _word(core: str, group: str = "(") -> str:
+    """The rest of a word whose inside, without outer punctuation, is `core`.
+
+    Groups: leading punctuation, core, trailing punctuation. A word keeps no
+    trailing punctuation, so its core must not end in any.
+    """
     return (
-        rf"{_EDGE_LEFT}([{fv.WORD_LEAD}]*+)({group}{core}){_CORE_END}"
-        rf"([{fv.WORD_TRAIL}]*+){_EDGE_RIGHT}"
+        rf"{group}[{fv.WORD_LEAD}]*+){group}{core})(?<![{fv.WORD_TRAIL}])"
+        rf"{group}[{fv.WORD_TRAIL}]*+)(?!{_NO_SPACE})"
     )
 
 
-_ANY_WORD = _word("|".join((*_WORD_SHAPES, _CARD_WORD)), group="")
-_PATTERN_WORD = _word("|".join(_WORD_SHAPES))
-_CARD_TOKEN = _word(_CARD_WORD)
+def _words(core: str) -> str:
+    """All words of a text with that inside, found in one pass.
+
+    Each match starts where the last one ended, runs over the words that do
+    not fit and ends with one that does, so no character is tried twice. Plain
+    words are passed quickly: letters only and too short for a secret, or
+    short and without any of the characters the other shapes need.
+    Groups: all that is passed over, then those of `_word`.
+    """
+    plain = rf"[a-zA-Z\x{{c0}}-\x{{ff}}]{{1,31}}+[{fv.WORD_TRAIL}]*+(?:[ \n]|{_SPACE})"
+    dull = r"[^\x00-\x{20}0-9@$:{]{1,24}+[ \n]"
+    other = rf"(?!{_word(core, '(?:')}){_NO_SPACE}++"
+    return rf"\G((?:{plain}|{dull}|{_SPACE}++|{other})*+){_word(core)}"
+
+
+_ANY_WORD = _words("|".join((*_WORD_SHAPES, _CARD_WORD)))
+_PATTERN_WORD = _words("|".join(_WORD_SHAPES))
+_CARD_TOKEN = rf"(?<!{_NO_SPACE}){_word(_CARD_WORD)}"
+_CARD_HINT = r"[0-9](?:-*[0-9]){12}"
 
 WORD_DETECTORS: tuple[str, ...] = (
     "email", "jwt", "iban", "password_hash", "ipv4", "ipv6",
@@ -52,19 +72,25 @@ def candidate_words(text: Column) -> Column:
 
     One pass over the text; only what is found leaves it.
     """
-    return F.regexp_extract_all(text, F.lit(_ANY_WORD), F.lit(2))
+    return F.regexp_extract_all(text, F.lit(_ANY_WORD), F.lit(3))
 
 
 def phone_spans(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(fv.PHONE_SPAN), F.lit(0))
+    spans = F.regexp_extract_all(text, F.lit(fv.PHONE_SPAN), F.lit(0))
+    return F.when(text.contains("+"), spans).otherwise(F.array().cast("array<string>"))
 
 
 def card_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fv.CARD_SPAN), F.lit(0))
 
 
-def _replace_spans(text: Column, pattern: str, replace) -> Column:
-    """Rewrite every match of `pattern` by a Column function of the match."""
+def _replace_spans(
+    text: Column, pattern: str, replace: Callable[[Column], Column], hint: Column
+) -> Column:
+    """Rewrite every match of `pattern` by a Column function of the match.
+
+    `hint` is a cheaper test true for every text with a match.
+    """
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rewritten = F.array_join(
@@ -75,36 +101,31 @@ def _replace_spans(text: Column, pattern: str, replace) -> Column:
         ),
         "",
     )
-    return F.when(text.rlike(pattern), rewritten).otherwise(text)
+    return F.when(hint, rewritten).otherwise(text)
+
+
+def _when_detected(name: str) -> Callable[[Column], Column]:
+    return lambda s: F.when(detect(name, s), F.lit(fv.REDACTED)).otherwise(s)
 
 
 def _redact_phones(text: Column) -> Column:
-    gone = F.lit(fv.REDACTED)
-    return _replace_spans(
-        text, fv.PHONE_SPAN, lambda s: F.when(detect("phone", s), gone).otherwise(s)
-    )
+    return _replace_spans(text, fv.PHONE_SPAN, _when_detected("phone"), text.contains("+"))
 
 
 def _redact_spaced_cards(text: Column) -> Column:
-    gone = F.lit(fv.REDACTED)
-    return _replace_spans(
-        text, fv.CARD_SPAN, lambda s: F.when(detect("card", s), gone).otherwise(s)
-    )
+    return _replace_spans(text, fv.CARD_SPAN, _when_detected("card"), text.rlike(fv.CARD_SPAN))
 
 
 def _redact_card_words(text: Column) -> Column:
-    return _replace_spans(
-        text,
-        _CARD_TOKEN,
-        lambda s: F.when(
-            detect("card", F.regexp_replace(s, r"[^0-9\-]", "")),
-            F.regexp_replace(s, _CARD_WORD, fv.REDACTED),
-        ).otherwise(s),
-    )
+    def replace(word: Column) -> Column:
+        is_card = detect("card", F.regexp_replace(word, r"[^0-9\-]", ""))
+        return F.when(is_card, F.regexp_replace(word, _CARD_WORD, fv.REDACTED)).otherwise(word)
+
+    return _replace_spans(text, _CARD_TOKEN, replace, text.rlike(_CARD_HINT))
 
 
 def _redact_words(text: Column) -> Column:
-    return F.regexp_replace(text, _PATTERN_WORD, f"$1{fv.REDACTED}$2")
+    return F.regexp_replace(text, _PATTERN_WORD, f"$1$2{fv.REDACTED}$4")
 
 
 # Steps of a span redaction, to be applied one after another as separate
