@@ -30,8 +30,12 @@ def query(function: Query) -> Query:
 
 def fixture(spark: SparkSession, directory: str, sql: str) -> DataFrame:
     """Run fixture SQL over those of the given tables it names."""
-    lw.load_tables(spark, directory, [t for t in _TABLES if t in sql])
-    return spark.sql(sql)
+    return fixtures(spark, directory, sql)[0]
+
+
+def fixtures(spark: SparkSession, directory: str, *sqls: str) -> list[DataFrame]:
+    lw.load_tables(spark, directory, [t for t in _TABLES if any(t in sql for sql in sqls)])
+    return [spark.sql(sql) for sql in sqls]
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -134,7 +138,8 @@ def classify_columns(spark, d):
 
 @query
 def mask_policy(spark, d):
-    tables = {"people": fixture(spark, d, fx.PEOPLE), "purchases": fixture(spark, d, fx.PURCHASES)}
+    people, purchases = fixtures(spark, d, fx.PEOPLE, fx.PURCHASES)
+    tables = {"people": people, "purchases": purchases}
     return lw.mask_policy(tables)
 
 
@@ -195,7 +200,8 @@ MASKED = {
 
 @query
 def anon_sql(spark, d):
-    tables = {"people": fixture(spark, d, fx.PEOPLE), "purchases": fixture(spark, d, fx.PURCHASES)}
+    people, purchases = fixtures(spark, d, fx.PEOPLE, fx.PURCHASES)
+    tables = {"people": people, "purchases": purchases}
     return lw.run_sql(spark, ANON, anonymize=True, tables=tables)
 
 
@@ -302,15 +308,14 @@ def list_objects_extension(spark, d):
 
 @query
 def table_constraints(spark, d):
-    out = lw.table_constraints(fixture(spark, d, fx.TABLE_CONSTRAINTS), fixture(spark, d, fx.KEY_COLUMNS))
+    out = lw.table_constraints(*fixtures(spark, d, fx.TABLE_CONSTRAINTS, fx.KEY_COLUMNS))
     return out.withColumn("columns", F.array_join("columns", ","))
 
 
 @query
 def table_details(spark, d):
     details = lw.table_details(
-        fixture(spark, d, fx.TABLE_COLUMNS), fixture(spark, d, fx.TABLE_CONSTRAINTS),
-        fixture(spark, d, fx.KEY_COLUMNS), fixture(spark, d, fx.TABLE_INDEXES),
+        *fixtures(spark, d, fx.TABLE_COLUMNS, fx.TABLE_CONSTRAINTS, fx.KEY_COLUMNS, fx.TABLE_INDEXES)
     )
     return details.select(
         "db_id", F.col("basic.schema").alias("schema"), F.col("basic.name").alias("name"), F.col("basic.type").alias("type"),
@@ -324,9 +329,7 @@ def table_details(spark, d):
 
 
 def _inventory(spark, d):
-    return lw.index_inventory(
-        fixture(spark, d, fx.PG_INDEX), fixture(spark, d, fx.PG_CLASS), fixture(spark, d, fx.PG_STAT_USER_INDEXES)
-    )
+    return lw.index_inventory(*fixtures(spark, d, fx.PG_INDEX, fx.PG_CLASS, fx.PG_STAT_USER_INDEXES))
 
 
 @query
@@ -347,12 +350,12 @@ def duplicate_indexes(spark, d):
 @query
 def index_bloat(spark, d):
     names = ("PG_INDEX", "PG_CLASS", "PG_AM", "PG_NAMESPACE", "PG_ATTRIBUTE", "PG_STATS", "PG_STAT_USER_INDEXES")
-    return lw.index_bloat(*[fixture(spark, d, getattr(fx, n)) for n in names])
+    return lw.index_bloat(*fixtures(spark, d, *[getattr(fx, n) for n in names]))
 
 
 @query
 def unused_indexes(spark, d):
-    return lw.unused_indexes(fixture(spark, d, fx.PG_INDEX), fixture(spark, d, fx.PG_STAT_USER_INDEXES))
+    return lw.unused_indexes(*fixtures(spark, d, fx.PG_INDEX, fx.PG_STAT_USER_INDEXES))
 
 
 # ---- health -----------------------------------------------------------------
@@ -365,13 +368,12 @@ def connection_health(spark, d):
 
 @query
 def wraparound_headroom(spark, d):
-    return lw.wraparound_headroom(fixture(spark, d, fx.RELATIONS), fixture(spark, d, fx.RELATION_SCHEMAS))
+    return lw.wraparound_headroom(*fixtures(spark, d, fx.RELATIONS, fx.RELATION_SCHEMAS))
 
 
 def _discovered(spark, d):
     return lw.sequence_discovery(
-        fixture(spark, d, fx.PG_ATTRIBUTE), fixture(spark, d, fx.PG_CLASS),
-        fixture(spark, d, fx.PG_NAMESPACE), fixture(spark, d, fx.PG_ATTRDEF),
+        *fixtures(spark, d, fx.PG_ATTRIBUTE, fx.PG_CLASS, fx.PG_NAMESPACE, fx.PG_ATTRDEF)
     )
 
 
@@ -407,9 +409,7 @@ def table_hit_rate(spark, d):
 
 @query
 def constraint_unvalidated(spark, d):
-    return lw.unvalidated_constraints(
-        fixture(spark, d, fx.PG_CONSTRAINT), fixture(spark, d, fx.PG_CLASS), fixture(spark, d, fx.PG_NAMESPACE)
-    )
+    return lw.unvalidated_constraints(*fixtures(spark, d, fx.PG_CONSTRAINT, fx.PG_CLASS, fx.PG_NAMESPACE))
 
 
 @query
@@ -422,7 +422,7 @@ def health_report(spark, d):
         "pg_replication_slots": fx.SLOTS, "pg_statio_user_indexes": fx.INDEX_IO,
         "pg_statio_user_tables": fx.TABLE_IO, "pg_constraint": fx.PG_CONSTRAINT,
     }
-    frames = {name: fixture(spark, d, sql) for name, sql in snapshots.items()}
+    frames = dict(zip(snapshots, fixtures(spark, d, *snapshots.values()), strict=True))
     return lw.health_report(frames, F.lit(fx.AS_OF).cast("timestamp"), "all")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,18 +50,22 @@ def table_constraints(constraints: DataFrame, key_columns: DataFrame) -> DataFra
     """Every constraint with its columns in key order; none gives an empty array.
 
     Columns are matched by constraint and table: constraint names repeat
-    across the tables of a schema. A key has at most 32 columns in the
-    database the snapshot comes from, so the arrays stay small; they are built
-    before the join, which is then one row to one row.
+    across the tables of a schema. Both inputs are stacked and grouped, one
+    shuffle in place of a join. A key has at most 32 columns in the database
+    the snapshot comes from, so the arrays stay small.
     """
     keys = ["db_id", "table_schema", "table_name", "constraint_name"]
-    ordered = F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name")))
-    columns = key_columns.where(F.col("column_name").isNotNull()).groupBy(*keys).agg(
-        ordered["column_name"].alias("columns")
+    column = F.when(F.col("column_name").isNotNull(), F.struct("ordinal_position", "column_name"))
+    rows = constraints.select(*keys, "constraint_type").unionByName(
+        key_columns.select(*keys, column.alias("column")), allowMissingColumns=True
     )
-    empty = F.array().cast("array<string>")
-    return constraints.join(columns, keys, "left").select(
-        *keys, "constraint_type", F.coalesce("columns", empty).alias("columns")
+    return (
+        rows.groupBy(*keys)
+        .agg(
+            F.max("constraint_type").alias("constraint_type"),
+            F.sort_array(F.collect_list("column"))["column_name"].alias("columns"),
+        )
+        .where(F.col("constraint_type").isNotNull())
     )
 
 
@@ -76,9 +82,10 @@ def table_details(
     """One nested row per table: ``basic``, ``columns``, ``constraints``, ``indexes``.
 
     A table has at most 1,600 columns in the database the snapshot comes from,
-    so each document stays small. `schema` and `table` are pushed into the
-    snapshot scans.
+    so each document stays small. The three lists are stacked and grouped in
+    one shuffle; `schema` and `table` are pushed into the snapshot scans.
     """
+
     def only(df: DataFrame, schema_column: str, table_column: str) -> DataFrame:
         if schema is not None:
             df = df.where(F.col(schema_column) == schema)
@@ -94,40 +101,38 @@ def table_details(
         "is_nullable",
         F.col("column_default").alias("default"),
     )
-    column_lists = only(columns, "table_schema", "table_name").groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(column)), lambda c: c.dropFields("ordinal_position")).alias("columns")
-    )
     constraint = F.struct(
         F.col("constraint_name").alias("name"), F.col("constraint_type").alias("type"), "columns"
     )
-    constraint_lists = (
-        table_constraints(
-            only(constraints, "table_schema", "table_name"),
-            only(key_columns, "table_schema", "table_name"),
-        )
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(constraint)).alias("constraints"))
+    index = F.struct(F.col("indexname").alias("name"), F.col("indexdef").alias("definition"))
+    grouped = table_constraints(
+        only(constraints, "table_schema", "table_name"),
+        only(key_columns, "table_schema", "table_name"),
     )
-    index_lists = (
-        only(indexes, "schemaname", "tablename")
-        .withColumnsRenamed({"schemaname": "table_schema", "tablename": "table_name"})
-        .groupBy(*keys)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct(F.col("indexname").alias("name"), F.col("indexdef").alias("definition")))
-            ).alias("indexes")
-        )
+    parts = [
+        only(columns, "table_schema", "table_name").select(*keys, column.alias("column")),
+        grouped.select(*keys, constraint.alias("constraint")),
+        only(indexes, "schemaname", "tablename").select(
+            "db_id",
+            F.col("schemaname").alias("table_schema"),
+            F.col("tablename").alias("table_name"),
+            index.alias("index"),
+        ),
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    documents = stacked.groupBy(*keys).agg(
+        F.sort_array(F.collect_list("column")).alias("columns"),
+        F.sort_array(F.collect_list("constraint")).alias("constraints"),
+        F.sort_array(F.collect_list("index")).alias("indexes"),
     )
-    joined = column_lists.join(constraint_lists, keys, "left").join(index_lists, keys, "left")
-    types = dict(joined.dtypes)
-    return joined.select(
+    return documents.where(F.size("columns") > 0).select(
         "db_id",
         F.struct(
             F.col("table_schema").alias("schema"),
             F.col("table_name").alias("name"),
             F.lit(object_type).alias("type"),
         ).alias("basic"),
-        "columns",
-        F.coalesce("constraints", F.array().cast(types["constraints"])).alias("constraints"),
-        F.coalesce("indexes", F.array().cast(types["indexes"])).alias("indexes"),
+        F.transform("columns", lambda c: c.dropFields("ordinal_position")).alias("columns"),
+        "constraints",
+        "indexes",
     )

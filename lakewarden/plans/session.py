@@ -125,14 +125,18 @@ def _refuse_other_relations(plan) -> None:
     """Fail unless every relation of the analysed plan lies below a masked view.
 
     Subqueries are looked into as well. The masked views are the only views of
-    the session without a database; a catalog table, a file or a global view
-    ends in some other leaf and is refused.
+    the session without a database. Other views are refused, and so is any
+    leaf that is a catalog table or a file.
     """
     name = plan.nodeName()
-    if name == "View" and plan.desc().identifier().database().isEmpty():
-        return
     children = plan.children()
-    if children.isEmpty() and name not in _OWN_LEAVES:
+    if name == "View":
+        foreign = not plan.desc().identifier().database().isEmpty()
+        if not foreign:
+            return
+    else:
+        foreign = children.isEmpty() and name not in _OWN_LEAVES
+    if foreign:
         raise UnmaskedAccess("the statement reads a relation that is not a masked view")
     for plans in (children, plan.subqueries()):
         for i in range(plans.length()):
