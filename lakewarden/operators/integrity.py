@@ -61,7 +61,10 @@ def validate_foreign_key(
     keys = child.select(*columns).where(_all_present(columns)).groupBy(*columns)
     counted = keys.agg(F.count("*").alias("n_rows"))
     names = [f"_parent_{i}" for i in range(len(columns))]
-    known = parent.select(*[F.col(p).alias(n) for p, n in zip(parent_columns, names, strict=True)])
+    # distinct needs no shuffle of its own and collapses a hot parent key
+    known = parent.select(
+        *[F.col(p).alias(n) for p, n in zip(parent_columns, names, strict=True)]
+    ).distinct()
     same = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(columns, names, strict=True)])
     return counted.join(known, same, "left_anti")
 

@@ -39,8 +39,10 @@ def run_sql(
     written ``$1, $2`` (or ``?``), named ones ``:name``.
 
     With `anonymize` the statement sees nothing but masked views of `tables`
-    under their own names, and its result is redacted as well. See
-    `masked_session` for `policy` and `classify`.
+    under their own names, and its result is redacted as well. Columns are
+    masked by `policy`; without one they are masked by name and, with
+    `classify`, by value, for which the tables the statement names are read
+    once. To run many statements keep a `mask_policy` or a `masked_session`.
     """
     if restricted or anonymize:
         check_read_only(sql)
@@ -48,10 +50,13 @@ def run_sql(
         sql, args = named_parameters(sql, list(args))
     if not anonymize:
         return spark.sql(sql, args=args) if args else spark.sql(sql)
-    keywords, detectors = tuple(keywords), tuple(detectors)
-    session = masked_session(
-        spark, tables or {}, policy=policy, classify=classify, keywords=keywords, detectors=detectors
-    )
+    tables, keywords, detectors = tables or {}, tuple(keywords), tuple(detectors)
+    session = masked_session(spark, tables, policy=policy, classify=False, keywords=keywords)
+    if policy is None and classify:
+        named = {name: tables[name] for name in _views_named(session, sql, args)}
+        if named:
+            found = mask_policy(named, keywords=keywords, detectors=detectors)
+            _register(spark, session, named, found)
     return run_masked(session, sql, args, keywords=keywords, detectors=detectors)
 
 
@@ -70,19 +75,30 @@ def masked_session(
     later statement; Catalyst then prunes masked columns from the scans. What
     to mask is found by `mask_policy`, which reads the tables once when
     `classify` is set; keep its result and pass it as `policy` to save that.
-    The policy has at most one row per column and is the only thing collected.
     """
-    keywords = tuple(keywords)
     if policy is None:
-        policy = mask_policy(tables, classify=classify, keywords=keywords, detectors=detectors)
-    masked: dict[str, list[str]] = {}
-    for row in policy.select("table_name", "column_name").collect():
-        masked.setdefault(row.table_name, []).append(row.column_name)
+        policy = mask_policy(
+            tables, classify=classify, keywords=tuple(keywords), detectors=tuple(detectors)
+        )
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and session.conf.isModifiable(key):
             session.conf.set(key, value)
     session.conf.set("spark.sql.runSQLOnFiles", "false")
+    _register(spark, session, tables, policy)
+    return session
+
+
+def _register(
+    spark: SparkSession, session: SparkSession, tables: Mapping[str, DataFrame], policy: DataFrame
+) -> None:
+    """Put masked views of `tables` into `session`.
+
+    The policy has at most one row per column and is the only thing collected.
+    """
+    masked: dict[str, list[str]] = {}
+    for row in policy.select("table_name", "column_name").collect():
+        masked.setdefault(row.table_name, []).append(row.column_name)
     for name, df in tables.items():
         # sessions share global views only; the view is dropped as soon as the
         # masked one stands, and its name cannot be guessed meanwhile
@@ -93,7 +109,6 @@ def masked_session(
             mask_columns(source, masked.get(name, [])).createOrReplaceTempView(name)
         finally:
             spark.catalog.dropGlobalTempView(handoff)
-    return session
 
 
 def run_masked(
@@ -105,6 +120,12 @@ def run_masked(
     detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
     """Run a query in a masked session and redact what it returns."""
+    result = _checked(session, sql, args)
+    return redact(result, keywords=keywords, detectors=detectors)
+
+
+def _checked(session: SparkSession, sql: str, args: dict | list | None) -> DataFrame:
+    """The analysed statement, if it is a query over masked views and nothing else."""
     check_read_only(sql)
     bare = bare_statement(sql)
     if not bare.startswith(("select", "with ")):
@@ -113,16 +134,20 @@ def run_masked(
     if re.search(r"\b(?:java_method|(?:try_)?reflect)`?\s*\(", bare):
         raise UnmaskedAccess("function not allowed in anonymised statements")
     result = session.sql(sql, args=args) if args else session.sql(sql)
-    _refuse_other_relations(result._jdf.queryExecution().analyzed())
-    return redact(result, keywords=keywords, detectors=detectors)
+    _views_below(result._jdf.queryExecution().analyzed())
+    return result
+
+
+def _views_named(session: SparkSession, sql: str, args: dict | list | None) -> set[str]:
+    return _views_below(_checked(session, sql, args)._jdf.queryExecution().analyzed())
 
 
 # Plan nodes that read nothing but the statement itself.
 _OWN_LEAVES = {"LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "UnionLoopRef"}
 
 
-def _refuse_other_relations(plan) -> None:
-    """Fail unless every relation of the analysed plan lies below a masked view.
+def _views_below(plan) -> set[str]:
+    """Names of the masked views an analysed plan reads; fails if it reads anything else.
 
     Subqueries are looked into as well. The masked views are the only views of
     the session without a database. Other views are refused, and so is any
@@ -131,13 +156,16 @@ def _refuse_other_relations(plan) -> None:
     name = plan.nodeName()
     children = plan.children()
     if name == "View":
-        foreign = not plan.desc().identifier().database().isEmpty()
+        identifier = plan.desc().identifier()
+        foreign = not identifier.database().isEmpty()
         if not foreign:
-            return
+            return {identifier.table()}
     else:
         foreign = children.isEmpty() and name not in _OWN_LEAVES
     if foreign:
         raise UnmaskedAccess("the statement reads a relation that is not a masked view")
+    found: set[str] = set()
     for plans in (children, plan.subqueries()):
         for i in range(plans.length()):
-            _refuse_other_relations(plans.apply(i))
+            found |= _views_below(plans.apply(i))
+    return found

@@ -95,6 +95,14 @@ def test_top_by_time(spark):
     assert [r.query for r in total if r.db_id == 2] == ["only", "other"]
     mean = top_queries(df, "mean_time", 3).collect()
     assert [r.query for r in mean if r.db_id == 1] == ["q0", "q1", "q2"]
+    many = spark.range(40_000).selectExpr(
+        "id % 3 % 2 as db_id", "concat('q', id) as query", "1L as calls", "1L as rows", "cast(id * 7919 % 40009 as double) as total_exec_time",
+        "1.0d as mean_exec_time",
+    )
+    large = top_queries(many, "total_time", 2500).collect()
+    for db in (0, 1):
+        times = sorted((i * 7919 % 40009 for i in range(40_000) if i % 3 % 2 == db), reverse=True)[:2500]
+        assert [r.total_exec_time for r in large if r.db_id == db] == times
     with pytest.raises(ValueError):
         top_queries(df, "calls")
     with pytest.raises(ValueError):

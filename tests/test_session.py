@@ -148,6 +148,13 @@ def test_only_masked_views_can_be_read(spark, session, small, tmp_path):
         spark.catalog.dropGlobalTempView("lw_global")
 
 
+def test_only_named_tables_are_classified(spark, tables):
+    broken = spark.range(1).selectExpr("raise_error('read') as note")
+    sql = "WITH o AS (SELECT * FROM orders) SELECT count(*) n FROM o WHERE person IN (SELECT id FROM people)"
+    row = run_sql(spark, sql, anonymize=True, tables={**tables, "other": broken}).first()
+    assert row.n == 3
+
+
 def test_session_stays_clean(spark, tables):
     run_sql(spark, "SELECT 1 AS x", anonymize=True, tables=tables).collect()
     assert not [t for t in spark.catalog.listTables("global_temp") if "handoff" in t.name]
