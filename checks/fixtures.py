@@ -106,12 +106,12 @@ from lineitem
 
 # The same as statement statistics.
 STATEMENT_STATS = f"""
-select db_id, query, count(*) as calls, sum(n_rows) as rows,
+select db_id, query, count(*) as calls, cast(sum(n_rows) as bigint) as rows,
   cast(sum(exec_time) as double) as total_exec_time,
   cast(sum(exec_time) as double) / count(*) as mean_exec_time,
   cast(max(exec_time) - min(exec_time) as double) as stddev_exec_time,
-  sum(hit) as shared_blks_hit, sum(rd) as shared_blks_read,
-  sum(dirt) as shared_blks_dirtied, sum(wal) as wal_bytes
+  cast(sum(hit) as bigint) as shared_blks_hit, cast(sum(rd) as bigint) as shared_blks_read,
+  cast(sum(dirt) as bigint) as shared_blks_dirtied, cast(sum(wal) as bigint) as wal_bytes
 from ({EXECUTIONS}) e group by db_id, query
 """
 
@@ -293,14 +293,15 @@ select case when user_id < 75 then 0 when user_id < 81 then 1 else user_id % 30
   case when event_type in ('error', 'signup') then 'idle in transaction' else 'active' end as state
 from events
 """
+# Ids start at 1: 0 stands for no relation.
 RELATIONS = """
-select cast(o_custkey % 10 as bigint) as db_id, o_orderkey as oid, concat('t', cast(o_orderkey as varchar(20))) as relname,
+select cast(o_custkey % 10 as bigint) as db_id, o_orderkey + 1 as oid, concat('t', cast(o_orderkey as varchar(20))) as relname,
   cast(o_custkey % 5 + 1 as bigint) as relnamespace, case when o_orderkey % 8 = 0 then 'm' else 'r' end as relkind,
-  case when o_orderkey % 3 = 0 then cast(0 as bigint) else o_orderkey + 100000000 end as reltoastrelid,
+  case when o_orderkey % 3 = 0 then cast(0 as bigint) else o_orderkey + 100000001 end as reltoastrelid,
   2146483648 - cast(round(o_totalprice * 100) as bigint) as xid_age
 from orders
 union all
-select cast(o_custkey % 10 as bigint), o_orderkey + 100000000, 'toast', cast(o_custkey % 5 + 1 as bigint), 't', cast(0 as bigint),
+select cast(o_custkey % 10 as bigint), o_orderkey + 100000001, 'toast', cast(o_custkey % 5 + 1 as bigint), 't', cast(0 as bigint),
   2146483648 - cast(round(o_totalprice * 100) as bigint) + o_orderkey % 5
 from orders
 """

@@ -56,7 +56,7 @@ def scan_project_filter(spark, d):
 
 PASSTHROUGH = """
 SELECT n.n_name AS nation, o.o_orderstatus AS status, count(*) AS n_orders,
-  sum(cast(round(o.o_totalprice * 100) AS bigint)) AS cents
+  cast(sum(cast(round(o.o_totalprice * 100) AS bigint)) AS bigint) AS cents
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 GROUP BY n.n_name, o.o_orderstatus
 """
@@ -174,7 +174,7 @@ def mask_whole_row_json(spark, d):
 
 ANON = """
 WITH spend AS (SELECT person_no, status, sum(cents) AS cents, count(*) AS n FROM purchases GROUP BY person_no, status)
-SELECT p.nation, s.status, p.segment, count(*) AS people, sum(s.n) AS orders, sum(s.cents) AS cents,
+SELECT p.nation, s.status, p.segment, count(*) AS people, cast(sum(s.n) AS bigint) AS orders, cast(sum(s.cents) AS bigint) AS cents,
   count(DISTINCT p.email) AS mails_seen, max(upper(p.email)) AS loudest, min(p.note) AS first_note,
   max(p.tax_id) AS top_id, max(concat('u', cast(p.nation AS varchar(20)), '@x.io')) AS contact
 FROM people p JOIN spend s ON p.person_no = s.person_no
@@ -194,7 +194,7 @@ MASKED = {
         FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey""",
     "masked_window": """SELECT person_no, first_value(email) OVER (PARTITION BY nation ORDER BY person_no) AS first_mail,
         lag(tax_id) OVER (PARTITION BY nation ORDER BY person_no) AS previous,
-        row_number() OVER (PARTITION BY nation ORDER BY person_no) AS place FROM people""",
+        cast(row_number() OVER (PARTITION BY nation ORDER BY person_no) AS bigint) AS place FROM people""",
 }
 
 

@@ -53,7 +53,8 @@ def run_sql(
     tables, keywords, detectors = tables or {}, tuple(keywords), tuple(detectors)
     session = masked_session(spark, tables, policy=policy, classify=False, keywords=keywords)
     if policy is None and classify:
-        named = {name: tables[name] for name in _views_named(session, sql, args)}
+        views = _views_named(session, sql, args)
+        named = {name: df for name, df in tables.items() if name.lower() in views}
         if named:
             found = mask_policy(named, keywords=keywords, detectors=detectors)
             _register(spark, session, named, found)
@@ -98,7 +99,7 @@ def _register(
     """
     masked: dict[str, list[str]] = {}
     for row in policy.select("table_name", "column_name").collect():
-        masked.setdefault(row.table_name, []).append(row.column_name)
+        masked.setdefault(row.table_name.lower(), []).append(row.column_name)
     for name, df in tables.items():
         # sessions share global views only; the view is dropped as soon as the
         # masked one stands, and its name cannot be guessed meanwhile
@@ -106,7 +107,7 @@ def _register(
         df.createOrReplaceGlobalTempView(handoff)
         try:
             source = session.table(f"global_temp.{handoff}")
-            mask_columns(source, masked.get(name, [])).createOrReplaceTempView(name)
+            mask_columns(source, masked.get(name.lower(), [])).createOrReplaceTempView(name)
         finally:
             spark.catalog.dropGlobalTempView(handoff)
 
@@ -147,7 +148,7 @@ _OWN_LEAVES = {"LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "Un
 
 
 def _views_below(plan) -> set[str]:
-    """Names of the masked views an analysed plan reads; fails if it reads anything else.
+    """Lowercased names of the masked views a plan reads; fails if it reads anything else.
 
     Subqueries are looked into as well. The masked views are the only views of
     the session without a database. Other views are refused, and so is any
@@ -159,7 +160,7 @@ def _views_below(plan) -> set[str]:
         identifier = plan.desc().identifier()
         foreign = not identifier.database().isEmpty()
         if not foreign:
-            return {identifier.table()}
+            return {identifier.table().lower()}
     else:
         foreign = children.isEmpty() and name not in _OWN_LEAVES
     if foreign:
