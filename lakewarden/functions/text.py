@@ -59,7 +59,7 @@ def _words(core: str) -> str:
 _ANY_WORD = _words("|".join((*_WORD_SHAPES, _CARD_WORD)))
 _PATTERN_WORD = _words("|".join(_WORD_SHAPES))
 _CARD_TOKEN = rf"(?<!{_NO_SPACE}){_word(_CARD_WORD)}"
-_CARD_HINT = r"[0-9](?:-*[0-9]){12}"
+_CARD_HINT = r"[0-9](?:[ \-]*+[0-9]){12}"
 
 WORD_DETECTORS: tuple[str, ...] = (
     "email", "jwt", "iban", "password_hash", "ipv4", "ipv6",
@@ -84,16 +84,11 @@ def card_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fv.CARD_SPAN), F.lit(0))
 
 
-def _replace_spans(
-    text: Column, pattern: str, replace: Callable[[Column], Column], hint: Column
-) -> Column:
-    """Rewrite every match of `pattern` by a Column function of the match.
-
-    `hint` is a cheaper test true for every text with a match.
-    """
+def _replace_spans(text: Column, pattern: str, replace: Callable[[Column], Column]) -> Column:
+    """Rewrite every match of `pattern` by a Column function of the match."""
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rewritten = F.array_join(
+    return F.array_join(
         F.zip_with(
             pieces,
             matches,
@@ -101,27 +96,29 @@ def _replace_spans(
         ),
         "",
     )
-    return F.when(hint, rewritten).otherwise(text)
 
 
 def _when_detected(name: str) -> Callable[[Column], Column]:
     return lambda s: F.when(detect(name, s), F.lit(fv.REDACTED)).otherwise(s)
 
 
-def _redact_phones(text: Column) -> Column:
-    return _replace_spans(text, fv.PHONE_SPAN, _when_detected("phone"), text.contains("+"))
+def _card_word(word: Column) -> Column:
+    is_card = detect("card", F.regexp_replace(word, r"[^0-9\-]", ""))
+    return F.when(is_card, F.regexp_replace(word, _CARD_WORD, fv.REDACTED)).otherwise(word)
 
 
-def _redact_spaced_cards(text: Column) -> Column:
-    return _replace_spans(text, fv.CARD_SPAN, _when_detected("card"), text.rlike(fv.CARD_SPAN))
+# Cheap tests guard the rewriting: few texts hold a "+" or that many digits.
 
 
-def _redact_card_words(text: Column) -> Column:
-    def replace(word: Column) -> Column:
-        is_card = detect("card", F.regexp_replace(word, r"[^0-9\-]", ""))
-        return F.when(is_card, F.regexp_replace(word, _CARD_WORD, fv.REDACTED)).otherwise(word)
+def _redact_phones(text: Column) -> Column:
+    rewritten = _replace_spans(text, fv.PHONE_SPAN, _when_detected("phone"))
+    return F.when(text.contains("+"), rewritten).otherwise(text)
+
 
-    return _replace_spans(text, _CARD_TOKEN, replace, text.rlike(_CARD_HINT))
+def _redact_cards(text: Column) -> Column:
+    spaced = _replace_spans(text, fv.CARD_SPAN, _when_detected("card"))
+    rewritten = _replace_spans(spaced, _CARD_TOKEN, _card_word)
+    return F.when(text.rlike(_CARD_HINT), rewritten).otherwise(text)
 
 
 def _redact_words(text: Column) -> Column:
@@ -130,7 +127,7 @@ def _redact_words(text: Column) -> Column:
 
 # Steps of a span redaction, to be applied one after another as separate
 # columns: nested in one expression each step would repeat the one before.
-REDACTION_STEPS = (_redact_phones, _redact_spaced_cards, _redact_card_words, _redact_words)
+REDACTION_STEPS = (_redact_phones, _redact_cards, _redact_words)
 
 
 def mask_credentials(text: Column) -> Column:

@@ -52,7 +52,8 @@ def table_constraints(constraints: DataFrame, key_columns: DataFrame) -> DataFra
     Columns are matched by constraint and table: constraint names repeat
     across the tables of a schema. Both inputs are stacked and grouped, one
     shuffle in place of a join. A key has at most 32 columns in the database
-    the snapshot comes from, so the arrays stay small.
+    the snapshot comes from, and rows landed twice count once, so the arrays
+    stay small.
     """
     keys = ["db_id", "table_schema", "table_name", "constraint_name"]
     column = F.when(F.col("column_name").isNotNull(), F.struct("ordinal_position", "column_name"))
@@ -63,7 +64,7 @@ def table_constraints(constraints: DataFrame, key_columns: DataFrame) -> DataFra
         rows.groupBy(*keys)
         .agg(
             F.max("constraint_type").alias("constraint_type"),
-            F.sort_array(F.collect_list("column"))["column_name"].alias("columns"),
+            F.sort_array(F.collect_set("column"))["column_name"].alias("columns"),
         )
         .where(F.col("constraint_type").isNotNull())
     )
@@ -82,8 +83,9 @@ def table_details(
     """One nested row per table: ``basic``, ``columns``, ``constraints``, ``indexes``.
 
     A table has at most 1,600 columns in the database the snapshot comes from,
-    so each document stays small. The three lists are stacked and grouped in
-    one shuffle; `schema` and `table` are pushed into the snapshot scans.
+    and rows landed twice count once, so each document stays small. The three
+    lists are stacked and grouped in one shuffle; `schema` and `table` are
+    pushed into the snapshot scans.
     """
 
     def only(df: DataFrame, schema_column: str, table_column: str) -> DataFrame:
@@ -121,9 +123,9 @@ def table_details(
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     documents = stacked.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("column")).alias("columns"),
-        F.sort_array(F.collect_list("constraint")).alias("constraints"),
-        F.sort_array(F.collect_list("index")).alias("indexes"),
+        F.sort_array(F.collect_set("column")).alias("columns"),
+        F.sort_array(F.collect_set("constraint")).alias("constraints"),
+        F.sort_array(F.collect_set("index")).alias("indexes"),
     )
     return documents.where(F.size("columns") > 0).select(
         "db_id",

@@ -1,5 +1,8 @@
 """Names, values and JSON keys, vector by vector."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +144,51 @@ def test_json_keys(spark):
     assert {r[0]: r[1] for r in rows} == {**JSON, None: False}
 
 
+def _random_json(rng, depth=0):
+    kind = rng.random()
+    if depth > 4 or kind < 0.35:
+        return rng.choice(
+            ["1", "-0.5e+3", "true", "false", "null", '"x"', '"email"', r'"\"pwd\":"', '"a:b"', r'"ée"', '""', "1e999"]
+        )
+    gap = rng.choice(["", " ", "\n", "\t "])
+    items = [_random_json(rng, depth + 1) for _ in range(rng.randint(0, 4))]
+    if kind < 0.6:
+        return "[" + gap + f"{gap},".join(items) + gap + "]"
+    keys = [
+        rng.choice(["a", "b", "status", "k:", "é", r"x\\", r'q\"email', "Phone", r"em\u0061il", "api_key", "note", ""])
+        if rng.random() < 0.3 else "z" for _ in items
+    ]
+    pairs = [f'"{k}"{gap}:{gap}{v}' for k, v in zip(keys, items, strict=True)]
+    return "{" + gap + f",{gap}".join(pairs) + "}" + gap
+
+
+def test_json_keys_equal_a_parser(spark):
+    rng = random.Random(5)
+    values = []
+    for _ in range(1500):
+        text = _random_json(rng)
+        if rng.random() < 0.4 and text:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", ",", "}", "]", '"', "\\", ":", " ", "x", "\x01", "NaN"]) + text[at + rng.randint(0, 1):]
+        values.append(text)
+
+    def truth(text):
+        keys = []
+
+        def refuse(constant):
+            raise ValueError(constant)
+
+        try:
+            json.loads(text, parse_constant=refuse, object_pairs_hook=lambda pairs: keys.extend(k for k, _ in pairs))
+        except ValueError:
+            return False
+        return text[:1] in ("{", "[") and any(name_is_pii(k) for k in keys)
+
+    found = [r[0] for r in column(spark, values).select(json_has_pii_key(F.col("v"))).collect()]
+    wrong = [(v, f) for v, f in zip(values, found, strict=True) if f != truth(v)]
+    assert wrong == [] and sum(found) > 100
+
+
 def test_json_long_text(spark):
     # every string of a long document is read, none is cut
     long = '{"a":[' + ",".join('"xxxxxxxxxxxxxxxxxx"' for _ in range(60_000)) + ',{"pwd":1}]}'
