@@ -306,6 +306,11 @@ def list_objects_extension(spark, d):
     return lw.list_objects(fixture(spark, d, fx.EXTENSIONS), "extension")
 
 
+@query
+def sequence_details(spark, d):
+    return lw.sequence_details(fixture(spark, d, fx.SEQUENCES), schema="app")
+
+
 @query
 def table_constraints(spark, d):
     out = lw.table_constraints(*fixtures(spark, d, fx.TABLE_CONSTRAINTS, fx.KEY_COLUMNS))

@@ -14,10 +14,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed_values as fv
 
 
+def is_text(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
+
+
 def name_is_pii(name: str, keywords: Iterable[str] = fv.PII_KEYWORDS) -> bool:
     """Whether a column name known at plan time is sensitive."""
     lowered = name.lower()

@@ -1,4 +1,10 @@
-from .catalog import list_objects, list_schemas, table_constraints, table_details
+from .catalog import (
+    list_objects,
+    list_schemas,
+    sequence_details,
+    table_constraints,
+    table_details,
+)
 from .health import (
     connection_health,
     health_report,
@@ -50,7 +56,7 @@ __all__ = [
     "list_objects", "list_schemas", "mask_columns", "mask_log_credentials",
     "mask_policy", "normalize_query_stats", "pii_columns", "query_stats", "redact",
     "redact_text", "redaction_verdicts", "replication_lag", "replication_slots",
-    "scan_text", "sequence_discovery", "sequence_headroom", "table_constraints",
+    "scan_text", "sequence_details", "sequence_discovery", "sequence_headroom", "table_constraints",
     "table_details", "table_hit_rate", "top_queries", "unused_indexes",
     "unvalidated_constraints", "validate_foreign_key", "validate_not_null",
     "validate_unique", "wraparound_headroom",

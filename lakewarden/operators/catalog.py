@@ -46,6 +46,21 @@ def list_objects(df: DataFrame, object_type: str, schema: str | None = None) ->
     return out.orderBy("name", *(["schema"] if schema_column else []), "db_id")
 
 
+def sequence_details(
+    sequences: DataFrame, *, schema: str | None = None, name: str | None = None
+) -> DataFrame:
+    """Type, start and step of sequences, of one or of all."""
+    out = sequences
+    if schema is not None:
+        out = out.where(F.col("sequence_schema") == schema)
+    if name is not None:
+        out = out.where(F.col("sequence_name") == name)
+    return out.select(
+        "db_id", F.col("sequence_schema").alias("schema"), F.col("sequence_name").alias("name"),
+        "data_type", "start_value", "increment",
+    )
+
+
 def table_constraints(constraints: DataFrame, key_columns: DataFrame) -> DataFrame:
     """Every constraint with its columns in key order; none gives an empty array.
 

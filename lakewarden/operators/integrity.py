@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
+from .redact import positional
 
 # Bytes of the types stored with a fixed width.
 _FIXED_WIDTH = {
@@ -75,10 +76,11 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     Types of a fixed width need no reading beyond their NULLs; others count
     the bytes of their text. The result feeds the index-size estimate.
     """
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    plain, fields = positional(df)
     counts, rows = [], []
-    for i, f in enumerate(fields):
-        col = F.col(f"`{f.name}`")
+    for i, (f, col) in enumerate(fields):
+        if columns is not None and f.name not in columns:
+            continue
         counts.append(F.count(col).alias(f"c{i}"))
         fixed = _FIXED_WIDTH.get(type(f.dataType))
         if fixed is None:
@@ -94,7 +96,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
                 width.alias("avg_width"),
             )
         )
-    return df.agg(F.count("*").alias("n"), *counts).select(F.inline(F.array(*rows)))
+    return plain.agg(F.count("*").alias("n"), *counts).select(F.inline(F.array(*rows)))
 
 
 def _as_bytes(col: Column, dtype: T.DataType) -> Column:
@@ -109,12 +111,13 @@ def key_headroom(
     df: DataFrame, columns: Sequence[str] | None = None, *, threshold: float = fv.SEQUENCE_LIMIT
 ) -> DataFrame:
     """How far integer columns have used up their type's range."""
-    limits = {
-        f.name: float(_TYPE_MAX[type(f.dataType)])
-        for f in df.schema.fields
+    plain, fields = positional(df)
+    keys = [
+        (f.name, col, float(_TYPE_MAX[type(f.dataType)]))
+        for f, col in fields
         if type(f.dataType) in _TYPE_MAX and (columns is None or f.name in columns)
-    }
-    highest = [F.max(F.col(f"`{c}`")).cast("bigint").alias(f"m{i}") for i, c in enumerate(limits)]
+    ]
+    highest = [F.max(col).cast("bigint").alias(f"m{i}") for i, (_, col, _) in enumerate(keys)]
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),
@@ -123,6 +126,6 @@ def key_headroom(
             (F.col(f"m{i}").cast("double") / F.lit(limit)).alias("used"),
             F.coalesce(F.col(f"m{i}").cast("double") / F.lit(limit) > threshold, F.lit(False)).alias("exceeded"),
         )
-        for i, (c, limit) in enumerate(limits.items())
+        for i, (c, _, limit) in enumerate(keys)
     ]
-    return df.agg(*highest).select(F.inline(F.array(*rows)))
+    return plain.agg(*highest).select(F.inline(F.array(*rows)))

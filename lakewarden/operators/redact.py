@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detectors import DETECTORS, Detector, is_pii_name, name_is_pii, should_redact
+from ..functions.detectors import DETECTORS, Detector, is_pii_name, is_text, name_is_pii, should_redact
 from ..functions.fixed_values import PII_KEYWORDS, REDACTED
 
 # Columns whose detectors are evaluated in one pass; wider tables are read in
@@ -21,6 +21,16 @@ from ..functions.fixed_values import PII_KEYWORDS, REDACTED
 COLUMNS_PER_PASS = 100
 
 
+def positional(df: DataFrame) -> tuple[DataFrame, list[tuple[T.StructField, Column]]]:
+    """The DataFrame under plain column names, and each field with its column.
+
+    Names may repeat in a result or hold dots and backticks; positions do not.
+    """
+    fields = df.schema.fields
+    plain = df.toDF(*[f"c{i}" for i in range(len(fields))])
+    return plain, [(f, F.col(f"c{i}")) for i, f in enumerate(fields)]
+
+
 def _redacted(
     name: str,
     col: Column,
@@ -31,7 +41,7 @@ def _redacted(
 ) -> Column:
     if name_is_pii(name, keywords):
         return F.lit(REDACTED)
-    if isinstance(dtype, T.StringType):
+    if is_text(dtype):
         verdict = should_redact(name, col, keywords, detectors)
         return F.when(verdict, F.lit(REDACTED)).otherwise(col)
     if not nested:
@@ -46,7 +56,7 @@ def _redacted(
         return F.transform(
             col, lambda x: _redacted("", x, dtype.elementType, keywords, detectors, True)
         )
-    if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+    if isinstance(dtype, T.MapType) and is_text(dtype.valueType):
         # keys are data here; with string values a sensitive key hides its value
         return F.transform_values(
             col,
@@ -73,13 +83,11 @@ def redact(
     maps of strings.
     """
     keywords, detectors = tuple(keywords), tuple(detectors)
-    fields = df.schema.fields
-    # results may repeat a column name; positions are unambiguous
-    plain = df.toDF(*[f"c{i}" for i in range(len(fields))])
+    plain, columns = positional(df)
     return plain.select(
         *[
-            _redacted(f.name, F.col(f"c{i}"), f.dataType, keywords, detectors, nested).alias(f.name)
-            for i, f in enumerate(fields)
+            _redacted(f.name, col, f.dataType, keywords, detectors, nested).alias(f.name)
+            for f, col in columns
         ]
     )
 
@@ -91,14 +99,15 @@ def redaction_verdicts(
     detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
     """For every cell whether it would be redacted, under the same column names."""
+    plain, columns = positional(df)
     out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType) or name_is_pii(f.name, keywords):
-            verdict = should_redact(f.name, df[f.name], keywords, detectors)
+    for f, col in columns:
+        if is_text(f.dataType) or name_is_pii(f.name, keywords):
+            verdict = should_redact(f.name, col, keywords, detectors)
         else:
             verdict = F.lit(False)
         out.append(verdict.alias(f.name))
-    return df.select(*out)
+    return plain.select(*out)
 
 
 def mask_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -107,15 +116,13 @@ def mask_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     Strings become ``<redacted>``, NULLs included; other types become NULL.
     """
     wanted = {c.lower() for c in columns}
+    plain, fields = positional(df)
     out = []
-    for f in df.schema.fields:
-        if f.name.lower() not in wanted:
-            out.append(df[f"`{f.name}`"])
-        elif isinstance(f.dataType, T.StringType):
-            out.append(F.lit(REDACTED).cast(f.dataType).alias(f.name))
-        else:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*out)
+    for f, col in fields:
+        if f.name.lower() in wanted:
+            col = F.lit(REDACTED) if is_text(f.dataType) else F.lit(None).cast(f.dataType)
+        out.append(col.alias(f.name))
+    return plain.select(*out)
 
 
 def pii_columns(df: DataFrame, keywords: Iterable[str] = PII_KEYWORDS) -> list[str]:
@@ -142,14 +149,13 @@ def classify_columns(
     """
     keywords, detectors = tuple(keywords), tuple(detectors)
     source = df if sample_fraction is None else df.sample(fraction=sample_fraction, seed=0)
+    plain, columns = positional(source)
     passes = []
-    for start in range(0, len(df.schema.fields), COLUMNS_PER_PASS):
-        fields = df.schema.fields[start : start + COLUMNS_PER_PASS]
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
         counts, rows = [], []
-        for i, f in enumerate(fields):
-            col = F.col(f"`{f.name}`")
+        for i, (f, col) in enumerate(columns[start : start + COLUMNS_PER_PASS]):
             by_name = name_is_pii(f.name, keywords)
-            looks = isinstance(f.dataType, T.StringType) and not by_name
+            looks = is_text(f.dataType) and not by_name
             counts.append(F.count(col).alias(f"n{i}"))
             if looks:
                 verdict = should_redact(f.name, col, keywords, detectors)
@@ -162,7 +168,7 @@ def classify_columns(
                     (F.col(f"h{i}") if looks else F.lit(0).cast("bigint")).alias("hits"),
                 )
             )
-        passes.append(source.agg(*counts).select(F.inline(F.array(*rows))))
+        passes.append(plain.agg(*counts).select(F.inline(F.array(*rows))))
     found = reduce(DataFrame.unionByName, passes)
     ratio = F.col("hits") / F.nullif(F.col("non_null"), F.lit(0))
     return found.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Mapping
 
@@ -44,12 +43,14 @@ def run_sql(
     `classify`, by value, for which the tables the statement names are read
     once. To run many statements keep a `mask_policy` or a `masked_session`.
     """
+    if isinstance(args, (list, tuple)):
+        sql, args = named_parameters(sql, list(args))
     if restricted or anonymize:
         check_read_only(sql)
-    if isinstance(args, (list, tuple)) and "?" not in sql:
-        sql, args = named_parameters(sql, list(args))
     if not anonymize:
-        return spark.sql(sql, args=args) if args else spark.sql(sql)
+        if restricted and bare_statement(sql).startswith(_QUERY):
+            _as_query(spark, sql, args)
+        return _sql(spark, sql, args)
     tables, keywords, detectors = tables or {}, tuple(keywords), tuple(detectors)
     session = masked_session(spark, tables, policy=policy, classify=False, keywords=keywords)
     if policy is None and classify:
@@ -121,26 +122,32 @@ def run_masked(
     detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
     """Run a query in a masked session and redact what it returns."""
-    result = _checked(session, sql, args)
-    return redact(result, keywords=keywords, detectors=detectors)
+    _views_named(session, sql, args)
+    return redact(_sql(session, sql, args), keywords=keywords, detectors=detectors)
 
 
-def _checked(session: SparkSession, sql: str, args: dict | list | None) -> DataFrame:
-    """The analysed statement, if it is a query over masked views and nothing else."""
-    check_read_only(sql)
-    bare = bare_statement(sql)
-    if not bare.startswith(("select", "with ")):
-        raise UnmaskedAccess("only queries may be anonymised")
-    # functions that call into the engine's process could read around the views
-    if re.search(r"\b(?:java_method|(?:try_)?reflect)`?\s*\(", bare):
-        raise UnmaskedAccess("function not allowed in anonymised statements")
-    result = session.sql(sql, args=args) if args else session.sql(sql)
-    _views_below(result._jdf.queryExecution().analyzed())
-    return result
+_QUERY = ("select", "with ")
+
+
+def _sql(session: SparkSession, sql: str, args: dict | list | None) -> DataFrame:
+    return session.sql(sql, args=args) if args else session.sql(sql)
+
+
+def _as_query(session: SparkSession, sql: str, args: dict | list | None) -> DataFrame:
+    """The statement as a subquery, where Spark's grammar takes nothing but queries.
+
+    The guard reads text, which a comment sign inside a literal can mislead;
+    the parser cannot be. Nothing is executed.
+    """
+    return _sql(session, f"SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)", args)
 
 
 def _views_named(session: SparkSession, sql: str, args: dict | list | None) -> set[str]:
-    return _views_below(_checked(session, sql, args)._jdf.queryExecution().analyzed())
+    """The masked views a statement reads, if it is a query and reads nothing else."""
+    check_read_only(sql)
+    if not bare_statement(sql).startswith(_QUERY):
+        raise UnmaskedAccess("only queries may be anonymised")
+    return _views_below(_as_query(session, sql, args)._jdf.queryExecution().analyzed())
 
 
 # Plan nodes that read nothing but the statement itself.
@@ -165,8 +172,21 @@ def _views_below(plan) -> set[str]:
         foreign = children.isEmpty() and name not in _OWN_LEAVES
     if foreign:
         raise UnmaskedAccess("the statement reads a relation that is not a masked view")
+    for expression in _items(plan.expressions()):
+        _refuse_reflection(expression)
     found: set[str] = set()
-    for plans in (children, plan.subqueries()):
-        for i in range(plans.length()):
-            found |= _views_below(plans.apply(i))
+    for below in (*_items(children), *_items(plan.subqueries())):
+        found |= _views_below(below)
     return found
+
+
+def _refuse_reflection(expression) -> None:
+    """Functions that call into the engine's process could read around the views."""
+    if expression.getClass().getSimpleName() == "CallMethodViaReflection":
+        raise UnmaskedAccess("function not allowed in anonymised statements")
+    for child in _items(expression.children()):
+        _refuse_reflection(child)
+
+
+def _items(sequence) -> list:
+    return [sequence.apply(i) for i in range(sequence.length())]

@@ -28,7 +28,9 @@ def check_read_only(sql: str) -> None:
         raise PermissionError("forbidden operation")
 
 
-def named_parameters(sql: str, args: list) -> tuple[str, dict]:
-    """Turn positional markers ``$1, $2`` into Spark's named ones."""
+def named_parameters(sql: str, args: list) -> tuple[str, list | dict]:
+    """Turn positional markers ``$1, $2`` into Spark's named ones, if there are any."""
     renamed = _MARKER.sub(lambda m: f":p{m[1]}" if m[1] else m[0], sql)
+    if renamed == sql:
+        return sql, args
     return renamed, {f"p{i}": value for i, value in enumerate(args, start=1)}

@@ -1,7 +1,7 @@
 """SQL over masked views: what must not leak, and what must still work."""
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 
 from lakewarden import UnmaskedAccess, masked_session, run_masked, run_sql
 
@@ -112,6 +112,9 @@ REFUSED = [
     "EXPLAIN SELECT * FROM people",
     "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
     "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM people",
+    "SELECT '/*', java_method/**/('java.lang.System', 'getProperty', 'user.home'), '*/' FROM people",
+    "SELECT IDENTIFIER('java' || '_method')('java.lang.System', 'getProperty', 'user.home') FROM people",
+    "SELECT id FROM people WHERE EXISTS (SELECT 1 FROM orders WHERE reflect('java.lang.System', 'getProperty', 'a') = 'x')",
     "SELECT try_reflect ('java.lang.System', 'getProperty', 'user.home') FROM people",
 ]
 
@@ -122,6 +125,18 @@ def test_refused(session, sql):
         run_masked(session, sql)
 
 
+def test_a_literal_cannot_hide_a_write(spark, session):
+    hidden = "WITH x AS (SELECT '/*' AS a) INSERT INTO lw_target SELECT * FROM x -- */"
+    spark.sql("CREATE TABLE IF NOT EXISTS lw_target (a string) USING parquet")
+    try:
+        for attempt in (lambda: run_masked(session, hidden), lambda: run_sql(spark, hidden)):
+            with pytest.raises(ParseException):
+                attempt()
+        assert spark.table("lw_target").count() == 0
+    finally:
+        spark.sql("DROP TABLE lw_target")
+
+
 def test_only_masked_views_can_be_read(spark, session, small, tmp_path):
     spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "t"))
     spark.sql(f"CREATE TABLE IF NOT EXISTS lw_raw USING parquet LOCATION '{tmp_path}/t'")
@@ -166,7 +181,9 @@ def test_plain_sql_and_parameters(spark, tables):
     assert run_sql(spark, "SELECT count(*) n FROM people").first().n == 2
     rows = run_sql(spark, "SELECT id, '$1' lit FROM people WHERE id > $1 AND last_name <> $2 -- $3", [1, "x"]).collect()
     assert [tuple(r) for r in rows] == [(2, "$1")]
-    assert run_sql(spark, "SELECT id FROM people WHERE id = ?", [2]).first().id == 2
+    assert run_sql(spark, "SELECT id FROM people WHERE id = ? -- why?", [2]).first().id == 2
+    assert run_sql(spark, "SELECT id, '?' q FROM people WHERE id = $1;", [2]).first().q == "?"
+    assert run_sql(spark, "SHOW TABLES").columns == ["namespace", "tableName", "isTemporary"]
     assert run_sql(spark, "SELECT id FROM people WHERE id = :a", {"a": 2}).first().id == 2
     rows = run_sql(spark, "SELECT email FROM people WHERE id = $1", [2], anonymize=True, tables=tables).collect()
     assert [r.email for r in rows] == ["<redacted>"]
