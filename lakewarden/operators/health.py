@@ -37,9 +37,13 @@ def connection_health(activity: DataFrame) -> DataFrame:
 
 
 def wraparound_headroom(
-    pg_class: DataFrame, pg_namespace: DataFrame, *, threshold: int = fv.MIN_XID_LEFT
+    pg_class: DataFrame, pg_namespace: DataFrame, *, threshold: int = fv.MIN_XID_LEFT,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Ordinary tables with few transaction ids left, their overflow table counted in."""
+    """Ordinary tables with few transaction ids left, their overflow table counted in.
+
+    The worst come first if `ordered`.
+    """
     toast = pg_class.select("db_id", F.col("oid").alias("_toast"), F.col("xid_age").alias("toast_age"))
     # greatest() skips a missing overflow table
     left = F.lit(fv.MAX_XID) - F.greatest("xid_age", "toast_age")
@@ -50,11 +54,10 @@ def wraparound_headroom(
         .withColumn("transactions_left", left)
         .where(F.col("transactions_left") < threshold)
     )
-    return (
-        with_schema_name(old, pg_namespace, "relnamespace", "schema", ["oid"])
-        .select("db_id", "schema", F.col("relname").alias("table"), "transactions_left")
-        .orderBy("transactions_left", "schema", "table", "db_id")
+    out = with_schema_name(old, pg_namespace, "relnamespace", "schema", ["oid"]).select(
+        "db_id", "schema", F.col("relname").alias("table"), "transactions_left"
     )
+    return out.orderBy("transactions_left", "schema", "table", "db_id") if ordered else out
 
 
 def sequence_discovery(
@@ -99,14 +102,18 @@ def sequence_headroom(
     *,
     threshold: float = fv.SEQUENCE_LIMIT,
     strict_types: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Sequences that used more than `threshold` of their column's range."""
+    """Sequences that used more than `threshold` of their column's range.
+
+    Those with the least left come first if `ordered`.
+    """
     state = sequences.where("readable").select(
         "db_id", F.col("schemaname").alias("sequence_schema"),
         F.col("sequencename").alias("sequence_name"), "last_value",
     )
     used = F.coalesce("last_value", F.lit(0)).cast("double")
-    return (
+    out = (
         discovered.join(state, ["db_id", "sequence_schema", "sequence_name"])
         .withColumn("max_value", sequence_limit(F.col("column_type"), strict_types))
         .withColumn("used", used / F.col("max_value"))
@@ -116,8 +123,8 @@ def sequence_headroom(
             "db_id", "sequence_schema", "sequence_name", "table", "column", "column_type",
             "last_value", "max_value", "used", "remaining",
         )
-        .orderBy("remaining", "sequence_schema", "sequence_name", "db_id")
     )
+    return out.orderBy("remaining", "sequence_schema", "sequence_name", "db_id") if ordered else out
 
 
 def replication_lag(state: DataFrame, as_of: Column) -> DataFrame:
@@ -204,6 +211,10 @@ def parse_health_types(types: str) -> list[str]:
     return [t for t in HEALTH_TYPES if "all" in names or t in names]
 
 
+def dotted(*names: str) -> Column:
+    return F.concat_ws(".", *names)
+
+
 def _finding(
     df: DataFrame, check: str, obj: Column, metric: str | Column, value: Column,
     threshold: float | Column | None, status: Column, detail: Column | None = None,
@@ -231,7 +242,7 @@ def health_report(
     Spark runs the checks side by side.
     """
     s = snapshots
-    warn, dotted = F.lit("warning"), lambda *c: F.concat_ws(".", *c)
+    warn = F.lit("warning")
     found: list[DataFrame] = []
     chosen = parse_health_types(types)
     if "index" in chosen:
@@ -248,12 +259,12 @@ def health_report(
         )
         bloat = ix.index_bloat(
             s["pg_index"], s["pg_class"], s["pg_am"], s["pg_namespace"], s["pg_attribute"],
-            s["pg_stats"], s["pg_stat_user_indexes"],
+            s["pg_stats"], s["pg_stat_user_indexes"], ordered=False,
         )
         found.append(
             _finding(bloat, "index_bloat", name, "bloat_bytes", F.col("bloat_bytes"), fv.MIN_BLOAT_BYTES, warn)
         )
-        unused = ix.unused_indexes(s["pg_index"], s["pg_stat_user_indexes"])
+        unused = ix.unused_indexes(s["pg_index"], s["pg_stat_user_indexes"], ordered=False)
         found.append(
             _finding(unused, "unused_index", name, "index_scans", F.col("index_scans"), fv.MAX_RARE_SCANS, warn)
         )
@@ -272,7 +283,7 @@ def health_report(
     if "vacuum" in chosen:
         found.append(
             _finding(
-                wraparound_headroom(s["pg_class"], s["pg_namespace"]), "vacuum", dotted("schema", "table"),
+                wraparound_headroom(s["pg_class"], s["pg_namespace"], ordered=False), "vacuum", dotted("schema", "table"),
                 "transactions_left", F.col("transactions_left"), fv.MIN_XID_LEFT, warn,
             )
         )
@@ -282,7 +293,7 @@ def health_report(
         )
         found.append(
             _finding(
-                sequence_headroom(discovered, s["pg_sequences"]), "sequence",
+                sequence_headroom(discovered, s["pg_sequences"], ordered=False), "sequence",
                 dotted("sequence_schema", "sequence_name"), "used", F.col("used"), fv.SEQUENCE_LIMIT,
                 warn, dotted("table", "column"),
             )

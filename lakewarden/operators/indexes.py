@@ -92,22 +92,20 @@ def duplicate_indexes(inventory: DataFrame) -> DataFrame:
     )
 
 
-def unused_indexes(pg_index: DataFrame, usage: DataFrame) -> DataFrame:
-    """Rarely scanned indexes, neither unique nor primary, largest first."""
+def unused_indexes(pg_index: DataFrame, usage: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """Rarely scanned indexes, neither unique nor primary, largest first if `ordered`."""
     rare = usage.where(F.col("idx_scan") <= fv.MAX_RARE_SCANS)
     plain = pg_index.where(~F.col("indisunique") & ~F.coalesce("indisprimary", F.lit(False)))
-    return (
-        rare.join(plain, ["db_id", "indexrelid"])
-        .select(
-            "db_id",
-            F.col("schemaname").alias("schema"),
-            F.col("relname").alias("table"),
-            F.col("indexrelname").alias("name"),
-            "size_bytes",
-            F.col("idx_scan").alias("index_scans"),
-        )
-        .orderBy(F.col("size_bytes").desc_nulls_first(), "table", "name", "db_id")
+    out = rare.join(plain, ["db_id", "indexrelid"]).select(
+        "db_id",
+        F.col("schemaname").alias("schema"),
+        F.col("relname").alias("table"),
+        F.col("indexrelname").alias("name"),
+        "size_bytes",
+        F.col("idx_scan").alias("index_scans"),
     )
+    largest_first = F.col("size_bytes").desc_nulls_first()
+    return out.orderBy(largest_first, "table", "name", "db_id") if ordered else out
 
 
 def bloat_estimate(
@@ -146,8 +144,9 @@ def index_bloat(
     min_bytes: int = fv.MIN_BLOAT_BYTES,
     block_size: int = fv.BLOCK_SIZE,
     max_align: int = fv.MAX_ALIGN,
+    ordered: bool = True,
 ) -> DataFrame:
-    """B-tree indexes wasting at least `min_bytes`, most wasteful first."""
+    """B-tree indexes wasting at least `min_bytes`, most wasteful first if `ordered`."""
     btree = pg_am.where(F.col("amname") == "btree").select(
         "db_id", F.col("oid").alias("relam"), "amname"
     )
@@ -193,13 +192,13 @@ def index_bloat(
             F.sum((F.lit(1) - nulls) * width).alias("data_width"),
         )
     )
-    return (
+    out = (
         bloat_estimate(per_index, block_size=block_size, max_align=max_align)
         .where(F.col("bloat_bytes") >= min_bytes)
         .select(
             "db_id", "schema", "table", "name", "bloat_bytes", "index_bytes",
             F.col("indisprimary").alias("primary"),
         )
-        .orderBy(F.col("bloat_bytes").desc(), "name", "db_id")
     )
+    return out.orderBy(F.col("bloat_bytes").desc(), "name", "db_id") if ordered else out
 

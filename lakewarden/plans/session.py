@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.detectors import DETECTORS, Detector
 from ..functions.fixed_values import PII_KEYWORDS
-from ..operators.redact import mask_columns, mask_policy, redact
+from ..operators.redact import mask_columns, mask_policy, pii_columns, redact
 from .statements import bare_statement, check_read_only, named_parameters
 
 _HANDOFF = "lakewarden_handoff_"
@@ -39,9 +39,9 @@ def run_sql(
 
     With `anonymize` the statement sees nothing but masked views of `tables`
     under their own names, and its result is redacted as well. Columns are
-    masked by `policy`; without one they are masked by name and, with
-    `classify`, by value, for which the tables the statement names are read
-    once. To run many statements keep a `mask_policy` or a `masked_session`.
+    masked by name and by `policy`; without one, with `classify`, by value,
+    for which the tables the statement names are read once. To run many
+    statements keep a `mask_policy` or a `masked_session`.
     """
     if isinstance(args, (list, tuple)):
         sql, args = named_parameters(sql, list(args))
@@ -58,7 +58,7 @@ def run_sql(
         named = {name: df for name, df in tables.items() if name.lower() in views}
         if named:
             found = mask_policy(named, keywords=keywords, detectors=detectors)
-            _register(spark, session, named, found)
+            _register(spark, session, named, found, keywords)
     return run_masked(session, sql, args, keywords=keywords, detectors=detectors)
 
 
@@ -74,32 +74,37 @@ def masked_session(
     """A session whose only views are `tables` with sensitive columns masked.
 
     Masking happens in the views, below any predicate, join or aggregate of a
-    later statement; Catalyst then prunes masked columns from the scans. What
-    to mask is found by `mask_policy`, which reads the tables once when
-    `classify` is set; keep its result and pass it as `policy` to save that.
+    later statement; Catalyst then prunes masked columns from the scans.
+    Columns sensitive by name are always masked, and those `policy` lists.
+    Without a policy `classify` finds them by `mask_policy`, which reads the
+    tables once; keep its result to save that.
     """
-    if policy is None:
-        policy = mask_policy(
-            tables, classify=classify, keywords=tuple(keywords), detectors=tuple(detectors)
-        )
+    keywords = tuple(keywords)
+    if policy is None and classify and tables:
+        policy = mask_policy(tables, keywords=keywords, detectors=tuple(detectors))
     session = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if key.startswith("spark.sql.") and session.conf.isModifiable(key):
             session.conf.set(key, value)
     session.conf.set("spark.sql.runSQLOnFiles", "false")
-    _register(spark, session, tables, policy)
+    _register(spark, session, tables, policy, keywords)
     return session
 
 
 def _register(
-    spark: SparkSession, session: SparkSession, tables: Mapping[str, DataFrame], policy: DataFrame
+    spark: SparkSession,
+    session: SparkSession,
+    tables: Mapping[str, DataFrame],
+    policy: DataFrame | None,
+    keywords: Iterable[str],
 ) -> None:
     """Put masked views of `tables` into `session`.
 
     The policy has at most one row per column and is the only thing collected.
     """
-    masked: dict[str, list[str]] = {}
-    for row in policy.select("table_name", "column_name").collect():
+    masked = {name.lower(): pii_columns(df, keywords) for name, df in tables.items()}
+    listed = [] if policy is None else policy.select("table_name", "column_name").collect()
+    for row in listed:
         masked.setdefault(row.table_name.lower(), []).append(row.column_name)
     for name, df in tables.items():
         # sessions share global views only; the view is dropped as soon as the
@@ -108,7 +113,7 @@ def _register(
         df.createOrReplaceGlobalTempView(handoff)
         try:
             source = session.table(f"global_temp.{handoff}")
-            mask_columns(source, masked.get(name.lower(), [])).createOrReplaceTempView(name)
+            mask_columns(source, masked[name.lower()]).createOrReplaceTempView(name)
         finally:
             spark.catalog.dropGlobalTempView(handoff)
 

@@ -1,6 +1,6 @@
 import pytest
 
-from lakewarden import redact, redact_stream
+from lakewarden import redact, redact_stream, redact_text
 from lakewarden.sources import shared_folder
 
 
@@ -15,6 +15,15 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert out.exceptAll(expected).isEmpty() and expected.exceptAll(out).isEmpty()
 
 
+def test_text_redaction_works_on_a_stream(spark, small, tmp_path):
+    batch = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "documents.parquet").parquet(small)
+    redact_stream(redact_text(stream, "text"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    expected = redact(redact_text(batch, "text"))
+    assert out.count() == batch.count() and expected.exceptAll(out).isEmpty()
+
+
 def test_restart_reads_only_what_is_new(spark, tmp_path):
     source, schema = f"{tmp_path}/in", "id bigint, email string"
     for part in range(2):
