@@ -394,7 +394,7 @@ def sequence_headroom(spark, d):
 
 @query
 def replication_lag(spark, d):
-    return lw.replication_lag(fixture(spark, d, fx.REPLICATION), F.lit(fx.AS_OF).cast("timestamp"))
+    return lw.replication_lag(fixture(spark, d, fx.REPLICATION), F.lit(fx.AS_OF).cast("timestamp_ntz"))
 
 
 @query
@@ -428,7 +428,7 @@ def health_report(spark, d):
         "pg_statio_user_tables": fx.TABLE_IO, "pg_constraint": fx.PG_CONSTRAINT,
     }
     frames = dict(zip(snapshots, fixtures(spark, d, *snapshots.values()), strict=True))
-    return lw.health_report(frames, F.lit(fx.AS_OF).cast("timestamp"), "all")
+    return lw.health_report(frames, F.lit(fx.AS_OF).cast("timestamp_ntz"), "all")
 
 
 # ---- the data itself --------------------------------------------------------

@@ -48,5 +48,5 @@ def padding(size: Column, align: Column) -> Column:
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
-    micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
-    return micros / F.lit(1e6)
+    """Seconds between two times of the same type, with or without a time zone."""
+    return (later - earlier).cast("interval second").cast("decimal(20,6)").cast("double")

@@ -130,6 +130,7 @@ def sequence_headroom(
 def replication_lag(state: DataFrame, as_of: Column) -> DataFrame:
     """Role, connection and lag of every server at the time `as_of`.
 
+    `as_of` has the type of ``last_replay_at``, with or without a time zone.
     The lag is 0 on a primary and when all that was received is replayed.
     """
     role = F.when(F.col("in_recovery"), "replica").otherwise("primary")

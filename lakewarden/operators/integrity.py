@@ -78,9 +78,10 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """
     plain, fields = positional(df)
     counts, rows = [], []
-    for i, (f, col) in enumerate(fields):
+    for i, (f, name) in enumerate(fields):
         if columns is not None and f.name not in columns:
             continue
+        col = F.col(name)
         counts.append(F.count(col).alias(f"c{i}"))
         fixed = _FIXED_WIDTH.get(type(f.dataType))
         if fixed is None:
@@ -113,11 +114,11 @@ def key_headroom(
     """How far integer columns have used up their type's range."""
     plain, fields = positional(df)
     keys = [
-        (f.name, col, float(_TYPE_MAX[type(f.dataType)]))
-        for f, col in fields
+        (f.name, name, float(_TYPE_MAX[type(f.dataType)]))
+        for f, name in fields
         if type(f.dataType) in _TYPE_MAX and (columns is None or f.name in columns)
     ]
-    highest = [F.max(col).cast("bigint").alias(f"m{i}") for i, (_, col, _) in enumerate(keys)]
+    highest = [F.max(name).cast("bigint").alias(f"m{i}") for i, (_, name, _) in enumerate(keys)]
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),

@@ -13,7 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.detectors import DETECTORS, Detector, is_pii_name, is_text, name_is_pii, should_redact
+from ..functions.detectors import (
+    DETECTORS,
+    Detector,
+    is_pii_name,
+    is_text,
+    name_is_pii,
+    should_redact,
+    should_redact_sql,
+)
 from ..functions.fixed_values import PII_KEYWORDS, REDACTED
 
 # Columns whose detectors are evaluated in one pass; wider tables are read in
@@ -21,14 +29,27 @@ from ..functions.fixed_values import PII_KEYWORDS, REDACTED
 COLUMNS_PER_PASS = 100
 
 
-def positional(df: DataFrame) -> tuple[DataFrame, list[tuple[T.StructField, Column]]]:
-    """The DataFrame under plain column names, and each field with its column.
+def positional(df: DataFrame) -> tuple[DataFrame, list[tuple[T.StructField, str]]]:
+    """The DataFrame under plain column names, and each field with its new name.
 
     Names may repeat in a result or hold dots and backticks; positions do not.
     """
     fields = df.schema.fields
-    plain = df.toDF(*[f"c{i}" for i in range(len(fields))])
-    return plain, [(f, F.col(f"c{i}")) for i, f in enumerate(fields)]
+    names = [f"c{i}" for i in range(len(fields))]
+    return df.toDF(*names), list(zip(fields, names, strict=True))
+
+
+def _verdict(
+    field: T.StructField, column: str, keywords: tuple[str, ...], detectors: tuple[Detector, ...]
+) -> Column:
+    """Whether a cell of a column is sensitive, its name included."""
+    if name_is_pii(field.name, keywords):
+        return F.lit(True)
+    if not is_text(field.dataType):
+        return F.lit(False)
+    if detectors == DETECTORS:
+        return F.expr(should_redact_sql(column, keywords))
+    return should_redact(field.name, F.col(column), keywords, detectors)
 
 
 def _redacted(
@@ -37,24 +58,22 @@ def _redacted(
     dtype: T.DataType,
     keywords: Iterable[str],
     detectors: Iterable[Detector],
-    nested: bool,
 ) -> Column:
+    """A value inside a struct, array or map, or one of these."""
     if name_is_pii(name, keywords):
         return F.lit(REDACTED)
     if is_text(dtype):
         verdict = should_redact(name, col, keywords, detectors)
         return F.when(verdict, F.lit(REDACTED)).otherwise(col)
-    if not nested:
-        return col
     if isinstance(dtype, T.StructType):
         fields = [
-            _redacted(f.name, col[f.name], f.dataType, keywords, detectors, True).alias(f.name)
+            _redacted(f.name, col[f.name], f.dataType, keywords, detectors).alias(f.name)
             for f in dtype.fields
         ]
         return F.when(col.isNull(), F.lit(None)).otherwise(F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
         return F.transform(
-            col, lambda x: _redacted("", x, dtype.elementType, keywords, detectors, True)
+            col, lambda x: _redacted("", x, dtype.elementType, keywords, detectors)
         )
     if isinstance(dtype, T.MapType) and is_text(dtype.valueType):
         # keys are data here; with string values a sensitive key hides its value
@@ -84,12 +103,19 @@ def redact(
     """
     keywords, detectors = tuple(keywords), tuple(detectors)
     plain, columns = positional(df)
-    return plain.select(
-        *[
-            _redacted(f.name, col, f.dataType, keywords, detectors, nested).alias(f.name)
-            for f, col in columns
-        ]
-    )
+    out = []
+    for f, column in columns:
+        if name_is_pii(f.name, keywords):
+            col = F.lit(REDACTED)
+        elif is_text(f.dataType):
+            verdict = _verdict(f, column, keywords, detectors)
+            col = F.when(verdict, F.lit(REDACTED)).otherwise(F.col(column))
+        elif nested:
+            col = _redacted(f.name, F.col(column), f.dataType, keywords, detectors)
+        else:
+            col = F.col(column)
+        out.append(col.alias(f.name))
+    return plain.select(*out)
 
 
 def redaction_verdicts(
@@ -99,15 +125,11 @@ def redaction_verdicts(
     detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
     """For every cell whether it would be redacted, under the same column names."""
+    keywords, detectors = tuple(keywords), tuple(detectors)
     plain, columns = positional(df)
-    out = []
-    for f, col in columns:
-        if is_text(f.dataType) or name_is_pii(f.name, keywords):
-            verdict = should_redact(f.name, col, keywords, detectors)
-        else:
-            verdict = F.lit(False)
-        out.append(verdict.alias(f.name))
-    return plain.select(*out)
+    return plain.select(
+        *[_verdict(f, column, keywords, detectors).alias(f.name) for f, column in columns]
+    )
 
 
 def mask_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
@@ -118,9 +140,13 @@ def mask_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     wanted = {c.lower() for c in columns}
     plain, fields = positional(df)
     out = []
-    for f, col in fields:
-        if f.name.lower() in wanted:
-            col = F.lit(REDACTED) if is_text(f.dataType) else F.lit(None).cast(f.dataType)
+    for f, column in fields:
+        if f.name.lower() not in wanted:
+            col = F.col(column)
+        elif is_text(f.dataType):
+            col = F.lit(REDACTED)
+        else:
+            col = F.lit(None).cast(f.dataType)
         out.append(col.alias(f.name))
     return plain.select(*out)
 
@@ -153,12 +179,12 @@ def classify_columns(
     passes = []
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         counts, rows = [], []
-        for i, (f, col) in enumerate(columns[start : start + COLUMNS_PER_PASS]):
+        for i, (f, column) in enumerate(columns[start : start + COLUMNS_PER_PASS]):
             by_name = name_is_pii(f.name, keywords)
             looks = is_text(f.dataType) and not by_name
-            counts.append(F.count(col).alias(f"n{i}"))
+            counts.append(F.count(column).alias(f"n{i}"))
             if looks:
-                verdict = should_redact(f.name, col, keywords, detectors)
+                verdict = _verdict(f, column, keywords, detectors)
                 counts.append(F.count_if(verdict).alias(f"h{i}"))
             rows.append(
                 F.struct(

@@ -17,6 +17,7 @@ from lakewarden.functions import (
     should_redact,
     value_is_pii,
 )
+from lakewarden.functions.detectors import should_redact_sql
 
 NAMES = {
     "password": True, "email": True, "first_name": True, "last_name": True, "account_number": True,
@@ -189,6 +190,20 @@ def test_json_keys_equal_a_parser(spark):
     assert wrong == [] and sum(found) > 100
 
 
+def test_both_forms_of_the_verdict_agree(spark):
+    rng = random.Random(6)
+    values = [*VALUES, *JSON, *(_random_json(rng) for _ in range(500)), None]
+    both = column(spark, values).select("v", should_redact("status", F.col("v")).alias("a"), F.expr(should_redact_sql("v")).alias("b"))
+    assert both.where("a IS DISTINCT FROM b").collect() == []
+    expected = {v for v, hits in VALUES.items() if hits} | {v for v, hit in JSON.items() if hit}
+    hits = {r.v for r in both.where("b").collect()}
+    assert {v for v in (*VALUES, *JSON) if v in hits} == expected
+    narrowed = column(spark, ['{"email":1}', '{"pet":1}', '{"o\'s":1}'])
+    words = ["pet", "o's"]
+    rows = narrowed.select(should_redact("x", F.col("v"), words), F.expr(should_redact_sql("v", words))).collect()
+    assert [tuple(r) for r in rows] == [(False, False), (True, True), (True, True)]
+
+
 def test_json_long_text(spark):
     # every string of a long document is read, none is cut
     long = '{"a":[' + ",".join('"xxxxxxxxxxxxxxxxxx"' for _ in range(60_000)) + ',{"pwd":1}]}'
