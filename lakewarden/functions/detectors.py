@@ -127,12 +127,13 @@ def json_has_pii_key(col: Column, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
         F.concat(F.lit('{"k":"'), F.array_join(keys, "\\n"), F.lit('"}')), "k string"
     )["k"]
     names = F.when(plain.contains("\\"), unescaped).otherwise(plain)
-    # cheap tests first: most cells do not start like JSON, most JSON holds no
-    # keyword at all, and only what is left is parsed
+    # Cheap tests first: most cells do not start like JSON, most JSON holds no
+    # keyword at all, and only what is left is taken apart. `when` and not "&":
+    # Spark computes what "&" repeats beforehand, needed or not.
     starts = col.startswith("{") | col.startswith("[")
-    worth_reading = F.lower(col).rlike(pattern) | col.contains("\\u")
-    verdict = starts & worth_reading & F.lower(names).rlike(pattern) & is_json_document(col)
-    return F.coalesce(verdict, F.lit(False))
+    worth_reading = F.when(starts, F.lower(col).rlike(pattern) | col.contains("\\u"))
+    has_key = F.when(worth_reading, F.lower(names).rlike(pattern))
+    return F.coalesce(F.when(has_key, is_json_document(col)), F.lit(False))
 
 
 def should_redact(
@@ -145,9 +146,8 @@ def should_redact(
     if name_is_pii(name, keywords):
         return F.lit(True)
     # a custom detector might match the empty string, which is never redacted
-    return F.coalesce(col != "", F.lit(False)) & (
-        value_is_pii(col, detectors) | json_has_pii_key(col, keywords)
-    )
+    verdict = value_is_pii(col, detectors) | json_has_pii_key(col, keywords)
+    return F.when(col != "", verdict).otherwise(F.lit(False))
 
 
 def _quoted(pattern: str) -> str:
@@ -173,12 +173,14 @@ def should_redact_sql(column: str, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
         f"from_json(concat('{left}', {column}, '{right}'), 'k string', map({strict})).k IS NOT NULL"
         for left, right in (('{"k":', "}"), ('{"k":[', "]}"))
     ]
-    return f"""coalesce({column} RLIKE {_quoted(rf"^(?:{patterns}|{card}|[{{\[])")} AND (
-        {column} RLIKE {_quoted(f"^(?:{patterns})")}
-        OR CASE WHEN {column} RLIKE {_quoted(f"^(?:{card})")}
-            THEN luhn_check(regexp_replace({column}, {_quoted(rf"[{fv.SPACE_CLASS}" + r"\-]")}, '')) ELSE false END
-        OR ((startswith({column}, '{{') OR startswith({column}, '['))
-            AND (lower({column}) RLIKE {words} OR contains({column}, {_quoted(chr(92) + "u")}))
-            AND coalesce(lower(CASE WHEN contains({plain}, {slash}) THEN {unescaped} ELSE {plain} END)
-                RLIKE {words}, false)
-            AND {inside[0]} AND {inside[1]})), false)"""
+    # nested CASE: Spark computes what AND repeats beforehand, needed or not
+    return f"""CASE WHEN {column} RLIKE {_quoted(rf"^(?:{patterns}|{card}|[{{\[])")} THEN CASE
+        WHEN {column} RLIKE {_quoted(f"^(?:{patterns})")} THEN true
+        WHEN {column} RLIKE {_quoted(f"^(?:{card})")}
+            THEN luhn_check(regexp_replace({column}, {_quoted(rf"[{fv.SPACE_CLASS}" + r"\-]")}, ''))
+        WHEN startswith({column}, '{{') OR startswith({column}, '[') THEN CASE
+            WHEN lower({column}) RLIKE {words} OR contains({column}, {_quoted(chr(92) + "u")}) THEN CASE
+                WHEN lower(CASE WHEN contains({plain}, {slash}) THEN {unescaped} ELSE {plain} END) RLIKE {words}
+                THEN {inside[0]} AND {inside[1]} ELSE false END
+            ELSE false END
+        ELSE false END ELSE false END"""
