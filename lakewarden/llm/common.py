@@ -72,3 +72,13 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def occurrences_of(text: Column, characters: str) -> Column:
+    """How many characters of a class a text holds."""
+    return (F.size(F.split(text, f"[{characters}]", -1)) - 1).cast("bigint")

@@ -30,3 +30,31 @@ select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit
   sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
 from dw left join np on np.doc_id = dw.doc_id left join ni on ni.doc_id = dw.doc_id
 """
+
+ORACLES["op1_quality"] = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from d),
+lines as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
+ln as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+g as (select doc_id, w, unnest(range(1, len(w) - 3)) as s from w where len(w) >= 5),
+k as (select doc_id, s, array_to_string(w[s : s + 4], ' ') as k from g),
+c as (select doc_id, s, count(*) over (partition by doc_id, k) as n from k),
+p as (select distinct doc_id, unnest(range(s, s + 5)) as p from c where n > 1),
+r as (select doc_id, count(*) as n_repeat_words from p group by doc_id),
+f as (
+  select w.doc_id, cast(len(w) as bigint) as n_words,
+    cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) as bigint) as n_capitals,
+    coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words
+  from w left join ln on ln.doc_id = w.doc_id left join r on r.doc_id = w.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words or 100 * n_symbols > 20 * n_words
+    or 100 * n_dup_lines > 30 * n_lines or 100 * n_capitals > 50 * word_chars
+    or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
+from f
+"""

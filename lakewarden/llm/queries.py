@@ -9,10 +9,23 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination
+from .quality import BASE, RULES, cascade_order, first_failed, measured
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    order = cascade_order(documents)
+    known = measured(documents.select("doc_id", "text")).select("doc_id", "measures.*")
+    base = [rule.fails(F.col) for rule in RULES if rule.name in BASE]
+    return known.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (base[0] | base[1]).alias("base_failed"),
+        first_failed(order, F.col).isNull().alias("kept"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
@@ -26,5 +39,6 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op10_decontamination": op10_decontamination,
 }
