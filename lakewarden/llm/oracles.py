@@ -58,3 +58,48 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     or word_chars < 2 * n_words or word_chars > 20 * n_words) as kept
 from f
 """
+
+_KINDS = (
+    (
+        "assign",
+        "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]"
+        "|[aA][pP][iI]_?[kK][eE][yY])[\"\'\']?[ ]*[:=][ ]*[\"\'\']?([A-Za-z0-9+/_.=-]+)",
+        2,
+        6,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0),
+    ("stripe", "[sr]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+", 0, 0),
+    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+)
+
+
+def _spans_of(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+select doc_id, {order} as o, '{kind}' as kind, ends - size as s, ends as e from (
+  select doc_id, size, part, sum(gap + size) over (partition by doc_id order by i) as ends from (
+    select doc_id, unnest(range(1, len(m) + 1)) as i, unnest(list_transform(m, lambda x: length(x))) as size,
+      unnest(list_transform(p, lambda x: length(x))) as part, unnest(list_transform(g[1 : len(m)], lambda x: length(x))) as gap
+    from (select doc_id, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', {group}) as p,
+      string_split_regex(t, '{pattern}') as g from d)))
+where part >= {least}"""
+
+
+ORACLES["op4_secrets"] = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents), spans as ("
+    + " union all ".join(_spans_of(n, *k) for n, k in enumerate(_KINDS))
+    + """),
+per as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+    count(*) filter (kind = 'hex') as n_hex,
+    string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) filter (o < 3) as base,
+    string_agg(concat(kind, ':', s, ':', e), ',' order by s, o) as spans
+  from spans group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join per on per.doc_id = d.doc_id"""
+)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .quality import BASE, RULES, cascade_order, first_failed, measured
+from .secrets import secrets_by_document
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,22 @@ def op1_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, directory: str) -> DataFrame:
+    found = secrets_by_document(table(spark, directory, "documents"))
+    base = ("assign", "access", "hex")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select(
+        "doc_id", *map(number, base), F.sha2(listed(of_base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
@@ -40,5 +57,6 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op4_secrets": op4_secrets,
     "op10_decontamination": op10_decontamination,
 }
