@@ -103,3 +103,25 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join per on per.doc_id = d.doc_id"""
 )
+
+_CONTROL = ("<|im_start|>", "<|im_end|>", "<|nl|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+
+
+def _length_escaped(column: str) -> str:
+    """Code points of an escaped text: one more for each backslash and control string."""
+    extra = "".join(
+        f" + (length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ("\\", *_CONTROL)
+    )
+    return f"length({column}){extra}"
+
+
+ORACLES["op7_chat"] = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(cast(sum(length(text)) filter (role = 'assistant') as bigint), 0) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(12 + {_length_escaped("role")} + 1 + {_length_escaped("text")} + 11) as bigint) as formatted_chars
+from c group by conv_id"""
