@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,3 +85,20 @@ def let(value: Column, body) -> Column:
 def occurrences_of(text: Column, characters: str) -> Column:
     """How many characters of a class a text holds."""
     return (F.size(F.split(text, f"[{characters}]", -1)) - 1).cast("bigint")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, once per session; Spark distributes the file."""
+    context = spark.sparkContext
+    if getattr(context, "_lakewarden_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="lakewarden-"), "lakewarden.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._lakewarden_shipped = True

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, masked_text, read_back
 from .common import table
 from .decontaminate import contamination
+from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
 from .secrets import secrets_by_document
 
@@ -44,6 +45,12 @@ def op4_secrets(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packed(table(spark, directory, "documents")).select(
+        "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op7_chat(spark: SparkSession, directory: str) -> DataFrame:
     conversations = table(spark, directory, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -79,6 +86,7 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op4_secrets": op4_secrets,
+    "op6_packing": op6_packing,
     "op7_chat": op7_chat,
     "op10_decontamination": op10_decontamination,
 }
