@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
 from .secrets import secrets_by_document
+from .toxicity import toxicity, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +72,18 @@ def op7_chat(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    documents, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = train(documents, labels.where(remainder != 1))
+    return toxicity(documents, model).select(
+        "doc_id",
+        F.coalesce(remainder == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
@@ -88,5 +101,6 @@ QUERIES: dict[str, Query] = {
     "op4_secrets": op4_secrets,
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
+    "op8_toxicity": op8_toxicity,
     "op10_decontamination": op10_decontamination,
 }
