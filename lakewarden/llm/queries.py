@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, masked_text, read_back
 from .common import table
 from .decontaminate import contamination
+from .jaccard import similar
 from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
 from .secrets import secrets_by_document
@@ -46,6 +47,10 @@ def op4_secrets(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, directory: str) -> DataFrame:
+    return similar(table(spark, directory, "documents"), shingle=3, share=0.9)
+
+
 def op6_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packed(table(spark, directory, "documents")).select(
         "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset"
@@ -99,6 +104,7 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op4_secrets": op4_secrets,
+    "op5_jaccard": op5_jaccard,
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
