@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .jaccard import similar
 from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
+from .repeats import repeated_spans
 from .secrets import secrets_by_document
 from .toxicity import toxicity, train
 
@@ -89,6 +90,18 @@ def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op9_repeats(spark: SparkSession, directory: str) -> DataFrame:
+    found = repeated_spans(table(spark, directory, "documents"))
+    sizes = F.transform("spans", lambda s: s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda total, size: total + size).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
@@ -108,5 +121,6 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op7_chat": op7_chat,
     "op8_toxicity": op8_toxicity,
+    "op9_repeats": op9_repeats,
     "op10_decontamination": op10_decontamination,
 }
