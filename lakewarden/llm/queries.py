@@ -11,6 +11,7 @@ from .chat import format_chats, masked_text, read_back
 from .common import table
 from .decontaminate import contamination
 from .jaccard import similar
+from .lines import without_repeated_lines
 from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
 from .repeats import repeated_spans
@@ -32,6 +33,18 @@ def op1_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op3_lines(spark: SparkSession, directory: str) -> DataFrame:
+    left = without_repeated_lines(table(spark, directory, "documents").select("doc_id", "text"))
+    lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
+    return left.select(
+        "doc_id",
+        lines.cast("bigint").alias("n_kept_lines"),
+        F.col("n_removed_lines"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_kept_chars"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op4_secrets(spark: SparkSession, directory: str) -> DataFrame:
     found = secrets_by_document(table(spark, directory, "documents"))
     base = ("assign", "access", "hex")
@@ -116,6 +129,7 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op3_lines": op3_lines,
     "op4_secrets": op4_secrets,
     "op5_jaccard": op5_jaccard,
     "op6_packing": op6_packing,
