@@ -11,6 +11,8 @@ from .chat import format_chats, masked_text, read_back
 from .common import table
 from .decontaminate import contamination
 from .jaccard import similar
+from .licences import licences
+from .licences import train as train_licences
 from .lines import without_repeated_lines
 from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
@@ -33,6 +35,12 @@ def op1_quality(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op2_licences(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    found = licences(documents, train_licences(documents))
+    return found.select("doc_id", F.array_join("families", ",").alias("families"), "n_confirmed", "n_predicted")
+
+
 def op3_lines(spark: SparkSession, directory: str) -> DataFrame:
     left = without_repeated_lines(table(spark, directory, "documents").select("doc_id", "text"))
     lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
@@ -129,6 +137,7 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_licences": op2_licences,
     "op3_lines": op3_lines,
     "op4_secrets": op4_secrets,
     "op5_jaccard": op5_jaccard,
