@@ -1,11 +1,14 @@
 """Fuzzy line deduplication.
 
-Lines are normalised and hashed by SimHash over their words, 252 bits. Two
-hashes that differ in at most 11 bits agree in one of 12 blocks of 21 bits, so
-lines are joined on blocks (many pairs with more differing bits meet there as
-well). Pairs with near hashes form candidate groups, inside which the edit
-similarity of the lines is verified. Of each connected group of verified links
-the first occurrence stays, by document and line.
+Lines are normalised and hashed by SimHash over their words, 240 bits. Two
+hashes that differ in at most 15 bits agree in one of 16 blocks of 15 bits, so
+lines are joined on blocks (most pairs with up to twice as many differing bits
+meet there as well). As 15 bits are few for many lines, a block's key also holds
+two words: every other block the line's first two, the others its last two, of
+which an edit leaves one pair alone. Pairs with near hashes form candidate
+groups, inside which the edit similarity of the lines is verified. Of each
+connected group of verified links the first occurrence stays, by document and
+line.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from .common import fresh, hinted, ship, written
 from .components import components
 from .jaccard import _Forest
 
-BLOCKS, BLOCK_BITS = 12, 21
-#: Hashes of unrelated lines differ in 126 of 252 bits, give or take 8
+WORDS, PER_WORD, BLOCK_BITS = 4, 4, 15
+#: Hashes of unrelated lines differ in 120 of 240 bits, give or take 8
 NEAR_BITS = 64
 #: Lines of a block; a task compares two blocks
 BLOCK = 1000
@@ -37,7 +40,7 @@ def normalised(line: Column) -> Column:
 
 
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Four words of 63 bits per line; the words' hashes of line i begin at starts[i]."""
+    """Four words of 60 bits per line; the words' hashes of line i begin at starts[i]."""
     sizes = np.diff(np.concatenate([starts, [len(hashes)]]))
     out = np.zeros((len(starts), 4), np.int64)
     for k, seed in enumerate(_SEEDS):
@@ -45,16 +48,20 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(33)
-        for bit in range(63):
+        for bit in range(PER_WORD * BLOCK_BITS):
             ones = np.add.reduceat((x >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
             out[:, k] |= (2 * ones > sizes).astype(np.int64) << bit
     return out
 
 
-def _keys(sims: np.ndarray) -> np.ndarray:
-    """The 12 blocks of each hash: three of 21 bits from each word, told apart by their number."""
-    mask = (1 << BLOCK_BITS) - 1
-    return np.stack([((sims[:, b // 3] >> (BLOCK_BITS * (b % 3))) & mask) + (b << BLOCK_BITS) for b in range(BLOCKS)], axis=1)
+def _keys(sims: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """A key for each of the 16 blocks: its number and bits, and a hash of the line's first or last two words."""
+    mask, keys = (1 << BLOCK_BITS) - 1, []
+    for b in range(WORDS * PER_WORD):
+        bits = sims[:, b // PER_WORD] >> BLOCK_BITS * (b % PER_WORD) & mask
+        x = (tail if b % 2 else head) ^ (bits + (b << BLOCK_BITS)) * -7046029254386353131
+        keys.append(x ^ (x >> 29))
+    return np.stack(keys, axis=1)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -81,12 +88,17 @@ def _near(sims: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """(id, rk, line, n, l1, l2, s0..s3): the lines that count, with the hashes of their normalised text."""
+    """(id, rk, line, n, l1, l2, head, tail, s0..s3): the lines that count, with the hashes of their normalised text."""
     rows = documents.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
     plain = rows.select("id", "rk", "line", normalised(F.coalesce("body", F.lit(""))).alias("norm"))
     hashed = plain.select(
         "id", "rk", "line", F.length("norm").alias("n"), F.xxhash64("norm").alias("l1"), F.crc32(F.col("norm").cast("binary")).alias("l2"),
-        F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("words"),
+        F.split("norm", " ").alias("w"),
+    ).select(
+        "id", "rk", "line", "n", "l1", "l2",
+        F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("head"),
+        F.xxhash64(F.get("w", F.size("w") - 2), F.get("w", F.size("w") - 1)).alias("tail"),
+        F.transform("w", lambda w: F.xxhash64(w)).alias("words"),
     )
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +114,30 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             starts = np.cumsum(sizes[takes]) - sizes[takes]
             sims = simhashes(flat, starts)
-            names = ["id", "rk", "line", "n", "l1", "l2"]
+            names = ["id", "rk", "line", "n", "l1", "l2", "head", "tail"]
             yield pa.RecordBatch.from_arrays(
                 [*[kept.column(c) for c in names], *[pa.array(sims[:, k]) for k in range(4)]], names=[*names, "s0", "s1", "s2", "s3"]
             )
 
     id_type = documents.schema["id"].dataType.simpleString()
-    return hashed.mapInArrow(hash_, f"id {id_type}, rk bigint, line int, n int, l1 bigint, l2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return hashed.mapInArrow(hash_, f"id {id_type}, rk bigint, line int, n int, l1 bigint, l2 bigint, head bigint, tail bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-def _candidates(lines: DataFrame, share: float) -> DataFrame:
+def _candidates(lines: DataFrame) -> DataFrame:
     """(u, v): near pairs that share a block, enough of them to connect all that do."""
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sims = np.stack([batch.column(f"s{k}").to_numpy() for k in range(4)], axis=1)
-            # lines alike in edit similarity are alike in length: a class of lengths and its lower neighbour
-            size = np.floor(np.log(batch.column("n").to_numpy()) / -np.log(share)).astype(np.int64)
-            keys = _keys(sims)
-            owner = np.repeat(np.arange(len(sims)), 2 * BLOCKS)
-            both = np.stack([keys * 4096 + size[:, None], keys * 4096 + size[:, None] - 1], axis=2).reshape(-1)
+            keys = _keys(sims, batch.column("head").to_numpy(), batch.column("tail").to_numpy())
+            owner = np.repeat(np.arange(len(sims)), keys.shape[1])
             taken = batch.take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(both), *[taken.column(c) for c in ("node", "s0", "s1", "s2", "s3")]], names=["key", "node", "s0", "s1", "s2", "s3"]
+                [pa.array(keys.reshape(-1)), *[taken.column(c) for c in ("node", "s0", "s1", "s2", "s3")]], names=["key", "node", "s0", "s1", "s2", "s3"]
             )
 
-    slim = lines.select("node", "n", "s0", "s1", "s2", "s3")
-    rows = slim.select("node", "n", "s0", "s1", "s2", "s3").mapInArrow(key_rows, "key bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    slim = lines.select("node", "head", "tail", "s0", "s1", "s2", "s3")
+    rows = slim.mapInArrow(key_rows, "key bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
     total = lines.count()
     parts = max(1, -(-total // 5000))
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
@@ -179,13 +188,12 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
         rows = rows.sort_values(["component", "node"], ignore_index=True)
         group, node, text = rows["component"].to_numpy(), rows["node"].to_numpy(), rows["norm"].tolist()
         sims = rows[["s0", "s1", "s2", "s3"]].to_numpy()
-        keys, sizes = _keys(sims), np.array([len(t) for t in text])
+        sizes = np.array([len(t) for t in text])
         forest, u, v = _Forest(len(rows)), [], []
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         for s, e in zip(starts, np.concatenate([starts[1:], [len(group)]]), strict=True):
             for x in range(s, e - 1):
                 others = np.arange(x + 1, e)
-                others = others[(keys[others] == keys[x]).any(axis=1)]
                 shorter, longer = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
                 others = others[shorter >= share * longer]
                 for y in _near(sims, x, others).tolist():
@@ -217,10 +225,10 @@ def repeated_lines(
     lines = written(_lines(rows, min_words), "lines")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rk", "line")
     classes = lines.groupBy("l1", "l2").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(4)]
+        F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("head", "tail", "s0", "s1", "s2", "s3")]
     )
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    near = written(_candidates(classes, share), "line-candidates")
+    near = written(_candidates(classes), "line-candidates")
     groups = written(components(near), "line-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "s0", "s1", "s2", "s3")
