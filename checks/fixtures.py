@@ -53,42 +53,42 @@ from orders
 # Statement texts, allowed and not, with the guard's odd corners.
 STATEMENTS = """
 select event_id, case event_id % 20
-  when 0 then 'SELECT * FROM users'
-  when 1 then 'WITH t AS (SELECT 1) SELECT * FROM t'
-  when 2 then concat('WITH', chr(10), 't AS (SELECT 1) SELECT 1')
-  when 3 then 'DELETE FROM users WHERE id = 1'
-  when 4 then '/* DROP TABLE users */ SELECT 1'
-  when 5 then concat('-- DROP TABLE users', chr(10), 'SELECT 1')
-  when 6 then 'CREATE TABLE users (id int)'
-  when 7 then 'CREATE EXTENSION pg_stat_statements'
-  when 8 then 'SELECT ''please update'''
-  when 9 then concat('SELECT ', event_type, ' FROM t WHERE v > ', cast(user_id as varchar(20)))
-  when 10 then 'create  extension x'
-  when 11 then concat(chr(9), ' Show server_version ', chr(10))
-  when 12 then 'EXPLAIN ANALYZE SELECT 1 /* unterminated'
-  when 13 then 'SELECT 1; DROP TABLE t'
-  when 14 then 'SELECT updated_at, deleted FROM t'
-  when 15 then 'VACUUM users'
-  when 16 then '/* safe */ TRUNCATE users'
-  when 17 then 'DECLARE cur CURSOR FOR SELECT 1'
-  when 18 then concat('SELECT 1 -- grant', chr(10), 'FROM t')
-  else 'SELECT x FROM create' end as q
+  when 0 then concat('select ', event_type, ' from parcels where weight > ', cast(user_id as varchar(20)))
+  when 1 then 'with heavy as (table parcels) table heavy'
+  when 2 then concat('with', chr(9), 'heavy as (table parcels) table heavy')
+  when 3 then concat('delete from parcels where id = ', cast(user_id as varchar(20)))
+  when 4 then '/* truncate, later */ show work_mem'
+  when 5 then concat('-- alter nothing', chr(10), 'fetch 3 from walk')
+  when 6 then 'create view boxes as table parcels'
+  when 7 then 'create extension hstore'
+  when 8 then 'select ''never drop a parcel'''
+  when 9 then 'close walk'
+  when 10 then concat('create', chr(10), 'extension hstore')
+  when 11 then concat(chr(13), ' ANALYZE parcels ', chr(9))
+  when 12 then 'explain table parcels /* open end'
+  when 13 then 'show all; grant all to clerk'
+  when 14 then 'select updates, dropped, alternate from parcels'
+  when 15 then 'deallocate plan_7'
+  when 16 then '/* fine */ revoke all on parcels from clerk'
+  when 17 then 'declare walk cursor for table parcels'
+  when 18 then concat('select weight -- insert', chr(10), 'from parcels')
+  else 'select weight from recreate' end as q
 from events
 """
 
 LOG_LINES = """
 select event_id, case event_id % 12
-  when 0 then concat('postgres://user:s', {U}, '@localhost/db')
-  when 1 then concat('postgresql://admin:p@ss', {U}, '@db.example.com/mydb')
-  when 2 then concat('host=localhost password=x', {U}, ' user=admin')
-  when 3 then concat('password=''my ', {U}, '''')
-  when 4 then concat('host=localhost user=u', {U}, ' dbname=mydb')
-  when 5 then concat('failed: postgres://u:pw', {U}, '@h:5432/db refused')
-  when 6 then concat('PASSWORD = "a ', {U}, '" x')
-  when 7 then concat('https://u:t', {U}, '@host.example.com/path?password=', {U})
-  when 8 then concat('Password=q', {U}, ';password=r', {U})
-  when 9 then concat('https://host.example.com/', {U})
-  when 10 then concat('mysql://root:a:b', {U}, '@10.0.0.1')
+  when 0 then concat('postgres://clerk:pw', {U}, '@depot/parcels')
+  when 1 then concat('postgresql://clerk:at@', {U}, '@depot.internal:5432/parcels')
+  when 2 then concat('port=5433 password=', {U}, 'q dbname=parcels')
+  when 3 then concat('password =  ''two ', {U}, '''')
+  when 4 then concat('port=5433 dbname=parcels', {U})
+  when 5 then concat('retry ', {U}, ': postgres://a:1 ', {U}, '@x/p, postgres://b:2@y/p')
+  when 6 then concat('set PassWord="two ', {U}, '";')
+  when 7 then concat('ftp://c:', {U}, '@files.internal/x?password=', {U})
+  when 8 then concat('pAssword=', {U}, '&password=', {U}, '''')
+  when 9 then concat('ftp://files.internal/', {U}, '@2x')
+  when 10 then concat('amqp://c:1:', {U}, '@172.16.0.9')
   else props end as line
 from events
 """.replace("{U}", "cast(user_id as varchar(20))")
@@ -181,14 +181,14 @@ KEY_COLUMNS = """
 select l_orderkey % 10 as db_id, concat('s', cast(l_orderkey % 7 as varchar(20))) as table_schema,
   concat('t', cast(l_orderkey as varchar(20))) as table_name, 'pk' as constraint_name,
   concat('col_', cast(l_linenumber as varchar(20))) as column_name, l_linenumber as ordinal_position
-from lineitem group by l_orderkey, l_linenumber having max(l_quantity) > 25
+from lineitem group by l_orderkey, l_linenumber
 """
 TABLE_INDEXES = """
 select o_orderkey % 10 as db_id, concat('s', cast(o_orderkey % 7 as varchar(20))) as schemaname,
   concat('t', cast(o_orderkey as varchar(20))) as tablename,
   concat('ix_', cast(o_orderkey as varchar(20))) as indexname,
   concat('CREATE INDEX ON t USING btree (col_', cast(o_custkey % 7 as varchar(20)), ')') as indexdef
-from orders where o_orderstatus <> 'P'
+from orders
 """
 
 # ---- catalog of indexes: every part is an index on the table of its brand ----

@@ -98,6 +98,25 @@ def value_is_pii(col: Column, detectors: Iterable[Detector] = DETECTORS) -> Colu
 # One match per JSON string; group 1 is filled for strings that are keys.
 _JSON_STRINGS = r'"((?:[^"\\]++|\\.)*+)"[ \t\r\n]*+:|"(?:[^"\\]++|\\.)*+"'
 _STRICT_JSON = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
+# Well-formed strings and numbers, which stubs replace before the text is
+# parsed: so no limit of the parser on their length can matter.
+_GOOD_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_GOOD_NUMBER = r"(?<![0-9A-Za-z.+\-_])-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+\-]?+[0-9]++)?+(?![0-9A-Za-z.+\-_])"
+# Brackets the parser may open inside each other; a text with more of them that
+# it refuses may be a document too deep for it, and counts as one.
+_PARSED_DEPTH = 900
+
+
+def escaped_keyword_pattern(keywords: Iterable[str] = fv.PII_KEYWORDS) -> str:
+    """Like `keyword_pattern`, for lower-cased JSON text: each letter may be written as an escape."""
+    # lower case of the Kelvin sign is k, of the dotted capital I an i with a dot
+    more = {"k": "|212a", "i": "|0130"}
+
+    def letter(c: str) -> str:
+        codes = "|".join(sorted({f"{ord(x):04x}" for x in (c, c.upper())}))
+        return rf"(?:{re.escape(c)}|\\u(?:{codes}{more.get(c, '')}))"
+
+    return "|".join("".join(map(letter, word.lower())) for word in keywords) or "(?!)"
 
 
 def _parses(json: Column) -> Column:
@@ -107,32 +126,30 @@ def _parses(json: Column) -> Column:
 def is_json_document(col: Column) -> Column:
     """Whether the text is one JSON object or array and nothing else.
 
-    Spark's JSON reader ignores what follows the first value. Text closed by
-    junk cannot pass both inside an object and inside an array.
+    Strings and numbers are checked by pattern and may have any length. A text
+    nested too deep for Spark's reader counts as JSON. The reader ignores what
+    follows the first value, but text closed by junk cannot pass both inside an
+    object and inside an array.
     """
     starts = col.startswith("{") | col.startswith("[")
-    whole = _parses(F.concat(F.lit('{"k":'), col, F.lit("}"))) & _parses(
-        F.concat(F.lit('{"k":['), col, F.lit("]}"))
-    )
-    return F.coalesce(starts & whole, F.lit(False))
+    stubs = F.regexp_replace(F.regexp_replace(col, _GOOD_STRING, '""'), _GOOD_NUMBER, "0")
+    whole = _parses(F.concat(F.lit('{"k":'), stubs, F.lit("}"))) & _parses(F.concat(F.lit('{"k":['), stubs, F.lit("]}")))
+    deep = F.length(F.regexp_replace(stubs, r"[^\[{]++", "")) > _PARSED_DEPTH
+    return F.coalesce(F.when(starts, F.coalesce(whole, F.lit(False)) | deep), F.lit(False))
 
 
 def json_has_pii_key(col: Column, keywords: Iterable[str] = fv.PII_KEYWORDS) -> Column:
     """Whether the text is JSON with a sensitive key at any depth."""
-    pattern = keyword_pattern(keywords)
-    # keys, one per line: a raw line break cannot occur inside a JSON string
-    keys = F.regexp_extract_all(col, F.lit(_JSON_STRINGS), F.lit(1))
-    plain = F.array_join(keys, "\n")
-    unescaped = F.from_json(
-        F.concat(F.lit('{"k":"'), F.array_join(keys, "\\n"), F.lit('"}')), "k string"
-    )["k"]
-    names = F.when(plain.contains("\\"), unescaped).otherwise(plain)
+    # keys, one per line: a raw line break cannot occur inside a JSON string;
+    # an escaped backslash starts no escape
+    keys = F.array_join(F.regexp_extract_all(col, F.lit(_JSON_STRINGS), F.lit(1)), "\n")
+    names = F.lower(F.replace(keys, F.lit("\\\\"), F.lit("\n")))
     # Cheap tests first: most cells do not start like JSON, most JSON holds no
     # keyword at all, and only what is left is taken apart. `when` and not "&":
     # Spark computes what "&" repeats beforehand, needed or not.
     starts = col.startswith("{") | col.startswith("[")
-    worth_reading = F.when(starts, F.lower(col).rlike(pattern) | col.contains("\\u"))
-    has_key = F.when(worth_reading, F.lower(names).rlike(pattern))
+    worth_reading = F.when(starts, F.lower(col).rlike(keyword_pattern(keywords)) | col.contains("\\u"))
+    has_key = F.when(worth_reading, names.rlike(escaped_keyword_pattern(keywords)))
     return F.coalesce(F.when(has_key, is_json_document(col)), F.lit(False))
 
 
@@ -164,15 +181,15 @@ def should_redact_sql(column: str, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
     patterns = "|".join(d.pattern for d in DETECTORS if d.pattern)
     card = rf"{fv.CARD_DIGITS}\z"
     words = _quoted(keyword_pattern(keywords))
-    keys = f"regexp_extract_all({column}, {_quoted(_JSON_STRINGS)}, 1)"
-    plain = f"array_join({keys}, '\\n')"
-    break_sign, slash = _quoted(r"\n"), _quoted("\\")
-    unescaped = f"""from_json(concat('{{"k":"', array_join({keys}, {break_sign}), '"}}'), 'k string').k"""
+    keys = f"array_join(regexp_extract_all({column}, {_quoted(_JSON_STRINGS)}, 1), '\\n')"
+    names = f"lower(replace({keys}, {_quoted(chr(92) * 2)}, '\\n'))"
     strict = ", ".join(f"'{k}', '{v}'" for k, v in _STRICT_JSON.items())
-    inside = [
-        f"from_json(concat('{left}', {column}, '{right}'), 'k string', map({strict})).k IS NOT NULL"
+    stubs = f"""regexp_replace(regexp_replace({column}, {_quoted(_GOOD_STRING)}, '""'), {_quoted(_GOOD_NUMBER)}, '0')"""
+    whole = " AND ".join(
+        f"from_json(concat('{left}', {stubs}, '{right}'), 'k string', map({strict})).k IS NOT NULL"
         for left, right in (('{"k":', "}"), ('{"k":[', "]}"))
-    ]
+    )
+    deep = f"length(regexp_replace({stubs}, {_quoted('[^' + chr(92) + '[{]++')}, '')) > {_PARSED_DEPTH}"
     # nested CASE: Spark computes what AND repeats beforehand, needed or not
     return f"""CASE WHEN {column} RLIKE {_quoted(rf"^(?:{patterns}|{card}|[{{\[])")} THEN CASE
         WHEN {column} RLIKE {_quoted(f"^(?:{patterns})")} THEN true
@@ -180,7 +197,7 @@ def should_redact_sql(column: str, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
             THEN luhn_check(regexp_replace({column}, {_quoted(rf"[{fv.SPACE_CLASS}" + r"\-]")}, ''))
         WHEN startswith({column}, '{{') OR startswith({column}, '[') THEN CASE
             WHEN lower({column}) RLIKE {words} OR contains({column}, {_quoted(chr(92) + "u")}) THEN CASE
-                WHEN lower(CASE WHEN contains({plain}, {slash}) THEN {unescaped} ELSE {plain} END) RLIKE {words}
-                THEN {inside[0]} AND {inside[1]} ELSE false END
+                WHEN {names} RLIKE {_quoted(escaped_keyword_pattern(keywords))}
+                THEN coalesce({whole}, false) OR {deep} ELSE false END
             ELSE false END
         ELSE false END ELSE false END"""

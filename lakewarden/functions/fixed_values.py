@@ -81,7 +81,9 @@ CARD_DIGITS = rf"[{SPACE_CLASS}\-]*+(?:\d[{SPACE_CLASS}\-]*+){{13,19}}"
 # the spans that may cross words.
 WORD_LEAD = r"(\[<\"'`"
 WORD_TRAIL = r")\]>\"'`.,;:!?"
-PHONE_SPAN = r"\+[1-9][0-9 \-().]{6,20}[0-9]"
+# 8 to 15 digits with at most two separators between them; the longest run that
+# does not end inside a number, so a number that follows costs no hit.
+PHONE_SPAN = r"\+[1-9](?:[ \-().]{0,2}[0-9]){7,14}(?![0-9])"
 # The lookbehind stands after the first digit, where it is rarely reached.
 CARD_SPAN = (
     r"[0-9](?<![0-9][0-9])[0-9]{3} (?:[0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{6} [0-9]{4,5})(?![0-9])"

@@ -146,15 +146,40 @@ def mask_credentials(text: Column) -> Column:
         rf"({part}+)(@{part}+)"
     )
     chain = (
-        rf"(postgres(?:ql)?://[^:]++:)([^@]++)(@[^/{space}]++)",
         rf"(?i)(password=)([^{space}&;\"']++)()",
         rf"(?i)(password[{space}]*+=[{space}]*+')([^']++)(')",
         rf"(?i)(password[{space}]*+=[{space}]*+\")([^\"]++)(\")",
     )
     replacement = "$1****$3"
     first = F.regexp_replace(text, url, replacement)
-    masked = first
+    masked = F.when(first.contains("postgres"), _mask_database_urls(first)).otherwise(first)
     for pattern in chain:
         masked = F.regexp_replace(masked, pattern, replacement)
-    only_url = text.rlike(rf"{url}[^{space}]*\z")
+    only_url = text.rlike(url) & ~text.rlike(f"[{space}]")
     return F.when(only_url, first).otherwise(masked)
+
+
+def _mask_database_urls(text: Column) -> Column:
+    """Mask passwords of database URLs inside text, each character read a bounded number of times.
+
+    A password ends at the next ``@``, which a host must follow. So the text is
+    cut at its ``@`` signs, and within a piece that a host follows all behind
+    the first user part is masked. A user name may hold an ``@`` itself: then
+    the piece before ends inside it.
+    """
+    scheme = r"postgres(?:ql)?://"
+    user_part = rf"(?s)^((?:(?!{scheme}[^:]).)*+{scheme}[^:]++:).++$"
+    rest_of_user = r"(?s)^([^:]*+:).++$"
+    open_user = rf"{scheme}[^:]*+\z"
+
+    def within(pieces: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            host = F.get(pieces, i + 1).rlike(f"^[^/{fv.SPACE_CLASS}]")
+            began = (i > 0) & F.get(pieces, i - 1).rlike(open_user)
+            continued = F.when(began, F.regexp_replace(part, rest_of_user, "$1****"))
+            return F.when(host, F.coalesce(continued, F.regexp_replace(part, user_part, "$1****"))).otherwise(part)
+
+        return F.transform(pieces, piece)
+
+    # the pieces are bound once; named in the lambda directly they would be cut anew for each piece
+    return F.array_join(F.get(F.transform(F.array(F.split(text, "@", -1)), within), F.lit(0)), "@")

@@ -233,14 +233,15 @@ def _finding(
 
 
 def health_report(
-    snapshots: Mapping[str, DataFrame], as_of: Column | None = None, types: str = "all"
+    snapshots: Mapping[str, DataFrame], as_of: Column, types: str = "all"
 ) -> DataFrame:
     """Run the chosen checks and stack their findings.
 
     One row per finding: ``db_id, check, object, metric, value, threshold,
     status, detail``. Checks of tables and indexes give rows only for what
     fails, checks of a whole server one row each. The result is one plan, so
-    Spark runs the checks side by side.
+    Spark runs the checks side by side. `as_of` is the time of the snapshot: a
+    report over landed data is the same whenever it is run.
     """
     s = snapshots
     warn = F.lit("warning")
@@ -300,8 +301,7 @@ def health_report(
             )
         )
     if "replication" in chosen:
-        now = F.current_timestamp() if as_of is None else as_of
-        state = replication_lag(s["replication_state"], now)
+        state = replication_lag(s["replication_state"], as_of)
         late = (F.col("role") == "replica") & ((F.col("lag_seconds") > 0) | ~F.col("replicating"))
         found.append(
             _finding(

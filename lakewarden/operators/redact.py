@@ -75,15 +75,20 @@ def _redacted(
         return F.transform(
             col, lambda x: _redacted("", x, dtype.elementType, keywords, detectors)
         )
-    if isinstance(dtype, T.MapType) and is_text(dtype.valueType):
-        # keys are data here; with string values a sensitive key hides its value
-        return F.transform_values(
-            col,
-            lambda k, v: F.when(
-                is_pii_name(k.cast("string"), keywords) | should_redact("", v, keywords, detectors),
-                F.lit(REDACTED),
-            ).otherwise(v),
-        )
+    if isinstance(dtype, T.MapType):
+        # keys are data here: a sensitive key hides its value, a key that looks
+        # sensitive the whole map, as keys of a map must differ
+        hidden = F.lit(REDACTED) if is_text(dtype.valueType) else F.lit(None)
+
+        def value(k: Column, v: Column) -> Column:
+            inner = _redacted("", v, dtype.valueType, keywords, detectors)
+            return F.when(is_pii_name(k.cast("string"), keywords), hidden).otherwise(inner)
+
+        values = F.transform_values(col, value)
+        if not is_text(dtype.keyType):
+            return values
+        shown = F.exists(F.map_keys(col), lambda k: should_redact("", k, keywords, detectors))
+        return F.when(shown, F.lit(None)).otherwise(values)
     return col
 
 
@@ -98,8 +103,8 @@ def redact(
 
     A column that is sensitive by name is replaced whatever its type, and
     becomes a string. String values are replaced by JSON key or value shape.
-    Other types pass. `nested` also looks into structs, arrays and
-    maps of strings.
+    Other types pass. `nested` also looks into structs, arrays and maps; what
+    is hidden there and is no string becomes NULL.
     """
     keywords, detectors = tuple(keywords), tuple(detectors)
     plain, columns = positional(df)
@@ -132,35 +137,94 @@ def redaction_verdicts(
     )
 
 
-def mask_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Replace whole columns, keeping their type and place.
+def _hidden(dtype: T.DataType) -> Column:
+    return F.lit(REDACTED) if is_text(dtype) else F.lit(None).cast(dtype)
+
+
+def _inner(dtype: T.DataType, path: str) -> list[tuple[str, T.DataType, str]]:
+    """The parts of a nested type: (path, type, name). Elements and map entries have no name of their own."""
+    if isinstance(dtype, T.StructType):
+        return [(f"{path}.{f.name}", f.dataType, f.name) for f in dtype.fields]
+    if isinstance(dtype, T.ArrayType):
+        return [(f"{path}[]", dtype.elementType, "")]
+    if isinstance(dtype, T.MapType):
+        return [(f"{path}{{key}}", dtype.keyType, ""), (f"{path}{{}}", dtype.valueType, "")]
+    return []
+
+
+def _rebuilt(col: Column, dtype: T.DataType, path: str, wanted: set[str], keywords: tuple[str, ...]) -> Column:
+    """A value with the wanted parts hidden, and what sensitive keys of a map point to."""
+    if path.lower() in wanted:
+        return _hidden(dtype)
 
-    Strings become ``<redacted>``, NULLs included; other types become NULL.
+    def touched(kind: T.DataType, at: str) -> bool:
+        return at.lower() in wanted or isinstance(kind, T.MapType) or any(touched(k, p) for p, k, _ in _inner(kind, at))
+
+    if not touched(dtype, path):
+        return col
+    if isinstance(dtype, T.StructType):
+        fields = [_rebuilt(col[f.name], f.dataType, f"{path}.{f.name}", wanted, keywords).alias(f.name) for f in dtype.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: _rebuilt(x, dtype.elementType, f"{path}[]", wanted, keywords))
+    if f"{path}{{key}}".lower() in wanted:  # keys of a map must differ, so they cannot all be hidden alike
+        return _hidden(dtype)
+
+    def value(k: Column, v: Column) -> Column:
+        inner = _rebuilt(v, dtype.valueType, f"{path}{{}}", wanted, keywords)
+        return F.when(is_pii_name(k.cast("string"), keywords), _hidden(dtype.valueType)).otherwise(inner)
+
+    return F.transform_values(col, value)
+
+
+def mask_columns(df: DataFrame, columns: Iterable[str], keywords: Iterable[str] = PII_KEYWORDS) -> DataFrame:
+    """Replace whole columns, or parts of nested ones, keeping their type and place.
+
+    Strings become ``<redacted>``, NULLs included; other types become NULL. A
+    part is named by its path: ``contact.email``, ``tags[]`` for the elements of
+    an array, ``m{}`` for the values of a map and ``m{key}`` for its keys, which
+    hides the map. In a map what a key sensitive by `keywords` points to is
+    always hidden, as keys are names that only the data knows.
     """
-    wanted = {c.lower() for c in columns}
+    wanted, keywords = {c.lower() for c in columns}, tuple(keywords)
     plain, fields = positional(df)
-    out = []
-    for f, column in fields:
-        if f.name.lower() not in wanted:
-            col = F.col(column)
-        elif is_text(f.dataType):
-            col = F.lit(REDACTED)
-        else:
-            col = F.lit(None).cast(f.dataType)
-        out.append(col.alias(f.name))
-    return plain.select(*out)
+    return plain.select(*[_rebuilt(F.col(c), f.dataType, f.name, wanted, keywords).alias(f.name) for f, c in fields])
 
 
 def pii_columns(df: DataFrame, keywords: Iterable[str] = PII_KEYWORDS) -> list[str]:
-    """Columns sensitive by name, read off the schema."""
-    return [name for name in df.columns if name_is_pii(name, keywords)]
+    """Columns and parts of nested columns sensitive by name, read off the schema."""
+    keywords = tuple(keywords)
+
+    def within(path: str, dtype: T.DataType, name: str) -> list[str]:
+        if name_is_pii(name, keywords):
+            return [path]
+        return [p for inner in _inner(dtype, path) for p in within(*inner)]
+
+    return [p for f in df.schema.fields for p in within(f.name, f.dataType, f.name)]
+
+
+def _texts_within(sql: str, dtype: T.DataType, path: str, name: str, keywords: tuple[str, ...], depth: int = 0):
+    """(path, SQL of the array of its values) of each text inside a nested column whose names are not sensitive."""
+    for at, kind, part in _inner(dtype, path):
+        if part and name_is_pii(part, keywords):
+            continue
+        x = f"x{depth}"
+        if isinstance(dtype, T.StructType):
+            step = f"transform({sql}, {x} -> {x}.`{part.replace('`', '``')}`)"
+        elif isinstance(dtype, T.ArrayType):
+            step = f"flatten(filter({sql}, {x} -> {x} IS NOT NULL))"
+        else:
+            entries = "map_keys" if at.endswith("{key}") else "map_values"
+            step = f"flatten(transform(filter({sql}, {x} -> {x} IS NOT NULL), {x} -> {entries}({x})))"
+        if is_text(kind):
+            yield at, step
+        yield from _texts_within(step, kind, at, part, keywords, depth + 1)
 
 
 def classify_columns(
     df: DataFrame,
     *,
     min_hits: int = 1,
-    sample_fraction: float | None = None,
     keywords: Iterable[str] = PII_KEYWORDS,
     detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
@@ -168,30 +232,46 @@ def classify_columns(
 
     A column is sensitive by name or when at least `min_hits` of its values
     are. Every value counts, so the answer does not depend on which row is
-    looked at; `sample_fraction` trades that for a cheaper pass.
+    looked at. Texts inside structs, arrays and maps have a row of their own
+    under their path, as have parts that are sensitive by name.
 
     One aggregation for all columns, partial on the map side; what is shuffled
     is one row per task.
     """
     keywords, detectors = tuple(keywords), tuple(detectors)
-    source = df if sample_fraction is None else df.sample(fraction=sample_fraction, seed=0)
-    plain, columns = positional(source)
+    plain, columns = positional(df)
+    # (name, by name, what is counted, what is counted as a hit)
+    found_of: list[tuple[str, bool, Column, Column | None]] = []
+    for f, column in columns:
+        by_name = name_is_pii(f.name, keywords)
+        looks = is_text(f.dataType) and not by_name
+        hits = F.count_if(_verdict(f, column, keywords, detectors)) if looks else None
+        found_of.append((f.name, by_name, F.count(column), hits))
+        if by_name or not _inner(f.dataType, f.name):
+            continue
+        named = [p for p in pii_columns(plain.select(F.col(column).alias(f.name)), keywords)]
+        found_of += [(p, True, F.count(column), None) for p in named]
+        for path, sql in _texts_within(f"array({column})", f.dataType, f.name, f.name, keywords):
+            values = F.expr(f"filter({sql}, v -> v IS NOT NULL)")
+            if detectors == DETECTORS:
+                hit = F.expr(f"filter({sql}, v -> {should_redact_sql('v', keywords)})")
+            else:
+                hit = F.filter(F.expr(sql), lambda v: should_redact("", v, keywords, detectors))
+            size = [F.coalesce(F.sum(F.greatest(F.size(c), F.lit(0))), F.lit(0)).cast("bigint") for c in (values, hit)]
+            found_of.append((path, False, *size))
     passes = []
-    for start in range(0, len(columns), COLUMNS_PER_PASS):
+    for start in range(0, len(found_of), COLUMNS_PER_PASS):
         counts, rows = [], []
-        for i, (f, column) in enumerate(columns[start : start + COLUMNS_PER_PASS]):
-            by_name = name_is_pii(f.name, keywords)
-            looks = is_text(f.dataType) and not by_name
-            counts.append(F.count(column).alias(f"n{i}"))
-            if looks:
-                verdict = _verdict(f, column, keywords, detectors)
-                counts.append(F.count_if(verdict).alias(f"h{i}"))
+        for i, (name, by_name, count, hits) in enumerate(found_of[start : start + COLUMNS_PER_PASS]):
+            counts.append(count.alias(f"n{i}"))
+            if hits is not None:
+                counts.append(hits.alias(f"h{i}"))
             rows.append(
                 F.struct(
-                    F.lit(f.name).alias("column_name"),
+                    F.lit(name).alias("column_name"),
                     F.lit(by_name).alias("name_hit"),
                     F.col(f"n{i}").alias("non_null"),
-                    (F.col(f"h{i}") if looks else F.lit(0).cast("bigint")).alias("hits"),
+                    (F.lit(0).cast("bigint") if hits is None else F.col(f"h{i}")).alias("hits"),
                 )
             )
         passes.append(plain.agg(*counts).select(F.inline(F.array(*rows))))
@@ -212,18 +292,19 @@ def mask_policy(
     *,
     classify: bool = True,
     keywords: Iterable[str] = PII_KEYWORDS,
-    **options,
+    detectors: Iterable[Detector] = DETECTORS,
 ) -> DataFrame:
-    """The columns to mask: ``(table_name, column_name, reason)``.
+    """The columns to mask, or parts of them: ``(table_name, column_name, reason)``.
 
-    One row per column at most, so it may be kept as a table and reused: with
-    `classify` every table is read once to find it.
+    One row per column or part at most, so it may be kept as a table and
+    reused: with `classify` every table is read once, and a single sensitive
+    value is enough.
     """
-    keywords = tuple(keywords)
+    keywords, detectors = tuple(keywords), tuple(detectors)
     parts = []
     for name, df in tables.items():
         if classify:
-            found = classify_columns(df, keywords=keywords, **options).where("sensitive")
+            found = classify_columns(df, keywords=keywords, detectors=detectors).where("sensitive")
             reason = F.when(F.col("name_hit"), "name").otherwise("value")
             parts.append(found.select(F.lit(name).alias("table_name"), "column_name", reason.alias("reason")))
         else:

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 # How many tasks share the rows of one key.
 SALTS = 32
-# Up to this rank Spark prunes groups before a shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
 
 
 def salted_lookup(
@@ -62,16 +59,12 @@ def top_per_group(
 ) -> DataFrame:
     """The first `n` rows of every group in the given order.
 
-    For a small `n` Spark itself keeps only the first rows of a group in each
-    task before the shuffle. For a larger one rows are first ranked within a
-    share of their group, so that many tasks cut a hot group down before one
-    sees what is left of it.
+    Rows are first ranked within a share of their group, so that many tasks cut
+    a hot group down before one sees what is left of it.
     """
     def first(rows: DataFrame, *keys: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
-    if n > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
-        df = first(df.withColumn("_salt", salt), *group, "_salt").drop("_salt")
-    return first(df, *group)
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))
+    return first(first(df.withColumn("_salt", salt), *group, "_salt").drop("_salt"), *group)

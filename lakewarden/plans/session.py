@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.detectors import DETECTORS, Detector
 from ..functions.fixed_values import PII_KEYWORDS
 from ..operators.redact import mask_columns, mask_policy, pii_columns, redact
-from .statements import bare_statement, check_read_only, named_parameters
+from .statements import bare_statement, check_read_only, named_parameters, without_tail
 
 _HANDOFF = "lakewarden_handoff_"
 
@@ -40,8 +41,11 @@ def run_sql(
     With `anonymize` the statement sees nothing but masked views of `tables`
     under their own names, and its result is redacted as well. Columns are
     masked by name and by `policy`; without one, with `classify`, by value,
-    for which the tables the statement names are read once. To run many
+    for which the columns the statement uses are read once. To run many
     statements keep a `mask_policy` or a `masked_session`.
+
+    A restricted statement may call nothing in the engine's process and read no
+    file by its path.
     """
     if isinstance(args, (list, tuple)):
         sql, args = named_parameters(sql, list(args))
@@ -49,17 +53,23 @@ def run_sql(
         check_read_only(sql)
     if not anonymize:
         if restricted and bare_statement(sql).startswith(_QUERY):
-            _as_query(spark, sql, args)
+            _refuse_unsafe(_as_query(spark, sql, args)._jdf.queryExecution().analyzed())
         return _sql(spark, sql, args)
     tables, keywords, detectors = tables or {}, tuple(keywords), tuple(detectors)
     session = masked_session(spark, tables, policy=policy, classify=False, keywords=keywords)
+    views = _views_named(session, sql, args)
     if policy is None and classify:
-        views = _views_named(session, sql, args)
-        named = {name: df for name, df in tables.items() if name.lower() in views}
+        named = {}
+        for name, df in tables.items():
+            used = views.get(name.lower(), set())
+            columns = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() in used]
+            if columns:
+                named[name] = df.select(*columns)
         if named:
             found = mask_policy(named, keywords=keywords, detectors=detectors)
-            _register(spark, session, named, found, keywords)
-    return run_masked(session, sql, args, keywords=keywords, detectors=detectors)
+            whole = {name: tables[name] for name in named}
+            _register(spark, session, whole, found, keywords)
+    return redact(_sql(session, sql, args), nested=True, keywords=keywords, detectors=detectors)
 
 
 def masked_session(
@@ -113,7 +123,7 @@ def _register(
         df.createOrReplaceGlobalTempView(handoff)
         try:
             source = session.table(f"global_temp.{handoff}")
-            mask_columns(source, masked[name.lower()]).createOrReplaceTempView(name)
+            mask_columns(source, masked[name.lower()], keywords).createOrReplaceTempView(name)
         finally:
             spark.catalog.dropGlobalTempView(handoff)
 
@@ -128,7 +138,7 @@ def run_masked(
 ) -> DataFrame:
     """Run a query in a masked session and redact what it returns."""
     _views_named(session, sql, args)
-    return redact(_sql(session, sql, args), keywords=keywords, detectors=detectors)
+    return redact(_sql(session, sql, args), nested=True, keywords=keywords, detectors=detectors)
 
 
 _QUERY = ("select", "with ")
@@ -144,23 +154,29 @@ def _as_query(session: SparkSession, sql: str, args: dict | list | None) -> Data
     The guard reads text, which a comment sign inside a literal can mislead;
     the parser cannot be. Nothing is executed.
     """
-    return _sql(session, f"SELECT * FROM (\n{sql.rstrip().rstrip(';')}\n)", args)
+    return _sql(session, f"SELECT * FROM (\n{without_tail(sql)}\n)", args)
 
 
-def _views_named(session: SparkSession, sql: str, args: dict | list | None) -> set[str]:
-    """The masked views a statement reads, if it is a query and reads nothing else."""
+def _views_named(session: SparkSession, sql: str, args: dict | list | None) -> dict[str, set[str]]:
+    """The masked views a statement reads, if it is a query and reads nothing else, each with the columns it uses."""
     check_read_only(sql)
     if not bare_statement(sql).startswith(_QUERY):
         raise UnmaskedAccess("only queries may be anonymised")
-    return _views_below(_as_query(session, sql, args)._jdf.queryExecution().analyzed())
+    views, references = [], []
+    _read_below(_as_query(session, sql, args)._jdf.queryExecution().analyzed(), views, references)
+    found: dict[str, set[str]] = {}
+    for name, attributes in views:
+        used = {a.name().lower() for a in attributes if any(r.contains(a) for r in references)}
+        found.setdefault(name, set()).update(used)
+    return found
 
 
 # Plan nodes that read nothing but the statement itself.
 _OWN_LEAVES = {"LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "UnionLoopRef"}
 
 
-def _views_below(plan) -> set[str]:
-    """Lowercased names of the masked views a plan reads; fails if it reads anything else.
+def _read_below(plan, views: list, references: list) -> None:
+    """Collects the masked views a plan reads, and what its nodes refer to; fails if it reads anything else.
 
     Subqueries are looked into as well. The masked views are the only views of
     the session without a database. Other views are refused, and so is any
@@ -172,23 +188,36 @@ def _views_below(plan) -> set[str]:
         identifier = plan.desc().identifier()
         foreign = not identifier.database().isEmpty()
         if not foreign:
-            return {identifier.table().lower()}
+            views.append((identifier.table().lower(), _items(plan.output())))
+            return
     else:
         foreign = children.isEmpty() and name not in _OWN_LEAVES
     if foreign:
         raise UnmaskedAccess("the statement reads a relation that is not a masked view")
+    references.append(plan.references())
     for expression in _items(plan.expressions()):
         _refuse_reflection(expression)
-    found: set[str] = set()
     for below in (*_items(children), *_items(plan.subqueries())):
-        found |= _views_below(below)
-    return found
+        _read_below(below, views, references)
+
+
+def _refuse_unsafe(plan) -> None:
+    """For statements that read unmasked: no call into the engine's process, no file by its path."""
+    name = plan.nodeName()
+    if name == "View":
+        return
+    if name == "LogicalRelation" and plan.catalogTable().isEmpty():
+        raise UnmaskedAccess("files are read through views or tables only")
+    for expression in _items(plan.expressions()):
+        _refuse_reflection(expression)
+    for below in (*_items(plan.children()), *_items(plan.subqueries())):
+        _refuse_unsafe(below)
 
 
 def _refuse_reflection(expression) -> None:
     """Functions that call into the engine's process could read around the views."""
     if expression.getClass().getSimpleName() == "CallMethodViaReflection":
-        raise UnmaskedAccess("function not allowed in anonymised statements")
+        raise UnmaskedAccess("function not allowed")
     for child in _items(expression.children()):
         _refuse_reflection(child)
 

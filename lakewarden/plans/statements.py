@@ -19,6 +19,12 @@ def bare_statement(sql: str) -> str:
     return re.sub(r"--[^\n]*", "", sql).strip(fv.SPACE_CHARS).lower()
 
 
+def without_tail(sql: str) -> str:
+    """The statement without comments, which quotes protect, and without closing semicolons."""
+    bare = _MARKER.sub(lambda m: " " if m[0].startswith(("--", "/*")) else m[0], sql)
+    return bare.strip(fv.SPACE_CHARS + ";")
+
+
 def check_read_only(sql: str) -> None:
     """Refuse anything but read statements; see `classify_statements` for a log."""
     bare = bare_statement(sql)

@@ -110,7 +110,7 @@ def test_health_types():
 
 def test_report_reads_only_what_it_needs(spark):
     activity = spark.createDataFrame([(1, "active")] * 3, "db_id int, state string")
-    rows = health_report({"pg_stat_activity": activity}, types="connection").collect()
+    rows = health_report({"pg_stat_activity": activity}, F.lit("2024-01-01").cast("timestamp"), "connection").collect()
     assert [tuple(r) for r in rows] == [(1, "connection", "connections", "total", 3.0, 500.0, "ok", "healthy")]
 
 
