@@ -217,6 +217,37 @@ for _name, _sql in MASKED.items():
     QUERIES[_name] = _masked_query(_sql)
 
 
+def _nested_people(spark, d):
+    """The people with a struct, an array and a map, whose keys are data."""
+    person = F.col("person_no")
+    return fixture(spark, d, fx.PEOPLE).select(
+        "person_no",
+        F.struct("email", "tax_id", "segment").alias("contact"),
+        F.array("note", "segment").alias("tags"),
+        F.create_map(F.lit("ssn"), person, F.lit("nation"), F.col("nation").cast("bigint")).alias("extra"),
+    )
+
+
+@query
+def masked_nested(spark, d):
+    sql = """SELECT person_no, reverse(contact.email) AS mail_reversed, contact.segment AS seg, contact.tax_id + 0 AS ident,
+        tags[0] AS first_tag, extra['ssn'] AS s, extra['nation'] AS n FROM people WHERE contact.email = '<redacted>'"""
+    return lw.run_sql(spark, sql, anonymize=True, tables={"people": _nested_people(spark, d)})
+
+
+@query
+def redact_nested(spark, d):
+    return lw.redact(_nested_people(spark, d), nested=True).select(
+        "person_no", "contact.*", F.get("tags", F.lit(0)).alias("first_tag"), F.get("tags", F.lit(1)).alias("second_tag"),
+        F.col("extra")["ssn"].alias("s"), F.col("extra")["nation"].alias("n"),
+    )
+
+
+@query
+def classify_nested(spark, d):
+    return lw.classify_columns(_nested_people(spark, d)).drop("ratio")
+
+
 @query
 def stream_redact_events(spark, d):
     path = f"{d.rstrip('/')}/events.parquet"

@@ -201,3 +201,54 @@ def test_masked_filter_folds_the_scan_away(spark, small):
     tables = lw.load_tables(spark, small, ["customer"])
     df = lw.run_sql(spark, "SELECT c_name FROM customer WHERE c_custkey = 5", anonymize=True, tables=tables, classify=False)
     assert "FileScan" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+NESTED = [
+    "SELECT * FROM folk",
+    "SELECT contact FROM folk",
+    "SELECT reverse(reverse(contact.email)) a, contact.ssn + 0 b, to_json(contact) c FROM folk",
+    "SELECT tags[0] a, concat_ws(',', tags) b, explode(tags) c FROM folk",
+    "SELECT to_json(extra) a, extra['ssn'] b, map_values(deep) c, deep['x'].email d FROM folk",
+    "SELECT inline(trips) FROM folk",
+    "SELECT cast(contact AS string) a, cast(trips AS string) b, cast(extra AS string) c, cast(deep AS string) d FROM folk",
+    "SELECT map_keys(by_mail) a, to_json(by_mail) b FROM folk",
+]
+
+
+@pytest.fixture(scope="module")
+def folk(spark):
+    schema = """id int, contact struct<email: string, ssn: int, city: string>, tags array<string>, extra map<string, int>,
+        deep map<string, struct<email: string>>, trips array<struct<place: string, phone: string>>, by_mail map<string, int>"""
+    row = (1, ("alice@corp.example", 4711, "Delft"), ["blue", "alice@corp.example"], {"ssn": 4712, "age": 30},
+           {"x": ("alice@corp.example",)}, [("Rome", "4713")], {"alice@corp.example": 7})
+    return spark.createDataFrame([row], schema)
+
+
+@pytest.mark.parametrize("sql", NESTED)
+def test_nested_values_never_leave(spark, folk, sql):
+    shown = str(run_sql(spark, sql, anonymize=True, tables={"folk": folk}).collect())
+    for secret in ("alice", "ecila", "4711", "4712", "4713"):
+        assert secret not in shown
+
+
+def test_nested_values_cannot_be_searched(spark, folk):
+    sql = "SELECT count(*) AS n FROM folk WHERE contact.email LIKE 'alice%' OR array_contains(tags, 'alice@corp.example') OR deep['x'].email > 'a' OR map_contains_key(by_mail, 'alice@corp.example')"
+    assert run_sql(spark, sql, anonymize=True, tables={"folk": folk}).first().n == 0
+    sql = "SELECT contact.city AS c, extra['age'] AS a, trips[0].place AS p FROM folk"
+    assert tuple(run_sql(spark, sql, anonymize=True, tables={"folk": folk}).first()) == ("Delft", 30, "Rome")
+
+
+def test_only_used_columns_are_read(spark):
+    bad = spark.range(3).selectExpr("id", "'x' AS name", "cast(assert_true(id < 0) AS string) AS broken")
+    sql = "WITH t AS (SELECT id, name FROM bad) SELECT count(id) AS n FROM t WHERE name > 'a'"
+    assert run_sql(spark, sql, anonymize=True, tables={"bad": bad}).first().n == 3
+    with pytest.raises(Exception, match="broken|assert|is not true"):
+        run_sql(spark, "SELECT max(broken) FROM bad", anonymize=True, tables={"bad": bad}).collect()
+
+
+def test_restricted_statements_reach_neither_process_nor_files(spark, small):
+    for sql in ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", f"SELECT * FROM parquet.`{small}/region.parquet`"):
+        with pytest.raises(PermissionError):
+            run_sql(spark, sql)
+    assert run_sql(spark, "SELECT 1 AS x; -- done").first().x == 1
+    assert run_sql(spark, "SELECT '-- ; /*' AS x /* ; */ ; ").first().x == "-- ; /*"
