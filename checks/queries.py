@@ -248,6 +248,22 @@ def classify_nested(spark, d):
     return lw.classify_columns(_nested_people(spark, d)).drop("ratio")
 
 
+@query
+def snapshot_connections(spark, d):
+    """Connections of the latest landing, one row per database, read from written snapshots."""
+    base = shared_folder(spark, "snapshots")
+    now = fixture(spark, d, fx.CONNECTIONS).withColumn("snapshot_at", F.lit("2024-03-02").cast("timestamp"))
+    then = now.withColumn("snapshot_at", F.lit("2024-03-01").cast("timestamp"))
+    idle = then.withColumn("db_id", F.col("db_id") + 1000)  # databases that have no connection any more
+    now.unionByName(then).unionByName(idle).write.parquet(f"{base}/pg_stat_activity.parquet")
+    names = now.unionByName(now.withColumn("db_id", F.col("db_id") + 1000)).select(
+        "db_id", F.lit(1).cast("bigint").alias("oid"), F.lit("public").alias("nspname"), "snapshot_at"
+    )
+    names.distinct().write.parquet(f"{base}/pg_namespace.parquet")
+    landed = lw.read_snapshots(spark, base, ["pg_stat_activity", "pg_namespace"])
+    return lw.connection_health(landed["pg_stat_activity"], landed["databases"])
+
+
 @query
 def stream_redact_events(spark, d):
     path = f"{d.rstrip('/')}/events.parquet"

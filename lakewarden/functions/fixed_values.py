@@ -118,3 +118,11 @@ DEFAULT_WIDTH = 2048
 PAGE_HEADER = 24
 BLOCK_SIZE = 8192
 MAX_ALIGN = 8
+
+# How definitions, defaults and statements are read.
+INDEX_COLUMNS = r"(?s)^[^(]*[(](.*)[)]\z"
+INDEX_PREDICATE = r"(?s)^(.*?)\) WHERE \("
+INDEX_METHOD = r"(?s).* USING ([^ ]*) [(].*"
+SEQUENCE_DEFAULT = r"nextval\(\(?'([^']+)'"
+BLOCK_COMMENT = r"(?s)/\*.*?\*/"
+LINE_COMMENT = r"--[^\n]*"

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import SPACE_CHARS
+from . import fixed_values as fv
 
 
 def index_columns(indexdef: Column) -> Column:
     """Column list of an index definition, as an array without outer quotes."""
-    inner = F.regexp_replace(indexdef, r"(?s)^[^(]*[(](.*)[)]\z", "$1")
-    inner = F.regexp_replace(inner, r"(?s)^(.*?)\) WHERE \(", "$1 WHERE ")
+    inner = F.regexp_replace(indexdef, fv.INDEX_COLUMNS, "$1")
+    inner = F.regexp_replace(inner, fv.INDEX_PREDICATE, "$1 WHERE ")
     return F.transform(
         F.split(inner, ", ", -1),
-        lambda c: F.regexp_replace(F.btrim(c, F.lit(SPACE_CHARS)), r'^"|"\z', ""),
+        lambda c: F.regexp_replace(F.btrim(c, F.lit(fv.SPACE_CHARS)), r'^"|"\z', ""),
     )
 
 
 def index_method(indexdef: Column) -> Column:
-    return F.regexp_replace(indexdef, r"(?s).* USING ([^ ]*) [(].*", "$1")
+    return F.regexp_replace(indexdef, fv.INDEX_METHOD, "$1")
 
 
 def sequence_name(default_value: Column) -> tuple[Column, Column]:
@@ -28,7 +28,7 @@ def sequence_name(default_value: Column) -> tuple[Column, Column]:
     The schema is ``public`` when none is given; the sequence is empty when the
     default is something else.
     """
-    quoted = F.regexp_extract(default_value, r"nextval\(\(?'([^']+)'", 1)
+    quoted = F.regexp_extract(default_value, fv.SEQUENCE_DEFAULT, 1)
     parts = F.split(F.replace(quoted, F.lit('"'), F.lit("")), r"\.", -1)
     qualified = F.size(parts) > 1
     schema = F.when(qualified, parts[0]).otherwise("public")

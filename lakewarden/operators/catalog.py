@@ -16,16 +16,15 @@ _OBJECTS = {
 }
 
 
-def list_schemas(schemata: DataFrame) -> DataFrame:
-    """Schemas with their class. ``_`` in ``pg_%`` is a wildcard: pgxfoo is a system schema."""
+def list_schemas(schemata: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """Schemas with their class, sorted if `ordered`. ``_`` in ``pg_%`` is a wildcard: pgxfoo is a system schema."""
     kind = (
         F.when(F.col("schema_name").like("pg_%"), "System Schema")
         .when(F.col("schema_name") == "information_schema", "System Information Schema")
         .otherwise("User Schema")
     )
-    return schemata.select("db_id", "schema_name", "schema_owner", kind.alias("schema_type")).orderBy(
-        "schema_type", "schema_name", "db_id"
-    )
+    out = schemata.select("db_id", "schema_name", "schema_owner", kind.alias("schema_type"))
+    return out.orderBy("schema_type", "schema_name", "db_id") if ordered else out
 
 
 def list_objects(df: DataFrame, object_type: str, schema: str | None = None) -> DataFrame:
@@ -98,8 +97,9 @@ def table_details(
     """One nested row per table: ``basic``, ``columns``, ``constraints``, ``indexes``.
 
     A table has at most 1,600 columns in the database the snapshot comes from,
-    and rows landed twice count once, so each document stays small. The three
-    lists are stacked and grouped in one shuffle; `schema` and `table` are
+    and rows landed twice count once. Constraints and indexes have no such
+    limit; a document holds all of its table's. A table that is known by them
+    alone has no columns. The three lists are stacked and grouped in one shuffle; `schema` and `table` are
     pushed into the snapshot scans.
     """
 
@@ -142,7 +142,7 @@ def table_details(
         F.sort_array(F.collect_set("constraint")).alias("constraints"),
         F.sort_array(F.collect_set("index")).alias("indexes"),
     )
-    return documents.where(F.size("columns") > 0).select(
+    return documents.select(
         "db_id",
         F.struct(
             F.col("table_schema").alias("schema"),

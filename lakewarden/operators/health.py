@@ -13,27 +13,35 @@ from ..functions.parsing import seconds_between, sequence_name
 from . import indexes as ix
 from .skew import id_or_none, with_schema_name
 
+# The kinds of checks.
 HEALTH_TYPES: tuple[str, ...] = (
     "index", "connection", "vacuum", "sequence", "replication", "buffer", "constraint",
 )
 
 
-def connection_health(activity: DataFrame) -> DataFrame:
-    """Connections per database; too many in total is said before too many idle."""
+def _every(databases: DataFrame | None, found: DataFrame) -> DataFrame:
+    """A row for every database, with NULLs for those without findings."""
+    if databases is None:
+        return found
+    return databases.select("db_id").distinct().join(found, "db_id", "left")
+
+
+def connection_health(activity: DataFrame, databases: DataFrame | None = None) -> DataFrame:
+    """Connections per database; too many in total is said before too many idle.
+
+    With `databases` (column ``db_id``) those without a connection have a row, too.
+    """
     total, idle = F.col("total"), F.col("idle_in_transaction")
     verdict = (
         F.when(total > fv.MAX_CONNECTIONS, "too many connections")
         .when(idle > fv.MAX_IDLE_IN_TRANSACTION, "too many idle in transaction")
         .otherwise("healthy")
     )
-    return (
-        activity.groupBy("db_id")
-        .agg(
-            F.count("*").alias("total"),
-            F.count_if(F.col("state") == "idle in transaction").alias("idle_in_transaction"),
-        )
-        .withColumn("verdict", verdict)
+    found = activity.groupBy("db_id").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("state") == "idle in transaction").alias("idle_in_transaction"),
     )
+    return _every(databases, found).fillna(0, ["total", "idle_in_transaction"]).withColumn("verdict", verdict)
 
 
 def wraparound_headroom(
@@ -153,28 +161,25 @@ def replication_slots(slots: DataFrame) -> DataFrame:
     )
 
 
-def _hit_rate(statio: DataFrame, prefix: str) -> DataFrame:
+def _hit_rate(statio: DataFrame, prefix: str, databases: DataFrame | None) -> DataFrame:
     hit, read = F.col(f"{prefix}_blks_hit"), F.col(f"{prefix}_blks_read")
     verdict = (
         F.when(F.col("rate").isNull(), "no statistics")
         .when(F.col("rate") >= fv.HIT_RATE_LIMIT, "above threshold")
         .otherwise("below threshold")
     )
-    return (
-        statio.groupBy("db_id")
-        .agg((F.sum(hit) / F.nullif(F.sum(hit + read), F.lit(0))).alias("rate"))
-        .withColumn("verdict", verdict)
-    )
+    found = statio.groupBy("db_id").agg((F.sum(hit) / F.nullif(F.sum(hit + read), F.lit(0))).alias("rate"))
+    return _every(databases, found).withColumn("verdict", verdict)
 
 
-def index_hit_rate(statio: DataFrame) -> DataFrame:
-    """Share of index blocks found in cache."""
-    return _hit_rate(statio, "idx")
+def index_hit_rate(statio: DataFrame, databases: DataFrame | None = None) -> DataFrame:
+    """Share of index blocks found in cache; of `databases` without statistics NULL."""
+    return _hit_rate(statio, "idx", databases)
 
 
-def table_hit_rate(statio: DataFrame) -> DataFrame:
-    """Share of table blocks found in cache."""
-    return _hit_rate(statio, "heap")
+def table_hit_rate(statio: DataFrame, databases: DataFrame | None = None) -> DataFrame:
+    """Share of table blocks found in cache; of `databases` without statistics NULL."""
+    return _hit_rate(statio, "heap", databases)
 
 
 def unvalidated_constraints(
@@ -240,7 +245,9 @@ def health_report(
     One row per finding: ``db_id, check, object, metric, value, threshold,
     status, detail``. Checks of tables and indexes give rows only for what
     fails, checks of a whole server one row each. The result is one plan, so
-    Spark runs the checks side by side. `as_of` is the time of the snapshot: a
+    Spark runs the checks side by side. If the snapshots hold `databases`, as those
+    of `read_snapshots` do, each of them has its rows for connections and cache,
+    with or without statistics. `as_of` is the time of the snapshot: a
     report over landed data is the same whenever it is run.
     """
     s = snapshots
@@ -255,7 +262,7 @@ def health_report(
         )
         found.append(
             _finding(
-                ix.duplicate_indexes(inventory), "duplicate_index", dotted("schema", "table", "unneeded"),
+                ix.duplicate_indexes(inventory, ordered=False), "duplicate_index", dotted("schema", "table", "unneeded"),
                 "columns", F.size("columns"), None, warn, F.col("covering"),
             )
         )
@@ -274,7 +281,7 @@ def health_report(
         idle = F.col("verdict") == "too many idle in transaction"
         found.append(
             _finding(
-                connection_health(s["pg_stat_activity"]), "connection", F.lit("connections"),
+                connection_health(s["pg_stat_activity"], s.get("databases")), "connection", F.lit("connections"),
                 F.when(idle, "idle_in_transaction").otherwise("total"),
                 F.when(idle, F.col("idle_in_transaction")).otherwise(F.col("total")),
                 F.when(idle, fv.MAX_IDLE_IN_TRANSACTION).otherwise(fv.MAX_CONNECTIONS),
@@ -320,8 +327,8 @@ def health_report(
         )
     if "buffer" in chosen:
         for check, df in (
-            ("index_hit_rate", index_hit_rate(s["pg_statio_user_indexes"])),
-            ("table_hit_rate", table_hit_rate(s["pg_statio_user_tables"])),
+            ("index_hit_rate", index_hit_rate(s["pg_statio_user_indexes"], s.get("databases"))),
+            ("table_hit_rate", table_hit_rate(s["pg_statio_user_tables"], s.get("databases"))),
         ):
             status = F.when(F.col("verdict") == "below threshold", "warning").otherwise("ok")
             found.append(

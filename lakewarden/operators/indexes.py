@@ -46,8 +46,8 @@ def invalid_indexes(inventory: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_indexes(inventory: DataFrame) -> DataFrame:
-    """Indexes another index of the same table makes unneeded.
+def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True) -> DataFrame:
+    """Indexes another index of the same table makes unneeded, by table and name if `ordered`.
 
     A valid index that is neither primary nor unique is covered when its
     columns start those of another valid index with the same method,
@@ -84,12 +84,13 @@ def duplicate_indexes(inventory: DataFrame) -> DataFrame:
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     before = F.when(F.col("earlier") < F.col("name"), F.col("earlier"))
-    return (
+    out = (
         candidates.join(right, same)
         .withColumn("covering", F.least("always", before))
         .where(F.col("covering").isNotNull())
         .select("db_id", "schema", "table", F.col("name").alias("unneeded"), "columns", "covering")
     )
+    return out.orderBy("schema", "table", "unneeded", "db_id") if ordered else out
 
 
 def unused_indexes(pg_index: DataFrame, usage: DataFrame, *, ordered: bool = True) -> DataFrame:

@@ -17,8 +17,6 @@ _FORBIDDEN = (
     rf"{_WORD_START}(?:(?:{'|'.join(fv.FORBIDDEN_WORDS)}){_WORD_END}"
     rf"|create{_SPACE}+(?!extension))"
 )
-_BLOCK_COMMENT = r"(?s)/\*.*?\*/"
-_LINE_COMMENT = r"--[^\n]*"
 
 ALLOWED = "allowed"
 WRONG_TYPE = "statement type not allowed"
@@ -26,8 +24,8 @@ FORBIDDEN = "forbidden operation"
 
 
 def _bare_statement(statement: Column) -> Column:
-    bare = F.regexp_replace(statement, _BLOCK_COMMENT, "")
-    bare = F.regexp_replace(bare, _LINE_COMMENT, "")
+    bare = F.regexp_replace(statement, fv.BLOCK_COMMENT, "")
+    bare = F.regexp_replace(bare, fv.LINE_COMMENT, "")
     return F.lower(F.btrim(bare, F.lit(fv.SPACE_CHARS)))
 
 

@@ -8,8 +8,12 @@ snapshot holds what the server answered.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.skew import salted_lookup
 
 # Snapshot tables and their columns.
 SNAPSHOT_SCHEMAS: dict[str, str] = {
@@ -85,11 +89,24 @@ SNAPSHOT_SCHEMAS: dict[str, str] = {
 def read_snapshots(
     spark: SparkSession, directory: str, names: Iterable[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Read landed snapshot tables with their fixed schema (no inference)."""
-    chosen = SNAPSHOT_SCHEMAS if names is None else names
-    return {
-        name: spark.read.schema(SNAPSHOT_SCHEMAS[name]).parquet(
+    """Read landed snapshot tables with their fixed schema (no inference), of each database the latest landing.
+
+    Rows may carry `snapshot_at`, the time a database was looked at; one time
+    holds for all its tables. The newest time per database over all tables read
+    counts, so a table that is empty by then gives no rows of an older landing.
+    The result also holds `databases`, one row per database.
+    """
+    chosen = tuple(SNAPSHOT_SCHEMAS if names is None else names)
+    landed = {
+        name: spark.read.schema(f"{SNAPSHOT_SCHEMAS[name]}, snapshot_at timestamp").parquet(
             f"{directory.rstrip('/')}/{name}.parquet"
         )
         for name in chosen
     }
+    times = [df.groupBy("db_id").agg(F.max("snapshot_at").alias("snapshot_at")) for df in landed.values()]
+    newest = reduce(DataFrame.unionByName, times).groupBy("db_id").agg(F.max("snapshot_at").alias("snapshot_at"))
+    latest = {
+        name: salted_lookup(df, newest, ["db_id", "snapshot_at"], [c for c in df.columns if c != "db_id"]).drop("snapshot_at")
+        for name, df in landed.items()
+    }
+    return {**latest, "databases": newest.select("db_id")}
