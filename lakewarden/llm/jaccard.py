@@ -2,11 +2,16 @@
 
 A document's tokens are hashes of its word shingles. The join has two levels.
 
-Routing. Tokens are ordered by hash and cut into ranges, one more than two
-linked sets of a size class can differ in. So some range holds the same tokens
-in both, and the combination of all its tokens (about nine) is a key that both
-have. Documents that share keys, directly or in a chain, form a candidate group;
-a passage many documents share fills no range, so it joins none.
+Routing. Documents that share keys, directly or in a chain, form a candidate
+group. Tokens are ordered by hash. For a high similarity they are cut into
+ranges, some more than two linked sets of a size class can differ in. So some
+range holds the same tokens in both, and the combination of all its tokens
+(about eight at 0.9) is a key that both have; a passage that many documents
+share fills no range, so it joins none. For a lower one ranges would hold too
+few tokens. There the keys come from a prefix: of linked sets the first two
+common tokens lie among the first in each, two more than a linked set may lack.
+A token that few documents have there is a key by itself; of the frequent ones
+each pair is a key.
 
 Joining. Inside a group tokens are ordered from rare to frequent. A link needs a
 common token among each side's rarest; where that one is rare, single tokens are
@@ -33,6 +38,10 @@ from .components import components
 BLOCK = 1000
 #: A token is rare in a group if at most so many of its documents have it
 RARE = 16
+#: The same for the prefixes of all documents
+RARE_IN_CORPUS = 64
+#: From this similarity on ranges are the keys
+RANGES_FROM = 0.85
 
 
 def token_set(text: Column, shingle: int) -> Column:
@@ -56,11 +65,30 @@ def _size_classes(share: float, limit: int = 2**31) -> np.ndarray:
     return np.array(ends)
 
 
-def _route_keys(sets: DataFrame, share: float) -> DataFrame:
+def _range_numbers(ends: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each size class the number of ranges, and how many of them linked sets have alike at least.
+
+    An empty range is alike in too many sets to be a key. So there are as many
+    ranges as it takes for the smallest sets to have fewer empty ones, almost
+    always, than are alike; sets with more use their empty ranges as well.
+    """
+    # |x - y| + |y - x| <= (|x| + |y|) (1 - share) / (1 + share), and |x|, |y| are below the class's end
+    differ = np.floor(2 * (ends[1:] - 1) * (1 - share) / (1 + share) + 1e-9).astype(np.int64)
+    ranges = differ + 1
+    for at, (lower, d) in enumerate(zip(ends[:-1].tolist(), differ.tolist(), strict=True)):
+        smallest = max(1.0, share * lower)
+        for m in (d + 1 + int(k * (d + 8) / 40) for k in range(40)):
+            empty = m * math.exp(-smallest / m)
+            if m - d > empty + 4 * math.sqrt(empty) + 1:
+                ranges[at] = m
+                break
+    return ranges, ranges - differ
+
+
+def _range_keys(sets: DataFrame, share: float) -> DataFrame:
     """(key, id): a hash of the tokens in each range, for the set's size class and, near its end, the next."""
     ends = _size_classes(share)
-    # |x - y| + |y - x| <= (|x| + |y|) (1 - share) / (1 + share), and |x|, |y| are below the class's end
-    ranges = np.floor(2 * (ends[1:] - 1) * (1 - share) / (1 + share) + 1e-9).astype(np.int64) + 1
+    ranges, alike = _range_numbers(ends, share)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +109,15 @@ def _route_keys(sets: DataFrame, share: float) -> DataFrame:
                 m = ranges[scheme]
                 cell = (place * m[row]).astype(np.int64)
                 first = np.concatenate([[0], np.cumsum(m * takes)])
-                sums = np.zeros(first[-1], np.uint64)  # an empty range has the sum 0, and counts as well
+                sums, held = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
                 used = takes[row]
-                np.add.at(sums, first[row[used]] + cell[used], mixed[used])
+                at = first[row[used]] + cell[used]
+                np.add.at(sums, at, mixed[used])
+                held[at] = True
                 owner = np.repeat(np.arange(len(sizes)), m * takes)
-                cells = np.arange(first[-1]) - first[owner]
+                empty = np.bincount(owner[~held], minlength=len(sizes))
+                kept = held | (empty >= alike[scheme])[owner]
+                sums, owner, cells = sums[kept], owner[kept], (np.arange(first[-1]) - first[owner])[kept]
                 key = sums ^ ((scheme[owner] * 2**24 + cells).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 key *= np.uint64(0xFF51AFD7ED558CCD)
                 key ^= key >> np.uint64(33)
@@ -94,6 +126,33 @@ def _route_keys(sets: DataFrame, share: float) -> DataFrame:
     return sets.mapInArrow(keys, "key bigint, id bigint")
 
 
+def _range_chains(sets: DataFrame, share: float) -> DataFrame:
+    """(u, v): neighbours in each key's order, so a key's documents form a chain and not all pairs."""
+    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
+    return _range_keys(sets, share).withColumn("v", before).where("v < id").select(F.col("id").alias("u"), "v")
+
+
+def _prefix_chains(sets: DataFrame, share: float) -> DataFrame:
+    """(u, v): neighbours by single rare tokens and by pairs of frequent ones, of each set's prefix."""
+    size = F.size("tokens")
+    spare = size - F.ceil(size * share - 1e-9).cast("int")
+    prefix = F.when(size > 0, F.slice("tokens", F.lit(1), spare + 2))
+    each = sets.select("id", (size == 1).alias("lone"), F.explode_outer(prefix).alias("key")).where("key is not null")
+    one = Window.partitionBy("key")
+    placed = each.withColumns({"n": F.count("*").over(one), "v": F.lag("id").over(one.orderBy("id"))}).where("n > 1")
+    # written, as both kinds of keys are made from it
+    placed = written(placed, "jaccard-prefixes")
+    singles = placed.where(F.col("lone") | (F.col("n") <= RARE_IN_CORPUS)).where("v < id").select(F.col("id").alias("u"), "v")
+    frequent = placed.where(F.col("n") > RARE_IN_CORPUS).groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    pairs = let(
+        F.col("keys"),
+        lambda k: F.flatten(F.transform(k, lambda a, i: F.transform(F.slice(k, i + 2, F.size(k)), lambda b: F.xxhash64(a, b)))),
+    )
+    both = frequent.select("id", F.explode_outer(pairs).alias("key")).where("key is not null")
+    before = F.lag("id").over(one.orderBy("id"))
+    return singles.union(both.withColumn("v", before).where("v < id").select("id", "v"))
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -193,10 +252,7 @@ def similar(
     rows = documents.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     sets = rows.select("id", token_set(F.col("text"), shingle).alias("tokens"))
     usable = sets.where(F.col("id").isNotNull())
-    keys = _route_keys(usable, share)
-    # neighbours in a key's order, so a key's documents form a chain and not all pairs
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
-    chains = keys.withColumn("v", before).where("v < id").select(F.col("id").alias("u"), "v").distinct()
+    chains = (_range_chains if share >= RANGES_FROM else _prefix_chains)(usable, share).distinct()
     candidates = written(components(written(chains, "jaccard-chains")), "jaccard-groups")
 
     whole = candidates.groupBy("component").agg(F.count("*").alias("members"))
