@@ -131,12 +131,13 @@ def _count_words(text: str) -> int:
 
 def _choose_stems(rows: list, n_toxic: int, n_clean: int, max_stems: int) -> list[str]:
     """Stems far likelier in toxic documents; of nested ones the clearest, then the longest."""
-    rated = []
+    rated, rate = [], n_toxic / (n_toxic + n_clean)
     for stem, toxic, clean in rows:
-        odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-        z = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-        if odds >= 2 and z >= 4:
-            rated.append((-round(float(z), 9), -len(stem), stem))
+        both = toxic + clean
+        # the log-likelihood ratio against toxic documents holding it no oftener than others: 30 is chance in 1 of 10 million
+        ratio = 2 * toxic * np.log(toxic / (both * rate)) + (2 * clean * np.log(clean / (both * (1 - rate))) if clean else 0.0)
+        if ratio >= 30:
+            rated.append((-round(float(ratio), 9), -len(stem), stem))
     clear = {stem: -z for z, _, stem in rated}
     chosen: list[str] = []
     for z, _, stem in sorted(rated):
