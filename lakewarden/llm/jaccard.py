@@ -260,8 +260,9 @@ def similar(
     # the join comes before the sets are made, so only candidates' texts are cut into words
     texts = rows.where(F.col("id").isNotNull()).join(placed.withColumnRenamed("node", "id"), "id")
     sets = texts.select("id", "component", "members", token_set(F.col("text"), shingle).alias("tokens"))
-    same = sets.where(F.size("tokens") > 0).withColumns({"h1": F.xxhash64("tokens"), "h2": F.hash("tokens"), "n": F.size("tokens")})
-    same = written(same, "jaccard-sets")
+    # no filter on the sets: Spark would make them for all documents, before the join
+    same = sets.withColumns({"h1": F.xxhash64("tokens"), "h2": F.hash("tokens"), "n": F.size("tokens")})
+    same = written(same, "jaccard-sets").where("n > 0")
     classes = same.groupBy("h1", "h2", "n").agg(F.min("id").alias("least"))
     copies = same.select("h1", "h2", "n", "id").join(classes, ["h1", "h2", "n"]).where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     firsts = same.join(classes, ["h1", "h2", "n"]).where("id = least").select("id", "component", "members", "tokens")
