@@ -31,6 +31,8 @@ from .common import hinted, ship, written
 GRAM = 16
 #: Bytes of text in a chunk, and bytes of all texts for each part that passages are dealt to
 CHUNK_BYTES, PART_BYTES = 4_000_000, 4_000_000
+#: Answers up to this size go to all chunks; beyond it chunks and answers are shuffled
+BROADCAST_BYTES = 64_000_000
 #: A home found in more chunks is spread by whole strings, so no part gets all of its passages
 HOT_CHUNKS = 64
 
@@ -167,14 +169,17 @@ def _bits(masks, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n).astype(bool) for m, n in zip(masks, counts, strict=True)] or [np.zeros(0, bool)])
 
 
-def _answers(rows: DataFrame, columns: list[str], purpose: str) -> DataFrame:
+def _answers(rows: DataFrame, columns: list[str], purpose: str, broadcast_bytes: int) -> DataFrame:
     """The answers of all parts to a chunk, in the parts' order; one row per chunk, of at most one bit per home."""
     answer = F.sort_array(F.collect_list(F.struct("part", *columns)))
     grouped = rows.groupBy("chunk").agg(answer.alias("a")).select("chunk", *[F.col("a")[c].alias(c) for c in columns])
-    return hinted(written(grouped, purpose), 10_000)
+    answers = written(grouped, purpose)
+    sizes = [F.aggregate(c, F.lit(0).cast("bigint"), lambda total, x: total + F.octet_length(x)) for c in columns]
+    total = answers.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    return F.broadcast(answers) if total <= broadcast_bytes else answers
 
 
-def _shared_homes(chunks: DataFrame, length: int, parts: int, hot_chunks: int) -> DataFrame:
+def _shared_homes(chunks: DataFrame, length: int, parts: int, hot_chunks: int, broadcast_bytes: int) -> DataFrame:
     """(chunk, shared, hot): bits for the distinct hashes of each part."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +214,7 @@ def _shared_homes(chunks: DataFrame, length: int, parts: int, hot_chunks: int) -
 
     sent = chunks.mapInPandas(send, "part bigint, chunk bigint, prints binary, twice binary")
     met = sent.groupBy("part").applyInPandas(meet, "part bigint, chunk bigint, shared binary, hot binary")
-    return _answers(met, ["shared", "hot"], "repeat-homes")
+    return _answers(met, ["shared", "hot"], "repeat-homes", broadcast_bytes)
 
 
 def _flags(homes: Homes, row, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +239,7 @@ def runs_of(data: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def _repeats(chunks: DataFrame, length: int, parts: int) -> DataFrame:
+def _repeats(chunks: DataFrame, length: int, parts: int, broadcast_bytes: int) -> DataFrame:
     """(chunk, repeated): bits for the strings of each part's distinct passages."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,7 +279,7 @@ def _repeats(chunks: DataFrame, length: int, parts: int) -> DataFrame:
 
     sent = chunks.mapInPandas(send, "part bigint, chunk bigint, owners binary, sizes binary, data binary")
     met = sent.groupBy("part").applyInPandas(meet, "part bigint, chunk bigint, repeated binary")
-    return _answers(met, ["repeated"], "repeat-strings")
+    return _answers(met, ["repeated"], "repeat-strings", broadcast_bytes)
 
 
 def _cut(chunks: DataFrame, length: int, parts: int) -> DataFrame:
@@ -317,6 +322,7 @@ def _cut(chunks: DataFrame, length: int, parts: int) -> DataFrame:
 def repeated_spans(
     documents: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50,
     chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES, hot_chunks: int = HOT_CHUNKS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per document: id, n_bytes, ``spans`` (start, end) of removed bytes, kept_sha256.
 
@@ -340,8 +346,8 @@ def repeated_spans(
     chunks = _chunks(marked.where(~F.coalesce(copied, F.lit(False)) & ~plain), chunk_bytes)
     total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    known = chunks.join(_shared_homes(chunks, length, parts, hot_chunks), "chunk", "left")
-    answered = known.join(_repeats(known, length, parts), "chunk", "left")
+    known = chunks.join(_shared_homes(chunks, length, parts, hot_chunks, broadcast_bytes), "chunk", "left")
+    answered = known.join(_repeats(known, length, parts, broadcast_bytes), "chunk", "left")
     searched = _cut(answered, length, parts).select(
         "id", "n_bytes", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), F.col("sha").alias("kept_sha256")
     )

@@ -182,7 +182,7 @@ def test_repeats_do_not_depend_on_the_parts(spark):
     rows = [(n, f"{n} " + A[n % 7 : 60 + n % 23] + f" {n * 7} " + A[5 : 58 + n % 3]) for n in range(60)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = sorted((i, removed, runs) for i, _, removed, runs, _ in removed_by_brute_force([(i, t.encode()) for i, t in rows]))
-    for options in ({}, {"chunk_bytes": 300, "part_bytes": 200, "hot_chunks": 2}):
+    for options in ({}, {"chunk_bytes": 300, "part_bytes": 200, "hot_chunks": 2, "broadcast_bytes": 0}):
         found = repeats.repeated_spans(docs, **options).collect()
         assert sorted((r.doc_id, sum(s.end - s.start for s in r.spans), len(r.spans)) for r in found) == expected
 
