@@ -6,11 +6,10 @@ they meet, and only homes that two documents share are looked at further. Texts
 lie in chunks; a chunk sends each hash and each passage once, however many of
 its documents hold it, and gets bits back.
 
-Where passages meet, their suffixes are sorted by prefix doubling up to
-``length`` bytes. Suffixes that agree so far are one run of that order; the
-run's least document is kept as its sample, and each passage's strings are
-matched against the samples: a string is a repeat if its run's sample is a
-smaller document.
+Where passages meet, their suffixes are sorted so that those that agree in
+``length`` bytes are one run; the run's least document is kept as its sample,
+and each passage's strings are matched against the samples: a string is a repeat
+if its run's sample is a smaller document.
 """
 
 from __future__ import annotations
@@ -225,18 +224,32 @@ def _flags(homes: Homes, row, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return _bits(row["shared"], counts), _bits(row["hot"], counts)
 
 
-def runs_of(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position the run, among all suffixes in order, of those that agree in ``length`` bytes. 16 <= length."""
-    n = len(data)
-    _, rank = np.unique(_eights(data, n), return_inverse=True)
-    reach = 8
-    while reach < length:
-        step = min(reach, length - reach)
-        after = np.zeros(n, np.int64)
-        after[: max(n - step, 0)] = rank[step:] + 1
-        _, rank = np.unique(rank.astype(np.int64) * (n + 1) + after, return_inverse=True)
-        reach += step
-    return rank
+def runs_of(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes from ``begin`` sorted so that those that agree in ``length`` bytes are neighbours: order, run starts.
+
+    Sorted by a hash of the bytes; that neighbours of one hash agree is checked
+    on the bytes themselves, and what does not agree gets a finer order.
+    """
+    eights = _eights(data, len(data))
+    steps = [*range(0, length - 8, 8), length - 8]
+    key = np.zeros(len(begin), np.uint64)
+    for step in steps:
+        key = _mixed(key ^ eights[begin + step])
+    order = np.argsort(key, kind="stable")
+
+    def changes(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        there = begin[order]
+        differ = np.zeros(max(len(order) - 1, 0), bool)
+        for step in steps:
+            word = eights[there + step]
+            differ |= word[1:] != word[:-1]
+        return key[order][1:] != key[order][:-1], differ
+
+    hashed, differ = changes(order)
+    if (differ & ~hashed).any():  # two strings with one hash
+        order = np.lexsort([*(eights[begin + step] for step in reversed(steps)), key])
+        _, differ = changes(order)
+    return order, np.flatnonzero(np.concatenate([[True], differ]))[: max(len(order), 0)]
 
 
 def _repeats(chunks: DataFrame, length: int, parts: int, broadcast_bytes: int) -> DataFrame:
@@ -261,16 +274,15 @@ def _repeats(chunks: DataFrame, length: int, parts: int, broadcast_bytes: int) -
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["sizes"]]
         size, owner = np.concatenate(sizes), np.concatenate([np.frombuffer(x, np.int64) for x in rows["owners"]])
-        run = runs_of(np.frombuffer(b"".join(rows["data"]), np.uint8), length)
+        data = np.frombuffer(b"".join(rows["data"]), np.uint8)
         strings = size - length + 1
         begin = np.cumsum(size) - size
         at = np.repeat(begin, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        mine, of = run[at], np.repeat(owner, strings)
-        order = np.argsort(mine, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], mine[order][1:] != mine[order][:-1]]))
-        sample = np.zeros(run.max() + 1, np.int64)
-        sample[mine[order][starts]] = np.minimum.reduceat(of[order], starts)
-        found = sample[mine] < of
+        order, starts = runs_of(data, at, length)
+        of = np.repeat(owner, strings)
+        sample = np.minimum.reduceat(of[order], starts)
+        found = np.empty(len(at), bool)
+        found[order] = np.repeat(sample, np.diff(np.append(starts, len(order)))) < of[order]
         per_row = np.array([int((x - length + 1).sum()) for x in sizes])
         return pd.DataFrame({
             "part": rows["part"], "chunk": rows["chunk"],
