@@ -26,8 +26,8 @@ from .components import components
 from .jaccard import _Forest
 
 WORDS, PER_WORD, BLOCK_BITS = 4, 4, 15
-#: Hashes of unrelated lines differ in 120 of 240 bits, give or take 8
-NEAR_BITS = 64
+#: Hashes of unrelated lines differ in 120 of 240 bits, give or take 8; those of lines of which a fifth of the words differ in 49
+NEAR_BITS = 52
 #: Lines of a block; a task compares two blocks
 BLOCK = 1000
 
@@ -64,20 +64,33 @@ def _keys(sims: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein's, by bit vectors as long as ``a``."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein's, by bit vectors as long as ``a``; above ``most`` some number above it."""
+    if most is None:
+        most = len(a) + len(b)
+    begin, short = 0, min(len(a), len(b))
+    while begin < short and a[begin : begin + 16] == b[begin : begin + 16]:
+        begin += 16
+    a, b = a[begin:], b[begin:]
+    end, short = 0, min(len(a), len(b))
+    while end + 16 <= short and a[len(a) - end - 16 : len(a) - end] == b[len(b) - end - 16 : len(b) - end]:
+        end += 16
+    a, b = a[: len(a) - end], b[: len(b) - end]
     if not a or not b:
         return max(len(a), len(b))
     where: dict[str, int] = {}
     for i, letter in enumerate(a):
         where[letter] = where.get(letter, 0) | 1 << i
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = every, 0, len(a)
+    up, down, score, left = every, 0, len(a), len(b)
     for letter in b:
         same = where.get(letter, 0)
         diagonal = (((same & up) + up) ^ up) | same | down
         more, less = down | ~(diagonal | up) & every, up & diagonal
         score += bool(more & top) - bool(less & top)
+        left -= 1
+        if score - left > most:  # each letter left can take one away
+            return score - left
         more, less = (more << 1 | 1) & every, less << 1 & every
         up, down = less | ~(diagonal | more) & every, more & diagonal
     return score
@@ -198,8 +211,8 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
                 others = others[shorter >= share * longer]
                 for y in _near(sims, x, others).tolist():
                     if forest.root(x) != forest.root(y):
-                        most = max(sizes[x], sizes[y])
-                        if most - edit_distance(text[x], text[y]) >= share * most:
+                        longer = max(sizes[x], sizes[y])
+                        if longer - edit_distance(text[x], text[y], int((1 - share) * longer) + 1) >= share * longer:
                             forest.join(x, y)
                             u.append(node[x])
                             v.append(node[y])
