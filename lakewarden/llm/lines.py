@@ -6,14 +6,14 @@ lines are joined on blocks (most pairs with up to twice as many differing bits
 meet there as well). As 15 bits are few for many lines, a block's key also holds
 two words: every other block the line's first two, the others its last two, of
 which an edit leaves one pair alone. Pairs with near hashes form candidate
-groups, inside which the edit similarity of the lines is verified. Of each
-connected group of verified links the first occurrence stays, by document and
-line.
+groups, inside which the edit similarity of the lines, word by word, is
+verified. Of each connected group of verified links the first occurrence stays,
+by document and line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -64,8 +64,8 @@ def _keys(sims: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein's, by bit vectors as long as ``a``; above ``most`` some number above it."""
+def edit_distance(a: Sequence, b: Sequence, most: int | None = None) -> int:
+    """Levenshtein's between texts or lists of words, by bit vectors as long as ``a``; above ``most`` some number above it."""
     if most is None:
         most = len(a) + len(b)
     begin, short = 0, min(len(a), len(b))
@@ -78,7 +78,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     a, b = a[: len(a) - end], b[: len(b) - end]
     if not a or not b:
         return max(len(a), len(b))
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, letter in enumerate(a):
         where[letter] = where.get(letter, 0) | 1 << i
     every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -199,7 +199,7 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["component", "node"], ignore_index=True)
-        group, node, text = rows["component"].to_numpy(), rows["node"].to_numpy(), rows["norm"].tolist()
+        group, node, text = rows["component"].to_numpy(), rows["node"].to_numpy(), [t.split(" ") for t in rows["norm"]]
         sims = rows[["s0", "s1", "s2", "s3"]].to_numpy()
         sizes = np.array([len(t) for t in text])
         forest, u, v = _Forest(len(rows)), [], []
@@ -227,7 +227,8 @@ def repeated_lines(
     """(id, rk, line): the lines, numbered from 0 in their text, that repeat an earlier one. ``rk`` is a hash of the text.
 
     Lines that differ in case, spaces or punctuation only are equal; others are
-    linked if 1 - edit distance / longer length is at least ``share``. The first
+    linked if 1 - edit distance / longer length, both in words, is at least
+    ``share``. The first
     line of a group stays, by id, text hash and number. Lines of fewer than
     ``min_words`` words count as no repeats, so NULL, empty and blank texts have
     none. Rows that repeat both id and text are one document here. Documents

@@ -137,14 +137,14 @@ def test_lines_by_brute_force(spark, small, texts):
     for i, n, line in places:
         first.setdefault(line, (i, n))
     exact = {(i, n) for i, n, line in places if first[line] != (i, n)}
-    distinct = sorted(first, key=len)
+    distinct = sorted((line.split() for line in first), key=len)
     alike = set()
     for k, a in enumerate(distinct):
         for b in distinct[k + 1 :]:
             if len(a) < 0.8 * len(b):
                 break
-            if len(set(a.split()) & set(b.split())) * 2 >= len(set(b.split())) and len(b) - edit_distance(a, b) >= 0.8 * len(b):
-                alike |= {a, b}
+            if len(set(a) & set(b)) * 2 >= len(set(b)) and len(b) - edit_distance(a, b) >= 0.8 * len(b):
+                alike |= {" ".join(a), " ".join(b)}
     fuzzy = {(i, n) for i, n, line in places if line in alike}
     rows = QUERIES["op3_lines"](spark, small).collect()
     removed = sum(r.n_removed_lines for r in rows)
