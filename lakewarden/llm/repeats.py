@@ -22,7 +22,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.shared import shared_folder
 from .common import hinted, ship, written
