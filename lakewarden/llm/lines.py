@@ -14,6 +14,7 @@ by document and line.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -211,8 +212,10 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
                 others = others[shorter >= share * longer]
                 for y in _near(sims, x, others).tolist():
                     if forest.root(x) != forest.root(y):
-                        longer = max(sizes[x], sizes[y])
-                        if longer - edit_distance(text[x], text[y], int((1 - share) * longer) + 1) >= share * longer:
+                        longer, a, b = max(sizes[x], sizes[y]), text[x], text[y]
+                        # words changed in place bound the distance from above, in one pass
+                        alike = len(a) == len(b) and longer - sum(map(ne, a, b)) >= share * longer
+                        if alike or longer - edit_distance(a, b, int((1 - share) * longer) + 1) >= share * longer:
                             forest.join(x, y)
                             u.append(node[x])
                             v.append(node[y])
