@@ -42,7 +42,7 @@ def op2_licences(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, directory: str) -> DataFrame:
-    left = without_repeated_lines(table(spark, directory, "documents").select("doc_id", "text"))
+    left = without_repeated_lines(table(spark, directory, "documents").select("doc_id", "text"), min_words=1)
     lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1)))
     return left.select(
         "doc_id",
