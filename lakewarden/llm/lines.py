@@ -1,14 +1,15 @@
 """Fuzzy line deduplication.
 
-Lines are normalised and hashed by SimHash over their words, 240 bits. Two
-hashes that differ in at most 15 bits agree in one of 16 blocks of 15 bits, so
-lines are joined on blocks (most pairs with up to twice as many differing bits
-meet there as well). As 15 bits are few for many lines, a block's key also holds
-two words: every other block the line's first two, the others its last two, of
-which an edit leaves one pair alone. Pairs with near hashes form candidate
-groups, inside which the edit similarity of the lines, word by word, is
-verified. Of each connected group of verified links the first occurrence stays,
-by document and line.
+Lines are normalised, and equal ones form a class. Classes meet by their words:
+lines of which at most k words are edited share all but k, so of the words
+ordered from rare to frequent some word among the first k + 1 of each is in
+both. A sample finds the frequent words; it settles the order, which decides
+work and never a result. Frequent words are keys together with a class of the
+line's length. Pairs that meet are held against a signature, one bit flipped per
+word: a pair whose signatures differ in more bits than words may differ is no
+link. What is left forms candidate groups, inside which the edit similarity of
+the lines, word by word, is verified. Of each connected group of verified links
+the first occurrence stays, by document and line.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from operator import ne
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,43 +28,75 @@ from .common import fresh, hinted, ship, written
 from .components import components
 from .jaccard import _Forest
 
-WORDS, PER_WORD, BLOCK_BITS = 4, 4, 15
-#: Hashes of unrelated lines differ in 120 of 240 bits, give or take 8; those of lines of which a fifth of the words differ in 49
-NEAR_BITS = 52
+#: 64-bit words of a signature, and of that of lines of more than WIDE_FROM words
+WORDS, WIDE, WIDE_FROM = 4, 32, 200
+SIGNS = (*(f"s{k}" for k in range(WORDS)), "wide")
 #: Lines of a block; a task compares two blocks
 BLOCK = 1000
-
-_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+#: Lines of a key up to which all pairs are compared at once
+FEW = 32
+#: Words of the sample whose counts are known, and the count from which a key holds the line's length
+OFTEN_ROWS, FREQUENT = 20_000, 16
 
 
 def normalised(line: Column) -> Column:
-    """Lower case, with every run of other characters than letters and digits as one space."""
-    return F.btrim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
-
-
-def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Four words of 60 bits per line; the words' hashes of line i begin at starts[i]."""
-    sizes = np.diff(np.concatenate([starts, [len(hashes)]]))
-    out = np.zeros((len(starts), 4), np.int64)
-    for k, seed in enumerate(_SEEDS):
-        x = hashes.view(np.uint64) * np.uint64(seed | 1)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(33)
-        for bit in range(PER_WORD * BLOCK_BITS):
-            ones = np.add.reduceat((x >> np.uint64(bit) & np.uint64(1)).astype(np.int32), starts)
-            out[:, k] |= (2 * ones > sizes).astype(np.int64) << bit
-    return out
-
-
-def _keys(sims: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """A key for each of the 16 blocks: its number and bits, and a hash of the line's first or last two words."""
-    mask, keys = (1 << BLOCK_BITS) - 1, []
-    for b in range(WORDS * PER_WORD):
-        bits = sims[:, b // PER_WORD] >> BLOCK_BITS * (b % PER_WORD) & mask
-        x = (tail if b % 2 else head) ^ (bits + (b << BLOCK_BITS)) * -7046029254386353131
+    """Lower case, with every run of other characters than letters and digits as one space.
+
+    Letters of scripts without spaces between words are words by themselves.
+    """
+    lower = F.lower(line)
+    alone = F.regexp_replace(lower, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])", " $1 ")
+    spaced = F.when(F.octet_length(lower) > F.length(lower), alone).otherwise(lower)
+    return F.btrim(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " "))
+
+
+def _least(sizes: np.ndarray, share: float) -> np.ndarray:
+    """How many words a line of so many words has in common with a linked line that is no longer."""
+    return np.ceil(share * sizes - 1e-9).astype(np.int64)
+
+
+def signatures(hashes: np.ndarray, starts: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64-bit words per line, each word's bit flipped as often as it occurs; the words' hashes of line i begin at starts[i].
+
+    A word more or less flips one bit, so lines differ in at most as many bits as words.
+    """
+    bit = (hashes.view(np.uint64) >> np.uint64(5)) & np.uint64(64 * words - 1)
+    place, value = bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63))
+    out = np.empty((len(starts), words), np.uint64)
+    for k in range(words):
+        out[:, k] = np.bitwise_xor.reduceat(np.where(place == k, value, np.uint64(0)), starts)
+    return out.view(np.int64)
+
+
+def word_keys(hashes: np.ndarray, sizes: np.ndarray, often: tuple[np.ndarray, np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): linked lines, other than equal ones, have a key in common.
+
+    ``often`` has hashes, in order, and counts of frequent words.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    count = np.zeros(len(hashes), np.int64)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
+        count = np.where(often[0][at] == hashes, np.minimum(often[1][at], 2**15), 0)
+    value = count << 47 | (hashes.view(np.uint64) >> np.uint64(17)).view(np.int64)
+    order = np.lexsort((value, row))
+    value, row, count = value[order], row[order], count[order]
+    spare = sizes - _least(sizes, share)  # words that a linked line may lack
+    edits = (spare > 0) | (np.floor(sizes / share + 1e-9) > sizes)  # otherwise linked lines are equal
+    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
+    taken = (place <= spare[row]) & edits[row] & new[: len(row)]
+    value, row, frequent = value[taken], row[taken], count[taken] >= FREQUENT
+    ends = [1]
+    while ends[-1] <= sizes.max(initial=1):  # linked lines lie in one class of length or in neighbouring ones
+        ends.append(max(ends[-1] + 1, int(np.ceil(ends[-1] / share - 1e-9))))
+    own = np.searchsorted(np.array(ends), sizes, side="right")[row[frequent]]
+    lines, keys = [row[~frequent]], [value[~frequent]]
+    for step in (0, 1):
+        x = value[frequent] ^ (own + step) * -7046029254386353131
+        lines.append(row[frequent])
         keys.append(x ^ (x >> 29))
-    return np.stack(keys, axis=1)
+    return np.concatenate(lines), np.concatenate(keys)
 
 
 def edit_distance(a: Sequence, b: Sequence, most: int | None = None) -> int:
@@ -97,91 +131,113 @@ def edit_distance(a: Sequence, b: Sequence, most: int | None = None) -> int:
     return score
 
 
-def _near(sims: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
-    return others[np.bitwise_count(sims[others] ^ sims[x]).sum(axis=1) <= NEAR_BITS]
+class _Filter:
+    """Rejects pairs by their lengths and signatures; no pair that is linked."""
+
+    def __init__(self, rows: pd.DataFrame, share: float):
+        self.share, self.sizes = share, rows["n"].to_numpy().astype(np.int64)
+        # unsigned, as of signed numbers the bits of their absolute values are counted
+        self.signs = rows[[f"s{k}" for k in range(WORDS)]].to_numpy().astype(np.int64).view(np.uint64)
+        self.wide = [w if w is None else np.frombuffer(w, np.uint64) for w in rows["wide"]]
+
+    def near(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Of pairs of rows, which may be linked."""
+        a, b = self.sizes[xs], self.sizes[ys]
+        most = a + b - 2 * _least(np.maximum(a, b), self.share)
+        out = most >= np.abs(a - b)
+        at = np.flatnonzero(out)
+        x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
+        out[at] = np.bitwise_count(self.signs[x] ^ self.signs[y]).sum(axis=1) <= most[at]
+        at = np.flatnonzero(out & (np.minimum(a, b) > WIDE_FROM))
+        x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
+        out[at] = [np.bitwise_count(self.wide[i] ^ self.wide[j]).sum() <= m for i, j, m in zip(x, y, most[at], strict=True)]
+        return out
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """The lines of ``text`` with hashes of their normalised text and of its words."""
+    each = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
+    plain = each.select("id", "rk", "line", normalised(F.coalesce("body", F.lit(""))).alias("norm"))
+    return plain.select(
+        "id", "rk", "line", F.xxhash64("norm").alias("l1"), F.crc32(F.col("norm").cast("binary")).alias("l2"),
+        F.when(F.col("norm") != "", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")).alias("words"),
+    )
 
 
-def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """(id, rk, line, n, l1, l2, head, tail, s0..s3): the lines that count, with the hashes of their normalised text."""
-    rows = documents.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
-    plain = rows.select("id", "rk", "line", normalised(F.coalesce("body", F.lit(""))).alias("norm"))
-    hashed = plain.select(
-        "id", "rk", "line", F.length("norm").alias("n"), F.xxhash64("norm").alias("l1"), F.crc32(F.col("norm").cast("binary")).alias("l2"),
-        F.split("norm", " ").alias("w"),
-    ).select(
-        "id", "rk", "line", "n", "l1", "l2",
-        F.xxhash64(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("head"),
-        F.xxhash64(F.get("w", F.size("w") - 2), F.get("w", F.size("w") - 1)).alias("tail"),
-        F.transform("w", lambda w: F.xxhash64(w)).alias("words"),
-    )
+def often_used(rows: DataFrame, sample_rows: int = 2000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of the most frequent words of about ``sample_rows`` documents, OFTEN_ROWS at most."""
+    sample = rows.sample(fraction=min(1.0, sample_rows / max(rows.count(), 1)), seed=seed)
+    counts = _words(sample).select(F.explode_outer("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1 and w is not null")
+    found = sorted(map(tuple, counts.orderBy(F.desc("n"), "w").limit(OFTEN_ROWS).collect()))
+    return np.array([w for w, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+
+
+def _lines(rows: DataFrame, min_words: int, share: float) -> DataFrame:
+    """(id, rk, line, l1, l2, n, s0..s3, wide, keys): the lines that count, with what their classes are compared by."""
+    often = often_used(rows)
+    names = ["id", "rk", "line", "l1", "l2"]
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("words")
-            sizes = np.diff(words.offsets.to_numpy())
-            sized = batch.column("n").to_numpy() > 0
-            takes = np.flatnonzero((sizes >= min_words) & sized)
-            if not len(takes):
+            kept = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("words")), max(min_words, 1)))
+            if not kept.num_rows:
                 continue
-            kept = batch.take(pa.array(takes))
-            lists = kept.column("words")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(sizes[takes]) - sizes[takes]
-            sims = simhashes(flat, starts)
-            names = ["id", "rk", "line", "n", "l1", "l2", "head", "tail"]
+            column = kept.column("words")
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            signs = signatures(flat, starts)
+            wide = [signatures(flat[s : s + n], np.array([0]), WIDE).tobytes() if n > WIDE_FROM else None for s, n in zip(starts, sizes, strict=True)]
+            line, key = word_keys(flat, sizes.astype(np.int64), often, share)
+            key = key[np.argsort(line, kind="stable")]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(sizes)))])
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key))
             yield pa.RecordBatch.from_arrays(
-                [*[kept.column(c) for c in names], *[pa.array(sims[:, k]) for k in range(4)]], names=[*names, "s0", "s1", "s2", "s3"]
-            )
-
-    id_type = documents.schema["id"].dataType.simpleString()
-    return hashed.mapInArrow(hash_, f"id {id_type}, rk bigint, line int, n int, l1 bigint, l2 bigint, head bigint, tail bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+                [*[kept.column(c) for c in names], pa.array(sizes, pa.int32()), *[pa.array(signs[:, k]) for k in range(WORDS)], pa.array(wide, pa.binary()), keys],
+                names=[*names, "n", *SIGNS, "keys"],
+            )
 
+    id_type = rows.schema["id"].dataType.simpleString()
+    signs = ", ".join(f"s{k} bigint" for k in range(WORDS))
+    return _words(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, {signs}, wide binary, keys array<bigint>")
 
-def _candidates(lines: DataFrame) -> DataFrame:
-    """(u, v): near pairs that share a block, enough of them to connect all that do."""
 
-    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = np.stack([batch.column(f"s{k}").to_numpy() for k in range(4)], axis=1)
-            keys = _keys(sims, batch.column("head").to_numpy(), batch.column("tail").to_numpy())
-            owner = np.repeat(np.arange(len(sims)), keys.shape[1])
-            taken = batch.take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1)), *[taken.column(c) for c in ("node", "s0", "s1", "s2", "s3")]], names=["key", "node", "s0", "s1", "s2", "s3"]
-            )
-
-    slim = lines.select("node", "head", "tail", "s0", "s1", "s2", "s3")
-    rows = slim.mapInArrow(key_rows, "key bigint, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    total = lines.count()
-    parts = max(1, -(-total // 5000))
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+def _candidates(lines: DataFrame, share: float) -> DataFrame:
+    """(u, v): pairs that share a key and may be linked, enough of them to connect all that do."""
+    rows = lines.select(F.explode_outer("keys").alias("key"), "node", "n", *SIGNS).where("key is not null")
+    parts = max(1, -(-lines.count() // 5000))
+    hot = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     hot = hinted(written(hot, "line-hot-blocks"))
     sized = rows.join(hot, "key", "left")
-    cold = sized.where("n is null").select(
+    cold = sized.where("members is null").select(
         F.concat(F.lit("p"), F.pmod(F.xxhash64("key"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *rows.columns
     )
-    split = dealt(sized.where("n is not null"), F.col("key").cast("string"), F.col("n"), rows.columns)
+    split = dealt(sized.where("members is not null"), F.col("key").cast("string"), F.col("members"), rows.columns)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "node"], ignore_index=True)
-        key, node = rows["key"].to_numpy(), rows["node"].to_numpy()
-        sims = rows[["s0", "s1", "s2", "s3"]].to_numpy()
+        key, node, pairs = rows["key"].to_numpy(), rows["node"].to_numpy(), _Filter(rows, share)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.concatenate([starts[1:], [len(key)]])
+        last = np.repeat(np.where(ends - starts <= FEW, ends, 0), ends - starts)
         u, v = [], []
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+        for step in range(1, FEW):
+            xs = np.flatnonzero(np.arange(len(key)) + step < last)
+            xs = xs[pairs.near(xs, xs + step)]
+            u.append(node[xs])
+            v.append(node[xs + step])
+        for s, e in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
             left = np.arange(s, e)
             while len(left) > 1:  # a sweep from a line takes those near it, and those near them
                 found, edge = left[:1], left[1:]
                 while len(found) and len(edge):
                     x, found = found[0], found[1:]
-                    close = _near(sims, x, edge)
-                    u += [node[x]] * len(close)
-                    v += node[close].tolist()
+                    is_near = pairs.near(x, edge)
+                    close, edge = edge[is_near], edge[~is_near]
+                    u.append(np.full(len(close), node[x]))
+                    v.append(node[close])
                     found = np.concatenate([found, close])
-                    edge = np.setdiff1d(edge, close, assume_unique=True)
                 left = edge
-        return pd.DataFrame({"u": u, "v": v}, dtype="int64")
+        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}, dtype="int64")
 
     return cold.unionByName(split).groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
 
@@ -201,16 +257,13 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["component", "node"], ignore_index=True)
         group, node, text = rows["component"].to_numpy(), rows["node"].to_numpy(), [t.split(" ") for t in rows["norm"]]
-        sims = rows[["s0", "s1", "s2", "s3"]].to_numpy()
-        sizes = np.array([len(t) for t in text])
+        pairs, sizes = _Filter(rows, share), rows["n"].to_numpy()
         forest, u, v = _Forest(len(rows)), [], []
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         for s, e in zip(starts, np.concatenate([starts[1:], [len(group)]]), strict=True):
             for x in range(s, e - 1):
                 others = np.arange(x + 1, e)
-                shorter, longer = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
-                others = others[shorter >= share * longer]
-                for y in _near(sims, x, others).tolist():
+                for y in others[pairs.near(x, others)].tolist():
                     if forest.root(x) != forest.root(y):
                         longer, a, b = max(sizes[x], sizes[y]), text[x], text[y]
                         # words changed in place bound the distance from above, in one pass
@@ -239,24 +292,24 @@ def repeated_lines(
     """
     ship(documents.sparkSession)
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = written(_lines(rows, min_words), "lines")
+    lines = written(_lines(rows, min_words, share), "lines")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rk", "line")
     classes = lines.groupBy("l1", "l2").agg(
-        F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("head", "tail", "s0", "s1", "s2", "s3")]
+        F.min(place).alias("first"), *[F.first(c).alias(c) for c in (*SIGNS, "n", "keys")]
     )
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    near = written(_candidates(classes), "line-candidates")
+    near = written(_candidates(classes, share), "line-candidates")
     groups = written(components(near), "line-groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "s0", "s1", "s2", "s3")
+    members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "n", *SIGNS)
     members = hinted(written(members, "line-members"))
     # only candidates' texts are fetched: each class's first line
     said = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
     at = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.line") == F.col("line"))
-    texts = said.join(members, at).select("node", "component", "members", normalised(F.col("body")).alias("norm"), "s0", "s1", "s2", "s3")
+    texts = said.join(members, at).select("node", "component", "members", normalised(F.col("body")).alias("norm"), "n", *SIGNS)
     texts = written(texts.dropDuplicates(["node"]), "line-texts")
     parts = max(1, -(-texts.count() // BLOCK))
-    columns = ["node", "component", "norm", "s0", "s1", "s2", "s3"]
+    columns = ["node", "component", "norm", "n", *SIGNS]
     few = texts.where(F.col("members") <= BLOCK).select(
         F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *columns
     )
