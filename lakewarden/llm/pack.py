@@ -32,24 +32,29 @@ SHARD_PIECES = 50_000
 
 
 @functools.cache
-def encoder(json_path: str | None = None, ranks_path: str | None = None):
+def encoder(json_path: str | None = None, ranks_path: str | None = None, added: bool = False):
     """A function from text to token ids, loaded once per worker.
 
     Both files hold the same vocabulary. Texts whose characters lie below 256
     go through the faster library, all others through the one that reads the
-    JSON file; the tests hold both against each other.
+    JSON file; the tests hold both against each other. With ``added`` the added
+    tokens of the JSON file are found in texts, as its tokenizer does by
+    default; texts that hold one go through that library as well.
     """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = not added
+    apart = [t.content for t in slow.get_added_tokens_decoder().values()] if added else []
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if any(token in text for token in apart):
+            return slow.encode(text, add_special_tokens=False).ids
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -79,7 +84,7 @@ def tokenised(
     ])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(**paths)
+        encode = encoder(**paths, added=True)
         for batch in batches:
             rows, out = [], []
             for row, value in enumerate(batch.column("text")):
@@ -135,7 +140,8 @@ def packed(
     """One row per piece: id, piece, start, length, ids_crc32[, ids], sequence_id, offset.
 
     A document's tokens are those of its text and an end token; NULL and empty
-    texts are the end token alone. Only documents longer than ``size`` are cut;
+    texts are the end token alone. An added token's content in a text, such as
+    ``<|endoftext|>``, is that token. Only documents longer than ``size`` are cut;
     their first piece may be shorter. Repeated rows and ids are packed each by
     itself. An empty table gives no rows. Other columns are ignored.
     """
