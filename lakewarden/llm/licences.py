@@ -2,12 +2,11 @@
 
 A multinomial logistic regression with an L1 penalty is trained on paragraphs
 drawn from licence templates and on a bounded sample of the corpus's own
-paragraphs as class ``unknown``. Its features are word 1- to 3-grams of the
-templates that hold a telling word: one the sample does not use. So most
-paragraphs have no feature, cannot differ from the bare intercepts, and leave
-the scan at its first step. A temperature fitted on held-out paragraphs
-calibrates the probabilities. A prediction is confirmed if enough of the
-paragraph's words in their order stand in a template of the family.
+paragraphs as class ``unknown``. Its features are all word 1- to 3-grams of the
+templates. A line is looked at if enough of its word pairs stand in the
+templates, which does not depend on the sample. A temperature fitted on held-out paragraphs calibrates
+the probabilities. A prediction is confirmed if enough of the words in their
+order stand in a template of the family.
 
 Everything runs as DataFrame expressions; the fitted weights are literals.
 """
@@ -28,6 +27,7 @@ from .common import let, written
 
 UNKNOWN = "unknown"
 
+
 # Notices by which the families are commonly declared
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": (
@@ -95,13 +95,12 @@ def word_grams(words: Column, most: int = 3) -> Column:
 
 @dataclass
 class Model:
-    """Weights by feature, intercepts, the temperature, and what a paragraph must hold to be looked at."""
+    """Weights by feature, intercepts and the temperature."""
 
     families: list[str]
     weights: dict[str, list[float]]
     intercepts: list[float]
     temperature: float
-    anchors: list[str]
 
 
 def _variants(text: str, draw: random.Random) -> str:
@@ -139,23 +138,21 @@ def train(
     total = documents.count()
     sample = documents.select(F.col(text).alias("text")).sample(fraction=min(1.0, background_rows / max(total, 1)), seed=seed)
     lines = sample.select(F.explode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    lines = lines.select(word_grams(words_of(F.coalesce("line", F.lit("")))).alias("grams"))
+    lines = lines.select(words_of(F.coalesce("line", F.lit(""))).alias("words"))
+    lines = lines.select(word_grams(F.col("words")).alias("grams"))
     telling = sorted({" ".join(g) for body, _, _ in plain for g in _python_grams(body, 3)})
     # at most as many as the templates have, so the literal is bounded by this module
     overlap = F.arrays_overlap("grams", F.array(*map(F.lit, telling)))
     lines = written(lines.where(~F.coalesce(overlap, F.lit(False))), "licence-background")
     vocabulary = sorted({" ".join(g) for body, _, _ in plain for n in (1, 2, 3) for g in _python_grams(body, n)})
     words = [v for v in vocabulary if " " not in v]
-    common = lines.select(F.explode_outer(F.array_intersect("grams", F.array(*map(F.lit, words)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    used = {r["w"] for r in common.where("w is not null").collect()}  # at most the templates' words
-    anchors = [w for w in words if w not in used and len(w) > 1]
-    features = [v for v in vocabulary if any(w in anchors for w in v.split())]
+    features = vocabulary
     seen = F.array_intersect("grams", F.array(*map(F.lit, features)))
     # lines without a feature are all alike: they count by weight
     alike = lines.select(seen.alias("grams")).groupBy("grams").agg(F.count("*").alias("weight"))
     alike = alike.select("grams", F.lit(len(families)).alias("label"), F.lit(False).alias("held"), F.least("weight", F.lit(len(variants))).cast("double").alias("weight"))
-    # half a licence is none: single telling words in other company are unknown
-    lone = spark.createDataFrame([([a], len(families), False, 1.0) for a in anchors], alike.schema)
+    # half a licence is none: single words in other company are unknown
+    lone = spark.createDataFrame([([w], len(families), False, 1.0) for w in words], alike.schema)
     rows = mine.select(seen.alias("grams"), "label", "held", F.lit(1.0).alias("weight")).unionByName(alike).unionByName(lone)
     rows = written(rows.withColumn("label", F.col("label").cast("double")), "licence-train")
     vectors = CountVectorizerModel.from_vocabulary(features, inputCol="grams", outputCol="features")
@@ -178,7 +175,7 @@ def train(
         return out
 
     temperature = min((0.25 * 1.15**k for k in range(24)), key=loss)
-    return Model([*families, UNKNOWN], weights, intercepts, temperature, [a for a in anchors if any(a in f.split() for f in weights)])
+    return Model([*families, UNKNOWN], weights, intercepts, temperature)
 
 
 def _python_grams(text: str, n: int) -> list[tuple[str, ...]]:
@@ -186,28 +183,49 @@ def _python_grams(text: str, n: int) -> list[tuple[str, ...]]:
     return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
 
+def _pairs(family: str | None = None) -> list[str]:
+    """The word pairs of a family's templates, or of all."""
+    bodies = TEMPLATES[family] if family else [body for bodies in TEMPLATES.values() for body in bodies]
+    return sorted({" ".join(g) for body in bodies for g in _python_grams(body, 2)})
+
+
+def _pair(words: Column, i: Column) -> Column:
+    return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
+
+
+def _own_pairs(words: Column) -> Column:
+    own = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: _pair(words, i))
+    return F.when(F.size(words) >= 2, F.array_distinct(own)).otherwise(F.array().cast("array<string>"))
+
+
 def licence_paragraphs(
     documents: DataFrame, model: Model, id: str = "doc_id", text: str = "text", least: float = 0.5, confirm: float = 0.6
 ) -> DataFrame:
-    """(id, rk, line, family, probability, likeness, confirmed): the lines that the classifier gives a family.
+    """(id, rk, line, family, probability, likeness, confirmed): the families that the classifier gives a line, or passages of it.
 
     ``probability`` is calibrated and at least ``least``; ``likeness`` is the
-    share of the line's word pairs that stand in a template of the family, and
-    a line is confirmed if it is at least ``confirm``. Lines are numbered from
-    0. NULL, empty and blank texts have none; of rows equal in id and text
-    (``rk`` is its hash) each gives its lines.
+    share of the line's or passage's word pairs that stand in a template of the
+    family, and it is confirmed if that is at least ``confirm``; of a family's
+    passages the likeliest counts. Looked at are whole lines of which so many
+    pairs stand in any template. Lines are numbered from 0. NULL,
+    empty and blank texts have none; of rows equal in id and text (``rk`` is
+    its hash) each gives its lines.
     """
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spark = documents.sparkSession
     families = model.families[:-1]
-    if not model.anchors:
-        return rows.select("id", "rk", F.lit(0).alias("line"), F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("likeness"), F.lit(True).alias("confirmed")).limit(0)
-    # a line without a telling word has no feature
-    telling = r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(sorted((a.replace(".", r"\.") for a in model.anchors), key=lambda a: (-len(a), a))) + r")(?![\p{L}\p{N}])"
-    hit = F.when(F.regexp_like("text", F.lit(telling)), F.split("text", "\n", -1))
-    lines = rows.select("id", "rk", F.posexplode_outer(hit).alias("line", "body"))
-    lines = lines.where(F.regexp_like("body", F.lit(telling)))
-    looked = written(lines.select("id", "rk", "line", words_of(F.col("body")).alias("words")).withColumn("row", F.monotonically_increasing_id()), "licence-lines")
+    lines = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
+    lines = lines.select("id", "rk", "line", words_of(F.col("body")).alias("words"))
+    every = F.array(*map(F.lit, _pairs()))
+
+    def looked_at(words: Column) -> Column:
+        whole = let(_own_pairs(words), lambda own: F.size(F.array_intersect(own, every)) >= confirm * F.greatest(F.size(own), F.lit(1)))
+        return F.when(whole, F.array(words)).otherwise(F.array().cast("array<array<string>>"))
+
+    pieces = lines.select("id", "rk", "line", looked_at(F.col("words")).alias("pieces")).where(F.size("pieces") > 0)
+    pieces = written(pieces.withColumn("place", F.monotonically_increasing_id()), "licence-lines")
+    looked = pieces.select("id", "rk", "line", "place", F.posexplode_outer("pieces").alias("piece", "words"))
+    looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "licence-pieces")
     score = spark.createDataFrame([(f, w) for f, w in model.weights.items()], "gram string, weights array<double>")  # bounded by the templates
     grams_ = looked.select("row", F.explode_outer(F.array_distinct(word_grams(F.col("words")))).alias("gram"))
     sums = (
@@ -218,22 +236,22 @@ def licence_paragraphs(
     best = sums.select("row", z.alias("z")).withColumn("top", F.array_max("z"))
     chance = 1 / F.aggregate("z", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
     best = best.select("row", (F.array_position("z", F.col("top")) - 1).cast("int").alias("k"), chance.alias("probability"))
-    pairs = {f: sorted({" ".join(g) for body in TEMPLATES[f] for g in _python_grams(body, 2)}) for f in families}
-    known = spark.createDataFrame([(k, f, pairs[f]) for k, f in enumerate(families)], "k int, family string, pairs array<string>")
+    known = spark.createDataFrame([(k, f, _pairs(f)) for k, f in enumerate(families)], "k int, family string, pairs array<string>")
     found = best.where(F.col("probability") >= least).join(F.broadcast(known), "k").join(looked, "row")
-    own = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))
-    own = F.when(F.size("words") >= 2, F.array_distinct(own)).otherwise(F.array().cast("array<string>"))
+    own = _own_pairs(F.col("words"))
     likeness = F.size(F.array_intersect(own, F.col("pairs"))) / F.greatest(F.size(own), F.lit(1))
-    return found.select("id", "rk", "line", "family", "probability", likeness.alias("likeness"), (likeness >= confirm).alias("confirmed"))
+    found = found.select("id", "rk", "line", "place", "family", "probability", likeness.alias("likeness"))
+    likeliest = found.groupBy("place", "id", "rk", "line", "family").agg(F.max(F.struct("likeness", "probability")).alias("x"))
+    return likeliest.select("id", "rk", "line", "family", "x.probability", "x.likeness", (F.col("x.likeness") >= confirm).alias("confirmed"))
 
 
 def licences(documents: DataFrame, model: Model, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: id, families (confirmed, sorted), n_confirmed, n_predicted lines."""
-    found = licence_paragraphs(documents, model, id, text, **options).dropDuplicates(["id", "rk", "line"])
+    found = licence_paragraphs(documents, model, id, text, **options).dropDuplicates(["id", "rk", "line", "family"])
     per = found.groupBy(F.col("id").alias("i"), F.col("rk").alias("r")).agg(
         F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"),
-        F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"),
-        F.count("*").alias("n_predicted"),
+        F.count_distinct(F.when(F.col("confirmed"), F.col("line"))).alias("n_confirmed"),
+        F.count_distinct("line").alias("n_predicted"),
     )
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"))
     joined = rows.join(per, F.col("id").eqNullSafe(F.col("i")) & (F.col("rk") == F.col("r")), "left")
