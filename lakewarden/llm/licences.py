@@ -3,8 +3,10 @@
 A multinomial logistic regression with an L1 penalty is trained on paragraphs
 drawn from licence templates and on a bounded sample of the corpus's own
 paragraphs as class ``unknown``. Its features are all word 1- to 3-grams of the
-templates. A line is looked at if enough of its word pairs stand in the
-templates, which does not depend on the sample. A temperature fitted on held-out paragraphs calibrates
+templates. A line is looked at whole if enough of its word pairs stand in the
+templates, and besides in passages: runs of template word pairs with few others
+between, so a notice counts whatever stands around it on its line. Neither
+depends on the sample. A temperature fitted on held-out paragraphs calibrates
 the probabilities. A prediction is confirmed if enough of the words in their
 order stand in a template of the family.
 
@@ -27,6 +29,10 @@ from .common import let, written
 
 UNKNOWN = "unknown"
 
+#: Other words' pairs that a passage may hold between two of the templates: those of one changed word
+BETWEEN = 2
+#: Pairs that a passage has at least: the least that are 0.6 of the shortest templates' four
+LEAST_PAIRS = 3
 
 # Notices by which the families are commonly declared
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -139,6 +145,7 @@ def train(
     sample = documents.select(F.col(text).alias("text")).sample(fraction=min(1.0, background_rows / max(total, 1)), seed=seed)
     lines = sample.select(F.explode_outer(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
     lines = lines.select(words_of(F.coalesce("line", F.lit(""))).alias("words"))
+    lines = lines.union(lines.select(F.explode_outer(_passages(F.col("words")))).where("col is not null"))
     lines = lines.select(word_grams(F.col("words")).alias("grams"))
     telling = sorted({" ".join(g) for body, _, _ in plain for g in _python_grams(body, 3)})
     # at most as many as the templates have, so the literal is bounded by this module
@@ -193,11 +200,34 @@ def _pair(words: Column, i: Column) -> Column:
     return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
 
 
+def _known(words: Column) -> Column:
+    """The positions, in order, of word pairs that stand in a template."""
+    every = _pairs()
+    places = F.when(F.size(words) >= 2, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
+    firsts = sorted({p.split(" ")[0] for p in every})
+    return F.filter(places, lambda i: F.get(words, i).isin(firsts) & _pair(words, i).isin(every))
+
+
 def _own_pairs(words: Column) -> Column:
     own = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: _pair(words, i))
     return F.when(F.size(words) >= 2, F.array_distinct(own)).otherwise(F.array().cast("array<string>"))
 
 
+def _passages(words: Column) -> Column:
+    """The words of each run of at least LEAST_PAIRS known pairs: with no others, and with at most BETWEEN between two."""
+
+    def far(known: Column, p: Column, other: Column, between: int) -> Column:
+        return F.coalesce(F.abs(F.get(known, other) - p) > between + 1, F.lit(True))
+
+    def runs(known: Column, between: int) -> Column:
+        starts = F.filter(F.transform(known, lambda p, j: F.struct(p.alias("p"), j.alias("j"))), lambda x: far(known, x.p, x.j - 1, between))
+        ends = F.filter(F.transform(known, lambda p, j: F.struct(p.alias("p"), j.alias("j"))), lambda x: far(known, x.p, x.j + 1, between))
+        both = F.zip_with(starts, ends, lambda s, e: F.struct(s.p.alias("s"), e.p.alias("e"), (e.j - s.j).alias("n")))
+        return F.transform(F.filter(both, lambda x: x.n + 1 >= LEAST_PAIRS), lambda x: F.slice(words, x.s + 1, x.e - x.s + 2))
+
+    return let(_known(words), lambda known: F.array_distinct(F.concat(runs(known, 0), runs(known, BETWEEN))))
+
+
 def licence_paragraphs(
     documents: DataFrame, model: Model, id: str = "doc_id", text: str = "text", least: float = 0.5, confirm: float = 0.6
 ) -> DataFrame:
@@ -207,7 +237,7 @@ def licence_paragraphs(
     share of the line's or passage's word pairs that stand in a template of the
     family, and it is confirmed if that is at least ``confirm``; of a family's
     passages the likeliest counts. Looked at are whole lines of which so many
-    pairs stand in any template. Lines are numbered from 0. NULL,
+    pairs stand in any template, and passages. Lines are numbered from 0. NULL,
     empty and blank texts have none; of rows equal in id and text (``rk`` is
     its hash) each gives its lines.
     """
@@ -215,17 +245,16 @@ def licence_paragraphs(
     spark = documents.sparkSession
     families = model.families[:-1]
     lines = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
-    lines = lines.select("id", "rk", "line", words_of(F.col("body")).alias("words"))
     every = F.array(*map(F.lit, _pairs()))
 
     def looked_at(words: Column) -> Column:
         whole = let(_own_pairs(words), lambda own: F.size(F.array_intersect(own, every)) >= confirm * F.greatest(F.size(own), F.lit(1)))
-        return F.when(whole, F.array(words)).otherwise(F.array().cast("array<array<string>>"))
+        return F.concat(F.when(whole, F.array(words)).otherwise(F.array().cast("array<array<string>>")), _passages(words))
 
-    pieces = lines.select("id", "rk", "line", looked_at(F.col("words")).alias("pieces")).where(F.size("pieces") > 0)
-    pieces = written(pieces.withColumn("place", F.monotonically_increasing_id()), "licence-lines")
-    looked = pieces.select("id", "rk", "line", "place", F.posexplode_outer("pieces").alias("piece", "words"))
-    looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "licence-pieces")
+    # no filter on the lines' pieces: Spark would make words and pieces again in it, words once for each use
+    pieces = lines.select("id", "rk", "line", F.monotonically_increasing_id().alias("place"), let(words_of(F.col("body")), looked_at).alias("pieces"))
+    looked = pieces.select("id", "rk", "line", "place", F.posexplode_outer("pieces").alias("piece", "words")).where("words is not null")
+    looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "licence-lines")
     score = spark.createDataFrame([(f, w) for f, w in model.weights.items()], "gram string, weights array<double>")  # bounded by the templates
     grams_ = looked.select("row", F.explode_outer(F.array_distinct(word_grams(F.col("words")))).alias("gram"))
     sums = (

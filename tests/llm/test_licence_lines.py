@@ -16,6 +16,12 @@ def model(spark):
 
 CASES = [
     ("Released under the MIT License.", ["mit"]),
+    ("Copyright 2021 Foo Ltd. Released under the MIT License. See the LICENSE file for details.", ["mit"]),
+    ("The data set was collected in 2019 and is licensed under CC BY 4.0. Please cite the paper when you use it.", ["cc-by"]),
+    (f"{A} {A} This work is licensed under the GNU General Public License, version 3. {A} {A}", ["gpl"]),
+    (f"{A} Released under the BSD 3-Clause License. {A} {A} Licensed under the Apache License, Version 2.0. {A}", ["apache-2.0", "bsd"]),
+    (f"{A} the software of the public and the work is under the {A}", []),
+    ("He obtained a copy of the notice and the rest of the list of conditions in the public library.", []),
     (A, []),
 ]
 
