@@ -125,3 +125,88 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(12 + {_length_escaped("role")} + 1 + {_length_escaped("text")} + 11) as bigint) as formatted_chars
 from c group by conv_id"""
+
+
+def _centroid_rounds(rounds: int = 10) -> str:
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+d{n} as materialized (
+  select x.vec_id, c.cluster, cast(sum((x.x - c.x) * (x.x - c.x)) as bigint) as distance
+  from comp x join c{n} c on c.place = x.place group by all),
+a{n} as materialized (
+  select vec_id, arg_min(cluster, distance * 8 + cluster) as cluster, min(distance) as distance from d{n} group by vec_id)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} as (
+  select a.cluster, x.place, sum(x.x) as s, count(*) as m
+  from a{n} a join comp x on x.vec_id = a.vec_id group by all),
+c{n + 1} as materialized (
+  select c.cluster, c.place, cast(case when m is null then c.x else (s - ((s % m) + m) % m) // m end as bigint) as x
+  from c{n} c left join s{n} s on s.cluster = c.cluster and s.place = c.place)""")
+    return ",".join(steps)
+
+
+ORACLES["op11_centroids"] = f"""
+with kept as (
+  select vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e as double)) as bigint)) as v
+  from embeddings
+  where len(embedding) = 64
+    and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+comp as materialized (
+  select vec_id, unnest(range(1, 65)) as place, unnest(v) as x from kept),
+first as (
+  select vec_id, row_number() over (order by sha256('3:' || cast(vec_id as varchar))) - 1 as cluster
+  from kept qualify cluster < 8),
+c0 as materialized (
+  select cast(first.cluster as integer) as cluster, place, x from first join comp on comp.vec_id = first.vec_id),
+{_centroid_rounds()},
+digests as (
+  select cluster, sha256(string_agg(cast(x as varchar), ',' order by place)) as centroid_sha256 from c10 group by cluster),
+inner_sums as (select cluster, cast(sum(distance) as bigint) as cluster_inertia from a10 group by cluster)
+select a.vec_id, a.cluster, a.distance, i.cluster_inertia, (select cast(sum(distance) as bigint) from a10) as inertia, g.centroid_sha256
+from a10 a join inner_sums i on i.cluster = a.cluster join digests g on g.cluster = a.cluster
+"""
+
+# the CRC-32 of a decimal number, bit by bit: 3988292384 is the reversed polynomial
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda y, z: case when y % 2 = 1 then xor(y >> 1, 3988292384::bigint) else y >> 1 end)))"""
+
+ORACLES["op13_tries"] = rf"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first) as r
+  from conversations where conv_id is not null),
+convs as (select distinct conv_id, conv_id - conv_id % 20 as base, {_CRC} % 4 as h from t),
+taken as (
+  select c.conv_id, 0 as own, t.r, t.role, t.text from convs c join t on t.conv_id = c.base where t.r <= c.h
+  union all
+  select c.conv_id, 1, t.r, t.role, t.text from convs c join t on t.conv_id = c.conv_id where t.r > c.h),
+placed as (
+  select conv_id, row_number() over (partition by conv_id order by own, r) as d,
+    len(list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '')) as words,
+    sha256(role || chr(10) || text) as k
+  from taken),
+paths as (
+  select conv_id, d, words, string_agg(k, ',') over (partition by conv_id order by d) as name,
+    coalesce(string_agg(k, ',') over (partition by conv_id order by d rows between unbounded preceding and 1 preceding), '') as up,
+    max(d) over (partition by conv_id) as n from placed
+  union all
+  select c.conv_id, 0, 0, '', null, coalesce(max(p.d), 0) from convs c left join placed p on p.conv_id = c.conv_id group by c.conv_id),
+nodes as materialized (
+  select d as depth, name, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where d = n) as ends
+  from paths group by d, name),
+children as (select up, count(*) as n_children from nodes where depth > 0 group by up),
+below as (
+  select a.name, cast(sum((b.n_convs - 1) * b.words) as bigint) as saved_tokens,
+    count(*) filter (where c.up is null) as n_leaves
+  from nodes a join nodes b on b.depth >= a.depth and (a.name = '' or b.name = a.name or starts_with(b.name, a.name || ','))
+  left join children c on c.up = b.name group by a.name)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs,
+  coalesce(c.n_children, 0) as n_children, w.n_leaves, w.saved_tokens, sha256(coalesce(n.ends, '')) as ends_sha256
+from nodes n join below w on w.name = n.name left join children c on c.up = n.name left join nodes p on p.name = n.up
+"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors
 from .chat import format_chats, masked_text, read_back
 from .common import table
 from .decontaminate import contamination
@@ -14,11 +16,13 @@ from .jaccard import similar
 from .licences import licences
 from .licences import train as train_licences
 from .lines import without_repeated_lines
+from .neighbours import nearest
 from .pack import packed
 from .quality import BASE, RULES, cascade_order, first_failed, measured
 from .repeats import repeated_spans
 from .secrets import secrets_by_document
 from .toxicity import toxicity, train
+from .tries import rebuilt, trie, turns_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +139,30 @@ def op10_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, directory: str) -> DataFrame:
+    found = cluster_vectors(table(spark, directory, "embeddings"))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    inertia = [0] * len(digests)
+    for row in found.assigned.groupBy("cluster").agg(F.sum("distance").alias("d")).collect():  # a row per cluster
+        inertia[row.cluster] = row.d
+
+    def by_cluster(values: list, kind: str):
+        return F.get(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("cluster"))
+
+    return found.assigned.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", by_cluster(inertia, "bigint").alias("cluster_inertia"),
+        F.lit(sum(inertia)).cast("bigint").alias("inertia"), by_cluster(digests, "string").alias("centroid_sha256"),
+    )
+
+
+def op12_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    return nearest(table(spark, directory, "embeddings"))
+
+
+def op13_tries(spark: SparkSession, directory: str) -> DataFrame:
+    return trie(*rebuilt(turns_of(table(spark, directory, "conversations"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_licences": op2_licences,
@@ -146,4 +174,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_repeats": op9_repeats,
     "op10_decontamination": op10_decontamination,
+    "op11_centroids": op11_centroids,
+    "op12_neighbours": op12_neighbours,
+    "op13_tries": op13_tries,
 }
