@@ -76,6 +76,26 @@ select event_id, case event_id % 20
 from events
 """
 
+# Signs of comments inside literals, and literals inside comments.
+QUOTED_STATEMENTS = """
+select event_id, case event_id % 14
+  when 0 then concat('select ''--'' as dashes; drop table t', cast(user_id as varchar(20)))
+  when 1 then 'select ''/*'' ; delete from t; select ''*/'''
+  when 2 then 'select ''please drop this'' from parcels'
+  when 3 then 'select "update" from parcels'
+  when 4 then '/* it''s open */ select 1 -- don''t'
+  when 5 then concat('select $$drop -- it$$ from parcels ', chr(10), '-- insert')
+  when 6 then concat('select 1 ', chr(10), '/* '' */ ; truncate parcels /* '' */')
+  when 7 then 'select ''a''''; drop table b'' from c'
+  when 8 then 'select ''open; drop table c'
+  when 9 then concat('select E''a', chr(92), '''; grant all'' from c')
+  when 10 then concat('select E''', chr(92), chr(92), '''; revoke all from c')
+  when 11 then 'insert into t values (''select'')'
+  when 12 then 'select "a""b; alter" from c /* never closed; drop'
+  else 'show all' end as q
+from events
+"""
+
 LOG_LINES = """
 select event_id, case event_id % 12
   when 0 then concat('postgres://clerk:pw', {U}, '@depot/parcels')

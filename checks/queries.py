@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lakewarden as lw
-from lakewarden.functions import detect, is_pii_name, json_has_pii_key, should_redact
+from lakewarden.functions import detect, is_json_document, is_pii_name, json_has_pii_key, should_redact
 from lakewarden.operators.text_scan import redact_text, scan_text
 from lakewarden.sources import shared_folder
 
@@ -264,6 +266,127 @@ def snapshot_connections(spark, d):
     return lw.connection_health(landed["pg_stat_activity"], landed["databases"])
 
 
+def _health_tables() -> dict[str, str]:
+    return {
+        "pg_index": fx.PG_INDEX, "pg_class": fx.PG_CLASS, "pg_stat_user_indexes": fx.PG_STAT_USER_INDEXES,
+        "pg_am": fx.PG_AM, "pg_namespace": fx.PG_NAMESPACE, "pg_attribute": fx.PG_ATTRIBUTE,
+        "pg_stats": fx.PG_STATS, "pg_attrdef": fx.PG_ATTRDEF, "pg_sequences": fx.PG_SEQUENCES,
+        "pg_stat_activity": fx.CONNECTIONS, "replication_state": fx.REPLICATION,
+        "pg_replication_slots": fx.SLOTS, "pg_statio_user_indexes": fx.INDEX_IO,
+        "pg_statio_user_tables": fx.TABLE_IO, "pg_constraint": fx.PG_CONSTRAINT,
+    }
+
+
+@query
+def snapshot_report(spark, d):
+    """The health report over two landings: the second one looked at half of the first one's databases."""
+    base = shared_folder(spark, "landings")
+    texts = _health_tables()
+    now = dict(zip(texts, fixtures(spark, d, *texts.values()), strict=True))
+    others = {name: df.withColumn("db_id", F.col("db_id") + 1_000_000) for name, df in now.items()}
+    # by the second landing half of the connections and constraints of the others were gone again
+    first = {name: df.unionByName(others[name]) for name, df in now.items()}
+    for name in ("pg_stat_activity", "pg_constraint"):
+        first[name] = first[name].unionByName(now[name])
+    lw.land_snapshots(first, base, "2024-03-01 00:00:00")
+    lw.land_snapshots(now, base, "2024-03-02 00:00:00")
+    landed = lw.read_snapshots(spark, base, texts)
+    del landed["databases"]  # else each has its rows for connections and cache
+    return lw.health_report(landed, F.lit(fx.AS_OF).cast("timestamp"), "all")
+
+
+@query
+def classify_appends(spark, d):
+    """The people classified as they come in two appends of files; each file is read once."""
+    base = shared_folder(spark, "appends")
+    people = fixture(spark, d, fx.PEOPLE)
+    even = F.col("person_no") % 2 == 0
+    seen = []
+    for part, files in ((people.where(even), 2), (people.where(~even), 3)):
+        part.repartition(files).write.mode("append").parquet(f"{base}/people")
+        found = lw.classify_files(spark.read.parquet(f"{base}/people"), f"{base}/counts")
+        seen.append(spark.read.parquet(f"{base}/counts").select("file_path").distinct().count())
+    return found.select("*", F.lit(seen[0]).cast("bigint").alias("files_read_first"), F.lit(seen[1] - seen[0]).cast("bigint").alias("files_read_later"))
+
+
+def _own_detectors():
+    return (*lw.DETECTORS, lw.vector_detector("machinery", lambda values: pc.equal(values, "MACHINERY")))
+
+
+@query
+def redact_own_detector(spark, d):
+    """A detector of one's own, a function of Arrow arrays, over flat and nested columns."""
+    people = fixture(spark, d, fx.PEOPLE).select(
+        "person_no", "segment", F.struct(F.col("segment").alias("part")).alias("contact"), F.array("note", "segment").alias("tags"),
+        F.array(F.struct(F.col("segment").alias("part"))).alias("deep"),
+        F.create_map(F.lit("api_key"), F.lit(None).cast("string"), F.lit("kind"), F.col("segment")).alias("extra"),
+    )
+    out = lw.redact(people, nested=True, detectors=_own_detectors())
+    return out.select(
+        "person_no", "segment", F.col("contact.part").alias("inner_segment"), F.get("tags", F.lit(0)).alias("first_tag"),
+        F.get("tags", F.lit(1)).alias("second_tag"), F.get("deep", F.lit(0))["part"].alias("deep"),
+        F.nullif(F.col("extra")["api_key"], F.lit(lw.REDACTED)).alias("secret"), F.col("extra")["kind"].alias("mapped"),
+    )
+
+
+@query
+def classify_own_detector(spark, d):
+    people = fixture(spark, d, fx.PEOPLE).select(
+        "segment", F.array("note", "segment").alias("tags"), F.array(F.struct(F.col("segment").alias("part"))).alias("deep")
+    )
+    return lw.classify_columns(people, detectors=_own_detectors()).select("column_name", "non_null", "hits")
+
+
+@query
+def json_depth(spark, d):
+    """Documents nested deeper than Spark's reader goes, one in six of them well formed."""
+    key = F.col("c_custkey")
+    depth = (F.lit(550) + key % 400).cast("int")
+    inner = F.concat(F.lit('{"password": "p", "x": '), F.repeat(F.lit('[{"k":'), depth), key.cast("string"))
+    outer = F.repeat(F.lit("}]"), depth)
+    text = (
+        F.when(key % 6 == 0, F.concat(inner, outer, F.lit("}")))
+        .when(key % 6 == 1, F.concat(inner, outer))
+        .when(key % 6 == 2, F.concat(inner, F.lit(","), outer, F.lit("}")))
+        .when(key % 6 == 3, F.concat(inner, outer, F.lit("}]")))
+        .when(key % 6 == 4, F.concat(inner, F.lit("]}"), outer, F.lit("}")))
+        .otherwise(F.concat(inner, F.lit(" nul"), outer, F.lit("}")))
+    )
+    # the texts are made from a small table, which is one task, and folding them is work
+    return fixture(spark, d, "select c_custkey from customer").repartition(16).select(
+        key.alias("id"), is_json_document(text).alias("is_json"), should_redact("v", text).alias("sensitive")
+    )
+
+
+@query
+def scan_stream_documents(spark, d):
+    """Documents come in two deliveries, each of them twice, and the stream is started again between them."""
+    base = shared_folder(spark, "scan-documents")
+    seen_at = F.timestamp_add("HOUR", F.pmod("doc_id", F.lit(1000)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    documents = table(spark, d, "documents").select("doc_id", "text", seen_at.alias("seen_at"))
+    for part in (0, 1):
+        documents.where(F.pmod("doc_id", F.lit(2)) == part).repartition(2).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("doc_id bigint, text string, seen_at timestamp").parquet(f"{base}/in")
+        twice = stream.unionByName(stream)
+        lw.scan_stream(twice, ["doc_id"], "text", "seen_at", f"{base}/out", f"{base}/state", delay="3650 days").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query
+def masked_stream(spark, d):
+    """An anonymised aggregate over a stream of people that comes in two parts, with a policy made before."""
+    base = shared_folder(spark, "masked-stream")
+    people = fixture(spark, d, fx.PEOPLE)
+    policy = lw.mask_policy({"people": people})
+    sql = """SELECT segment, count(*) AS n, approx_count_distinct(email) AS n_mail, count(tax_id) AS n_id, max(upper(email)) AS loudest
+        FROM people GROUP BY segment"""
+    for part in (0, 1):
+        people.where(F.col("person_no") % 2 == part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(people.schema).parquet(f"{base}/in")
+        lw.run_masked_stream(spark, sql, {"people": stream}, policy, f"{base}/out", f"{base}/state", mode="complete").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query
 def stream_redact_events(spark, d):
     path = f"{d.rstrip('/')}/events.parquet"
@@ -294,6 +417,28 @@ def classify_statements(spark, d):
     return lw.classify_statements(fixture(spark, d, fx.STATEMENTS), "q").drop("q")
 
 
+@query
+def classify_statements_strict(spark, d):
+    log = fixture(spark, d, fx.QUOTED_STATEMENTS)
+    plain = lw.classify_statements(log, "q").withColumnRenamed("reason", "plain_reason").drop("allowed")
+    return lw.classify_statements(plain, "q", strict=True).drop("q")
+
+
+@query
+def counter_stats(spark, d):
+    """Statistics of all executions from three landings of running counters, reset once."""
+    log = fixture(spark, d, fx.EXECUTIONS).withColumn("part", F.pmod(F.xxhash64("exec_time", "wal"), F.lit(3)))
+    parts = []
+    for landing, seen, reset in (("2024-03-01", [0], "2024-01-01"), ("2024-03-02", [0, 1], "2024-01-01"), ("2024-03-03", [2], "2024-03-02 12:00:00")):
+        stats = lw.query_stats(log.where(F.col("part").isin(seen)), rows="n_rows", sums=("hit",)).withColumnRenamed("hit", "shared_blks_hit")
+        parts.append(stats.withColumns({"snapshot_at": F.lit(landing).cast("timestamp"), "stats_reset": F.lit(reset).cast("timestamp")}))
+    landed = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return lw.counter_stats(landed, counters=("rows", "shared_blks_hit")).select(
+        "db_id", "query", "calls", F.round("total_exec_time").cast("bigint").alias("total"), F.round("mean_exec_time", 3).alias("mean"),
+        F.round("stddev_exec_time", 2).alias("stddev"), "rows", "shared_blks_hit",
+    )
+
+
 @query
 def query_stats(spark, d):
     log = fixture(spark, d, fx.EXECUTIONS)
@@ -466,15 +611,8 @@ def constraint_unvalidated(spark, d):
 
 @query
 def health_report(spark, d):
-    snapshots = {
-        "pg_index": fx.PG_INDEX, "pg_class": fx.PG_CLASS, "pg_stat_user_indexes": fx.PG_STAT_USER_INDEXES,
-        "pg_am": fx.PG_AM, "pg_namespace": fx.PG_NAMESPACE, "pg_attribute": fx.PG_ATTRIBUTE,
-        "pg_stats": fx.PG_STATS, "pg_attrdef": fx.PG_ATTRDEF, "pg_sequences": fx.PG_SEQUENCES,
-        "pg_stat_activity": fx.CONNECTIONS, "replication_state": fx.REPLICATION,
-        "pg_replication_slots": fx.SLOTS, "pg_statio_user_indexes": fx.INDEX_IO,
-        "pg_statio_user_tables": fx.TABLE_IO, "pg_constraint": fx.PG_CONSTRAINT,
-    }
-    frames = dict(zip(snapshots, fixtures(spark, d, *snapshots.values()), strict=True))
+    texts = _health_tables()
+    frames = dict(zip(texts, fixtures(spark, d, *texts.values()), strict=True))
     return lw.health_report(frames, F.lit(fx.AS_OF).cast("timestamp_ntz"), "all")
 
 
@@ -509,3 +647,18 @@ def column_stats(spark, d):
 @query
 def key_headroom(spark, d):
     return lw.key_headroom(table(spark, d, "lineitem"), threshold=3e-6)
+
+
+@query
+def validate_bucketed(spark, d):
+    """Keys checked on tables that are laid out by them."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = table(spark, d, "orders").where(F.col("o_orderkey") % 3 != 0).select("o_orderkey")
+    base, tag = shared_folder(spark, "bucketed"), uuid.uuid4().hex
+    child = lw.write_bucketed(items, f"bucketed_items_{tag}", ["l_orderkey"], 8, f"{base}/items")
+    parent = lw.write_bucketed(orders, f"bucketed_orders_{tag}", ["o_orderkey"], 8, f"{base}/orders")
+    gone = lw.validate_foreign_key(child, ["l_orderkey"], parent, ["o_orderkey"])
+    twice = lw.validate_unique(child, ["l_orderkey"])
+    return gone.select(F.lit("foreign key").alias("rule"), F.col("l_orderkey").alias("key"), F.col("n_rows").alias("n")).unionByName(
+        twice.select(F.lit("unique").alias("rule"), F.col("l_orderkey").alias("key"), "n")
+    )

@@ -8,6 +8,7 @@ from .detectors import (
     name_is_pii,
     should_redact,
     value_is_pii,
+    vector_detector,
 )
 from .fixed_values import PII_KEYWORDS, REDACTED
 from .text import mask_credentials
@@ -25,4 +26,5 @@ __all__ = [
     "name_is_pii",
     "should_redact",
     "value_is_pii",
+    "vector_detector",
 ]

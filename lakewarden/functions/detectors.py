@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,9 +43,31 @@ def is_pii_name(col: Column, keywords: Iterable[str] = fv.PII_KEYWORDS) -> Colum
 
 @dataclass(frozen=True)
 class Detector:
+    """A name and a test of values; `pattern` if the test is one regular expression, `vector` if it is a function of Arrow arrays."""
+
     name: str
     test: Callable[[Column], Column]
     pattern: str | None = None
+    vector: Callable[[pa.Array], pa.Array] | None = None
+
+
+def vector_detector(name: str, function: Callable[[pa.Array], pa.Array]) -> Detector:
+    """A detector of one's own that is given many values at a time, as an Arrow array of strings.
+
+    `function` returns booleans, one per value; NULL counts as no hit. It runs
+    in Python workers, over columns and over all texts inside nested columns.
+    """
+    found = F.arrow_udf(lambda values: verdicts(function, values), "boolean")
+    return Detector(name, found, vector=function)
+
+
+def verdicts(function: Callable[[pa.Array], pa.Array], values: pa.Array) -> pa.Array:
+    out = function(values)
+    if isinstance(out, pa.ChunkedArray):
+        out = out.combine_chunks()
+    if len(out) != len(values):
+        raise ValueError(f"a detector gave {len(out)} verdicts for {len(values)} values")
+    return pc.fill_null(out.cast(pa.bool_()), False)
 
 
 def _matching(name: str, pattern: str) -> Detector:
@@ -102,9 +126,12 @@ _STRICT_JSON = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 # parsed: so no limit of the parser on their length can matter.
 _GOOD_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
 _GOOD_NUMBER = r"(?<![0-9A-Za-z.+\-_])-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+\-]?+[0-9]++)?+(?![0-9A-Za-z.+\-_])"
-# Brackets the parser may open inside each other; a text with more of them that
-# it refuses may be a document too deep for it, and counts as one.
+# Brackets the parser may open inside each other. A text that it refuses and that
+# has more of them may be a document too deep for it: its tokens are folded with
+# a stack, which knows no depth.
 _PARSED_DEPTH = 900
+# What a stubbed text may hold: tokens, where words and numbers become 0 and strings s, and blanks.
+_JSON_TOKENS = r'[\[\]{},:0 \t\r\n]++|""|true|false|null'
 
 
 def escaped_keyword_pattern(keywords: Iterable[str] = fv.PII_KEYWORDS) -> str:
@@ -123,19 +150,56 @@ def _parses(json: Column) -> Column:
     return F.from_json(json, "k string", _STRICT_JSON)["k"].isNotNull()
 
 
+# What may come: v a value, a a value or the end of the array, k a key or the end
+# of the object, q a key, c a colon, e what follows a value. A step is a state, a
+# token, after a value also the bracket that is open, and the next state behind
+# "="; the steps are one text, as finding a place in it is one call. x is an error.
+_JSON_STEPS = " v[=a v{=k vs=e v0=e a[=a a{=k as=e a0=e a]=e k}=e ks=c qs=c c:=v e][=e e}{=e e,[=v e,{=q "
+
+
+def _folded(stubs: Column) -> Column:
+    """Whether the tokens of a stubbed text make one JSON value: a fold with a state and a stack of open brackets."""
+    words = F.replace(F.regexp_replace(stubs, "true|false|null", "0"), F.lit('""'), F.lit("s"))
+    tokens = F.split(F.translate(words, " \t\r\n", ""), "")
+    steps = F.lit(_JSON_STEPS)
+
+    def step(f: Column, t: Column) -> Column:
+        key = F.concat(F.lit(" "), f["q"], t, F.when(f["q"] == "e", F.left(f["s"], F.lit(1))).otherwise(""), F.lit("="))
+        at = F.call_function("locate", key, steps)
+        state = F.when(at > 0, F.call_function("substring", steps, at + F.length(key), F.lit(1))).otherwise("x")
+        push = F.when(t.isin("[", "{"), F.concat(t, f["s"])).when(t.isin("]", "}"), F.substring(f["s"], 2, 2**31 - 1)).otherwise(f["s"])
+        return F.struct(state.alias("q"), F.when(f["q"] == "x", "").otherwise(push).alias("s"))
+
+    start = F.struct(F.lit("v").alias("q"), F.lit("").alias("s"))
+    done = F.aggregate(tokens, start, step, lambda f: (f["q"] == "e") & (f["s"] == ""))
+    return F.when(F.regexp_replace(stubs, _JSON_TOKENS, "") == "", done).otherwise(F.lit(False))
+
+
+def _folded_sql(stubs: str) -> str:
+    """`_folded` as SQL text."""
+    tokens = f"""translate(replace(regexp_replace({stubs}, 'true|false|null', '0'), '""', 's'), concat(' ', chr(9), chr(10), chr(13)), '')"""
+    key = "concat(' ', f.q, t, CASE WHEN f.q = 'e' THEN left(f.s, 1) ELSE '' END, '=')"
+    at = f"locate({key}, '{_JSON_STEPS}')"
+    state = f"CASE WHEN {at} > 0 THEN substring('{_JSON_STEPS}', {at} + length({key}), 1) ELSE 'x' END"
+    stack = "CASE WHEN f.q = 'x' THEN '' WHEN t IN ('[', '{') THEN concat(t, f.s) WHEN t IN (']', '}') THEN substring(f.s, 2) ELSE f.s END"
+    fold = f"aggregate(split({tokens}, ''), named_struct('q', 'v', 's', ''), (f, t) -> named_struct('q', {state}, 's', {stack}), f -> f.q = 'e' AND f.s = '')"
+    return f"CASE WHEN regexp_replace({stubs}, {_quoted(_JSON_TOKENS)}, '') = '' THEN {fold} ELSE false END"
+
+
 def is_json_document(col: Column) -> Column:
     """Whether the text is one JSON object or array and nothing else.
 
-    Strings and numbers are checked by pattern and may have any length. A text
-    nested too deep for Spark's reader counts as JSON. The reader ignores what
-    follows the first value, but text closed by junk cannot pass both inside an
-    object and inside an array.
+    Strings and numbers are checked by pattern and may have any length, and
+    documents any depth: what is too deep for Spark's reader is folded token by
+    token. The reader ignores what follows the first value, but text closed by
+    junk cannot pass both inside an object and inside an array.
     """
     starts = col.startswith("{") | col.startswith("[")
     stubs = F.regexp_replace(F.regexp_replace(col, _GOOD_STRING, '""'), _GOOD_NUMBER, "0")
     whole = _parses(F.concat(F.lit('{"k":'), stubs, F.lit("}"))) & _parses(F.concat(F.lit('{"k":['), stubs, F.lit("]}")))
     deep = F.length(F.regexp_replace(stubs, r"[^\[{]++", "")) > _PARSED_DEPTH
-    return F.coalesce(F.when(starts, F.coalesce(whole, F.lit(False)) | deep), F.lit(False))
+    verdict = F.when(F.coalesce(whole, F.lit(False)), True).when(deep, _folded(stubs)).otherwise(False)
+    return F.coalesce(F.when(starts, verdict), F.lit(False))
 
 
 def json_has_pii_key(col: Column, keywords: Iterable[str] = fv.PII_KEYWORDS) -> Column:
@@ -198,6 +262,6 @@ def should_redact_sql(column: str, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
         WHEN startswith({column}, '{{') OR startswith({column}, '[') THEN CASE
             WHEN lower({column}) RLIKE {words} OR contains({column}, {_quoted(chr(92) + "u")}) THEN CASE
                 WHEN {names} RLIKE {_quoted(escaped_keyword_pattern(keywords))}
-                THEN coalesce({whole}, false) OR {deep} ELSE false END
+                THEN CASE WHEN coalesce({whole}, false) THEN true WHEN {deep} THEN {_folded_sql(stubs)} ELSE false END ELSE false END
             ELSE false END
         ELSE false END ELSE false END"""

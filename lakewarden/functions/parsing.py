@@ -43,8 +43,7 @@ def share(part: Column, total: Column) -> Column:
 
 def padding(size: Column, align: Column) -> Column:
     """Bytes missing to the next multiple of `align`, 0 when there are none."""
-    rest = size % align
-    return align - F.when(rest == 0, align).otherwise(rest)
+    return (align - size % align) % align
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

@@ -17,6 +17,7 @@ from .health import (
     unvalidated_constraints,
     wraparound_headroom,
 )
+from .incremental import classify_files, incremental_policy
 from .indexes import (
     bloat_estimate,
     duplicate_indexes,
@@ -34,7 +35,10 @@ from .integrity import (
 )
 from .querylog import (
     classify_statements,
+    counter_increments,
+    counter_stats,
     mask_log_credentials,
+    merge_moments,
     normalize_query_stats,
     query_stats,
     top_queries,
@@ -50,11 +54,11 @@ from .redact import (
 from .text_scan import redact_text, scan_text
 
 __all__ = [
-    "bloat_estimate", "classify_columns", "classify_statements", "column_stats",
-    "connection_health", "duplicate_indexes", "health_report", "index_bloat",
-    "index_hit_rate", "index_inventory", "invalid_indexes", "key_headroom",
+    "bloat_estimate", "classify_columns", "classify_files", "classify_statements", "column_stats",
+    "connection_health", "counter_increments", "counter_stats", "duplicate_indexes", "health_report", "index_bloat",
+    "incremental_policy", "index_hit_rate", "index_inventory", "invalid_indexes", "key_headroom",
     "list_objects", "list_schemas", "mask_columns", "mask_log_credentials",
-    "mask_policy", "normalize_query_stats", "pii_columns", "query_stats", "redact",
+    "mask_policy", "merge_moments", "normalize_query_stats", "pii_columns", "query_stats", "redact",
     "redact_text", "redaction_verdicts", "replication_lag", "replication_slots",
     "scan_text", "sequence_details", "sequence_discovery", "sequence_headroom", "table_constraints",
     "table_details", "table_hit_rate", "top_queries", "unused_indexes",

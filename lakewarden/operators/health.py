@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.parsing import seconds_between, sequence_name
+from ..sources.shared import shared_folder
 from . import indexes as ix
 from .skew import id_or_none, with_schema_name
 
@@ -52,44 +53,46 @@ def wraparound_headroom(
 
     The worst come first if `ordered`.
     """
-    toast = pg_class.select("db_id", F.col("oid").alias("_toast"), F.col("xid_age").alias("toast_age"))
+    out = _wraparound(ix.named_classes(pg_class, pg_namespace), threshold)
+    return out.orderBy("transactions_left", "schema", "table", "db_id") if ordered else out
+
+
+def _wraparound(classes: DataFrame, threshold: int) -> DataFrame:
+    toast = classes.select("db_id", F.col("oid").alias("_toast"), F.col("xid_age").alias("toast_age"))
     # greatest() skips a missing overflow table
     left = F.lit(fv.MAX_XID) - F.greatest("xid_age", "toast_age")
-    old = (
-        pg_class.where(F.col("relkind") == "r")
+    return (
+        classes.where((F.col("relkind") == "r") & F.col("schema").isNotNull())
         .withColumn("_toast", id_or_none("reltoastrelid", "oid"))
         .join(toast, ["db_id", "_toast"], "left")
         .withColumn("transactions_left", left)
         .where(F.col("transactions_left") < threshold)
+        .select("db_id", "schema", F.col("relname").alias("table"), "transactions_left")
     )
-    out = with_schema_name(old, pg_namespace, "relnamespace", "schema", ["oid"]).select(
-        "db_id", "schema", F.col("relname").alias("table"), "transactions_left"
-    )
-    return out.orderBy("transactions_left", "schema", "table", "db_id") if ordered else out
 
 
 def sequence_discovery(
     pg_attribute: DataFrame, pg_class: DataFrame, pg_namespace: DataFrame, pg_attrdef: DataFrame
 ) -> DataFrame:
     """Columns filled from a sequence, with the sequence they name."""
+    return _sequences_of(pg_attribute, ix.named_classes(pg_class, pg_namespace), pg_attrdef)
+
+
+def _sequences_of(pg_attribute: DataFrame, classes: DataFrame, pg_attrdef: DataFrame) -> DataFrame:
     defaults = pg_attrdef.where(F.col("default_value").like("nextval%")).select(
         "db_id", F.col("adrelid").alias("attrelid"), F.col("adnum").alias("attnum"), "default_value"
     )
     columns = pg_attribute.where(~F.col("attisdropped") & (F.col("attnum") > 0))
-    tables = pg_class.select(
-        "db_id", F.col("oid").alias("attrelid"), F.col("relname").alias("table"), "relnamespace"
+    # tables of temporary schemas, and those of none that is known, are left out
+    tables = classes.where(~F.col("schema").like(r"pg\_temp\_%")).select(
+        "db_id", F.col("oid").alias("attrelid"), F.col("relname").alias("table"), F.col("schema").alias("table_schema")
     )
-    permanent = pg_namespace.where(~F.col("nspname").like(r"pg\_temp\_%"))
     schema, sequence = sequence_name(F.col("default_value"))
     fed = columns.join(defaults, ["db_id", "attrelid", "attnum"]).join(tables, ["db_id", "attrelid"])
-    return (
-        with_schema_name(fed, permanent, "relnamespace", "table_schema", ["attrelid", "attnum"])
-        .select(
-            "db_id", "table_schema", "table", F.col("attname").alias("column"), "column_type",
-            schema.alias("sequence_schema"), sequence.alias("sequence_name"),
-        )
-        .where(F.col("sequence_name") != "")
-    )
+    return fed.select(
+        "db_id", "table_schema", "table", F.col("attname").alias("column"), "column_type",
+        schema.alias("sequence_schema"), sequence.alias("sequence_name"),
+    ).where(F.col("sequence_name") != "")
 
 
 def sequence_limit(column_type: Column, strict_types: bool = False) -> Column:
@@ -186,10 +189,14 @@ def unvalidated_constraints(
     pg_constraint: DataFrame, pg_class: DataFrame, pg_namespace: DataFrame
 ) -> DataFrame:
     """Constraints never checked against the rows already there."""
-    tables = pg_class.select("db_id", F.col("oid").alias("conrelid"), F.col("relname").alias("table"))
-    referenced = pg_class.select(
+    return _unvalidated(pg_constraint, ix.named_classes(pg_class, pg_namespace), pg_namespace)
+
+
+def _unvalidated(pg_constraint: DataFrame, classes: DataFrame, pg_namespace: DataFrame) -> DataFrame:
+    tables = classes.select("db_id", F.col("oid").alias("conrelid"), F.col("relname").alias("table"))
+    referenced = classes.select(
         "db_id", F.col("oid").alias("_referenced"), F.col("relname").alias("referenced_table"),
-        F.col("relnamespace").alias("_ref_namespace"),
+        F.col("schema").alias("referenced_schema"),
     )
     unchecked = (
         pg_constraint.where(~F.col("convalidated"))
@@ -198,9 +205,7 @@ def unvalidated_constraints(
         .join(referenced, ["db_id", "_referenced"], "left")
     )
     unchecked = with_schema_name(unchecked, pg_namespace, "connamespace", "schema", ["oid"], "left")
-    return with_schema_name(
-        unchecked, pg_namespace, "_ref_namespace", "referenced_schema", ["oid"], "left"
-    ).select("db_id", "schema", "table", F.col("conname").alias("name"), "referenced_schema", "referenced_table")
+    return unchecked.select("db_id", "schema", "table", F.col("conname").alias("name"), "referenced_schema", "referenced_table")
 
 
 # ---- report -----------------------------------------------------------------
@@ -237,6 +242,13 @@ def _finding(
     )
 
 
+def _kept(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame, written to the shared folder, so that several checks read it and none makes it again."""
+    path = shared_folder(df.sparkSession, f"health-{purpose}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def health_report(
     snapshots: Mapping[str, DataFrame], as_of: Column, types: str = "all"
 ) -> DataFrame:
@@ -245,7 +257,8 @@ def health_report(
     One row per finding: ``db_id, check, object, metric, value, threshold,
     status, detail``. Checks of tables and indexes give rows only for what
     fails, checks of a whole server one row each. The result is one plan, so
-    Spark runs the checks side by side. If the snapshots hold `databases`, as those
+    Spark runs the checks side by side; names of tables and the inventory of
+    indexes, which several checks need, are written first, in two jobs. If the snapshots hold `databases`, as those
     of `read_snapshots` do, each of them has its rows for connections and cache,
     with or without statistics. `as_of` is the time of the snapshot: a
     report over landed data is the same whenever it is run.
@@ -254,8 +267,13 @@ def health_report(
     warn = F.lit("warning")
     found: list[DataFrame] = []
     chosen = parse_health_types(types)
+    classes = indexes = None
+    if {"index", "vacuum", "sequence", "constraint"} & set(chosen):
+        # what several checks read is made once
+        classes = _kept(ix.named_classes(s["pg_class"], s["pg_namespace"]), "classes")
     if "index" in chosen:
-        inventory = ix.index_inventory(s["pg_index"], s["pg_class"], s["pg_stat_user_indexes"])
+        indexes = _kept(ix.indexes_with_tables(s["pg_index"], classes, s["pg_stat_user_indexes"]), "indexes")
+        inventory = ix.inventory_of(indexes)
         name = dotted("schema", "table", "name")
         found.append(
             _finding(ix.invalid_indexes(inventory), "invalid_index", name, "valid", F.lit(0), None, warn)
@@ -266,10 +284,7 @@ def health_report(
                 "columns", F.size("columns"), None, warn, F.col("covering"),
             )
         )
-        bloat = ix.index_bloat(
-            s["pg_index"], s["pg_class"], s["pg_am"], s["pg_namespace"], s["pg_attribute"],
-            s["pg_stats"], s["pg_stat_user_indexes"], ordered=False,
-        )
+        bloat = ix.bloat_of(indexes, s["pg_am"], s["pg_attribute"], s["pg_stats"], ordered=False)
         found.append(
             _finding(bloat, "index_bloat", name, "bloat_bytes", F.col("bloat_bytes"), fv.MIN_BLOAT_BYTES, warn)
         )
@@ -292,14 +307,12 @@ def health_report(
     if "vacuum" in chosen:
         found.append(
             _finding(
-                wraparound_headroom(s["pg_class"], s["pg_namespace"], ordered=False), "vacuum", dotted("schema", "table"),
+                _wraparound(classes, fv.MIN_XID_LEFT), "vacuum", dotted("schema", "table"),
                 "transactions_left", F.col("transactions_left"), fv.MIN_XID_LEFT, warn,
             )
         )
     if "sequence" in chosen:
-        discovered = sequence_discovery(
-            s["pg_attribute"], s["pg_class"], s["pg_namespace"], s["pg_attrdef"]
-        )
+        discovered = _sequences_of(s["pg_attribute"], classes, s["pg_attrdef"])
         found.append(
             _finding(
                 sequence_headroom(discovered, s["pg_sequences"], ordered=False), "sequence",
@@ -337,7 +350,7 @@ def health_report(
     if "constraint" in chosen:
         found.append(
             _finding(
-                unvalidated_constraints(s["pg_constraint"], s["pg_class"], s["pg_namespace"]),
+                _unvalidated(s["pg_constraint"], classes, s["pg_namespace"]),
                 "constraint", dotted("schema", "table", "name"), "validated", F.lit(0), None, warn,
                 F.when(F.col("referenced_table").isNotNull(), dotted("referenced_schema", "referenced_table")),
             )

@@ -10,34 +10,49 @@ from ..functions.parsing import index_columns, index_method, padding
 from .skew import salted_lookup, with_schema_name
 
 
+def named_classes(pg_class: DataFrame, pg_namespace: DataFrame) -> DataFrame:
+    """Tables, indexes and the like with their schema's name; NULL if the schema is not known."""
+    return with_schema_name(pg_class, pg_namespace, "relnamespace", "schema", ["oid"], "left")
+
+
+def indexes_with_tables(pg_index: DataFrame, classes: DataFrame, usage: DataFrame) -> DataFrame:
+    """Every used index with what its own entry and its table's entry among `classes` say."""
+    own = classes.select(
+        "db_id", F.col("oid").alias("indexrelid"), F.col("relname").alias("name"), F.col("schema").alias("index_schema"),
+        "relam", "reltuples", "relpages",
+    )
+    tables = classes.select("db_id", F.col("oid").alias("indrelid"), F.col("relname").alias("table"), F.col("schema").alias("table_schema"))
+    used = usage.select("db_id", "indexrelid", F.col("schemaname").alias("schema"))
+    return pg_index.join(own, ["db_id", "indexrelid"]).join(used, ["db_id", "indexrelid"]).join(tables, ["db_id", "indrelid"])
+
+
+def inventory_of(indexes: DataFrame) -> DataFrame:
+    """The inventory of `index_inventory` from rows that already have their names."""
+    # the outer join plus "schema is not null" of the definition is an inner join
+    return indexes.where(F.col("schema").isNotNull()).select(
+        "db_id",
+        "schema",
+        "table",
+        "name",
+        index_columns(F.col("indexdef")).alias("columns"),
+        index_method(F.col("indexdef")).alias("using"),
+        F.col("indisunique").alias("unique"),
+        F.col("indisprimary").alias("primary"),
+        F.col("indisvalid").alias("valid"),
+        "indexprs",
+        "indpred",
+        F.col("indexdef").alias("definition"),
+    )
+
+
 def index_inventory(pg_index: DataFrame, pg_class: DataFrame, usage: DataFrame) -> DataFrame:
     """Every index of a user table with its columns and properties."""
     names = pg_class.select("db_id", "oid", "relname")
     tables = names.select("db_id", F.col("oid").alias("indrelid"), F.col("relname").alias("table"))
     indexes = names.select("db_id", F.col("oid").alias("indexrelid"), F.col("relname").alias("name"))
-    # the outer join plus "schema is not null" of the definition is an inner join
-    schemas = usage.where(F.col("schemaname").isNotNull()).select(
-        "db_id", "indexrelid", F.col("schemaname").alias("schema")
-    )
-    return (
-        pg_index.join(indexes, ["db_id", "indexrelid"])
-        .join(schemas, ["db_id", "indexrelid"])
-        .join(tables, ["db_id", "indrelid"])
-        .select(
-            "db_id",
-            "schema",
-            "table",
-            "name",
-            index_columns(F.col("indexdef")).alias("columns"),
-            index_method(F.col("indexdef")).alias("using"),
-            F.col("indisunique").alias("unique"),
-            F.col("indisprimary").alias("primary"),
-            F.col("indisvalid").alias("valid"),
-            "indexprs",
-            "indpred",
-            F.col("indexdef").alias("definition"),
-        )
-    )
+    schemas = usage.select("db_id", "indexrelid", F.col("schemaname").alias("schema"))
+    joined = pg_index.join(indexes, ["db_id", "indexrelid"]).join(schemas, ["db_id", "indexrelid"])
+    return inventory_of(joined.join(tables, ["db_id", "indrelid"]))
 
 
 def invalid_indexes(inventory: DataFrame) -> DataFrame:
@@ -46,7 +61,7 @@ def invalid_indexes(inventory: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True) -> DataFrame:
+def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True, collation: str | None = None) -> DataFrame:
     """Indexes another index of the same table makes unneeded, by table and name if `ordered`.
 
     A valid index that is neither primary nor unique is covered when its
@@ -59,6 +74,9 @@ def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True) -> DataFram
     index has few), and per prefix only two names matter: the first of those
     that cover in any case and the first of those that need an earlier name.
     Both are minima, taken on the map side before the shuffle.
+
+    Names are ordered by their bytes, or by a `collation` such as ``UNICODE``,
+    where a comes before B and B before c; what covers what stays the same.
     """
     group = ["db_id", "schema", "table", "using", "indexprs", "indpred"]
     valid = inventory.where("valid").withColumn("n", F.size("columns"))
@@ -90,7 +108,8 @@ def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True) -> DataFram
         .where(F.col("covering").isNotNull())
         .select("db_id", "schema", "table", F.col("name").alias("unneeded"), "columns", "covering")
     )
-    return out.orderBy("schema", "table", "unneeded", "db_id") if ordered else out
+    by = [F.col(c) if collation is None else F.collate(c, collation) for c in ("schema", "table", "unneeded")]
+    return out.orderBy(*by, "schema", "table", "unneeded", "db_id") if ordered else out
 
 
 def unused_indexes(pg_index: DataFrame, usage: DataFrame, *, ordered: bool = True) -> DataFrame:
@@ -104,6 +123,7 @@ def unused_indexes(pg_index: DataFrame, usage: DataFrame, *, ordered: bool = Tru
         F.col("indexrelname").alias("name"),
         "size_bytes",
         F.col("idx_scan").alias("index_scans"),
+        F.col("indexdef").alias("definition"),
     )
     largest_first = F.col("size_bytes").desc_nulls_first()
     return out.orderBy(largest_first, "table", "name", "db_id") if ordered else out
@@ -148,28 +168,28 @@ def index_bloat(
     ordered: bool = True,
 ) -> DataFrame:
     """B-tree indexes wasting at least `min_bytes`, most wasteful first if `ordered`."""
-    btree = pg_am.where(F.col("amname") == "btree").select(
-        "db_id", F.col("oid").alias("relam"), "amname"
-    )
-    # only indexes have this access method, so tables drop out here
-    relations = salted_lookup(pg_class, btree, ["db_id", "relam"], spread_by=["oid"])
-    relations = with_schema_name(relations, pg_namespace, "relnamespace", "schema", ["oid"])
-    tables = pg_class.select(
-        "db_id", F.col("oid").alias("indrelid"), F.col("relname").alias("table"), "relnamespace"
-    )
-    tables = with_schema_name(tables, pg_namespace, "relnamespace", "table_schema", ["indrelid"])
-    indexes = (
-        pg_index.select("db_id", "indexrelid", "indrelid", "indkey", "indisprimary")
-        .join(
-            relations.select(
-                "db_id", F.col("oid").alias("indexrelid"), F.col("relname").alias("name"),
-                "schema", "reltuples", "relpages", "amname",
-            ),
-            ["db_id", "indexrelid"],
-        )
-        .join(usage.select("db_id", "indexrelid"), ["db_id", "indexrelid"])
-        .join(tables, ["db_id", "indrelid"])
+    classes = named_classes(pg_class, pg_namespace)
+    indexes = indexes_with_tables(pg_index, classes, usage)
+    return bloat_of(
+        indexes, pg_am, pg_attribute, pg_stats, min_bytes=min_bytes, block_size=block_size, max_align=max_align, ordered=ordered
     )
+
+
+def bloat_of(
+    indexes: DataFrame,
+    pg_am: DataFrame,
+    pg_attribute: DataFrame,
+    pg_stats: DataFrame,
+    *,
+    min_bytes: int = fv.MIN_BLOAT_BYTES,
+    block_size: int = fv.BLOCK_SIZE,
+    max_align: int = fv.MAX_ALIGN,
+    ordered: bool = True,
+) -> DataFrame:
+    """`index_bloat` of rows that already have their names, as those of `indexes_with_tables`."""
+    btree = pg_am.where(F.col("amname") == "btree").select("db_id", F.col("oid").alias("relam"), "amname")
+    known = indexes.where(F.col("index_schema").isNotNull() & F.col("table_schema").isNotNull())
+    indexes = salted_lookup(known, btree, ["db_id", "relam"], spread_by=["indexrelid"]).drop("schema").withColumnRenamed("index_schema", "schema")
     columns = pg_attribute.where(F.col("attnum") > 0).select(
         "db_id", F.col("attrelid").alias("indrelid"), "attnum", "attname"
     )
@@ -186,7 +206,7 @@ def index_bloat(
         .join(stats, ["db_id", "table_schema", "table", "attname"])
         .groupBy(
             "db_id", "indexrelid", "schema", "table", "name",
-            "reltuples", "relpages", "amname", "indisprimary",
+            "reltuples", "relpages", "amname", "indisprimary", "indexdef",
         )
         .agg(
             F.max(nulls).alias("max_null_frac"),
@@ -198,6 +218,7 @@ def index_bloat(
         .where(F.col("bloat_bytes") >= min_bytes)
         .select(
             "db_id", "schema", "table", "name", "bloat_bytes", "index_bytes",
+            F.col("indexdef").alias("definition"),
             F.col("indisprimary").alias("primary"),
         )
     )

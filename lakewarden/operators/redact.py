@@ -6,9 +6,12 @@ and streaming DataFrames alike. Only the classification aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,7 @@ from ..functions.detectors import (
     name_is_pii,
     should_redact,
     should_redact_sql,
+    verdicts,
 )
 from ..functions.fixed_values import PII_KEYWORDS, REDACTED
 
@@ -92,6 +96,69 @@ def _redacted(
     return col
 
 
+def _by_vectors(values: pa.Array, functions: tuple[Callable[[pa.Array], pa.Array], ...], keywords: tuple[str, ...]) -> pa.Array:
+    """An array of any nesting without the texts that a function finds.
+
+    Nested arrays are offsets over one flat array of their elements: that one is
+    judged, and put back under the same offsets.
+    """
+    kind = values.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        hit = pc.and_(pc.is_valid(values), pc.not_equal(pc.fill_null(values, ""), ""))
+        found = pa.array(np.zeros(len(values), bool))
+        for function in functions:
+            found = pc.or_(found, verdicts(function, values))
+        return pc.if_else(pc.and_(hit, found), pa.scalar(REDACTED, kind), values)
+    if pa.types.is_struct(kind):
+        parts = [values.field(i) for i in range(kind.num_fields)] if not values.offset else values.flatten()
+        fields = [
+            # what is sensitive by name is hidden already
+            part if name_is_pii(f.name, keywords) else _by_vectors(part, functions, keywords)
+            for f, part in zip(kind, parts, strict=True)
+        ]
+        return pa.StructArray.from_arrays(fields, fields=list(kind), mask=pc.is_null(values))
+    if pa.types.is_map(kind):
+        # keys must differ, so a key that is found hides the whole map
+        keys, offsets = values.keys, values.offsets
+        begin, end = offsets[0].as_py(), offsets[-1].as_py()
+        hidden = pc.is_null(values).to_numpy(zero_copy_only=False)
+        if pa.types.is_string(kind.key_type):
+            shown = pc.not_equal(_by_vectors(keys, functions, ()), keys).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(values)), np.diff(offsets.to_numpy()))
+            hidden[row[shown[begin:end]]] = True
+        items = _by_vectors(values.items, functions, keywords)
+        where = pa.array(offsets.to_numpy(), pa.int32(), mask=np.append(hidden, False))
+        out = pa.MapArray.from_arrays(where, keys, items)
+        return out.cast(kind)
+    if pa.types.is_list(kind):
+        # the offsets of a slice begin within the elements
+        where = pa.array(values.offsets.to_numpy(), pa.int32(), mask=np.append(pc.is_null(values).to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(where, _by_vectors(values.values, functions, keywords)).cast(kind)
+    return values
+
+
+def _has_text(dtype: T.DataType) -> bool:
+    return is_text(dtype) or any(_has_text(kind) for _, kind, _ in _inner(dtype, ""))
+
+
+def _hidden_type(name: str, dtype: T.DataType, keywords: tuple[str, ...]) -> T.DataType:
+    """The type of a nested value once `_redacted` is through: what is sensitive by name is a string."""
+    if name_is_pii(name, keywords):
+        return T.StringType()
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _hidden_type(f.name, f.dataType, keywords)) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_hidden_type("", dtype.elementType, keywords))
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, _hidden_type("", dtype.valueType, keywords))
+    return dtype
+
+
+def _vectors(detectors: Iterable[Detector]) -> tuple[tuple[Detector, ...], tuple[Callable[[pa.Array], pa.Array], ...]]:
+    """Detectors that are expressions, and the functions of the others."""
+    return tuple(d for d in detectors if d.vector is None), tuple(d.vector for d in detectors if d.vector is not None)
+
+
 def redact(
     df: DataFrame,
     *,
@@ -116,7 +183,12 @@ def redact(
             verdict = _verdict(f, column, keywords, detectors)
             col = F.when(verdict, F.lit(REDACTED)).otherwise(F.col(column))
         elif nested:
-            col = _redacted(f.name, F.col(column), f.dataType, keywords, detectors)
+            # functions of arrays cannot stand inside Spark's lambdas: they get the nested column as a whole
+            plain_detectors, functions = _vectors(detectors)
+            col = _redacted(f.name, F.col(column), f.dataType, keywords, plain_detectors)
+            if functions and _has_text(f.dataType):
+                kind = _hidden_type(f.name, f.dataType, keywords)
+                col = F.arrow_udf(lambda v, fs=functions: _by_vectors(v, fs, keywords), kind)(col)
         else:
             col = F.col(column)
         out.append(col.alias(f.name))
@@ -221,6 +293,21 @@ def _texts_within(sql: str, dtype: T.DataType, path: str, name: str, keywords: t
         yield from _texts_within(step, kind, at, part, keywords, depth + 1)
 
 
+def _hits_by_vectors(
+    values: Column, detectors: tuple[Detector, ...], functions: tuple[Callable[[pa.Array], pa.Array], ...], keywords: tuple[str, ...]
+) -> Column:
+    """Of an array of texts those that an expression or a function finds."""
+
+    def judge(lists: pa.Array) -> pa.Array:
+        hit = pc.not_equal(_by_vectors(lists.values, functions, ()), lists.values)
+        where = pa.array(lists.offsets.to_numpy(), pa.int32(), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(where, pc.fill_null(hit, False))
+
+    found = F.arrow_udf(judge, "array<boolean>")(values)
+    both = F.arrays_zip(values.alias("v"), found.alias("f"))
+    return F.filter(both, lambda x: F.coalesce(x["f"], F.lit(False)) | should_redact("", x["v"], keywords, detectors))
+
+
 def classify_columns(
     df: DataFrame,
     *,
@@ -238,8 +325,26 @@ def classify_columns(
     One aggregation for all columns, partial on the map side; what is shuffled
     is one row per task.
     """
-    keywords, detectors = tuple(keywords), tuple(detectors)
+    return _judged(_counted(df, tuple(keywords), tuple(detectors)), min_hits)
+
+
+def _judged(found: DataFrame, min_hits: int) -> DataFrame:
+    ratio = F.col("hits") / F.nullif(F.col("non_null"), F.lit(0))
+    return found.select(
+        "column_name",
+        "name_hit",
+        "non_null",
+        "hits",
+        F.coalesce(ratio, F.lit(0.0)).alias("ratio"),
+        (F.col("name_hit") | (F.col("hits") >= min_hits)).alias("sensitive"),
+    )
+
+
+def _counted(df: DataFrame, keywords: tuple[str, ...], detectors: tuple[Detector, ...], by: Sequence[str] = ()) -> DataFrame:
+    """Per column, or part of a nested one: hit by name, non-null values, hits; for each value of the columns `by`, which are not judged."""
     plain, columns = positional(df)
+    group = [c for f, c in columns if f.name in by]
+    columns = [(f, c) for f, c in columns if f.name not in by]
     # (name, by name, what is counted, what is counted as a hit)
     found_of: list[tuple[str, bool, Column, Column | None]] = []
     for f, column in columns:
@@ -253,7 +358,10 @@ def classify_columns(
         found_of += [(p, True, F.count(column), None) for p in named]
         for path, sql in _texts_within(f"array({column})", f.dataType, f.name, f.name, keywords):
             values = F.expr(f"filter({sql}, v -> v IS NOT NULL)")
-            if detectors == DETECTORS:
+            own, functions = _vectors(detectors)
+            if functions:
+                hit = _hits_by_vectors(F.expr(sql), own, functions, keywords)
+            elif detectors == DETECTORS:
                 hit = F.expr(f"filter({sql}, v -> {should_redact_sql('v', keywords)})")
             else:
                 hit = F.filter(F.expr(sql), lambda v: should_redact("", v, keywords, detectors))
@@ -274,17 +382,8 @@ def classify_columns(
                     (F.lit(0).cast("bigint") if hits is None else F.col(f"h{i}")).alias("hits"),
                 )
             )
-        passes.append(plain.agg(*counts).select(F.inline(F.array(*rows))))
-    found = reduce(DataFrame.unionByName, passes)
-    ratio = F.col("hits") / F.nullif(F.col("non_null"), F.lit(0))
-    return found.select(
-        "column_name",
-        "name_hit",
-        "non_null",
-        "hits",
-        F.coalesce(ratio, F.lit(0.0)).alias("ratio"),
-        (F.col("name_hit") | (F.col("hits") >= min_hits)).alias("sensitive"),
-    )
+        passes.append(plain.groupBy(*group).agg(*counts).select(*[F.col(c).alias(n) for n, c in zip(by, group, strict=True)], F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def mask_policy(

@@ -14,7 +14,7 @@ PIECES = [
     "a@b.c", "user.name+x@mail-1.example.com", "10.0.0.1", "10.0.0.1/24", "999.1.1", "fe80::1", "f:1:::", "fe80::",
     "12:34:56", "deadbeef" * 4, "DEADBEEF" * 4, "a" * 31, "a" * 40, "x" * 39, "Zz_-+/" * 8 + "==", "4111111111111111",
     "4111-1111-1111-1111", "4111111111111112", "-4111111111111111-", "+33612345678", "+1 (743) 555-3824",
-    "4111 1111 1111 1111", "3782 822463 10005", "4111 1111 1111 1112", "FR7614508711001906946936763", "$2b$10$abc", "scrypt:1:2:3$x",
+    "4111 1111 1111 1111", "3782 822463 10005", "4111 1111 1111 1112", "FR7630006000011234567890189", "$2b$10$abc", "scrypt:1:2:3$x",
     "{SHA}" + "b" * 24, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIx.", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIx.sig", "plain", "Élan", "слово",
     "日本語テキスト", "it's", "e.g.", "1,000", "50%", "http://x.io/a?b=c", "user@", "@x", "$", ":", "{}", "%%%", "4785380592391139$$$",
 ]
