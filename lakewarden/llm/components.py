@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -32,11 +32,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("v", "u"))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         large = written(large.where("u != v"), "graph")
+        discard(now)
         small = _star(large)  # here v < u always
         # the edges of u to smaller nodes, now to the least of them, and u itself
         moved = small.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
         own = small.select("u", F.col("least").alias("v"))
         now = written(moved.union(own).where("u != v").distinct(), "graph")
+        discard(large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -3,21 +3,20 @@
 A document's tokens are hashes of its word shingles. The join has two levels.
 
 Routing. Documents that share keys, directly or in a chain, form a candidate
-group. Tokens are ordered by hash. For a high similarity they are cut into
-ranges, some more than two linked sets of a size class can differ in. So some
-range holds the same tokens in both, and the combination of all its tokens
-(about eight at 0.9) is a key that both have; a passage that many documents
-share fills no range, so it joins none. For a lower one ranges would hold too
-few tokens. There the keys come from a prefix: of linked sets the first two
-common tokens lie among the first in each, two more than a linked set may lack.
-A token that few documents have there is a key by itself; of the frequent ones
-each pair is a key.
-
-Joining. Inside a group tokens are ordered from rare to frequent. A link needs a
-common token among each side's rarest; where that one is rare, single tokens are
-the index. Where it is frequent all common tokens are, so the prefix is extended
-by one and pairs of frequent tokens are the index. Candidates are verified
-exactly. Groups beyond a block's size are joined block by block.
+group. Tokens are ordered by hash and cut into ranges, some more than two linked
+sets of a size class can differ in. So some range holds the same tokens in both,
+and the combination of all its tokens (about eight at 0.9, four at 0.8) is a key
+that both have; a passage that many documents share fills no range, so it joins
+none. Of a key's documents each is bound to the least one. That is done where the
+keys are made first, so a key that a third of all documents have sends one row
+per block of documents, not one per document.
+
+Joining. Equal sets are one set from here on. Inside a group tokens are ordered
+from rare to frequent. A link needs a common token among each side's rarest;
+where that one is rare, single tokens are the index. Where it is frequent all
+common tokens are, so the prefix is extended by one and pairs of frequent tokens
+are the index. Candidates are verified exactly. Groups beyond a block's size are
+joined block by block.
 """
 
 from __future__ import annotations
@@ -31,17 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, grams, hinted, let, lower_ascii, ship, words_by, written
+from .common import SPACES, discard, fresh, grams, hinted, let, lower_ascii, ship, words_by, written
 from .components import components
 
 #: Documents of a block; a task joins two blocks
 BLOCK = 1000
 #: A token is rare in a group if at most so many of its documents have it
 RARE = 16
-#: The same for the prefixes of all documents
-RARE_IN_CORPUS = 64
-#: From this similarity on ranges are the keys
-RANGES_FROM = 0.85
+#: Keys that are brought together before they are sent
+COMBINED = 1_000_000
 
 
 def token_set(text: Column, shingle: int) -> Column:
@@ -85,17 +82,17 @@ def _range_numbers(ends: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarr
     return ranges, ranges - differ
 
 
-def _range_keys(sets: DataFrame, share: float) -> DataFrame:
-    """(key, id): a hash of the tokens in each range, for the set's size class and, near its end, the next."""
+def _keyed(sets: DataFrame, share: float) -> DataFrame:
+    """(id, h1, h2, n, keys): for each set a hash of the tokens in each range of its size class and, near its end, the next."""
     ends = _size_classes(share)
     ranges, alike = _range_numbers(ends, share)
+    held_columns = ["id", "h1", "h2", "n"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("tokens")
             tokens = column.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(column.offsets.to_numpy())
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
             own = np.searchsorted(ends, sizes, side="right") - 1
             place = ((tokens >> 32) + 2**31).astype(np.float64) / 2**32  # in [0, 1), as ordered
             mixed = tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -103,6 +100,7 @@ def _range_keys(sets: DataFrame, share: float) -> DataFrame:
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(32)
             row = np.repeat(np.arange(len(sizes)), sizes)
+            found, owners = [], []
             for step in (0, 1):
                 scheme = own + step
                 takes = sizes > 0 if step == 0 else (sizes > 0) & (sizes >= np.floor(share * ends[own + 1]))
@@ -121,36 +119,61 @@ def _range_keys(sets: DataFrame, share: float) -> DataFrame:
                 key = sums ^ ((scheme[owner] * 2**24 + cells).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 key *= np.uint64(0xFF51AFD7ED558CCD)
                 key ^= key >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[owner], pa.int64())], names=["key", "id"])
-
-    return sets.mapInArrow(keys, "key bigint, id bigint")
-
-
-def _range_chains(sets: DataFrame, share: float) -> DataFrame:
-    """(u, v): neighbours in each key's order, so a key's documents form a chain and not all pairs."""
-    before = F.lag("id").over(Window.partitionBy("key").orderBy("id"))
-    return _range_keys(sets, share).withColumn("v", before).where("v < id").select(F.col("id").alias("u"), "v")
-
-
-def _prefix_chains(sets: DataFrame, share: float) -> DataFrame:
-    """(u, v): neighbours by single rare tokens and by pairs of frequent ones, of each set's prefix."""
-    size = F.size("tokens")
-    spare = size - F.ceil(size * share - 1e-9).cast("int")
-    prefix = F.when(size > 0, F.slice("tokens", F.lit(1), spare + 2))
-    each = sets.select("id", (size == 1).alias("lone"), F.explode_outer(prefix).alias("key")).where("key is not null")
-    one = Window.partitionBy("key")
-    placed = each.withColumns({"n": F.count("*").over(one), "v": F.lag("id").over(one.orderBy("id"))}).where("n > 1")
-    # written, as both kinds of keys are made from it
-    placed = written(placed, "jaccard-prefixes")
-    singles = placed.where(F.col("lone") | (F.col("n") <= RARE_IN_CORPUS)).where("v < id").select(F.col("id").alias("u"), "v")
-    frequent = placed.where(F.col("n") > RARE_IN_CORPUS).groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    pairs = let(
-        F.col("keys"),
-        lambda k: F.flatten(F.transform(k, lambda a, i: F.transform(F.slice(k, i + 2, F.size(k)), lambda b: F.xxhash64(a, b)))),
-    )
-    both = frequent.select("id", F.explode_outer(pairs).alias("key")).where("key is not null")
-    before = F.lag("id").over(one.orderBy("id"))
-    return singles.union(both.withColumn("v", before).where("v < id").select("id", "v"))
+                found.append(key)
+                owners.append(owner)
+            owner = np.concatenate(owners)
+            key = np.concatenate(found)[np.argsort(owner, kind="stable")].view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held_columns], lists], names=[*held_columns, "keys"])
+
+    marked = sets.select("id", F.xxhash64("tokens").alias("h1"), F.hash("tokens").alias("h2"), F.size("tokens").alias("n"), "tokens")
+    return marked.mapInArrow(keys, "id bigint, h1 bigint, h2 int, n int, keys array<bigint>")
+
+
+def _stars(keyed: DataFrame) -> DataFrame:
+    """(u, v): each document and a least one that shares a key with it; a key's documents are all connected.
+
+    Keys are brought together in blocks of documents, where each document is
+    bound to the block's least of the key. Only that one is sent on, so a key
+    has as many rows in the shuffle as it has blocks.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, size = [], 0
+
+        def combined():
+            key, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+            return key, owner, first
+
+        for batch in batches:
+            column = batch.column("keys")
+            key = column.flatten().to_numpy(zero_copy_only=False)
+            held.append((key, np.repeat(batch.column("id").to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))))
+            size += len(key)
+            if size >= COMBINED:
+                yield combined()
+                held, size = [], 0
+        if size:
+            yield combined()
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, owner, first in blocks(batches):
+            least = np.repeat(owner[first], np.diff(np.append(first, len(key))))
+            pairs = np.unique(np.stack([owner, least], axis=1)[owner != least], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, owner, first in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(owner[first])], names=["key", "id"])
+
+    rows = keyed.where("id is not null and n > 0").select("id", "keys")
+    least = F.min("id").over(Window.partitionBy("key"))
+    across = rows.mapInArrow(heads, "key bigint, id bigint").withColumn("v", least).where("v < id").select(F.col("id").alias("u"), "v")
+    return rows.mapInArrow(inside, "u bigint, v bigint").union(across).distinct()
 
 
 class _Forest:
@@ -250,37 +273,43 @@ def similar(
     """
     ship(documents.sparkSession)
     rows = documents.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    sets = rows.select("id", token_set(F.col("text"), shingle).alias("tokens"))
-    usable = sets.where(F.col("id").isNotNull())
-    chains = (_range_chains if share >= RANGES_FROM else _prefix_chains)(usable, share).distinct()
-    candidates = written(components(written(chains, "jaccard-chains")), "jaccard-groups")
-
-    whole = candidates.groupBy("component").agg(F.count("*").alias("members"))
-    placed = hinted(written(candidates.join(whole, "component"), "jaccard-places"))
+    keyed = written(_keyed(rows.select("id", token_set(F.col("text"), shingle).alias("tokens")), share), "jaccard-keys")
+    stars = written(_stars(keyed), "jaccard-stars")
+    candidates = written(components(stars), "jaccard-groups")
+    prints = written(keyed.select("id", "h1", "h2", "n"), "jaccard-prints")
+    discard(keyed, stars)
+
+    # equal sets: the least id stands for all of them
+    same = ["h1", "h2", "n"]
+    named = prints.where("id is not null and n > 0")
+    equal = named.groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("several")).where("several > 1").drop("several")
+    equal = hinted(written(equal, "jaccard-equal"))
+    marked = named.join(equal, same, "left").select("id", "least")
+    copies = marked.where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    # an id may have several texts: it is left out if each of them is another's copy
+    standing = marked.groupBy("id").agg(F.bool_or(F.coalesce(F.col("id") == F.col("least"), F.lit(True))).alias("first")).where("first")
+    firsts = candidates.join(standing.select(F.col("id").alias("node")), "node")
+    whole = firsts.groupBy("component").agg(F.count("*").alias("members"))
+    placed = hinted(written(firsts.join(whole, "component").where("members > 1"), "jaccard-places"))
     # the join comes before the sets are made, so only candidates' texts are cut into words
     texts = rows.where(F.col("id").isNotNull()).join(placed.withColumnRenamed("node", "id"), "id")
     sets = texts.select("id", "component", "members", token_set(F.col("text"), shingle).alias("tokens"))
     # no filter on the sets: Spark would make them for all documents, before the join
-    same = sets.withColumns({"h1": F.xxhash64("tokens"), "h2": F.hash("tokens"), "n": F.size("tokens")})
-    same = written(same, "jaccard-sets").where("n > 0")
-    classes = same.groupBy("h1", "h2", "n").agg(F.min("id").alias("least"))
-    copies = same.select("h1", "h2", "n", "id").join(classes, ["h1", "h2", "n"]).where("id != least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    firsts = same.join(classes, ["h1", "h2", "n"]).where("id = least").select("id", "component", "members", "tokens")
-    firsts = written(firsts.dropDuplicates(["id", "tokens"]), "jaccard-firsts")
+    sets = written(sets, "jaccard-sets").where(F.size("tokens") > 0)
     # small groups share a part; a large one is cut into blocks, and each pair of blocks is a part
     blocks = F.ceil(F.col("members") / block).cast("int")
-    parts = max(1, -(-firsts.count() // block))
-    small = firsts.where(blocks <= 1).select(
+    parts = max(1, -(-sets.count() // block))
+    small = sets.where(blocks <= 1).select(
         F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), "id", "tokens"
     )
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
-    large = firsts.where(blocks > 1).select(F.col("component").cast("string").alias("part"), F.explode_outer(others).alias("p"), "id", "tokens")
+    large = sets.where(blocks > 1).select(F.col("component").cast("string").alias("part"), F.explode_outer(others).alias("p"), "id", "tokens")
     groups = small.unionByName(large.select("part", "p.a", "p.b", "id", "tokens"))
-    links = _group_links(groups, share).union(copies)
-    found = written(components(written(links, "jaccard-links")), "jaccard-components")
-    counted = rows.select("id", F.size(token_set(F.col("text"), shingle)).cast("bigint").alias("n_shingles"))
-    return counted.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+    links = written(_group_links(groups, share).union(copies), "jaccard-links")
+    found = written(components(links), "jaccard-components")
+    discard(candidates, links)
+    return prints.select("id", F.col("n").cast("bigint").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id), "n_shingles", F.coalesce("component", "id").alias("component_id")
     )
 
@@ -288,5 +317,6 @@ def similar(
 def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, that are the smallest id of their component; rows with a NULL id stay."""
     kept = similar(documents, id, text, **options)
-    others = kept.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_i")).distinct()
-    return documents.join(others, documents[id].cast("bigint") == others["_i"], "left_anti")
+    other = fresh([documents], "other")
+    others = kept.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(other)).distinct()
+    return documents.join(others, F.col(f"`{id}`").cast("bigint") == F.col(other), "left_anti")
