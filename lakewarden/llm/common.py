@@ -20,6 +20,8 @@ SPACES = r"\x20\x09-\x0D"
 #: Rows of a table that may be broadcast: at about 100 bytes a row some 100 MB.
 #: Beyond it every operator takes a shuffled way with the same rows.
 BROADCAST_ROWS = 1_000_000
+#: And the bytes it may have, as files; in memory a table takes a few times as much
+BROADCAST_BYTES = 64_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -79,8 +81,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if small(df, rows) else df
+    """A written table, marked for broadcast if its counted rows and the bytes of its files allow it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > BROADCAST_BYTES or not small(df, rows):
+        return df
+    out = F.broadcast(df)
+    if "written_at" in vars(df):
+        out.written_at = df.written_at
+    return out
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:

@@ -6,8 +6,8 @@ Routing. Documents that share keys, directly or in a chain, form a candidate
 group. Tokens are ordered by hash and cut into ranges, some more than two linked
 sets of a size class can differ in. So some range holds the same tokens in both,
 and the combination of all its tokens (about eight at 0.9, four at 0.8) is a key
-that both have; a passage that many documents share fills no range, so it joins
-none. Of a key's documents each is bound to the least one. That is done where the
+that both have; a passage that many documents share fills hardly a range, so it
+joins hardly any. Of a key's documents each is bound to the least one. That is done where the
 keys are made first, so a key that a third of all documents have sends one row
 per block of documents, not one per document.
 
@@ -62,30 +62,42 @@ def _size_classes(share: float, limit: int = 2**31) -> np.ndarray:
     return np.array(ends)
 
 
-def _range_numbers(ends: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each size class the number of ranges, and how many of them linked sets have alike at least.
+def _differ(sizes: np.ndarray, ends: np.ndarray, share: float) -> np.ndarray:
+    """Tokens that are in one only of a set and a linked one whose size is below ``ends``, at most."""
+    largest = np.minimum(np.floor(sizes / share + 1e-9), ends - 1)
+    return np.floor((sizes + np.maximum(largest, sizes)) * (1 - share) / (1 + share) + 1e-9).astype(np.int64)
 
-    An empty range is alike in too many sets to be a key. So there are as many
-    ranges as it takes for the smallest sets to have fewer empty ones, almost
-    always, than are alike; sets with more use their empty ranges as well.
+
+def _range_numbers(ends: np.ndarray, share: float) -> np.ndarray:
+    """For each size class the number of ranges.
+
+    Linked sets have all ranges alike but as many as they differ in tokens. A
+    range with one token or none is alike in too many sets to be a key. So there
+    are as many ranges as it takes for almost all sets to have fewer of these
+    light ones than are alike; a set that has more uses its light ranges as well.
     """
-    # |x - y| + |y - x| <= (|x| + |y|) (1 - share) / (1 + share), and |x|, |y| are below the class's end
-    differ = np.floor(2 * (ends[1:] - 1) * (1 - share) / (1 + share) + 1e-9).astype(np.int64)
-    ranges = differ + 1
-    for at, (lower, d) in enumerate(zip(ends[:-1].tolist(), differ.tolist(), strict=True)):
-        smallest = max(1.0, share * lower)
-        for m in (d + 1 + int(k * (d + 8) / 40) for k in range(40)):
-            empty = m * math.exp(-smallest / m)
-            if m - d > empty + 4 * math.sqrt(empty) + 1:
-                ranges[at] = m
+    ranges = np.empty(len(ends) - 1, np.int64)
+    for at, (lower, end) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        sizes = np.unique(np.linspace(max(1, share * lower), end - 1, 5).astype(np.int64))
+        differ = _differ(sizes, np.full(len(sizes), end), share)
+        d = int(differ.max())
+        best, found = -np.inf, d + 1
+        for m in sorted({d + 1 + int(k * (d + 8) / 30) for k in range(45)}):
+            each = sizes / m
+            light = m * np.exp(-each) * (1 + each)
+            spare = ((m - differ - light) / np.sqrt(light + 1)).min()
+            if spare > best:
+                best, found = spare, m
+            if spare >= 2.5:
                 break
-    return ranges, ranges - differ
+        ranges[at] = found
+    return ranges
 
 
 def _keyed(sets: DataFrame, share: float) -> DataFrame:
     """(id, h1, h2, n, keys): for each set a hash of the tokens in each range of its size class and, near its end, the next."""
     ends = _size_classes(share)
-    ranges, alike = _range_numbers(ends, share)
+    ranges = _range_numbers(ends, share)
     held_columns = ["id", "h1", "h2", "n"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +119,17 @@ def _keyed(sets: DataFrame, share: float) -> DataFrame:
                 m = ranges[scheme]
                 cell = (place * m[row]).astype(np.int64)
                 first = np.concatenate([[0], np.cumsum(m * takes)])
-                sums, held = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
+                sums = np.zeros(first[-1], np.uint64)
                 used = takes[row]
                 at = first[row[used]] + cell[used]
                 np.add.at(sums, at, mixed[used])
-                held[at] = True
+                held = np.bincount(at, minlength=first[-1])
                 owner = np.repeat(np.arange(len(sizes)), m * takes)
-                empty = np.bincount(owner[~held], minlength=len(sizes))
-                kept = held | (empty >= alike[scheme])[owner]
+                alike = m - _differ(sizes, ends[scheme + 1], share)
+                light = np.bincount(owner[held < 2], minlength=len(sizes)) >= alike
+                empty = np.bincount(owner[held < 1], minlength=len(sizes)) >= alike
+                # of linked sets one range alike has two tokens, unless one of them is light; then one has a token
+                kept = (held >= 2) | (light[owner] & (held == 1)) | empty[owner]
                 sums, owner, cells = sums[kept], owner[kept], (np.arange(first[-1]) - first[owner])[kept]
                 key = sums ^ ((scheme[owner] * 2**24 + cells).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
                 key *= np.uint64(0xFF51AFD7ED558CCD)

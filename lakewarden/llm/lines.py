@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, hinted, ship, written
+from .common import discard, fresh, hinted, ship, written
 from .components import components
 from .jaccard import _Forest
 
@@ -135,25 +135,46 @@ class _Filter:
     """Rejects pairs by their lengths and signatures; no pair that is linked."""
 
     def __init__(self, rows: pd.DataFrame, share: float):
-        self.share, self.sizes = share, rows["n"].to_numpy().astype(np.int64)
+        self.sizes = rows["n"].to_numpy().astype(np.int64)
+        self.least = _least(self.sizes, share)  # grows with the size, so the larger one's is the larger
         # unsigned, as of signed numbers the bits of their absolute values are counted
         self.signs = rows[[f"s{k}" for k in range(WORDS)]].to_numpy().astype(np.int64).view(np.uint64)
-        self.wide = [w if w is None else np.frombuffer(w, np.uint64) for w in rows["wide"]]
+        self.wide = [w if w is None else np.frombuffer(w, np.uint64) for w in rows["wide"]] if "wide" in rows else None
 
     def near(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-        """Of pairs of rows, which may be linked."""
+        """Of pairs of rows, given as arrays that go together, which may be linked."""
         a, b = self.sizes[xs], self.sizes[ys]
-        most = a + b - 2 * _least(np.maximum(a, b), self.share)
+        most = a + b - 2 * np.maximum(self.least[xs], self.least[ys])
         out = most >= np.abs(a - b)
-        at = np.flatnonzero(out)
-        x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
-        out[at] = np.bitwise_count(self.signs[x] ^ self.signs[y]).sum(axis=1) <= most[at]
-        at = np.flatnonzero(out & (np.minimum(a, b) > WIDE_FROM))
-        x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
-        out[at] = [np.bitwise_count(self.wide[i] ^ self.wide[j]).sum() <= m for i, j, m in zip(x, y, most[at], strict=True)]
+        bits = np.zeros(out.shape, np.int64)
+        for k in range(WORDS):
+            sign = self.signs[:, k]
+            bits += np.bitwise_count(sign[xs] ^ sign[ys])
+        out &= bits <= most
+        if self.wide is not None:
+            at = np.nonzero(out & (np.minimum(a, b) > WIDE_FROM))
+            x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
+            out[at] = [np.bitwise_count(self.wide[i] ^ self.wide[j]).sum() <= m for i, j, m in zip(x, y, most[at], strict=True)]
         return out
 
 
+def _tree(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs that connect what a symmetric matrix connects: from each row those near it that no row before was."""
+    u, v, left = [], [], np.ones(len(near), bool)
+    for start in range(len(near)):
+        if not left[start]:
+            continue
+        left[start], open_ = False, [start]
+        while open_:
+            x = open_.pop()
+            close = np.flatnonzero(near[x] & left)
+            left[close] = False
+            u += [x] * len(close)
+            v += close.tolist()
+            open_ += close.tolist()
+    return u, v
+
+
 def _words(rows: DataFrame) -> DataFrame:
     """The lines of ``text`` with hashes of their normalised text and of its words."""
     each = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
@@ -172,14 +193,14 @@ def often_used(rows: DataFrame, sample_rows: int = 2000, seed: int = 3) -> tuple
     return np.array([w for w, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
-def _lines(rows: DataFrame, min_words: int, share: float) -> DataFrame:
+def _lines(rows: DataFrame, share: float) -> DataFrame:
     """(id, rk, line, l1, l2, n, s0..s3, wide, keys): the lines that count, with what their classes are compared by."""
     often = often_used(rows)
     names = ["id", "rk", "line", "l1", "l2"]
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("words")), max(min_words, 1)))
+            kept = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("words")), 1))
             if not kept.num_rows:
                 continue
             column = kept.column("words")
@@ -203,7 +224,7 @@ def _lines(rows: DataFrame, min_words: int, share: float) -> DataFrame:
 
 def _candidates(lines: DataFrame, share: float) -> DataFrame:
     """(u, v): pairs that share a key and may be linked, enough of them to connect all that do."""
-    rows = lines.select(F.explode_outer("keys").alias("key"), "node", "n", *SIGNS).where("key is not null")
+    rows = lines.select(F.explode_outer("keys").alias("key"), "node", "n", *SIGNS[:WORDS]).where("key is not null")
     parts = max(1, -(-lines.count() // 5000))
     hot = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     hot = hinted(written(hot, "line-hot-blocks"))
@@ -226,17 +247,10 @@ def _candidates(lines: DataFrame, share: float) -> DataFrame:
             u.append(node[xs])
             v.append(node[xs + step])
         for s, e in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
-            left = np.arange(s, e)
-            while len(left) > 1:  # a sweep from a line takes those near it, and those near them
-                found, edge = left[:1], left[1:]
-                while len(found) and len(edge):
-                    x, found = found[0], found[1:]
-                    is_near = pairs.near(x, edge)
-                    close, edge = edge[is_near], edge[~is_near]
-                    u.append(np.full(len(close), node[x]))
-                    v.append(node[close])
-                    found = np.concatenate([found, close])
-                left = edge
+            at = np.arange(s, e)
+            x, y = _tree(pairs.near(at[:, None], at[None]))
+            u.append(node[s:e][x])
+            v.append(node[s:e][y])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}, dtype="int64")
 
     return cold.unionByName(split).groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
@@ -263,7 +277,7 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
         for s, e in zip(starts, np.concatenate([starts[1:], [len(group)]]), strict=True):
             for x in range(s, e - 1):
                 others = np.arange(x + 1, e)
-                for y in others[pairs.near(x, others)].tolist():
+                for y in others[pairs.near(np.full(len(others), x), others)].tolist():
                     if forest.root(x) != forest.root(y):
                         longer, a, b = max(sizes[x], sizes[y]), text[x], text[y]
                         # words changed in place bound the distance from above, in one pass
@@ -278,31 +292,33 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
 
 
 def repeated_lines(
-    documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = 0.8, min_words: int = 4
+    documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = 0.8
 ) -> DataFrame:
     """(id, rk, line): the lines, numbered from 0 in their text, that repeat an earlier one. ``rk`` is a hash of the text.
 
     Lines that differ in case, spaces or punctuation only are equal; others are
     linked if 1 - edit distance / longer length, both in words, is at least
     ``share``. The first
-    line of a group stays, by id, text hash and number. Lines of fewer than
-    ``min_words`` words count as no repeats, so NULL, empty and blank texts have
-    none. Rows that repeat both id and text are one document here. Documents
+    line of a group stays, by id, text hash and number. Lines without a letter or
+    digit count as no repeats, so NULL, empty and blank texts have none. Rows that repeat both id and text are one document here. Documents
     with a NULL id come last.
     """
     ship(documents.sparkSession)
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = written(_lines(rows, min_words, share), "lines")
+    each = written(_lines(rows, share), "lines")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rk", "line")
-    classes = lines.groupBy("l1", "l2").agg(
+    classes = each.groupBy("l1", "l2").agg(
         F.min(place).alias("first"), *[F.first(c).alias(c) for c in (*SIGNS, "n", "keys")]
     )
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
+    lines = written(each.select("id", "rk", "line", "l1", "l2"), "line-places")
+    discard(each)
     near = written(_candidates(classes, share), "line-candidates")
     groups = written(components(near), "line-groups")
+    discard(near)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
     members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "n", *SIGNS)
-    members = hinted(written(members, "line-members"))
+    members = hinted(written(members, "line-members"), 200_000)
     # only candidates' texts are fetched: each class's first line
     said = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
     at = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.line") == F.col("line"))
@@ -314,12 +330,14 @@ def repeated_lines(
         F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *columns
     )
     many = dealt(texts.where(F.col("members") > BLOCK), F.col("component").cast("string"), F.col("members"), columns)
-    linked = components(written(_links(few.unionByName(many), share), "line-links")).withColumnsRenamed({"component": "grp"})
+    links = written(_links(few.unionByName(many), share), "line-links")
+    linked = written(components(links).withColumnsRenamed({"component": "grp"}), "line-components")
+    discard(groups, members, texts, links)
     of = classes.join(linked, "node", "left").select("l1", "l2", F.coalesce("grp", "node").alias("grp"), "first")
     firsts = of.groupBy("grp").agg(F.min("first").alias("kept"))
     kept = of.join(firsts, "grp").select("l1", "l2", "kept")
     # most classes have one line and are their own first: only others need a look
-    return lines.select("id", "rk", "line", "l1", "l2").join(kept, ["l1", "l2"]).where(place != F.col("kept")).select("id", "rk", "line").distinct()
+    return lines.join(kept, ["l1", "l2"]).where(place != F.col("kept")).select("id", "rk", "line").distinct()
 
 
 def without_repeated_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -330,11 +348,13 @@ def without_repeated_lines(documents: DataFrame, id: str = "doc_id", text: str =
     """
     gone = repeated_lines(documents, id, text, **options)
     gone = gone.groupBy("id", "rk").agg(F.collect_list("line").alias("lines"))  # at most a text's own lines
-    gone = hinted(written(gone.select(F.col("id").alias("_i"), F.col("rk").alias("_r"), "lines"), "lines-gone"), 200_000)
-    removed, count = fresh([documents], "removed_lines"), fresh([documents], "n_removed_lines")
-    gone = gone.withColumnRenamed("lines", removed)
-    at = F.col(f"`{id}`").eqNullSafe(F.col("_i")) & (F.xxhash64(F.col(text)) == F.col("_r"))
-    joined = documents.join(gone, at, "left").drop("_i", "_r")
+    names = {}
+    for name in ("removed_lines", "n_removed_lines", "id_of_lines", "text_of_lines"):
+        names[name] = fresh([documents], name)
+    removed, count, of_id, of_text = names.values()
+    gone = hinted(written(gone.select(F.col("id").alias(of_id), F.col("rk").alias(of_text), F.col("lines").alias(removed)), "lines-gone"), 200_000)
+    at = F.col(f"`{id}`").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(of_text))
+    joined = documents.join(gone, at, "left").drop(of_id, of_text)
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
