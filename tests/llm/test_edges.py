@@ -193,8 +193,12 @@ def test_lines(spark, docs, none):
     df = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id bigint, text string, line int, n_removed_lines int")
     left = lines.without_repeated_lines(df)
     assert by_id(left, "doc_id", "text", "n_removed_lines_") == sorted(
-        [(1, long + "\nshort", 1), (2, "new line with some words", 1), (3, None, 0), (4, "", 0), (4, "short", 0)], key=str
+        [(1, long + "\nshort", 1), (2, "new line with some words", 1), (3, None, 0), (4, "", 0), (4, "", 1)], key=str
     )
+    # lines of one word count, and no column of the user's is taken for one of ours
+    clash = df.withColumns({c: F.lit("mine") for c in ("_i", "_r", "removed_lines", "id_of_lines", "text_of_lines")})
+    kept = lines.without_repeated_lines(clash)
+    assert kept.columns == [*clash.columns, "n_removed_lines_"] and {r["_i"] + r["_r"] for r in kept.collect()} == {"minemine"}
     assert lines.without_repeated_lines(none).count() == 0
     assert lines.without_repeated_lines(docs).count() == docs.count()
 
