@@ -1,19 +1,24 @@
 """Fuzzy line deduplication.
 
-Lines are normalised, and equal ones form a class. Classes meet by their words:
-lines of which at most k words are edited share all but k, so of the words
-ordered from rare to frequent some word among the first k + 1 of each is in
-both. A sample finds the frequent words; it settles the order, which decides
-work and never a result. Frequent words are keys together with a class of the
-line's length. Pairs that meet are held against a signature, one bit flipped per
-word: a pair whose signatures differ in more bits than words may differ is no
-link. What is left forms candidate groups, inside which the edit similarity of
-the lines, word by word, is verified. Of each connected group of verified links
-the first occurrence stays, by document and line.
+Lines are normalised, and equal ones form a class. Each class in which an edit
+leaves the similarity high enough has a SimHash of its words: every word votes
+for or against every bit. The SimHash is cut into blocks, and classes that agree
+in a whole block meet (pigeonhole: of B blocks, lines with fewer than B differing
+bits share one; lines at the threshold with the chance that ``blocks_for`` sets).
+A second piece of the SimHash and the lengths reject most pairs that meet. What is
+left forms candidate groups, inside which the edit similarity of the lines, word
+by word, is verified. Of each connected group of verified links the first
+occurrence stays, by document and line.
+
+``exact=True`` takes another way to candidates that misses none: lines of which at
+most k words are edited share all but k, so of the words ordered from rare to
+frequent some word among the first k + 1 of each is in both. A sample finds the
+frequent words; it settles the order, which decides work and never a result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from operator import ne
 
@@ -28,6 +33,15 @@ from .common import discard, fresh, hinted, ship, written
 from .components import components
 from .jaccard import _Forest
 
+#: Edit similarity of linked lines, in words, and the share of lines just that similar that meet in a block
+SHARE, FOUND = 0.9, 0.94
+#: 64-bit words of the SimHash that go with each block to reject pairs, and standard deviations that linked lines may be off
+CHECKS, OFF = 3, 3.0
+NEAR = tuple(f"c{k}" for k in range(CHECKS))
+#: Words whose votes are counted at a time, and words of a line up to which a count fits 8 bits
+VOTES, SHORT = 16_384, 127
+#: One class in so many is looked at to find blocks with more than BLOCK classes, which only deals their work to more tasks
+EVERY = 64
 #: 64-bit words of a signature, and of that of lines of more than WIDE_FROM words
 WORDS, WIDE, WIDE_FROM = 4, 32, 200
 SIGNS = (*(f"s{k}" for k in range(WORDS)), "wide")
@@ -99,6 +113,49 @@ def word_keys(hashes: np.ndarray, sizes: np.ndarray, often: tuple[np.ndarray, np
     return np.concatenate(lines), np.concatenate(keys)
 
 
+def blocks_for(lines: int, share: float = SHARE, found: float = FOUND) -> tuple[int, int]:
+    """(bits of a block, blocks): blocks as selective as the lines are many, enough that ``found`` of lines just ``share`` alike meet."""
+    bits = max(12, math.ceil(math.log2(max(lines, 1))) - 5)
+    same = (1 - math.acos(share) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - found) / math.log(1 - same))
+
+
+def _can_differ(sizes: np.ndarray, share: float) -> np.ndarray:
+    """Whether lines of so many words can be linked with others than equal ones."""
+    return (_least(sizes, share) < sizes) | (np.floor(sizes / share + 1e-9) > sizes)
+
+
+def simhash(hashes: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """64-bit words of the SimHash of lines; the words' hashes of line i begin at starts[i]."""
+    ends = np.append(starts[1:], len(hashes))
+    out = np.empty((len(starts), words), np.uint64)
+
+    def votes(some: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(some, return_inverse=True)
+        planes = np.empty((len(distinct), words), np.uint64)
+        for k in range(words):
+            x = distinct.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            planes[:, k] = x ^ (x >> np.uint64(31))
+        return (np.unpackbits(planes.view(np.uint8), axis=1).view(np.int8) * 2 - 1)[at]
+
+    line = 0
+    while line < len(starts):
+        begin = starts[line]
+        last = max(line + 1, int(np.searchsorted(ends, begin + VOTES, side="right")))
+        if last == line + 1:  # it may be longer than what is counted at a time
+            total = np.zeros((1, 64 * words), np.int32)
+            for at in range(begin, ends[line], VOTES):
+                total += votes(hashes[at : min(at + VOTES, ends[line])]).sum(axis=0, dtype=np.int32)
+        else:
+            kind = np.int8 if (ends[line:last] - starts[line:last]).max() <= SHORT else np.int32
+            total = np.add.reduceat(votes(hashes[begin : ends[last - 1]]).astype(kind, copy=False), starts[line:last] - begin, axis=0)
+        out[line:last] = np.packbits(total >= 0, axis=1).view(np.uint64)
+        line = last
+    return out
+
+
 def edit_distance(a: Sequence, b: Sequence, most: int | None = None) -> int:
     """Levenshtein's between texts or lists of words, by bit vectors as long as ``a``; above ``most`` some number above it."""
     if most is None:
@@ -158,6 +215,22 @@ class _Filter:
         return out
 
 
+class _Near:
+    """Rejects pairs by their lengths and by pieces of their SimHash; of linked pairs fewer than one in 700."""
+
+    def __init__(self, rows: pd.DataFrame, share: float):
+        self.sizes, self.share = rows["n"].to_numpy().astype(np.int64), share
+        self.signs = [rows[c].to_numpy().astype(np.int64).view(np.uint64) for c in NEAR]
+        differ, bits = math.acos(share) / math.pi, 64 * CHECKS
+        self.most = bits * differ + OFF * math.sqrt(bits * differ * (1 - differ))
+
+    def near(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+        """Of pairs of rows, given as arrays that go together, which may be linked."""
+        a, b = self.sizes[xs], self.sizes[ys]
+        bits = sum(np.bitwise_count(sign[xs] ^ sign[ys]).astype(np.int16) for sign in self.signs)
+        return (bits <= self.most) & (np.minimum(a, b) >= self.share * np.maximum(a, b) - 1e-9)
+
+
 def _tree(near: np.ndarray) -> tuple[list[int], list[int]]:
     """Pairs that connect what a symmetric matrix connects: from each row those near it that no row before was."""
     u, v, left = [], [], np.ones(len(near), bool)
@@ -222,6 +295,60 @@ def _lines(rows: DataFrame, share: float) -> DataFrame:
     return _words(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, {signs}, wide binary, keys array<bigint>")
 
 
+def _hashed_lines(rows: DataFrame, share: float, words: int) -> DataFrame:
+    """(id, rk, line, l1, l2, n, sig, c0..c2): the lines that count; the SimHash and pieces of it only of those that can be linked with unequal ones."""
+    names = ["id", "rk", "line", "l1", "l2"]
+
+    def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("words")), 1))
+            sizes = pc.list_value_length(kept.column("words")).to_numpy().astype(np.int64)
+            sig, checks = np.full(len(sizes), None, object), np.zeros((len(sizes), CHECKS), np.int64)
+            longer = np.flatnonzero(_can_differ(sizes, share))
+            if len(longer):
+                flat = kept.column("words").take(pa.array(longer)).flatten().to_numpy(zero_copy_only=False)
+                own = sizes[longer]
+                signs = simhash(flat, np.cumsum(own) - own, words)
+                sig[longer], checks[longer] = [row.tobytes() for row in signs], signs.view(np.int64)[:, :CHECKS]
+            columns = [*[kept.column(c) for c in names], pa.array(sizes, pa.int32()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in checks.T.copy()]], names=[*names, "n", "sig", *NEAR])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return _words(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, sig binary, " + ", ".join(f"{c} bigint" for c in NEAR))
+
+
+def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFrame:
+    """(u, v): pairs that agree in a block and may be linked, enough of them to connect all that do."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 2.0 ** np.arange(bits)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                signs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                flags = np.unpackbits(signs, axis=1)[:, : bits * blocks].reshape(-1, blocks, bits)
+                keys = (flags @ power).astype(np.int64) | np.arange(blocks) << bits
+                again = np.repeat(np.arange(batch.num_rows), blocks)
+                check = signs.view(np.int64)[:, :CHECKS]
+                columns = [keys.ravel(), batch.column("node").to_numpy()[again], batch.column("n").to_numpy()[again], *check[again].T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", "n", *NEAR])
+
+    schema = "key bigint, node bigint, n int, " + ", ".join(f"{c} bigint" for c in NEAR)
+    longer = classes.where("sig is not null").select("node", "n", "sig")
+    some = longer.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(EVERY)) == 0).mapInArrow(cut, schema)
+    hot = some.groupBy("key").agg((F.count("*") * EVERY).alias("members")).where(F.col("members") > BLOCK)
+    hot = hinted(written(hot.withColumnRenamed("key", "hot_key"), "line-hot-blocks"), 200_000)
+    parts = max(1, -(-longer.count() * blocks // 200_000))
+    rows = longer.mapInArrow(cut, schema)
+    sized = rows.join(hot, rows.key == hot.hot_key, "left")
+    wanted = F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), wanted).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), wanted - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
+    part = F.when(F.col("members").isNull(), F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(-1 - F.col("key"))
+    dealt_out = sized.select(part.alias("part"), F.explode(pairs).alias("p"), *rows.columns).select("part", "p.a", "p.b", *rows.columns)
+    return _meet(dealt_out, share, _Near)
+
+
 def _candidates(lines: DataFrame, share: float) -> DataFrame:
     """(u, v): pairs that share a key and may be linked, enough of them to connect all that do."""
     rows = lines.select(F.explode_outer("keys").alias("key"), "node", "n", *SIGNS[:WORDS]).where("key is not null")
@@ -233,10 +360,15 @@ def _candidates(lines: DataFrame, share: float) -> DataFrame:
         F.concat(F.lit("p"), F.pmod(F.xxhash64("key"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *rows.columns
     )
     split = dealt(sized.where("members is not null"), F.col("key").cast("string"), F.col("members"), rows.columns)
+    return _meet(cold.unionByName(split), share, _Filter)
+
+
+def _meet(rows: DataFrame, share: float, told: type) -> DataFrame:
+    """(u, v): pairs of one ``key`` that may be linked by ``told``, in each group of (part, a, b)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "node"], ignore_index=True)
-        key, node, pairs = rows["key"].to_numpy(), rows["node"].to_numpy(), _Filter(rows, share)
+        key, node, pairs = rows["key"].to_numpy(), rows["node"].to_numpy(), told(rows, share)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.concatenate([starts[1:], [len(key)]])
         last = np.repeat(np.where(ends - starts <= FEW, ends, 0), ends - starts)
@@ -253,7 +385,7 @@ def _candidates(lines: DataFrame, share: float) -> DataFrame:
             v.append(node[s:e][y])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}, dtype="int64")
 
-    return cold.unionByName(split).groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
+    return rows.groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
 
 
 def dealt(rows: DataFrame, group: Column, members: Column, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -265,13 +397,13 @@ def dealt(rows: DataFrame, group: Column, members: Column, columns: list[str], b
     return spread.select("part", "p.a", "p.b", *columns)
 
 
-def _links(groups: DataFrame, share: float) -> DataFrame:
+def _links(groups: DataFrame, share: float, told: type) -> DataFrame:
     """(u, v): verified links, a spanning forest of each part."""
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["component", "node"], ignore_index=True)
         group, node, text = rows["component"].to_numpy(), rows["node"].to_numpy(), [t.split(" ") for t in rows["norm"]]
-        pairs, sizes = _Filter(rows, share), rows["n"].to_numpy()
+        pairs, sizes = told(rows, share), rows["n"].to_numpy()
         forest, u, v = _Forest(len(rows)), [], []
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         for s, e in zip(starts, np.concatenate([starts[1:], [len(group)]]), strict=True):
@@ -292,52 +424,61 @@ def _links(groups: DataFrame, share: float) -> DataFrame:
 
 
 def repeated_lines(
-    documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = 0.8
+    documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, exact: bool = False
 ) -> DataFrame:
     """(id, rk, line): the lines, numbered from 0 in their text, that repeat an earlier one. ``rk`` is a hash of the text.
 
     Lines that differ in case, spaces or punctuation only are equal; others are
     linked if 1 - edit distance / longer length, both in words, is at least
-    ``share``. The first
+    ``share``: all equal lines are found, of the others those whose SimHashes agree
+    in a block, or all if ``exact``. The first
     line of a group stays, by id, text hash and number. Lines without a letter or
     digit count as no repeats, so NULL, empty and blank texts have none. Rows that repeat both id and text are one document here. Documents
     with a NULL id come last.
     """
     ship(documents.sparkSession)
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    each = written(_lines(rows, share), "lines")
+    if exact:
+        told, signs = _Filter, SIGNS
+        each = written(_lines(rows, share), "lines")
+        carried = [*SIGNS, "keys"]
+    else:
+        told, signs = _Near, NEAR
+        bits, blocks = blocks_for(rows.agg(F.sum(F.size(F.split("text", "\n", -1)))).first()[0] or 0, share)
+        words = max(CHECKS, -(-bits * blocks // 64))
+        each = written(_hashed_lines(rows, share, words), "lines")
+        carried = ["sig", *NEAR]
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rk", "line")
-    classes = each.groupBy("l1", "l2").agg(
-        F.min(place).alias("first"), *[F.first(c).alias(c) for c in (*SIGNS, "n", "keys")]
-    )
+    classes = each.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *carried)])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    lines = written(each.select("id", "rk", "line", "l1", "l2"), "line-places")
-    discard(each)
-    near = written(_candidates(classes, share), "line-candidates")
+    near = written(_candidates(classes, share) if exact else _meeting(classes, share, bits, blocks), "line-candidates")
     groups = written(components(near), "line-groups")
     discard(near)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "n", *SIGNS)
+    members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "n", *signs)
     members = hinted(written(members, "line-members"), 200_000)
     # only candidates' texts are fetched: each class's first line
     said = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
     at = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.line") == F.col("line"))
-    texts = said.join(members, at).select("node", "component", "members", normalised(F.col("body")).alias("norm"), "n", *SIGNS)
+    texts = said.join(members, at).select("node", "component", "members", normalised(F.col("body")).alias("norm"), "n", *signs)
     texts = written(texts.dropDuplicates(["node"]), "line-texts")
     parts = max(1, -(-texts.count() // BLOCK))
-    columns = ["node", "component", "norm", "n", *SIGNS]
+    columns = ["node", "component", "norm", "n", *signs]
     few = texts.where(F.col("members") <= BLOCK).select(
         F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *columns
     )
     many = dealt(texts.where(F.col("members") > BLOCK), F.col("component").cast("string"), F.col("members"), columns)
-    links = written(_links(few.unionByName(many), share), "line-links")
+    links = written(_links(few.unionByName(many), share, told), "line-links")
     linked = written(components(links).withColumnsRenamed({"component": "grp"}), "line-components")
     discard(groups, members, texts, links)
-    of = classes.join(linked, "node", "left").select("l1", "l2", F.coalesce("grp", "node").alias("grp"), "first")
-    firsts = of.groupBy("grp").agg(F.min("first").alias("kept"))
-    kept = of.join(firsts, "grp").select("l1", "l2", "kept")
-    # most classes have one line and are their own first: only others need a look
-    return lines.join(kept, ["l1", "l2"]).where(place != F.col("kept")).select("id", "rk", "line").distinct()
+    # most classes have one line and no link: only others need a look
+    places = classes.select("node", "l1", "l2", "first", "copies")
+    tied = places.join(linked, "node")
+    firsts = tied.groupBy("grp").agg(F.min("first").alias("kept"))
+    alone = places.where("copies > 1").join(linked, "node", "left_anti").select("l1", "l2", F.col("first").alias("kept"))
+    kept = written(tied.join(firsts, "grp").select("l1", "l2", "kept").unionByName(alone), "line-kept")
+    discard(classes, linked)
+    return each.join(hinted(kept, 200_000), ["l1", "l2"]).where(place != F.col("kept")).select("id", "rk", "line").distinct()
 
 
 def without_repeated_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -125,11 +125,13 @@ def test_licences_of_planted_notices(spark, small, texts):
     assert got == expected and any(expected.values())
 
 
-def test_lines_by_brute_force(spark, small, texts):
-    from lakewarden.llm.lines import edit_distance
+def plain(line):
+    return " ".join(re.findall(r"[^\W_]+", line.lower()))
 
-    def plain(line):
-        return " ".join(re.findall(r"[^\W_]+", line.lower()))
+
+def lines_by_brute_force(texts, share):
+    """By document and line: which lines repeat an earlier one, all pairs compared, and which of them are equal to one."""
+    from lakewarden.llm.lines import edit_distance
 
     places = [(i, n, plain(line)) for i, t in sorted(texts.items()) for n, line in enumerate(t.split("\n"))]
     places = [p for p in places if p[2]]
@@ -145,14 +147,30 @@ def test_lines_by_brute_force(spark, small, texts):
     for x, a in enumerate(words):
         for y in range(x + 1, len(words)):
             b = words[y]
-            if len(a) < 0.8 * len(b):
+            if len(a) < share * len(b):
                 break
-            if len(set(a) & set(b)) * 2 >= len(set(b)) and len(b) - edit_distance(a, b) >= 0.8 * len(b):
+            if len(set(a) & set(b)) * 2 >= len(set(b)) and len(b) - edit_distance(a, b) >= share * len(b):
                 up[root(y)] = root(x)
     group = {line: root(x) for x, line in enumerate(distinct)}
-    first, expected = {}, {i: 0 for i in texts}
+    first, same, gone, equal = {}, {}, set(), set()
     for i, n, line in places:  # by document and line
         if first.setdefault(group[line], (i, n)) != (i, n):
-            expected[i] += 1
+            gone.add((i, n))
+        if same.setdefault(line, (i, n)) != (i, n):
+            equal.add((i, n))
+    return gone, equal
+
+
+def test_lines_by_brute_force(spark, small, texts):
+    from lakewarden.llm.lines import repeated_lines
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    gone, equal = lines_by_brute_force(texts, 0.8)
+    assert {(r.id, r.line) for r in repeated_lines(docs, share=0.8, exact=True).collect()} == gone and gone > equal
+
+    gone, equal = lines_by_brute_force(texts, 0.9)
+    got = {(r.id, r.line) for r in repeated_lines(docs).collect()}
+    assert equal <= got <= gone and equal
+    assert len(got - equal) >= 0.9 * len(gone - equal)
     rows = QUERIES["op3_lines"](spark, small).collect()
-    assert {r.doc_id: r.n_removed_lines for r in rows} == expected and sum(expected.values())
+    assert {r.doc_id: r.n_removed_lines for r in rows} == {i: sum(d == i for d, _ in got) for i in texts}

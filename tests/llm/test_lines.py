@@ -65,5 +65,33 @@ def test_lines_edited_at_both_ends_go(spark):
             near = [f"x{draw.getrandbits(40)}" if k in places else w for k, w in enumerate(words)]
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(near))]
             gone += len(places) <= n // 5
-    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), share=0.8, exact=True)
     assert found.count() == gone and all(r.id % 2 for r in found.collect())
+
+
+def test_planted_edits_at_any_place_meet_by_simhash(spark):
+    draw, rows, near = random.Random(5), [], 0
+    for n in (10, 12, 20, 30, 60, 150, 400):
+        for turn in range(30):
+            words = [f"w{draw.getrandbits(40)}" for _ in range(n)]
+            most = n // 10
+            places = [0, n - 1, *range(1, n - 1)][:most] if turn % 3 == 0 else draw.sample(range(n), draw.randint(1, most))
+            other = [str(w) for w in edited(words, places, draw)]
+            longer = max(n, len(other))
+            near += longer - lines.edit_distance(words, other) >= 0.9 * longer
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+            # one edit too many is no repeat
+            far = [f"x{k}" if k <= most else w for k, w in enumerate(words)]
+            rows.append((len(rows), " ".join(far)))
+    found = [r.id for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert all(i % 3 == 1 for i in found) and 0.9 * near <= len(found) <= near
+
+
+def test_simhash_of_long_lines_is_that_of_their_words():
+    draw = np.random.default_rng(2)
+    sizes = np.array([12, 127, 128, 3 * lines.VOTES + 5, 40])
+    hashes = draw.integers(-(2**62), 2**62, sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    whole = lines.simhash(hashes, starts, 4)
+    for k, (s, n) in enumerate(zip(starts, sizes, strict=True)):
+        assert (lines.simhash(draw.permutation(hashes[s : s + n]), np.array([0]), 4)[0] == whole[k]).all()
