@@ -34,12 +34,12 @@ from .components import components
 from .jaccard import _Forest
 
 #: Edit similarity of linked lines, in words, and the share of lines just that similar that meet in a block
-SHARE, FOUND = 0.9, 0.94
-#: 64-bit words of the SimHash that go with each block to reject pairs, and standard deviations that linked lines may be off
+SHARE, FOUND = 0.9, 0.85
+#: 64-bit words of the SimHash by which pairs are rejected, the first of which goes with each block, and standard deviations that linked lines may be off
 CHECKS, OFF = 3, 3.0
 NEAR = tuple(f"c{k}" for k in range(CHECKS))
-#: Words whose votes are counted at a time, and words of a line up to which a count fits 8 bits
-VOTES, SHORT = 16_384, 127
+#: Words of a long line whose votes are counted at a time, and words of a line up to which a count fits 8 bits
+VOTES, SHORT = 4096, 127
 #: One class in so many is looked at to find blocks with more than BLOCK classes, which only deals their work to more tasks
 EVERY = 64
 #: 64-bit words of a signature, and of that of lines of more than WIDE_FROM words
@@ -115,7 +115,7 @@ def word_keys(hashes: np.ndarray, sizes: np.ndarray, often: tuple[np.ndarray, np
 
 def blocks_for(lines: int, share: float = SHARE, found: float = FOUND) -> tuple[int, int]:
     """(bits of a block, blocks): blocks as selective as the lines are many, enough that ``found`` of lines just ``share`` alike meet."""
-    bits = max(12, math.ceil(math.log2(max(lines, 1))) - 5)
+    bits = max(12, math.ceil(math.log2(max(lines, 1))) - 3)
     same = (1 - math.acos(share) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - found) / math.log(1 - same))
 
@@ -125,34 +125,52 @@ def _can_differ(sizes: np.ndarray, share: float) -> np.ndarray:
     return (_least(sizes, share) < sizes) | (np.floor(sizes / share + 1e-9) > sizes)
 
 
+def _votes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """For each word's hash 1 or -1 for each bit."""
+    planes = np.empty((len(hashes), words), np.uint64)
+    for k in range(words):
+        x = hashes.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        planes[:, k] = x ^ (x >> np.uint64(31))
+    return np.unpackbits(planes.view(np.uint8), axis=1).view(np.int8) * 2 - 1
+
+
+def _numbered(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Another hash for the second and each further occurrence of a word in its line, lines lying one after the other.
+
+    So an edit changes one vote, and lines that merely repeat the same few words are not alike.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, row))
+    value, line = hashes[order], row[order]
+    new = np.concatenate([[True], (value[1:] != value[:-1]) | (line[1:] != line[:-1])])[: len(value)]
+    first = np.flatnonzero(new)
+    out = np.empty_like(hashes)
+    out[order] = value ^ (np.arange(len(value)) - first[np.cumsum(new) - 1]) * -7046029254386353131
+    return out
+
+
 def simhash(hashes: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
     """64-bit words of the SimHash of lines; the words' hashes of line i begin at starts[i]."""
-    ends = np.append(starts[1:], len(hashes))
+    sizes = np.diff(np.append(starts, len(hashes)))
     out = np.empty((len(starts), words), np.uint64)
-
-    def votes(some: np.ndarray) -> np.ndarray:
-        distinct, at = np.unique(some, return_inverse=True)
-        planes = np.empty((len(distinct), words), np.uint64)
-        for k in range(words):
-            x = distinct.view(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            planes[:, k] = x ^ (x >> np.uint64(31))
-        return (np.unpackbits(planes.view(np.uint8), axis=1).view(np.int8) * 2 - 1)[at]
-
-    line = 0
-    while line < len(starts):
-        begin = starts[line]
-        last = max(line + 1, int(np.searchsorted(ends, begin + VOTES, side="right")))
-        if last == line + 1:  # it may be longer than what is counted at a time
-            total = np.zeros((1, 64 * words), np.int32)
-            for at in range(begin, ends[line], VOTES):
-                total += votes(hashes[at : min(at + VOTES, ends[line])]).sum(axis=0, dtype=np.int32)
-        else:
-            kind = np.int8 if (ends[line:last] - starts[line:last]).max() <= SHORT else np.int32
-            total = np.add.reduceat(votes(hashes[begin : ends[last - 1]]).astype(kind, copy=False), starts[line:last] - begin, axis=0)
-        out[line:last] = np.packbits(total >= 0, axis=1).view(np.uint64)
-        line = last
+    for line in np.flatnonzero(sizes > SHORT).tolist():
+        own, total = _numbered(hashes[starts[line] : starts[line] + sizes[line]], sizes[line : line + 1]), np.zeros(64 * words, np.int64)
+        for at in range(0, len(own), VOTES):
+            total += _votes(own[at : at + VOTES], words).sum(axis=0, dtype=np.int64)
+        out[line] = np.packbits(total >= 0).view(np.uint64)
+    short = np.flatnonzero(sizes <= SHORT)
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    for some in np.split(short, range(1024, len(short), 1024)):  # word by word, in all lines that have so many
+        n = sizes[some]
+        begin = np.cumsum(n) - n
+        distinct, at = np.unique(_numbered(hashes[np.arange(n.sum()) + np.repeat(starts[some] - begin, n)], n), return_inverse=True)
+        table, total = _votes(distinct, words), np.zeros((len(some), 64 * words), np.int8)
+        for k in range(n.max(initial=0)):
+            active = int(np.searchsorted(-n, -k))
+            total[:active] += table[at[begin[:active] + k]]
+        out[some] = np.packbits(total >= 0, axis=1).view(np.uint64)
     return out
 
 
@@ -318,7 +336,7 @@ def _hashed_lines(rows: DataFrame, share: float, words: int) -> DataFrame:
 
 
 def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFrame:
-    """(u, v): pairs that agree in a block and may be linked, enough of them to connect all that do."""
+    """(u, v, tree): pairs that agree in a block and may be linked; of blocks with many classes only a tree that connects those."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 2.0 ** np.arange(bits)
@@ -329,24 +347,70 @@ def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFr
                 flags = np.unpackbits(signs, axis=1)[:, : bits * blocks].reshape(-1, blocks, bits)
                 keys = (flags @ power).astype(np.int64) | np.arange(blocks) << bits
                 again = np.repeat(np.arange(batch.num_rows), blocks)
-                check = signs.view(np.int64)[:, :CHECKS]
-                columns = [keys.ravel(), batch.column("node").to_numpy()[again], batch.column("n").to_numpy()[again], *check[again].T]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "node", "n", *NEAR])
+                columns = [keys.ravel(), batch.column("node").to_numpy()[again], signs.view(np.int64)[:, 0][again]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "c0"])
 
-    schema = "key bigint, node bigint, n int, " + ", ".join(f"{c} bigint" for c in NEAR)
-    longer = classes.where("sig is not null").select("node", "n", "sig")
+    schema = "key bigint, node bigint, c0 bigint"
+    longer = classes.where("sig is not null").select("node", "sig")
     some = longer.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(EVERY)) == 0).mapInArrow(cut, schema)
     hot = some.groupBy("key").agg((F.count("*") * EVERY).alias("members")).where(F.col("members") > BLOCK)
     hot = hinted(written(hot.withColumnRenamed("key", "hot_key"), "line-hot-blocks"), 200_000)
     parts = max(1, -(-longer.count() * blocks // 200_000))
     rows = longer.mapInArrow(cut, schema)
     sized = rows.join(hot, rows.key == hot.hot_key, "left")
-    wanted = F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
+    wanted = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), wanted).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), wanted - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
-    part = F.when(F.col("members").isNull(), F.pmod(F.xxhash64("key"), F.lit(parts))).otherwise(-1 - F.col("key"))
-    dealt_out = sized.select(part.alias("part"), F.explode(pairs).alias("p"), *rows.columns).select("part", "p.a", "p.b", *rows.columns)
-    return _meet(dealt_out, share, _Near)
+    pairs = F.transform(F.sequence(F.lit(0), wanted - 1), lambda o: -1 - F.shiftrightunsigned(F.xxhash64("key", F.least(o, mine), F.greatest(o, mine)), 1))
+    part = F.when(F.col("members").isNull(), F.array(F.pmod(F.xxhash64("key"), F.lit(parts)))).otherwise(pairs)
+    dealt_out = sized.select(F.explode(part).alias("part"), *rows.columns)
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, node, check = (table.column(c).to_numpy() for c in ("key", "node", "c0"))
+        order = np.argsort(key, kind="stable")
+        key, node, check = key[order], node[order], check[order].view(np.uint64)
+        differ = math.acos(share) / math.pi
+        most = 64 * differ + OFF * math.sqrt(64 * differ * (1 - differ))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(key)))
+        few = (sizes <= FEW)[np.cumsum(new) - 1]
+        u, v = [], []
+        for step in range(1, min(FEW, sizes.max(initial=0))):
+            xs = np.flatnonzero((key[step:] == key[:-step]) & (np.bitwise_count(check[step:] ^ check[:-step]) <= most) & few[step:])
+            u.append(node[xs])
+            v.append(node[xs + step])
+        pairs = np.sort(np.stack([np.concatenate([*w, np.empty(0, np.int64)]) for w in (u, v)], axis=1), axis=1)
+        u, v = [], []
+        for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+            left = np.ones(n, bool)
+            for first in range(n):
+                open_ = [first] if left[first] else []
+                left[first] = False
+                while open_:
+                    x = open_.pop()
+                    close = np.flatnonzero(left & (np.bitwise_count(check[s : s + n] ^ check[s + x]) <= most))
+                    left[close] = False
+                    u += [node[s + x]] * len(close)
+                    v += node[s + close].tolist()
+                    open_ += close.tolist()
+        edges = np.sort(np.array([u, v], np.int64).reshape(2, -1).T, axis=1)
+        tree = np.repeat([False, True], [len(pairs), len(edges)])
+        every = np.concatenate([pairs, edges])
+        return pa.table({"u": every[:, 0].copy(), "v": every[:, 1].copy(), "tree": tree})
+
+    return dealt_out.groupBy("part").applyInArrow(meet, "u bigint, v bigint, tree boolean").distinct()
+
+
+def _alike(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+    """(u, v): pairs that may be linked by their lengths and larger pieces of their SimHash, and all of trees, which hold together only whole."""
+    trees, pairs = pairs.where("tree").select("u", "v"), pairs.where("not tree").select("u", "v")
+    own = classes.where("sig is not null").select("node", "n", *NEAR)
+    for side in ("u", "v"):
+        pairs = pairs.join(own.withColumnsRenamed({c: f"{side}_{c}" for c in own.columns}), F.col(side) == F.col(f"{side}_node"))
+    differ, bits = math.acos(share) / math.pi, 64 * CHECKS
+    apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in NEAR), F.lit(0))
+    near = apart <= bits * differ + OFF * math.sqrt(bits * differ * (1 - differ))
+    return pairs.where(near & (F.least("u_n", "v_n") >= F.greatest("u_n", "v_n") * share - 1e-9)).select("u", "v").unionByName(trees)
 
 
 def _candidates(lines: DataFrame, share: float) -> DataFrame:
@@ -360,15 +424,10 @@ def _candidates(lines: DataFrame, share: float) -> DataFrame:
         F.concat(F.lit("p"), F.pmod(F.xxhash64("key"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *rows.columns
     )
     split = dealt(sized.where("members is not null"), F.col("key").cast("string"), F.col("members"), rows.columns)
-    return _meet(cold.unionByName(split), share, _Filter)
-
-
-def _meet(rows: DataFrame, share: float, told: type) -> DataFrame:
-    """(u, v): pairs of one ``key`` that may be linked by ``told``, in each group of (part, a, b)."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "node"], ignore_index=True)
-        key, node, pairs = rows["key"].to_numpy(), rows["node"].to_numpy(), told(rows, share)
+        key, node, pairs = rows["key"].to_numpy(), rows["node"].to_numpy(), _Filter(rows, share)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         ends = np.concatenate([starts[1:], [len(key)]])
         last = np.repeat(np.where(ends - starts <= FEW, ends, 0), ends - starts)
@@ -385,7 +444,7 @@ def _meet(rows: DataFrame, share: float, told: type) -> DataFrame:
             v.append(node[s:e][y])
         return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}, dtype="int64")
 
-    return rows.groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
+    return cold.unionByName(split).groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
 
 
 def dealt(rows: DataFrame, group: Column, members: Column, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -451,7 +510,12 @@ def repeated_lines(
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rk", "line")
     classes = each.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *carried)])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
-    near = written(_candidates(classes, share) if exact else _meeting(classes, share, bits, blocks), "line-candidates")
+    if exact:
+        near = written(_candidates(classes, share), "line-candidates")
+    else:
+        met = written(_meeting(classes, share, bits, blocks), "line-meetings")
+        near = written(_alike(met, classes, share), "line-candidates")
+        discard(met)
     groups = written(components(near), "line-groups")
     discard(near)
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
