@@ -347,11 +347,11 @@ def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFr
                 flags = np.unpackbits(signs, axis=1)[:, : bits * blocks].reshape(-1, blocks, bits)
                 keys = (flags @ power).astype(np.int64) | np.arange(blocks) << bits
                 again = np.repeat(np.arange(batch.num_rows), blocks)
-                columns = [keys.ravel(), batch.column("node").to_numpy()[again], signs.view(np.int64)[:, 0][again]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "c0"])
+                columns = [keys.ravel(), *[batch.column(c).to_numpy()[again] for c in ("node", "n")], *signs.view(np.int64)[:, :2][again].T.copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "c0", "c1"])
 
-    schema = "key bigint, node bigint, c0 bigint"
-    longer = classes.where("sig is not null").select("node", "sig")
+    schema = "key bigint, node bigint, n int, c0 bigint, c1 bigint"
+    longer = classes.where("sig is not null").select("node", "n", "sig")
     some = longer.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(EVERY)) == 0).mapInArrow(cut, schema)
     hot = some.groupBy("key").agg((F.count("*") * EVERY).alias("members")).where(F.col("members") > BLOCK)
     hot = hinted(written(hot.withColumnRenamed("key", "hot_key"), "line-hot-blocks"), 200_000)
@@ -365,18 +365,23 @@ def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFr
     dealt_out = sized.select(F.explode(part).alias("part"), *rows.columns)
 
     def meet(table: pa.Table) -> pa.Table:
-        key, node, check = (table.column(c).to_numpy() for c in ("key", "node", "c0"))
-        order = np.argsort(key, kind="stable")
-        key, node, check = key[order], node[order], check[order].view(np.uint64)
+        order = np.argsort(table.column("key").to_numpy(), kind="stable")
+        key, node, size, one, two = (table.column(c).to_numpy()[order] for c in ("key", "node", "n", "c0", "c1"))
+        one, two = one.view(np.uint64), two.view(np.uint64)
         differ = math.acos(share) / math.pi
-        most = 64 * differ + OFF * math.sqrt(64 * differ * (1 - differ))
+        most = 128 * differ + OFF * math.sqrt(128 * differ * (1 - differ))
+
+        def near(xs, ys):
+            bits = np.bitwise_count(one[xs] ^ one[ys]) + np.bitwise_count(two[xs] ^ two[ys])
+            return (bits <= most) & (np.minimum(size[xs], size[ys]) >= share * np.maximum(size[xs], size[ys]) - 1e-9)
+
         new = np.concatenate([[True], key[1:] != key[:-1]])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(key)))
         few = (sizes <= FEW)[np.cumsum(new) - 1]
         u, v = [], []
         for step in range(1, min(FEW, sizes.max(initial=0))):
-            xs = np.flatnonzero((key[step:] == key[:-step]) & (np.bitwise_count(check[step:] ^ check[:-step]) <= most) & few[step:])
+            xs = np.flatnonzero((key[step:] == key[:-step]) & few[step:] & near(slice(step, None), slice(None, -step)))
             u.append(node[xs])
             v.append(node[xs + step])
         pairs = np.sort(np.stack([np.concatenate([*w, np.empty(0, np.int64)]) for w in (u, v)], axis=1), axis=1)
@@ -388,7 +393,7 @@ def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFr
                 left[first] = False
                 while open_:
                     x = open_.pop()
-                    close = np.flatnonzero(left & (np.bitwise_count(check[s : s + n] ^ check[s + x]) <= most))
+                    close = np.flatnonzero(left & near(slice(s, s + n), s + x))
                     left[close] = False
                     u += [node[s + x]] * len(close)
                     v += node[s + close].tolist()
@@ -402,15 +407,15 @@ def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFr
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """(u, v): pairs that may be linked by their lengths and larger pieces of their SimHash, and all of trees, which hold together only whole."""
-    trees, pairs = pairs.where("tree").select("u", "v"), pairs.where("not tree").select("u", "v")
+    """(u, v, tree): pairs that may be linked by their lengths and larger pieces of their SimHash, and all of trees, which hold together only whole."""
+    trees, pairs = pairs.where("tree"), pairs.where("not tree")
     own = classes.where("sig is not null").select("node", "n", *NEAR)
     for side in ("u", "v"):
         pairs = pairs.join(own.withColumnsRenamed({c: f"{side}_{c}" for c in own.columns}), F.col(side) == F.col(f"{side}_node"))
     differ, bits = math.acos(share) / math.pi, 64 * CHECKS
     apart = sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in NEAR), F.lit(0))
     near = apart <= bits * differ + OFF * math.sqrt(bits * differ * (1 - differ))
-    return pairs.where(near & (F.least("u_n", "v_n") >= F.greatest("u_n", "v_n") * share - 1e-9)).select("u", "v").unionByName(trees)
+    return pairs.where(near & (F.least("u_n", "v_n") >= F.greatest("u_n", "v_n") * share - 1e-9)).select("u", "v", "tree").unionByName(trees)
 
 
 def _candidates(lines: DataFrame, share: float) -> DataFrame:
@@ -456,13 +461,35 @@ def dealt(rows: DataFrame, group: Column, members: Column, columns: list[str], b
     return spread.select("part", "p.a", "p.b", *columns)
 
 
+def _alike_words(a: Sequence, b: Sequence, share: float) -> bool:
+    """Whether two lines are linked."""
+    longer = max(len(a), len(b))
+    # words changed in place bound the distance from above, in one pass
+    if len(a) == len(b) and longer - sum(map(ne, a, b)) >= share * longer:
+        return True
+    return longer - edit_distance(a, b, int((1 - share) * longer) + 1) >= share * longer
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """(u, v): the pairs that are linked."""
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            linked = [_alike_words(a.split(" "), b.split(" "), share) for a, b in zip(rows["a"], rows["b"], strict=True)]
+            yield rows.loc[np.array(linked, bool), ["u", "v"]]
+
+    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("norm").alias("a")), "u")
+    both = one.join(texts.select(F.col("node").alias("v"), F.col("norm").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInPandas(verify, "u bigint, v bigint")
+
+
 def _links(groups: DataFrame, share: float, told: type) -> DataFrame:
     """(u, v): verified links, a spanning forest of each part."""
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["component", "node"], ignore_index=True)
         group, node, text = rows["component"].to_numpy(), rows["node"].to_numpy(), [t.split(" ") for t in rows["norm"]]
-        pairs, sizes = told(rows, share), rows["n"].to_numpy()
+        pairs = told(rows, share)
         forest, u, v = _Forest(len(rows)), [], []
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         for s, e in zip(starts, np.concatenate([starts[1:], [len(group)]]), strict=True):
@@ -470,10 +497,7 @@ def _links(groups: DataFrame, share: float, told: type) -> DataFrame:
                 others = np.arange(x + 1, e)
                 for y in others[pairs.near(np.full(len(others), x), others)].tolist():
                     if forest.root(x) != forest.root(y):
-                        longer, a, b = max(sizes[x], sizes[y]), text[x], text[y]
-                        # words changed in place bound the distance from above, in one pass
-                        alike = len(a) == len(b) and longer - sum(map(ne, a, b)) >= share * longer
-                        if alike or longer - edit_distance(a, b, int((1 - share) * longer) + 1) >= share * longer:
+                        if _alike_words(text[x], text[y], share):
                             forest.join(x, y)
                             u.append(node[x])
                             v.append(node[y])
@@ -511,30 +535,35 @@ def repeated_lines(
     classes = each.groupBy("l1", "l2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", *carried)])
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "line-classes")
     if exact:
-        near = written(_candidates(classes, share), "line-candidates")
+        near = written(_candidates(classes, share).withColumn("tree", F.lit(True)), "line-candidates")
     else:
         met = written(_meeting(classes, share, bits, blocks), "line-meetings")
         near = written(_alike(met, classes, share), "line-candidates")
         discard(met)
-    groups = written(components(near), "line-groups")
-    discard(near)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    members = groups.join(sizes, "component").join(classes, "node").select("node", "component", "members", "l1", "l2", "first", "n", *signs)
-    members = hinted(written(members, "line-members"), 200_000)
+    nodes = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+    members = hinted(written(nodes.join(classes, "node").select("node", "first", "n", *signs), "line-members"), 200_000)
     # only candidates' texts are fetched: each class's first line
     said = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
     at = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.line") == F.col("line"))
-    texts = said.join(members, at).select("node", "component", "members", normalised(F.col("body")).alias("norm"), "n", *signs)
+    texts = said.join(members, at).select("node", normalised(F.col("body")).alias("norm"), "n", *signs)
     texts = written(texts.dropDuplicates(["node"]), "line-texts")
-    parts = max(1, -(-texts.count() // BLOCK))
+    discard(members)
+    # pairs are verified one by one; what a tree connects is verified pair by pair inside its group
+    groups = written(components(near.where("tree").select("u", "v")), "line-groups")
+    sized = texts.join(groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component"), "node")
+    parts = max(1, -(-groups.count() // BLOCK))
     columns = ["node", "component", "norm", "n", *signs]
-    few = texts.where(F.col("members") <= BLOCK).select(
+    few = sized.where(F.col("members") <= BLOCK).select(
         F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *columns
     )
-    many = dealt(texts.where(F.col("members") > BLOCK), F.col("component").cast("string"), F.col("members"), columns)
-    links = written(_links(few.unionByName(many), share, told), "line-links")
+    many = dealt(sized.where(F.col("members") > BLOCK), F.col("component").cast("string"), F.col("members"), columns)
+    links = _links(few.unionByName(many), share, told)
+    if not exact:
+        links = links.unionByName(_verified(near.where("not tree"), texts, share))
+    links = written(links, "line-links")
+    discard(near, groups, texts)
     linked = written(components(links).withColumnsRenamed({"component": "grp"}), "line-components")
-    discard(groups, members, texts, links)
+    discard(links)
     # most classes have one line and no link: only others need a look
     places = classes.select("node", "l1", "l2", "first", "copies")
     tied = places.join(linked, "node")
