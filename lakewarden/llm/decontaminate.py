@@ -3,9 +3,10 @@
 An item's windows (``window`` consecutive words, or the whole item when it has
 fewer) are searched in every document. A window occurs only where all its
 shingles occur, so one of them is a sufficient prefix: the one that is rarest
-over all documents. Its occurrences give candidate places, which the positional
-and length bounds cut down, and a place counts when every shingle of the window
-lies where it must. Shingles are compared as words, so a hit is exact.
+over all documents. A first pass counts the benchmark's shingles, and only counts
+leave it; windows with a shingle that stands nowhere are out. A second pass joins
+the prefixes alone: their places are candidates, which the positional and length
+bounds cut down, and a candidate counts when the window's words stand there.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, grams, hinted, lower_ascii, small, words_by, written
+from .common import BROADCAST_ROWS, fresh, grams, hinted, lower_ascii, words_by, written
 
 #: ASCII characters that end a word; all others are word characters
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -33,27 +34,41 @@ def _windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFra
     return starts.select(F.coalesce("item", F.lit("")).alias("item"), F.slice("words", F.col("start"), F.col("size")).alias("w"))
 
 
-def _hits(docs: DataFrame, shingles: DataFrame, sizes: list[int], broadcast_rows: int) -> DataFrame:
-    """(id, rk, n, pos, gid): where a shingle of the benchmark stands in a document."""
-    few = small(shingles, broadcast_rows)
-    found = []
+def _positions(docs: DataFrame, size: int, *columns: str) -> DataFrame:
+    """(*columns, n, pos, h): the hash of each run of ``size`` words, and where in the document's n words it stands."""
+    hashed = docs.select(*columns, F.size("words").alias("n"), grams(F.col("words"), size).alias("hs"))
+    # outer: for an inner one Spark infers a filter on the array and computes it in the scan, once per element
+    return hashed.select(*columns, "n", F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
+
+
+def _rarity(docs: DataFrame, parts: DataFrame, sizes: list[int], broadcast_rows: int) -> DataFrame:
+    """(q, h, n_places): how often each shingle of the benchmark stands in the documents; counted before the shuffle."""
+    shingles = hinted(written(parts.select("q", "h").distinct(), "bench-shingles"), broadcast_rows)
+    counts = None
+    for size in sizes:
+        own = _positions(docs, size).join(shingles.where(F.col("q") == size), "h")
+        own = own.groupBy("q", "h").agg(F.count("*").alias("n_places"))
+        counts = own if counts is None else counts.unionByName(own)
+    return counts
+
+
+def _found(docs: DataFrame, prefix: DataFrame, sizes: list[int], broadcast_rows: int) -> DataFrame:
+    """(id, rk, start, size, wid): where the windows occur, each met by its prefix and verified on the words."""
+    marked = hinted(prefix, broadcast_rows)
+    few = marked is not prefix
+    start = F.col("pos") - F.col("off")
+    there = F.concat_ws(" ", F.slice(F.col("words"), F.col("start") + 1, F.col("size"))) == F.col("said")
+    found = None
     for size in sizes:
-        hashed = docs.select("id", "rk", "words", F.size("words").alias("n"), grams(F.col("words"), size).alias("hs"))
-        # outer: for an inner one Spark infers a filter on the array and computes it in the scan, once per element
-        rows = hashed.select("id", "rk", "n", "words", F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
-        ours = shingles.where(F.col("q") == size)
-        at = F.concat_ws(" ", F.slice(F.col("words"), F.col("pos") + 1, size))
-        if few:  # the words stay in the scan's stage; only hits leave it
-            # between and not ==, which would make the text a join key, built for every word
-            joined = rows.join(F.broadcast(ours), (rows.h == ours.gh) & at.between(F.col("shingle"), F.col("shingle")))
-        else:
-            rows = rows.select("id", "rk", "n", "pos", "h", at.alias("at"))
-            joined = rows.join(ours, (rows.h == ours.gh) & (rows["at"] == ours.shingle))
-        found.append(joined.select("id", "rk", "n", "pos", "gid"))
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return union.dropDuplicates(["id", "rk", "pos", "gid"])
+        # with few prefixes the words stay in the scan's stage, and only occurrences leave it
+        rows = _positions(docs, size, "id", "rk", *["words"] * few)
+        met = rows.join(marked.where(F.col("q") == size), "h").withColumn("start", start).where("start >= 0 and start + size <= n")
+        if not few:
+            texts = docs.select(F.col("id").alias("i"), F.col("rk").alias("r"), "words").dropDuplicates(["i", "r"])
+            met = met.drop("h", "pos", "n").join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("rk") == F.col("r")))
+        own = met.where(there).select("id", "rk", "start", "size", "wid")
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
 
 
 def occurrences(
@@ -77,54 +92,25 @@ def occurrences(
         "bench-ids",
     )
     q = F.least(F.size("w"), F.lit(shingle))
-    parts = windows.select(
-        "wid", F.size("w").alias("size"), q.alias("q"), "w", F.explode(F.sequence(F.lit(0), F.size("w") - q)).alias("off")
-    ).select("wid", "size", "off", "q", F.concat_ws(" ", F.slice("w", F.col("off") + 1, F.col("q"))).alias("shingle"))
-    shingles = written(
-        parts.select("q", "shingle").distinct().withColumn("gid", F.monotonically_increasing_id()), "bench-shingles"
-    )
-    parts = written(parts.join(shingles, ["q", "shingle"]).drop("q", "shingle"), "bench-parts")
-    sizes = sorted(r[0] for r in shingles.select("q").distinct().collect())  # at most `shingle` rows
-    split = F.split("shingle", " ")
-    hashes = F.lit(None).cast("bigint")
-    for n in range(1, shingle + 1):
-        hashes = F.when(F.col("q") == n, F.get(grams(split, n), F.lit(0))).otherwise(hashes)
-    shingles = shingles.withColumn("gh", hashes)
-
+    sizes = sorted(r[0] for r in windows.select(q.alias("q")).distinct().collect()) or [1]  # at most `shingle` rows
+    hashes = F.array().cast("array<bigint>")
+    for n in sizes:
+        hashes = F.when(F.col("q") == n, grams(F.col("w"), n)).otherwise(hashes)
+    parts = windows.select("wid", "w", F.size("w").alias("size"), q.alias("q"))
+    parts = written(parts.select("wid", "size", "q", F.posexplode(hashes).alias("off", "h")), "bench-parts")
     docs = documents.select(
         F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), words_of(F.col(text)).alias("words")
     )
-    if not sizes:
-        sizes = [1]
-    hits = written(_hits(docs, shingles, sizes, broadcast_rows), "bench-hits")
-
-    rarity = hits.groupBy("gid").agg(F.count("*").alias("n_hits"))
+    rarity = written(_rarity(docs, parts, sizes, broadcast_rows), "bench-rarity")
     prefix = (
-        parts.join(rarity, "gid")  # a shingle that is nowhere excludes its window
-        .groupBy("wid", "size")
-        .agg(F.count("*").alias("n_found"), F.min(F.struct("n_hits", "gid", "off")).alias("least"))
-        .join(parts.groupBy("wid").agg(F.count("*").alias("n_parts")), "wid")
-        .where("n_found = n_parts")
-        .select("wid", "size", "n_parts", "least.gid", "least.off")
-    )
-    prefix = hinted(written(prefix, "bench-prefixes"), broadcast_rows)
-    start = F.col("pos") - F.col("off")
-    places = hits.join(prefix, "gid").select("id", "rk", "wid", "size", "n_parts", "n", start.alias("start"))
-    places = places.where("start >= 0 and start + size <= n").drop("n")
-    wanted = places.join(hinted(parts.drop("size"), broadcast_rows), "wid").select(
-        "id", "rk", "wid", "size", "n_parts", "start", (F.col("start") + F.col("off")).alias("pos"), "gid"
-    )
-    there = hits.select(F.col("id").alias("i"), F.col("rk").alias("r"), F.col("pos").alias("p"), F.col("gid").alias("g"))
-    found = (
-        wanted.join(
-            there,
-            F.col("id").eqNullSafe(F.col("i")) & (F.col("rk") == F.col("r")) & (F.col("pos") == F.col("p")) & (F.col("gid") == F.col("g")),
-        )
-        .groupBy("id", "rk", "wid", "size", "start", "n_parts")
-        .agg(F.count("*").alias("n_there"))
-        .where("n_there = n_parts")
-        .select("id", "rk", "start", "size", "wid")
+        parts.join(rarity, ["q", "h"])  # a shingle that is nowhere excludes its window
+        .groupBy("wid", "size", "q")
+        .agg(F.count("*").alias("n_shingles"), F.min(F.struct("n_places", "off", "h")).alias("least"))
+        .where("n_shingles = size - q + 1")
+        .join(windows.select("wid", F.concat_ws(" ", "w").alias("said")), "wid")
+        .select("wid", "size", "q", "said", "least.off", "least.h")
     )
+    found = _found(docs, written(prefix, "bench-prefixes"), sizes, broadcast_rows)
     return written(found, "bench-found"), windows.select("wid", F.explode("items").alias("item"))
 
 
