@@ -115,7 +115,7 @@ def word_keys(hashes: np.ndarray, sizes: np.ndarray, often: tuple[np.ndarray, np
 
 def blocks_for(lines: int, share: float = SHARE, found: float = FOUND) -> tuple[int, int]:
     """(bits of a block, blocks): blocks as selective as the lines are many, enough that ``found`` of lines just ``share`` alike meet."""
-    bits = max(12, math.ceil(math.log2(max(lines, 1))) - 3)
+    bits = max(12, math.ceil(math.log2(max(lines, 1))) - 6)
     same = (1 - math.acos(share) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - found) / math.log(1 - same))
 
@@ -266,12 +266,35 @@ def _tree(near: np.ndarray) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """The lines of ``text`` with hashes of their normalised text and of its words."""
+def word_hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of normalised lines, none of them empty, one line after the other; and how many words each line has."""
+    lines = lines.cast(pa.large_string())
+    _, offsets, data = lines.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[lines.offset : lines.offset + len(lines) + 1]
+    data, begin = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
+    gap, first = data == 32, np.zeros(len(data), bool)
+    first[1:] = gap[:-1]
+    first[begin] = True
+    starts = np.flatnonzero(first)
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    letters = np.where(gap, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * powers[place])
+    out = np.add.reduceat(letters, starts)
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (out ^ (out >> np.uint64(32))).view(np.int64), np.add.reduceat(first.astype(np.int64), begin)
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """The lines of ``text``, normalised, with two hashes."""
     each = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
     plain = each.select("id", "rk", "line", normalised(F.coalesce("body", F.lit(""))).alias("norm"))
-    return plain.select(
-        "id", "rk", "line", F.xxhash64("norm").alias("l1"), F.crc32(F.col("norm").cast("binary")).alias("l2"),
+    return plain.select("id", "rk", "line", F.xxhash64("norm").alias("l1"), F.crc32(F.col("norm").cast("binary")).alias("l2"), "norm")
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """The lines of ``text`` with hashes of their normalised text and of its words."""
+    return _plain(rows).select(
+        "id", "rk", "line", "l1", "l2",
         F.when(F.col("norm") != "", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")).alias("words"),
     )
 
@@ -318,21 +341,23 @@ def _hashed_lines(rows: DataFrame, share: float, words: int) -> DataFrame:
     names = ["id", "rk", "line", "l1", "l2"]
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("words")), 1))
-            sizes = pc.list_value_length(kept.column("words")).to_numpy().astype(np.int64)
+        for batch in (whole.slice(start, 2048) for whole in batches for start in range(0, whole.num_rows, 2048)):
+            kept = batch.filter(pc.not_equal(batch.column("norm"), ""))
+            if not kept.num_rows:
+                continue
+            flat, sizes = word_hashes(kept.column("norm"))
             sig, checks = np.full(len(sizes), None, object), np.zeros((len(sizes), CHECKS), np.int64)
-            longer = np.flatnonzero(_can_differ(sizes, share))
+            can = _can_differ(sizes, share)
+            longer = np.flatnonzero(can)
             if len(longer):
-                flat = kept.column("words").take(pa.array(longer)).flatten().to_numpy(zero_copy_only=False)
                 own = sizes[longer]
-                signs = simhash(flat, np.cumsum(own) - own, words)
+                signs = simhash(flat[np.repeat(can, sizes)], np.cumsum(own) - own, words)
                 sig[longer], checks[longer] = [row.tobytes() for row in signs], signs.view(np.int64)[:, :CHECKS]
             columns = [*[kept.column(c) for c in names], pa.array(sizes, pa.int32()), pa.array(sig, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in checks.T.copy()]], names=[*names, "n", "sig", *NEAR])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return _words(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, sig binary, " + ", ".join(f"{c} bigint" for c in NEAR))
+    return _plain(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, sig binary, " + ", ".join(f"{c} bigint" for c in NEAR))
 
 
 def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFrame:
@@ -381,7 +406,8 @@ def _meeting(classes: DataFrame, share: float, bits: int, blocks: int) -> DataFr
         few = (sizes <= FEW)[np.cumsum(new) - 1]
         u, v = [], []
         for step in range(1, min(FEW, sizes.max(initial=0))):
-            xs = np.flatnonzero((key[step:] == key[:-step]) & few[step:] & near(slice(step, None), slice(None, -step)))
+            xs = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
+            xs = xs[near(xs + step, xs)]
             u.append(node[xs])
             v.append(node[xs + step])
         pairs = np.sort(np.stack([np.concatenate([*w, np.empty(0, np.int64)]) for w in (u, v)], axis=1), axis=1)
