@@ -33,6 +33,8 @@ CHUNK_BYTES, PART_BYTES = 4_000_000, 4_000_000
 BROADCAST_BYTES = 64_000_000
 #: A home found in more chunks is spread by whole strings, so no part gets all of its passages
 HOT_CHUNKS = 64
+#: Passages that are copied out of a chunk at a time
+SLICE = 16_384
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -114,8 +116,10 @@ class Homes:
         widest = 2 * self.length
         column = np.arange(widest)
         table = np.zeros((len(first), widest + 16), np.uint8)
-        place = np.minimum(first[:, None] + column, max(len(self.raw) - 1, 0))
-        table[:, 16:] = np.where(column < size[:, None], self.raw[place] if len(self.raw) else 0, 0)
+        for start in range(0, len(first), SLICE):
+            some = slice(start, start + SLICE)
+            place = np.minimum(first[some, None] + column, len(self.raw) - 1)
+            table[some, 16:] = np.where(column < size[some, None], self.raw[place], 0)
         table[:, :8] = part.astype(">u8").view(np.uint8).reshape(-1, 8)
         table[:, 8:16] = size.astype(">u8").view(np.uint8).reshape(-1, 8)
         rows = np.ascontiguousarray(table).view(f"V{widest + 16}").ravel()
