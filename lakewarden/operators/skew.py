@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+def _is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark takes a table to be small enough for a broadcast."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def salted_lookup(
     rows: DataFrame,
     lookup: DataFrame,
@@ -23,12 +29,15 @@ def salted_lookup(
 
     `lookup` holds at most one row per key and is copied `salts` times, so it
     should be small next to `rows` (totals per database, schema names).
-    `spread_by` names columns of `rows` that differ within a key. Spark still
-    broadcasts the lookup when its measured size allows.
+    `spread_by` names columns of `rows` that differ within a key. A lookup that
+    Spark broadcasts has no hot keys and is not copied: Spark judges by the size
+    before copying, and the driver would hold all copies.
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     renamed = {k: f"_key_{k}" for k in keys}
+    if _is_broadcast(lookup):
+        salts = 1
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")) if salts > 1 else rows.withColumn("_salt", F.lit(0))
+    right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(0))
     right = right.withColumnsRenamed({**renamed, "_salt": "_key_salt"})
     condition = F.col("_salt") == F.col("_key_salt")
     for k, other in renamed.items():

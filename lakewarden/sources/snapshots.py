@@ -144,6 +144,12 @@ def _landings(spark: SparkSession, base: str, generation: int) -> DataFrame:
     return spark.read.schema("db_id bigint, snapshot_at timestamp").parquet(f"{base}/{_LANDINGS}/generation={generation}")
 
 
+def _also_in(rows: DataFrame, looks: DataFrame) -> DataFrame:
+    """The rows whose database and time are among `looks`."""
+    other = looks.select(F.col("db_id").alias("_db_id"), F.col("snapshot_at").alias("_snapshot_at"))
+    return rows.join(other, F.col("db_id").eqNullSafe(F.col("_db_id")) & F.col("snapshot_at").eqNullSafe(F.col("_snapshot_at")), "left_semi")
+
+
 def read_snapshots(
     spark: SparkSession, directory: str, names: Iterable[str] | None = None
 ) -> dict[str, DataFrame]:
@@ -158,7 +164,8 @@ def read_snapshots(
     looked up once: reads leave out all landings that are no database's newest,
     and if all databases were landed at the same time nothing else is needed.
     Otherwise rows are matched with the newest times, which up to
-    `LISTED_DATABASES` stand in the plan. Tables that were put there by other
+    `LISTED_DATABASES` stand in the plan; more of them are first matched with one
+    row per database of each table, and never come to the driver. Tables that were put there by other
     means are searched for their newest times first, once, over all tables read.
     """
     base = directory.rstrip("/")
@@ -175,7 +182,8 @@ def read_snapshots(
         newest = spark.read.schema(found.schema).parquet(path)
     # one row per time that is still some database's newest; times without a zone, as they are stored
     counted = newest.groupBy(F.col("snapshot_at").cast("string").alias("at")).agg(F.count("*").alias("n")).collect()
-    if sum(row.n for row in counted) <= LISTED_DATABASES:
+    few = sum(row.n for row in counted) <= LISTED_DATABASES
+    if few:
         rows = [(row.db_id, row.at) for row in newest.select("db_id", F.col("snapshot_at").cast("string").alias("at")).collect()]
         listed = spark.createDataFrame(rows, "db_id bigint, at string")
         newest = listed.select("db_id", F.col("at").cast("timestamp").alias("snapshot_at"))
@@ -187,7 +195,12 @@ def read_snapshots(
         else:
             kept = df.where(F.col("snapshot_at").isin(*current)) if current else df.where(F.lit(False))
         if len(current) > 1 or generation is None:
-            kept = salted_lookup(kept, newest, ["db_id", "snapshot_at"], [c for c in df.columns if c != "db_id"])
+            if few:
+                kept = salted_lookup(kept, newest, ["db_id", "snapshot_at"], [c for c in df.columns if c != "db_id"])
+            else:
+                # the many databases meet one row per database of this table, and its rows only the newest of those
+                own = kept.select("db_id", "snapshot_at").distinct()
+                kept = _also_in(kept, _also_in(own, newest.hint("merge")))
         return kept.drop("snapshot_at")
 
     return {**{name: latest(df) for name, df in landed.items()}, "databases": newest.select("db_id")}
