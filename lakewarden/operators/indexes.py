@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -15,6 +15,17 @@ def named_classes(pg_class: DataFrame, pg_namespace: DataFrame) -> DataFrame:
     return with_schema_name(pg_class, pg_namespace, "relnamespace", "schema", ["oid"], "left")
 
 
+def _joined(pg_index: DataFrame, own: DataFrame, used: DataFrame, tables: DataFrame) -> DataFrame:
+    """Indexes with their own entries, their usage and their tables' entries.
+
+    All are about as long as the index table itself. Their files are small for
+    their rows, and by the files' size Spark would broadcast each of them: a
+    copy in every task and in the driver.
+    """
+    named = pg_index.join(own.hint("merge"), ["db_id", "indexrelid"]).join(used.hint("merge"), ["db_id", "indexrelid"])
+    return named.join(tables.hint("merge"), ["db_id", "indrelid"])
+
+
 def indexes_with_tables(pg_index: DataFrame, classes: DataFrame, usage: DataFrame) -> DataFrame:
     """Every used index with what its own entry and its table's entry among `classes` say."""
     own = classes.select(
@@ -23,7 +34,7 @@ def indexes_with_tables(pg_index: DataFrame, classes: DataFrame, usage: DataFram
     )
     tables = classes.select("db_id", F.col("oid").alias("indrelid"), F.col("relname").alias("table"), F.col("schema").alias("table_schema"))
     used = usage.select("db_id", "indexrelid", F.col("schemaname").alias("schema"))
-    return pg_index.join(own, ["db_id", "indexrelid"]).join(used, ["db_id", "indexrelid"]).join(tables, ["db_id", "indrelid"])
+    return _joined(pg_index, own, used, tables)
 
 
 def inventory_of(indexes: DataFrame) -> DataFrame:
@@ -51,8 +62,7 @@ def index_inventory(pg_index: DataFrame, pg_class: DataFrame, usage: DataFrame)
     tables = names.select("db_id", F.col("oid").alias("indrelid"), F.col("relname").alias("table"))
     indexes = names.select("db_id", F.col("oid").alias("indexrelid"), F.col("relname").alias("name"))
     schemas = usage.select("db_id", "indexrelid", F.col("schemaname").alias("schema"))
-    joined = pg_index.join(indexes, ["db_id", "indexrelid"]).join(schemas, ["db_id", "indexrelid"])
-    return inventory_of(joined.join(tables, ["db_id", "indrelid"]))
+    return inventory_of(_joined(pg_index, indexes, schemas, tables))
 
 
 def invalid_indexes(inventory: DataFrame) -> DataFrame:
@@ -73,7 +83,9 @@ def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True, collation:
     No pairs are formed. Every index offers each prefix of its columns (an
     index has few), and per prefix only two names matter: the first of those
     that cover in any case and the first of those that need an earlier name.
-    Both are minima, taken on the map side before the shuffle.
+    An index is offered with its whole columns, too, and there meets both. So
+    rows are read once and sorted behind one shuffle, never in the scan, whose
+    tasks are as many as the files want and not the rows.
 
     Names are ordered by their bytes, or by a `collation` such as ``UNICODE``,
     where a comes before B and B before c; what covers what stays the same.
@@ -91,19 +103,14 @@ def duplicate_indexes(inventory: DataFrame, *, ordered: bool = True, collation:
     ).withColumn("columns", F.slice("columns", F.lit(1), F.col("length")))
     # an index longer than the prefix, primary or unique covers whatever its name
     always = (F.col("n") > F.col("length")) | ~F.col("plain")
-    best = offers.groupBy(*group, "columns").agg(
-        F.min(F.when(always, F.col("name"))).alias("always"),
-        F.min(F.when(~always, F.col("name"))).alias("earlier"),
-    )
-    keys = [*group, "columns"]
-    candidates = valid.where(plain).select(*keys, "name")
-    right = best.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    same = Window.partitionBy(*group, "columns")
+    met = offers.withColumns({
+        "always": F.min(F.when(always, F.col("name"))).over(same),
+        "earlier": F.min(F.when(~always, F.col("name"))).over(same),
+    })
     before = F.when(F.col("earlier") < F.col("name"), F.col("earlier"))
     out = (
-        candidates.join(right, same)
+        met.where(F.col("plain") & (F.col("length") == F.col("n")))
         .withColumn("covering", F.least("always", before))
         .where(F.col("covering").isNotNull())
         .select("db_id", "schema", "table", F.col("name").alias("unneeded"), "columns", "covering")
@@ -116,7 +123,7 @@ def unused_indexes(pg_index: DataFrame, usage: DataFrame, *, ordered: bool = Tru
     """Rarely scanned indexes, neither unique nor primary, largest first if `ordered`."""
     rare = usage.where(F.col("idx_scan") <= fv.MAX_RARE_SCANS)
     plain = pg_index.where(~F.col("indisunique") & ~F.coalesce("indisprimary", F.lit(False)))
-    out = rare.join(plain, ["db_id", "indexrelid"]).select(
+    out = rare.join(plain.hint("merge"), ["db_id", "indexrelid"]).select(
         "db_id",
         F.col("schemaname").alias("schema"),
         F.col("relname").alias("table"),
