@@ -507,7 +507,7 @@ def _links(groups: DataFrame, share: float, told: type) -> DataFrame:
 
 
 def repeated_lines(
-    documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, exact: bool = False
+    documents: DataFrame, id: str = "doc_id", text: str = "text", share: float = SHARE, exact: bool = True
 ) -> DataFrame:
     """(id, rk, line): the lines, numbered from 0 in their text, that repeat an earlier one. ``rk`` is a hash of the text.
 
