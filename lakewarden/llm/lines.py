@@ -1,19 +1,19 @@
 """Fuzzy line deduplication.
 
-Lines are normalised, and equal ones form a class. Each class in which an edit
-leaves the similarity high enough has a SimHash of its words: every word votes
-for or against every bit. The SimHash is cut into blocks, and classes that agree
-in a whole block meet (pigeonhole: of B blocks, lines with fewer than B differing
-bits share one; lines at the threshold with the chance that ``blocks_for`` sets).
-A second piece of the SimHash and the lengths reject most pairs that meet. What is
-left forms candidate groups, inside which the edit similarity of the lines, word
-by word, is verified. Of each connected group of verified links the first
-occurrence stays, by document and line.
-
-``exact=True`` takes another way to candidates that misses none: lines of which at
-most k words are edited share all but k, so of the words ordered from rare to
-frequent some word among the first k + 1 of each is in both. A sample finds the
-frequent words; it settles the order, which decides work and never a result.
+Lines are normalised, and equal ones form a class. Lines of which at most k words
+are edited share all but k, so of the words ordered from rare to frequent some word
+among the first k + 1 of each is in both: by these words classes meet, and no link
+is missed. A sample finds the frequent words; it settles the order, which decides
+work and never a result. A sketch of bits, each word flipping one, and the lengths
+reject pairs that cannot be linked. What is left forms candidate groups, inside
+which the edit similarity of the lines, word by word, is verified. Of each connected
+group of verified links the first occurrence stays, by document and line.
+
+``exact=False`` takes another way to candidates, which misses some: the SimHash of a
+line's words, every word voting for or against every bit, is cut into blocks, and
+classes that agree in a whole block meet (pigeonhole: of B blocks, lines with fewer
+than B differing bits share one; lines at the threshold with the chance that
+``blocks_for`` sets). Other pieces of the SimHash reject most pairs that meet.
 """
 
 from __future__ import annotations
@@ -513,8 +513,8 @@ def repeated_lines(
 
     Lines that differ in case, spaces or punctuation only are equal; others are
     linked if 1 - edit distance / longer length, both in words, is at least
-    ``share``: all equal lines are found, of the others those whose SimHashes agree
-    in a block, or all if ``exact``. The first
+    ``share``: all equal lines are found, and all others too, unless ``exact`` is
+    false; then of the others those whose SimHashes agree in a block. The first
     line of a group stays, by id, text hash and number. Lines without a letter or
     digit count as no repeats, so NULL, empty and blank texts have none. Rows that repeat both id and text are one document here. Documents
     with a NULL id come last.
