@@ -28,11 +28,13 @@ from .common import hinted, ship, written
 
 GRAM = 16
 #: Bytes of text in a chunk, and bytes of all texts for each part that passages are dealt to
-CHUNK_BYTES, PART_BYTES = 4_000_000, 4_000_000
+CHUNK_BYTES, PART_BYTES = 4_000_000, 8_000_000
 #: Answers up to this size go to all chunks; beyond it chunks and answers are shuffled
 BROADCAST_BYTES = 64_000_000
-#: A home found in more chunks is spread by whole strings, so no part gets all of its passages
-HOT_CHUNKS = 64
+#: A home that chunks hold more often, all together, is spread by the bytes beside it, and one so many times as often by
+#: whole strings, so no part gets all of its passages. At 80 bytes a passage 20,000 are a small share of a part; less would
+#: only send more: a passage has one or two spread pieces of some 60 bytes, but 18 strings of 50 bytes.
+HOT_CHUNKS, SPREAD = 20_000, 32
 #: Passages that are copied out of a chunk at a time
 SLICE = 16_384
 
@@ -65,7 +67,7 @@ class Homes:
         self.ends = np.cumsum(sizes)
         n, width = len(self.raw), length - GRAM + 1
         if n < length:
-            self.hash, self.first, self.last, self.doc = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+            self.hash, self.first, self.last, self.doc, self.gram = (np.zeros(0, t) for t in (np.uint64, *[np.int64] * 4))
             return
         eights = _eights(self.raw, n - GRAM + 9)
         least = _mixed(eights[: n - GRAM + 1] ^ _mixed(eights[8 : n - GRAM + 9] + _B))
@@ -82,10 +84,11 @@ class Homes:
         new = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
         self.first = starts[new]
         self.last = starts[np.concatenate([new[1:], [len(starts)]])[: len(new)] - 1] if len(new) else self.first
+        self.gram = home[new].astype(np.int64)
         self.hash, self.doc = hashes[home[new]], doc[self.first]
 
-    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Part and fingerprint of each distinct hash as one sorted number; of which each home is; whether in two documents."""
+    def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Part and fingerprint of each distinct hash as one sorted number; of which each home is; whether in two documents; homes."""
         key = (self.hash >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | (self.hash & np.uint64(0xFFFFFFFF))
         order = np.argsort(key, kind="stable")
         ordered, docs = key[order], self.doc[order]
@@ -93,26 +96,40 @@ class Homes:
         starts = np.flatnonzero(new)
         of = np.empty(len(key), np.int64)
         of[order] = np.cumsum(new) - 1
-        last = np.concatenate([starts[1:], [len(ordered)]])[: len(starts)] - 1
-        return ordered[starts], of, docs[starts] != docs[last]
+        ends = np.concatenate([starts[1:], [len(ordered)]])[: len(starts)]
+        return ordered[starts], of, docs[starts] != docs[ends - 1], ends - starts
 
-    def passages(self, ids: np.ndarray, parts: int, shared: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
+    def _spread(self, eights: np.ndarray, begin: np.ndarray, span: int, parts: int) -> np.ndarray:
+        """Parts by the ``span`` bytes from each place."""
+        own = np.zeros(len(begin), np.uint64)
+        for step in [*range(0, span - 8, 8), span - 8]:
+            own = _mixed(own ^ eights[begin + step])
+        return (own % np.uint64(parts)).astype(np.int64)
+
+    def passages(self, ids: np.ndarray, parts: int, shared: np.ndarray, hot: np.ndarray, hottest: np.ndarray) -> dict[str, np.ndarray]:
         """The distinct passages of shared homes by part, and the occurrences of each."""
-        _, of, _ = self.keys(parts)
+        _, of, _, _ = self.keys(parts)
         at = np.flatnonzero(shared[of])
-        first, size, doc = self.first[at], self.last[at] - self.first[at] + self.length, self.doc[at]
+        first, last, doc, gram = self.first[at], self.last[at], self.doc[at], self.gram[at]
         part = ((self.hash[at] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        split = hot[of[at]]
-        if split.any():  # each string of a hot home by itself, dealt by its own bytes
-            count = size[split] - self.length + 1
-            begin = np.repeat(first[split], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        spread, single = hot[of[at]], hottest[of[at]]
+        if spread.any():
             eights = _eights(self.raw, len(self.raw))
-            own = np.zeros(len(begin), np.uint64)
-            for step in [*range(0, self.length - 8, 8), self.length - 8]:
-                own = _mixed(own ^ eights[begin + step])
-            first, doc = np.concatenate([first[~split], begin]), np.concatenate([doc[~split], np.repeat(doc[split], count)])
-            size = np.concatenate([size[~split], np.full(len(begin), self.length)])
-            part = np.concatenate([part[~split], (own % np.uint64(parts)).astype(np.int64)])
+            # each string holds its gram with this many bytes before it, or else more bytes behind it
+            before = (self.length - GRAM) // 2
+            one, two = np.flatnonzero(spread & ~single & (first <= gram - before)), np.flatnonzero(spread & ~single & (last > gram - before))
+            every = np.flatnonzero(single)  # each string by itself, dealt by its own bytes
+            count = last[every] - first[every] + 1
+            begin = np.repeat(first[every], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            taken = np.concatenate([np.flatnonzero(~spread), one, two, np.repeat(every, count)])
+            firsts = [first[~spread], first[one], np.maximum(first[two], gram[two] - before + 1), begin]
+            lasts = [last[~spread], np.minimum(last[one], gram[one] - before), last[two], begin]
+            dealt = [
+                part[~spread], self._spread(eights, gram[one] - before, GRAM + before, parts),
+                self._spread(eights, gram[two], self.length - before + 1, parts), self._spread(eights, begin, self.length, parts),
+            ]
+            first, last, part, doc = np.concatenate(firsts), np.concatenate(lasts), np.concatenate(dealt), doc[taken]
+        size = last - first + self.length
         widest = 2 * self.length
         column = np.arange(widest)
         table = np.zeros((len(first), widest + 16), np.uint8)
@@ -182,13 +199,14 @@ def _answers(rows: DataFrame, columns: list[str], purpose: str, broadcast_bytes:
 
 
 def _shared_homes(chunks: DataFrame, length: int, parts: int, hot_chunks: int, broadcast_bytes: int) -> DataFrame:
-    """(chunk, shared, hot): bits for the distinct hashes of each part."""
+    """(chunk, shared, hot, hottest): bits for the distinct hashes of each part."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
                 homes, _ = _opened(row, length)
-                key, _, twice = homes.keys(parts)
+                key, _, twice, homes_of = homes.keys(parts)
+                note = (np.ceil(np.log2(homes_of)).astype(np.uint8) << np.uint8(1)) | twice  # the count up to a factor of two
                 part = (key >> np.uint64(32)).astype(np.int64)
                 print_ = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 names, starts = np.unique(part, return_index=True)
@@ -196,35 +214,34 @@ def _shared_homes(chunks: DataFrame, length: int, parts: int, hot_chunks: int, b
                 yield pd.DataFrame({
                     "part": names, "chunk": row["chunk"],
                     "prints": [print_[s:e].tobytes() for s, e in zip(starts, ends, strict=True)],
-                    "twice": [np.packbits(twice[s:e]).tobytes() for s, e in zip(starts, ends, strict=True)],
+                    "notes": [note[s:e].tobytes() for s, e in zip(starts, ends, strict=True)],
                 })
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         prints = [np.frombuffer(p, np.uint32) for p in rows["prints"]]
         sizes = np.array([len(p) for p in prints])
         _, of, often = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
+        note = np.frombuffer(b"".join(rows["notes"]), np.uint8)
         twice = np.zeros(len(often), bool)
-        own = _bits(rows["twice"], sizes)
-        twice[of[own]] = True
-        shared, hot = (twice | (often > 1))[of], (often > hot_chunks)[of]
+        twice[of[note & 1 == 1]] = True
+        homes = np.bincount(of, weights=2.0 ** (note >> 1), minlength=len(often))
+        answers = {"shared": (twice | (often > 1))[of], "hot": (homes > hot_chunks)[of], "hottest": (homes > SPREAD * hot_chunks)[of]}
         cut = np.cumsum(sizes)[:-1]
-        return pd.DataFrame({
-            "part": rows["part"], "chunk": rows["chunk"],
-            "shared": [np.packbits(x).tobytes() for x in np.split(shared, cut)],
-            "hot": [np.packbits(x).tobytes() for x in np.split(hot, cut)],
-        })
+        bits = {name: [np.packbits(x).tobytes() for x in np.split(found, cut)] for name, found in answers.items()}
+        return pd.DataFrame({"part": rows["part"], "chunk": rows["chunk"], **bits})
 
-    sent = chunks.mapInPandas(send, "part bigint, chunk bigint, prints binary, twice binary")
-    met = sent.groupBy("part").applyInPandas(meet, "part bigint, chunk bigint, shared binary, hot binary")
-    return _answers(met, ["shared", "hot"], "repeat-homes", broadcast_bytes)
+    sent = chunks.mapInPandas(send, "part bigint, chunk bigint, prints binary, notes binary")
+    met = sent.groupBy("part").applyInPandas(meet, "part bigint, chunk bigint, shared binary, hot binary, hottest binary")
+    return _answers(met, ["shared", "hot", "hottest"], "repeat-homes", broadcast_bytes)
 
 
-def _flags(homes: Homes, row, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    key, _, _ = homes.keys(parts)
+def _flags(homes: Homes, row, parts: int) -> list[np.ndarray]:
+    key, _, _, _ = homes.keys(parts)
+    names = ("shared", "hot", "hottest")
     if not len(key):
-        return np.zeros(0, bool), np.zeros(0, bool)
+        return [np.zeros(0, bool) for _ in names]
     _, counts = np.unique(key >> np.uint64(32), return_counts=True)
-    return _bits(row["shared"], counts), _bits(row["hot"], counts)
+    return [_bits(row[name], counts) for name in names]
 
 
 def runs_of(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
