@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, discard, fresh, grams, hinted, let, lower_ascii, ship, words_by, written
+from .common import SPACES, arrow_rows, discard, fresh, grams, hinted, let, lower_ascii, ship, words_by, written
 from .components import components
 
 #: Documents of a block; a task joins two blocks
@@ -39,6 +39,10 @@ BLOCK = 1000
 RARE = 16
 #: Keys that are brought together before they are sent
 COMBINED = 1_000_000
+#: Tokens whose keys are made at a time (a larger set is taken whole), and sets that go to Python at a time
+TOKENS, SETS = 250_000, 1000
+#: Pairs of frequent tokens that a task holds; their number grows with the square of a set's size, so beyond it single tokens are the index
+PAIRS = 4_000_000
 
 
 def token_set(text: Column, shingle: int) -> Column:
@@ -94,6 +98,16 @@ def _range_numbers(ends: np.ndarray, share: float) -> np.ndarray:
     return ranges
 
 
+def sliced(batch: pa.RecordBatch, lists: str, values: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists hold about so many values together, at least one row each."""
+    ends = batch.column(lists).offsets.to_numpy()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + values, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _keyed(sets: DataFrame, share: float) -> DataFrame:
     """(id, h1, h2, n, keys): for each set a hash of the tokens in each range of its size class and, near its end, the next."""
     ends = _size_classes(share)
@@ -101,7 +115,7 @@ def _keyed(sets: DataFrame, share: float) -> DataFrame:
     held_columns = ["id", "h1", "h2", "n"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, "tokens", TOKENS)):
             column = batch.column("tokens")
             tokens = column.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(column.offsets.to_numpy())
@@ -219,7 +233,10 @@ def prefix_join(sets: list[np.ndarray], share: float, rare: int = RARE) -> list[
     ordered_often = np.sort(often)
     first = np.concatenate([[0], np.cumsum(sizes)])
     ranked = [np.sort(rank[token[first[i] : first[i + 1]]]) for i in range(n)]
-    keys, owners = [], []
+    keys, owners, counts = [], [], []
+    prefixes = [tokens[: len(tokens) - math.ceil(share * len(tokens) - 1e-9) + 2] for tokens in ranked]
+    often_in = [int((ordered_often[p] > rare).sum()) for p in prefixes]
+    paired = sum(k * (k - 1) // 2 for k in often_in) <= PAIRS
     for i, tokens in enumerate(ranked):
         if not len(tokens):
             continue
@@ -228,15 +245,21 @@ def prefix_join(sets: list[np.ndarray], share: float, rare: int = RARE) -> list[
         count = ordered_often[prefix]
         single = prefix[: spare + 1][(count[: spare + 1] > 1) & (count[: spare + 1] <= rare)]
         frequent = prefix[count > rare]
-        a, b = np.triu_indices(len(frequent), 1)
-        pairs = frequent[a] * len(often) + frequent[b] + len(often)
         if len(tokens) == 1:  # no second token to combine with
             pairs = frequent
+        elif paired:
+            a, b = np.triu_indices(len(frequent), 1)
+            pairs = frequent[a] * len(often) + frequent[b] + len(often)
+        else:
+            pairs = prefix[: spare + 1][count[: spare + 1] > rare]
         keys += [single, pairs]
-        owners += [i] * (len(single) + len(pairs))
-    key, owner = np.concatenate(keys), np.array(owners)
-    order = np.lexsort((owner, key))
+        owners.append(i)
+        counts.append(len(single) + len(pairs))
+    key, owner = np.concatenate(keys), np.repeat(np.array(owners, np.int32), counts)
+    del keys
+    order = np.argsort(key, kind="stable")  # owners ascend already
     key, owner = key[order], owner[order]
+    del order
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.concatenate([starts[1:], [len(key)]])
     partners: list[set[int]] = [set() for _ in range(n)]
@@ -288,7 +311,8 @@ def similar(
     """
     ship(documents.sparkSession)
     rows = documents.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    keyed = written(_keyed(rows.select("id", token_set(F.col("text"), shingle).alias("tokens")), share), "jaccard-keys")
+    with arrow_rows(documents.sparkSession, SETS):
+        keyed = written(_keyed(rows.select("id", token_set(F.col("text"), shingle).alias("tokens")), share), "jaccard-keys")
     stars = written(_stars(keyed), "jaccard-stars")
     candidates = written(components(stars), "jaccard-groups")
     prints = written(keyed.select("id", "h1", "h2", "n"), "jaccard-prints")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, hinted, ship, written
+from .common import discard, fresh, hinted, let, ship, written
 from .components import components
 from .jaccard import _Forest
 
@@ -574,6 +574,16 @@ def repeated_lines(
     return each.join(hinted(kept, 200_000), ["l1", "l2"]).where(place != F.col("kept")).select("id", "rk", "line").distinct()
 
 
+def _rest(text: Column, removed: Column) -> Column:
+    """The text without the lines of these numbers; not by a Python function, which would hold whole texts several times."""
+
+    def of(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(kept, lambda n: F.get(lines, n)), "\n")
+
+    return let(F.split(text, "\n", -1), of)
+
+
 def without_repeated_lines(documents: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, their texts without repeated lines; a text of which no line stays is ''.
 
@@ -590,16 +600,6 @@ def without_repeated_lines(documents: DataFrame, id: str = "doc_id", text: str =
     at = F.col(f"`{id}`").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(of_text))
     joined = documents.join(gone, at, "left").drop(of_id, of_text)
 
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        def keep(body, numbers):
-            if numbers is None:
-                return body
-            numbers = set(numbers)
-            return "\n".join(line for n, line in enumerate(body.split("\n")) if n not in numbers)
-
-        return pd.Series([keep(t, n) for t, n in zip(texts, lines, strict=True)], dtype=object)
-
     cut = joined.withColumn(count, F.coalesce(F.size(removed), F.lit(0)).cast("bigint"))
     cut = cut.withColumn(count, F.when(F.col(removed).isNull(), 0).otherwise(F.col(count)).cast("bigint"))
-    return cut.withColumn(text, rest(F.col(text), F.col(removed))).drop(removed)
+    return cut.withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(_rest(F.col(text), F.col(removed)))).drop(removed)
