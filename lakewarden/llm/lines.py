@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, hinted, let, ship, written
+from .common import arrow_rows, discard, fresh, hinted, let, ship, written
 from .components import components
 from .jaccard import _Forest
 
@@ -276,10 +276,75 @@ def _words(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What a byte is in a word: lower case, 0 where none is. Of other than ASCII lines only letters, digits and spaces are left before
+LETTERS = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b * (b >= 128) for b in range(256)], np.uint8)
+#: Bases, odd, of the two hashes of a word, and texts that are hashed at a time
+BASES, TEXTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 250
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, size: int) -> np.ndarray:
+    """The base's powers from 0."""
+    if len(_powers.get(base, ())) < size:
+        each = np.full(2 * size, base, np.uint64)
+        each[0] = 1
+        _powers[base] = np.cumprod(each)
+    return _powers[base][:size]
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the lines that have words: text, line number, words, two hashes of the line; hashes of all words, line after line."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    body, new = LETTERS[data], data == 10
+    inside = np.concatenate([[False], body != 0])  # the last byte ends a line
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, end = edge[::2], edge[1::2]
+    hashes = []
+    for base in BASES:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(body * _power(base, len(body)))])
+        hashes.append(_stirred((sums[end] - sums[begin]) * _power(pow(base, -1, 2**64), len(body))[begin]))
+    line = np.cumsum(new)[begin]
+    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
+    sizes = np.diff(np.append(starts, len(line)))
+    place = (np.arange(len(line)) - np.repeat(starts, sizes)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    both = [np.add.reduceat(_stirred(h + place), starts).view(np.int64) if len(starts) else np.zeros(0, np.int64) for h in hashes]
+    of = line[starts]
+    first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts], dtype=np.int64)])
+    text = np.searchsorted(first, of, side="right") - 1
+    return text, of - first[text], sizes, *both, hashes[0].view(np.int64)
+
+
+def _readable(rows: DataFrame) -> DataFrame:
+    """The texts, lines of other than ASCII characters normalised; the others are normalised where they are hashed."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.octet_length(x) > F.length(x), normalised(x)).otherwise(x))
+    plain = F.when(F.octet_length("text") > F.length("text"), F.array_join(lines, "\n")).otherwise(F.col("text"))
+    return rows.withColumn("text", plain.cast("binary"))
+
+
+def _text_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(start, TEXTS)
+            yield batch, hashed_words(batch.column("text").to_pylist())
+
+
 def often_used(rows: DataFrame, sample_rows: int = 2000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and counts of the most frequent words of about ``sample_rows`` documents, OFTEN_ROWS at most."""
     sample = rows.sample(fraction=min(1.0, sample_rows / max(rows.count(), 1)), seed=seed)
-    counts = _words(sample).select(F.explode_outer("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1 and w is not null")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (*_, words) in _text_runs(batches):
+            word, often = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(often)], names=["w", "n"])
+
+    each = _readable(sample.select("text")).mapInArrow(count, "w bigint, n bigint")
+    counts = each.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
     found = sorted(map(tuple, counts.orderBy(F.desc("n"), "w").limit(OFTEN_ROWS).collect()))
     return np.array([w for w, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
@@ -287,30 +352,30 @@ def often_used(rows: DataFrame, sample_rows: int = 2000, seed: int = 3) -> tuple
 def _lines(rows: DataFrame, share: float) -> DataFrame:
     """(id, rk, line, l1, l2, n, s0..s3, wide, keys): the lines that count, with what their classes are compared by."""
     often = often_used(rows)
-    names = ["id", "rk", "line", "l1", "l2"]
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("words")), 1))
-            if not kept.num_rows:
+        for batch, (text, number, sizes, l1, l2, flat) in _text_runs(batches):
+            if not len(sizes):
                 continue
-            column = kept.column("words")
-            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
             starts = np.cumsum(sizes) - sizes
             signs = signatures(flat, starts)
-            wide = [signatures(flat[s : s + n], np.array([0]), WIDE).tobytes() if n > WIDE_FROM else None for s, n in zip(starts, sizes, strict=True)]
+            wide = np.full(len(sizes), None, object)
+            for at in np.flatnonzero(sizes > WIDE_FROM).tolist():
+                wide[at] = signatures(flat[starts[at] : starts[at] + sizes[at]], np.array([0]), WIDE).tobytes()
             line, key = word_keys(flat, sizes.astype(np.int64), often, share)
             key = key[np.argsort(line, kind="stable")]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(sizes)))])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key))
+            taken = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [*[kept.column(c) for c in names], pa.array(sizes, pa.int32()), *[pa.array(signs[:, k]) for k in range(WORDS)], pa.array(wide, pa.binary()), keys],
-                names=[*names, "n", *SIGNS, "keys"],
+                [batch.column("id").take(taken), batch.column("rk").take(taken), pa.array(number, pa.int32()), pa.array(l1), pa.array(l2),
+                 pa.array(sizes, pa.int32()), *[pa.array(signs[:, k]) for k in range(WORDS)], pa.array(wide, pa.binary()), keys],
+                names=["id", "rk", "line", "l1", "l2", "n", *SIGNS, "keys"],
             )
 
     id_type = rows.schema["id"].dataType.simpleString()
     signs = ", ".join(f"s{k} bigint" for k in range(WORDS))
-    return _words(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, {signs}, wide binary, keys array<bigint>")
+    return _readable(rows).mapInArrow(hash_, f"id {id_type}, rk bigint, line int, l1 bigint, l2 bigint, n int, {signs}, wide binary, keys array<bigint>")
 
 
 def _hashed_lines(rows: DataFrame, share: float, words: int) -> DataFrame:
@@ -425,31 +490,39 @@ def _candidates(lines: DataFrame, share: float) -> DataFrame:
     hot = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     hot = hinted(written(hot, "line-hot-blocks"))
     sized = rows.join(hot, "key", "left")
-    cold = sized.where("members is null").select(
-        F.concat(F.lit("p"), F.pmod(F.xxhash64("key"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), *rows.columns
-    )
-    split = dealt(sized.where("members is not null"), F.col("key").cast("string"), F.col("members"), rows.columns)
+    # a number names a part; those of blocks are negative, and a part that gets more than one key keeps them apart
+    cold = sized.where("members is null").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), *rows.columns)
+    split = dealt(sized.where("members is not null"), F.col("key"), F.col("members"), rows.columns)
+    split = split.select((-1 - F.shiftrightunsigned(F.xxhash64("part", "a", "b"), 1)).alias("part"), *rows.columns)
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "node"], ignore_index=True)
-        key, node, pairs = rows["key"].to_numpy(), rows["node"].to_numpy(), _Filter(rows, share)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.concatenate([starts[1:], [len(key)]])
+    def meet(table: pa.Table) -> pa.Table:
+        key, node = (table.column(c).to_numpy() for c in ("key", "node"))
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        order = order[~(new & np.append(new[1:], True))]  # most keys are of one line
+        order = order[np.lexsort((node[order], key[order]))]
+        key, node = key[order], node[order]
+        pairs = _Filter(pd.DataFrame({c: table.column(c).to_numpy()[order] for c in ("n", *SIGNS[:WORDS])}), share)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        ends = np.concatenate([starts[1:], [len(key)]])[: len(starts)]
         last = np.repeat(np.where(ends - starts <= FEW, ends, 0), ends - starts)
-        u, v = [], []
+        u, v = [node[:0]], [node[:0]]
+        xs = np.arange(len(key))
         for step in range(1, FEW):
-            xs = np.flatnonzero(np.arange(len(key)) + step < last)
-            xs = xs[pairs.near(xs, xs + step)]
-            u.append(node[xs])
-            v.append(node[xs + step])
+            xs = xs[xs + step < last[xs]]
+            if not len(xs):
+                break
+            near = xs[pairs.near(xs, xs + step)]
+            u.append(node[near])
+            v.append(node[near + step])
         for s, e in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
             at = np.arange(s, e)
             x, y = _tree(pairs.near(at[:, None], at[None]))
             u.append(node[s:e][x])
             v.append(node[s:e][y])
-        return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}, dtype="int64")
+        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
-    return cold.unionByName(split).groupBy("part", "a", "b").applyInPandas(meet, "u bigint, v bigint")
+    return cold.unionByName(split).groupBy("part").applyInArrow(meet, "u bigint, v bigint")
 
 
 def dealt(rows: DataFrame, group: Column, members: Column, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -523,7 +596,8 @@ def repeated_lines(
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if exact:
         told, signs = _Filter, SIGNS
-        each = written(_lines(rows, share), "lines")
+        with arrow_rows(documents.sparkSession, 4 * TEXTS):
+            each = written(_lines(rows, share), "lines")
         carried = [*SIGNS, "keys"]
     else:
         told, signs = _Near, NEAR
