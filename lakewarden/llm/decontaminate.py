@@ -159,7 +159,8 @@ def decontaminate(
 ) -> DataFrame:
     """The documents, all columns, without those in which a window of the benchmark occurs."""
     found, _ = occurrences(documents, benchmark, id, text, **options)
-    bad = found.select(F.col("id").alias("i"), F.col("rk").alias("r")).distinct()
+    # broadcast, so the documents with their texts are shuffled for more of these than memory holds only
+    bad = hinted(written(found.select(F.col("id").alias("i"), F.col("rk").alias("r")).distinct(), "bench-documents"), options.get("broadcast_rows", BROADCAST_ROWS))
     rk = fresh([documents], "text_hash")
     docs = documents.withColumn(rk, F.xxhash64(F.col(text)))
     return docs.join(bad, docs[id].eqNullSafe(bad.i) & (docs[rk] == bad.r), "left_anti").drop(rk)

@@ -357,5 +357,5 @@ def one_of_each(documents: DataFrame, id: str = "doc_id", text: str = "text", **
     """The documents, all columns, that are the smallest id of their component; rows with a NULL id stay."""
     kept = similar(documents, id, text, **options)
     other = fresh([documents], "other")
-    others = kept.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(other)).distinct()
+    others = hinted(written(kept.where(F.col(id) != F.col("component_id")).select(F.col(id).alias(other)).distinct(), "jaccard-others"))
     return documents.join(others, F.col(f"`{id}`").cast("bigint") == F.col(other), "left_anti")
