@@ -18,7 +18,9 @@ than B differing bits share one; lines at the threshold with the chance that
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 from collections.abc import Iterator, Sequence
 from operator import ne
 
@@ -49,8 +51,14 @@ SIGNS = (*(f"s{k}" for k in range(WORDS)), "wide")
 BLOCK = 1000
 #: Lines of a key up to which all pairs are compared at once
 FEW = 32
+#: Neighbours of each line by which a key's lines are found dense
+FIRST = 8
+#: Pairs of lines that are compared at a time
+PAIRS = 1_000_000
 #: Words of the sample whose counts are known, and the count from which a key holds the line's length
 OFTEN_ROWS, FREQUENT = 20_000, 16
+#: Bits of a word's hash by which its count is found, of a count, and of the hash in a key; what is left numbers the lines sorted at a time
+PLACE, COUNT, WORD = 20, 15, 36
 
 
 def normalised(line: Column) -> Column:
@@ -82,29 +90,41 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, words: int = WORDS) -> np
     return out.view(np.int64)
 
 
-def word_keys(hashes: np.ndarray, sizes: np.ndarray, often: tuple[np.ndarray, np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+def known_words(often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The counts of frequent words, by the first bits of their hashes.
+
+    Words that share a place have the larger count: any order of words will do that is the same for all lines.
+    """
+    known = np.zeros(2**PLACE, np.uint16)
+    np.maximum.at(known, (often[0].view(np.uint64) >> np.uint64(64 - PLACE)).astype(np.int64), np.minimum(often[1], 2**COUNT - 1).astype(np.uint16))
+    return known
+
+
+def word_keys(hashes: np.ndarray, sizes: np.ndarray, often: tuple[np.ndarray, np.ndarray] | np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """(line, key): linked lines, other than equal ones, have a key in common.
 
-    ``often`` has hashes, in order, and counts of frequent words.
+    ``often`` has hashes, in order, and counts of frequent words, or what ``known_words`` makes of them.
     """
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    count = np.zeros(len(hashes), np.int64)
-    if len(often[0]):
-        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
-        count = np.where(often[0][at] == hashes, np.minimum(often[1][at], 2**15), 0)
-    value = count << 47 | (hashes.view(np.uint64) >> np.uint64(17)).view(np.int64)
-    order = np.lexsort((value, row))
-    value, row, count = value[order], row[order], count[order]
+    row, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    plain, known = hashes.view(np.uint64), often if isinstance(often, np.ndarray) else known_words(often)
+    value = known[plain >> np.uint64(64 - PLACE)].astype(np.uint64) << np.uint64(WORD) | plain >> np.uint64(64 - WORD)
+    some = 1 << (64 - COUNT - WORD)
+    for first in range(0, len(sizes), some):  # with the line's number before it, one sort orders the words of all these lines
+        at = slice(ends[first] - sizes[first], ends[min(first + some, len(sizes)) - 1])
+        value[at] |= (row[at] - first).astype(np.uint64) << np.uint64(COUNT + WORD)
+        value[at].sort()
+    value = (value & np.uint64(2 ** (COUNT + WORD) - 1)).view(np.int64)
+    count = value >> WORD
     spare = sizes - _least(sizes, share)  # words that a linked line may lack
     edits = (spare > 0) | (np.floor(sizes / share + 1e-9) > sizes)  # otherwise linked lines are equal
-    place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+    place = np.arange(len(row)) - (ends - sizes)[row]
     new = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
     taken = (place <= spare[row]) & edits[row] & new[: len(row)]
     value, row, frequent = value[taken], row[taken], count[taken] >= FREQUENT
-    ends = [1]
-    while ends[-1] <= sizes.max(initial=1):  # linked lines lie in one class of length or in neighbouring ones
-        ends.append(max(ends[-1] + 1, int(np.ceil(ends[-1] / share - 1e-9))))
-    own = np.searchsorted(np.array(ends), sizes, side="right")[row[frequent]]
+    classes = [1]
+    while classes[-1] <= sizes.max(initial=1):  # linked lines lie in one class of length or in neighbouring ones
+        classes.append(max(classes[-1] + 1, int(np.ceil(classes[-1] / share - 1e-9))))
+    own = np.searchsorted(np.array(classes), sizes, side="right")[row[frequent]]
     lines, keys = [row[~frequent]], [value[~frequent]]
     for step in (0, 1):
         x = value[frequent] ^ (own + step) * -7046029254386353131
@@ -214,22 +234,23 @@ class _Filter:
         self.least = _least(self.sizes, share)  # grows with the size, so the larger one's is the larger
         # unsigned, as of signed numbers the bits of their absolute values are counted
         self.signs = rows[[f"s{k}" for k in range(WORDS)]].to_numpy().astype(np.int64).view(np.uint64)
+        # with b words in the other line a + b - 2 * share * max(a, b) bits may differ: most, if b is a or a / share
+        self.one, self.most = np.bitwise_xor.reduce(self.signs, axis=1), np.minimum(self.sizes * max(2 - 2 * share, 1 / share - 1) + 1e-6, 64).astype(np.uint8)
         self.wide = [w if w is None else np.frombuffer(w, np.uint64) for w in rows["wide"]] if "wide" in rows else None
 
     def near(self, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
         """Of pairs of rows, given as arrays that go together, which may be linked."""
-        a, b = self.sizes[xs], self.sizes[ys]
-        most = a + b - 2 * np.maximum(self.least[xs], self.least[ys])
-        out = most >= np.abs(a - b)
-        bits = np.zeros(out.shape, np.int64)
-        for k in range(WORDS):
-            sign = self.signs[:, k]
-            bits += np.bitwise_count(sign[xs] ^ sign[ys])
-        out &= bits <= most
+        # the signatures as one word reject most pairs, by what the one line allows at most
+        out = np.bitwise_count(self.one[xs] ^ self.one[ys]) <= self.most[xs]
+        at = np.nonzero(out)
+        x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
+        a, b = self.sizes[x], self.sizes[y]
+        most = a + b - 2 * np.maximum(self.least[x], self.least[y])
+        near = (most >= np.abs(a - b)) & (np.bitwise_count(self.signs[x] ^ self.signs[y]).sum(axis=1, dtype=np.int64) <= most)
         if self.wide is not None:
-            at = np.nonzero(out & (np.minimum(a, b) > WIDE_FROM))
-            x, y = np.broadcast_to(xs, out.shape)[at], np.broadcast_to(ys, out.shape)[at]
-            out[at] = [np.bitwise_count(self.wide[i] ^ self.wide[j]).sum() <= m for i, j, m in zip(x, y, most[at], strict=True)]
+            for k in np.flatnonzero(near & (np.minimum(a, b) > WIDE_FROM)).tolist():
+                near[k] = np.bitwise_count(self.wide[x[k]] ^ self.wide[y[k]]).sum() <= most[k]
+        out[at] = near
         return out
 
 
@@ -249,23 +270,50 @@ class _Near:
         return (bits <= self.most) & (np.minimum(a, b) >= self.share * np.maximum(a, b) - 1e-9)
 
 
-def _tree(near: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs that connect what a symmetric matrix connects: from each row those near it that no row before was."""
-    u, v, left = [], [], np.ones(len(near), bool)
-    for start in range(len(near)):
-        if not left[start]:
-            continue
-        left[start], open_ = False, [start]
-        while open_:
-            x = open_.pop()
-            close = np.flatnonzero(near[x] & left)
-            left[close] = False
-            u += [x] * len(close)
-            v += close.tolist()
-            open_ += close.tolist()
+def _tree(pairs: _Filter, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Pairs that connect what pairs near each other connect, of the rows from ``start`` to ``end``, numbered from 0."""
+    u, v, group = [], [], np.arange(end - start)
+    rows = max(1, PAIRS // (end - start))
+    for first in range(start, end, rows):
+        xs, ys = np.arange(first, min(first + rows, end)), np.arange(first + 1, end)
+        near = pairs.near(xs[:, None], ys[None]) & (xs[:, None] < ys)
+        for x in np.flatnonzero(near.any(axis=1)).tolist():
+            others = np.flatnonzero(near[x]) + first + 1 - start
+            x += first - start
+            others = others[group[others] != group[x]]
+            if len(others):
+                joined, at = np.unique(group[others], return_index=True)
+                u += [x] * len(at)
+                v += others[at].tolist()
+                group[np.isin(group, joined)] = group[x]
     return u, v
 
 
+def _in_windows(pairs: _Filter, starts: np.ndarray, ends: np.ndarray, longest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, pair by pair, that are near, of groups that begin and end there, sorted by length; and which groups are left to ``_tree``.
+
+    All groups at once, row by row with the next, the next but one and so on, up to the longest line that may be linked. Large groups
+    with several near pairs a row among the first of these are dense: their pairs would grow with the square of their rows.
+    """
+    sizes = ends - starts
+    group, last = np.repeat(np.arange(len(starts)), sizes), np.repeat(ends, sizes)
+    dense, u, v = np.zeros(len(starts), bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    xs, step = np.arange(len(last)), 0
+    while len(xs):
+        step += 1
+        xs = xs[xs + step < last[xs]]
+        xs = xs[pairs.sizes[xs + step] <= longest[xs]]
+        near = xs[pairs.near(xs, xs + step)]
+        u.append(near)
+        v.append(near + step)
+        if step == FIRST:
+            x, y = np.concatenate(u), np.concatenate(v)
+            dense = (sizes > FEW) & (np.bincount(group[x], minlength=len(starts)) > 2 * sizes)
+            kept, xs = ~dense[group[x]], xs[~dense[group[xs]]]
+            u, v = [x[kept]], [y[kept]]
+    return np.concatenate(u), np.concatenate(v), dense
+
+
 def _words(rows: DataFrame) -> DataFrame:
     """The lines of ``text`` with hashes of their normalised text and of its words."""
     each = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
@@ -276,11 +324,29 @@ def _words(rows: DataFrame) -> DataFrame:
     )
 
 
-#: What a byte is in a word: lower case, 0 where none is. Of other than ASCII lines only letters, digits and spaces are left before
+#: What a byte of an ASCII text is in a word: lower case, 0 where none is
 LETTERS = np.array([ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b * (b >= 128) for b in range(256)], np.uint8)
-#: Bases, odd, of the two hashes of a word, and texts that are hashed at a time
-BASES, TEXTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 250
+#: Characters, from and to, that are normalised where they are hashed: each has one lower case, whatever stands beside it, and no version
+#: of Unicode of the last ten years moved one. Lines with others (Σ, İ, scripts without cases) are normalised before, so only letters, digits and spaces are left
+PLAIN = ((0x0, 0x12F), (0x131, 0x3A2), (0x3A4, 0x52F), (0x1E00, 0x1EFF), (0x2000, 0x2BFF))
+#: All others; one range at a time, as Java's union of ranges takes a hundred times as long
+SINGLE, RANGES = "İΣ", ((0x530, 0x1DFF), (0x1F00, 0x1FFF), (0x2C00, 0x10FFFF))
+
+
+def _points() -> np.ndarray:
+    """What a character is in a word, by its code point; those that are not ``PLAIN`` are as they are."""
+    out = np.arange(PLAIN[-1][1] + 1, dtype=np.uint32)
+    for a, b in PLAIN:
+        lower = [chr(c).lower() for c in range(a, b + 1)]
+        out[a : b + 1] = [ord(c) if unicodedata.category(c)[0] in "LN" else 0 for c in lower]
+    return out
+
+
+POINTS = _points()
+#: Bases, odd, of the two hashes of a word, and texts that are hashed at a time, few enough for a processor's cache
+BASES, TEXTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 50
 _powers: dict[int, np.ndarray] = {}
+_scratch: dict[str, np.ndarray] = {}
 
 
 def _power(base: int, size: int) -> np.ndarray:
@@ -292,6 +358,13 @@ def _power(base: int, size: int) -> np.ndarray:
     return _powers[base][:size]
 
 
+def _held(name: str, kind: type, size: int) -> np.ndarray:
+    """An array to write to, of the same memory each time: new memory for every run of texts took longer than what is done with it."""
+    if len(_scratch.get(name, ())) < size:
+        _scratch[name] = np.empty(size, kind)
+    return _scratch[name][:size]
+
+
 def _stirred(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -300,16 +373,26 @@ def _stirred(x: np.ndarray) -> np.ndarray:
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Of the lines that have words: text, line number, words, two hashes of the line; hashes of all words, line after line."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    body, new = LETTERS[data], data == 10
+    whole = b"\n".join([*texts, b""])
+    if whole.isascii():
+        data = np.frombuffer(whole, np.uint8)
+        body = LETTERS[data]
+    else:
+        data = np.frombuffer(whole.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        body = POINTS[np.minimum(data, len(POINTS) - 1)]
+        beyond = data >= len(POINTS)
+        body[beyond] = data[beyond]
+    new = data == 10
     inside = np.concatenate([[False], body != 0])  # the last byte ends a line
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
     hashes = []
     for base in BASES:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(body * _power(base, len(body)))])
+        product, sums = _held("product", np.uint64, len(body)), _held("sums", np.uint64, len(body) + 1)
+        sums[0] = 0
+        np.cumsum(np.multiply(body, _power(base, len(body)), out=product), out=sums[1:])
         hashes.append(_stirred((sums[end] - sums[begin]) * _power(pow(base, -1, 2**64), len(body))[begin]))
-    line = np.cumsum(new)[begin]
+    line = np.cumsum(new, out=_held("line", np.int64, len(new)))[begin]
     starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[: len(line)])
     sizes = np.diff(np.append(starts, len(line)))
     place = (np.arange(len(line)) - np.repeat(starts, sizes)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -320,11 +403,17 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, of - first[text], sizes, *both, hashes[0].view(np.int64)
 
 
+def _other(text: Column) -> Column:
+    """Whether a text has other than ``PLAIN`` characters."""
+    found = F.octet_length(text) > F.length(text)
+    several = [text.contains(c) for c in SINGLE] + [text.rlike(f"[\\x{{{a:x}}}-\\x{{{b:x}}}]") for a, b in RANGES]
+    return found & functools.reduce(Column.__or__, several)
+
+
 def _readable(rows: DataFrame) -> DataFrame:
-    """The texts, lines of other than ASCII characters normalised; the others are normalised where they are hashed."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.when(F.octet_length(x) > F.length(x), normalised(x)).otherwise(x))
-    plain = F.when(F.octet_length("text") > F.length("text"), F.array_join(lines, "\n")).otherwise(F.col("text"))
-    return rows.withColumn("text", plain.cast("binary"))
+    """The texts, lines with other than ``PLAIN`` characters normalised; the others are normalised where they are hashed."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.when(_other(x), normalised(x)).otherwise(x))
+    return rows.withColumn("text", F.when(_other(F.col("text")), F.array_join(lines, "\n")).otherwise(F.col("text")).cast("binary"))
 
 
 def _text_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
@@ -354,6 +443,7 @@ def _lines(rows: DataFrame, share: float) -> DataFrame:
     often = often_used(rows)
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = known_words(often)
         for batch, (text, number, sizes, l1, l2, flat) in _text_runs(batches):
             if not len(sizes):
                 continue
@@ -362,7 +452,7 @@ def _lines(rows: DataFrame, share: float) -> DataFrame:
             wide = np.full(len(sizes), None, object)
             for at in np.flatnonzero(sizes > WIDE_FROM).tolist():
                 wide[at] = signatures(flat[starts[at] : starts[at] + sizes[at]], np.array([0]), WIDE).tobytes()
-            line, key = word_keys(flat, sizes.astype(np.int64), often, share)
+            line, key = word_keys(flat, sizes.astype(np.int64), known, share)
             key = key[np.argsort(line, kind="stable")]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(sizes)))])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key))
@@ -485,44 +575,43 @@ def _alike(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
 
 def _candidates(lines: DataFrame, share: float) -> DataFrame:
     """(u, v): pairs that share a key and may be linked, enough of them to connect all that do."""
-    rows = lines.select(F.explode_outer("keys").alias("key"), "node", "n", *SIGNS[:WORDS]).where("key is not null")
+    columns = ["key", "node", "n", *SIGNS[:WORDS]]
+    rows = lines.select(F.explode_outer("keys").alias("key"), *columns[1:]).where("key is not null")
     parts = max(1, -(-lines.count() // 5000))
-    hot = rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
-    hot = hinted(written(hot, "line-hot-blocks"))
-    sized = rows.join(hot, "key", "left")
+    # one line in EVERY tells the keys of many lines; they are only dealt to more tasks, so a key that it misses is met whole all the same
+    some = lines.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(EVERY)) == 0).select(F.explode("keys").alias("key"))
+    hot = some.groupBy("key").agg((F.count("*") * EVERY).alias("members")).where(F.col("members") > BLOCK)
+    hot = written(hot, "line-hot-blocks")
     # a number names a part; those of blocks are negative, and a part that gets more than one key keeps them apart
-    cold = sized.where("members is null").select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), *rows.columns)
-    split = dealt(sized.where("members is not null"), F.col("key"), F.col("members"), rows.columns)
-    split = split.select((-1 - F.shiftrightunsigned(F.xxhash64("part", "a", "b"), 1)).alias("part"), *rows.columns)
+    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    if hot.isEmpty():
+        met = rows.select(part.alias("part"), *columns)
+    else:
+        sized = rows.join(hinted(hot), "key", "left")
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: -1 - F.shiftrightunsigned(F.xxhash64("key", F.least(o, mine), F.greatest(o, mine)), 1))
+        met = sized.select(F.explode_outer(F.when(F.col("members").isNull(), F.array(part)).otherwise(pairs)).alias("part"), *columns)
 
     def meet(table: pa.Table) -> pa.Table:
-        key, node = (table.column(c).to_numpy() for c in ("key", "node"))
+        key, node, size = (table.column(c).to_numpy() for c in ("key", "node", "n"))
         order = np.argsort(key, kind="stable")
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
         order = order[~(new & np.append(new[1:], True))]  # most keys are of one line
-        order = order[np.lexsort((node[order], key[order]))]
-        key, node = key[order], node[order]
+        order = order[np.lexsort((size[order], key[order]))]
+        key, node, size = key[order], node[order], size[order]
         pairs = _Filter(pd.DataFrame({c: table.column(c).to_numpy()[order] for c in ("n", *SIGNS[:WORDS])}), share)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         ends = np.concatenate([starts[1:], [len(key)]])[: len(starts)]
-        last = np.repeat(np.where(ends - starts <= FEW, ends, 0), ends - starts)
-        u, v = [node[:0]], [node[:0]]
-        xs = np.arange(len(key))
-        for step in range(1, FEW):
-            xs = xs[xs + step < last[xs]]
-            if not len(xs):
-                break
-            near = xs[pairs.near(xs, xs + step)]
-            u.append(node[near])
-            v.append(node[near + step])
-        for s, e in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
-            at = np.arange(s, e)
-            x, y = _tree(pairs.near(at[:, None], at[None]))
+        u, v, dense = _in_windows(pairs, starts, ends, np.floor(size / share + 1e-9))
+        u, v = [node[u]], [node[v]]
+        for s, e in zip(starts[dense].tolist(), ends[dense].tolist(), strict=True):
+            x, y = _tree(pairs, s, e)
             u.append(node[s:e][x])
             v.append(node[s:e][y])
         return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
 
-    return cold.unionByName(split).groupBy("part").applyInArrow(meet, "u bigint, v bigint")
+    return met.groupBy("part").applyInArrow(meet, "u bigint, v bigint")
 
 
 def dealt(rows: DataFrame, group: Column, members: Column, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -556,6 +645,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInPandas(verify, "u bigint, v bigint")
 
 
+def _near_pairs(pairs: _Filter | _Near, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows, pair by pair, that may be linked, of groups that begin and end there; all groups of few rows at once, larger ones row by row."""
+    sizes = ends - starts
+    last = np.repeat(np.where(sizes <= FEW, ends, 0), sizes)
+    xs = np.arange(len(last))
+    for step in range(1, FEW):
+        xs = xs[xs + step < last[xs]]
+        if not len(xs):
+            break
+        near = xs[pairs.near(xs, xs + step)]
+        yield near, near + step
+    for s, e in zip(starts[sizes > FEW].tolist(), ends[sizes > FEW].tolist(), strict=True):
+        for x in range(s, e - 1):
+            others = np.arange(x + 1, e)
+            others = others[pairs.near(np.full(len(others), x), others)]
+            yield np.full(len(others), x), others
+
+
 def _links(groups: DataFrame, share: float, told: type) -> DataFrame:
     """(u, v): verified links, a spanning forest of each part."""
 
@@ -565,15 +672,13 @@ def _links(groups: DataFrame, share: float, told: type) -> DataFrame:
         pairs = told(rows, share)
         forest, u, v = _Forest(len(rows)), [], []
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        for s, e in zip(starts, np.concatenate([starts[1:], [len(group)]]), strict=True):
-            for x in range(s, e - 1):
-                others = np.arange(x + 1, e)
-                for y in others[pairs.near(np.full(len(others), x), others)].tolist():
-                    if forest.root(x) != forest.root(y):
-                        if _alike_words(text[x], text[y], share):
-                            forest.join(x, y)
-                            u.append(node[x])
-                            v.append(node[y])
+        ends = np.append(starts[1:], len(group))
+        for xs, ys in _near_pairs(pairs, starts, ends):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                if forest.root(x) != forest.root(y) and _alike_words(text[x], text[y], share):
+                    forest.join(x, y)
+                    u.append(node[x])
+                    v.append(node[y])
         return pd.DataFrame({"u": u, "v": v}, dtype="int64")
 
     return groups.groupBy("part", "a", "b").applyInPandas(verify, "u bigint, v bigint")
@@ -596,7 +701,7 @@ def repeated_lines(
     rows = documents.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if exact:
         told, signs = _Filter, SIGNS
-        with arrow_rows(documents.sparkSession, 4 * TEXTS):
+        with arrow_rows(documents.sparkSession, 20 * TEXTS):
             each = written(_lines(rows, share), "lines")
         carried = [*SIGNS, "keys"]
     else:
@@ -615,13 +720,15 @@ def repeated_lines(
         near = written(_alike(met, classes, share), "line-candidates")
         discard(met)
     nodes = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-    members = hinted(written(nodes.join(classes, "node").select("node", "first", "n", *signs), "line-members"), 200_000)
-    # only candidates' texts are fetched: each class's first line
-    said = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
-    at = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.rk") == F.col("rk")) & (F.col("first.line") == F.col("line"))
-    texts = said.join(members, at).select("node", normalised(F.col("body")).alias("norm"), "n", *signs)
-    texts = written(texts.dropDuplicates(["node"]), "line-texts")
-    discard(members)
+    # only candidates' texts are fetched: each class's first line, by the texts that hold it
+    line = F.struct(F.col("first.line").alias("line"), "node", "n", *signs)
+    held = nodes.join(classes, "node").groupBy(F.col("first.id").alias("of"), F.col("first.rk").alias("of_rk")).agg(F.collect_list(line).alias("held"))
+    held = hinted(written(held, "line-members"), 200_000)
+    at = F.col("of").eqNullSafe(F.col("id")) & (F.col("of_rk") == F.col("rk"))
+    said = let(F.split("text", "\n", -1), lambda lines: F.transform("held", lambda x: F.struct(x.alias("held"), F.get(lines, x["line"]).alias("body"))))
+    texts = rows.join(held, at).select(F.explode(said).alias("x")).select("x.held.*", "x.body")
+    texts = written(texts.select("node", normalised(F.col("body")).alias("norm"), "n", *signs).dropDuplicates(["node"]), "line-texts")
+    discard(held)
     # pairs are verified one by one; what a tree connects is verified pair by pair inside its group
     groups = written(components(near.where("tree").select("u", "v")), "line-groups")
     sized = texts.join(groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component"), "node")
