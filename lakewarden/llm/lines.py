@@ -314,6 +314,14 @@ def _in_windows(pairs: _Filter, starts: np.ndarray, ends: np.ndarray, longest: n
     return np.concatenate(u), np.concatenate(v), dense
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that connect all that they connect: each one less is a row less in every round of ``components``."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    forest = _Forest(len(nodes))
+    kept = np.array([forest.join(x, y) for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True)], bool)
+    return u[kept], v[kept]
+
+
 def _words(rows: DataFrame) -> DataFrame:
     """The lines of ``text`` with hashes of their normalised text and of its words."""
     each = rows.select("id", "rk", F.posexplode_outer(F.split("text", "\n", -1)).alias("line", "body"))
@@ -609,7 +617,8 @@ def _candidates(lines: DataFrame, share: float) -> DataFrame:
             x, y = _tree(pairs, s, e)
             u.append(node[s:e][x])
             v.append(node[s:e][y])
-        return pa.table({"u": np.concatenate(u), "v": np.concatenate(v)})
+        u, v = _forest(np.concatenate(u), np.concatenate(v))
+        return pa.table({"u": u, "v": v})
 
     return met.groupBy("part").applyInArrow(meet, "u bigint, v bigint")
 

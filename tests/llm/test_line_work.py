@@ -87,3 +87,15 @@ def test_keys_of_many_lines_are_met_in_parts(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK", 5)
     monkeypatch.setattr(lines, "EVERY", 1)
     assert {(r.id, r.line) for r in lines.repeated_lines(df).collect()} == whole and whole
+
+
+def test_a_forest_of_pairs_connects_as_they_do():
+    draw = np.random.default_rng(7)
+    u, v = draw.integers(100, 160, (2, 90))
+    a, b = lines._forest(u, v)
+    whole, part = lines._Forest(160), lines._Forest(160)
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        whole.join(x, y)
+    assert all(part.join(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    assert [whole.root(x) for x in range(160)] == [part.root(x) for x in range(160)]
+    assert [len(x) for x in lines._forest(u[:0], v[:0])] == [0, 0]
