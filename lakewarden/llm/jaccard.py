@@ -298,6 +298,80 @@ def _group_links(groups: DataFrame, share: float) -> DataFrame:
     return groups.groupBy("part", "a", "b").applyInPandas(join, "u bigint, v bigint")
 
 
+def _placed(stars: DataFrame, purpose: str) -> DataFrame:
+    """(node, component, members): of each node that has a partner."""
+    found = written(components(stars), "jaccard-groups")
+    whole = found.groupBy("component").agg(F.count("*").alias("members"))
+    out = written(found.join(whole, "component").where("members > 1"), purpose)
+    discard(found)
+    return out
+
+
+def _narrowed(sets: DataFrame, share: float, block: int) -> DataFrame:
+    """(id, component, members, tokens): large groups without the sets that can have no link, grouped again.
+
+    A linked set has ``share`` of its tokens in other sets of its group. Most of
+    a large group are sets that share a passage, which grows into a chain
+    through a good part of the corpus but holds few tokens of each.
+    """
+    columns = ["id", "component", "members", "tokens"]
+    now, small = sets.select(*columns), []
+    before = None
+    while (rows := now.where(F.col("members") > block).count()) and (before is None or rows < 0.9 * before):
+        before = rows
+        small.append(now.where(F.col("members") <= block))
+        large = now.where(F.col("members") > block).withColumn("row", F.xxhash64("id", "tokens"))
+        tokens = large.select("component", "row", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        there = F.count("*").over(Window.partitionBy("component", "token"))
+        wanted = F.ceil(F.min("n") * share - 1e-9)
+        held = tokens.withColumn("there", there).where("there > 1").groupBy("row").agg((F.count("*") >= wanted).alias("enough")).where("enough")
+        held = hinted(written(held.select("row"), "jaccard-held"))
+        left = written(large.join(held, "row", "left_semi").select("id", "tokens"), "jaccard-sets")
+        with arrow_rows(sets.sparkSession, SETS):
+            keyed = written(_keyed(left, share), "jaccard-keys")
+        stars = written(_stars(keyed), "jaccard-stars")
+        placed = hinted(_placed(stars, "jaccard-places"))
+        discard(keyed, stars)
+        now = written(left.join(placed.withColumnRenamed("node", "id"), "id").select(*columns), "jaccard-sets")
+        discard(left)
+    for part in small:
+        now = now.unionByName(part)
+    return now
+
+
+def _large_links(large: DataFrame, share: float, block: int) -> DataFrame:
+    """Links of large groups, cut into blocks; what is sent grows with a group and not with its square, where most of it is linked.
+
+    Each block meets itself and the first one, the hub, which binds most copies
+    of one text. Only sets that are then outside of the group's largest
+    component meet all others.
+    """
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    hub = F.when(mine == 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(mine))
+    part = F.col("component").cast("string").alias("part")
+    first = large.select(part, F.explode(hub).alias("a"), F.lit(0).alias("b"), "id", "tokens")
+    first = written(_group_links(first, share), "jaccard-links")
+    bound = written(components(first), "jaccard-bound").select(F.col("node").alias("id"), F.col("component").alias("to"))
+    state = large.select("id", "component", "members").join(bound, "id", "left").withColumn("to", F.coalesce("to", "id"))
+    state = written(state.distinct(), "jaccard-state")
+    most = state.groupBy("component", "to").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "to")).alias("most"), F.sum("n").alias("all"))
+    cuts = most.select("component", F.col("most.to").alias("main"), F.ceil((F.col("all") - F.col("most.n")) / block).cast("int").alias("rests")).where("rests > 0")
+    cuts = hinted(written(cuts, "jaccard-cuts"))
+    rest = state.join(cuts, "component").select("id", "rests", (F.col("to") != F.col("main")).alias("rest"))
+    # a group without a rest is settled, and its sets go no further
+    open_ = large.join(hinted(written(rest, "jaccard-rest")), "id")
+    r = F.pmod(F.xxhash64("id", F.lit(1)), F.col("rests")).cast("int")
+    numbers = F.sequence(F.lit(0), F.col("rests") - 1)
+    own = F.transform(numbers, lambda o: F.struct(F.lit("r").alias("side"), F.least(o, r).alias("a"), F.greatest(o, r).alias("b")))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.lit("m").alias("side"), r.alias("a"), o.alias("b")))
+    met = F.transform(numbers, lambda o: F.struct(F.lit("m").alias("side"), o.alias("a"), mine.alias("b")))
+    dealt = F.explode(F.when(F.col("rest"), F.concat(own, others)).otherwise(met)).alias("p")
+    rows = open_.select("component", dealt, "id", "tokens")
+    second = rows.select(F.concat_ws(" ", "component", "p.side").alias("part"), "p.a", "p.b", "id", "tokens")
+    return first.union(_group_links(second, share))
+
+
 def similar(
     documents: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, share: float = 0.8, block: int = BLOCK
 ) -> DataFrame:
@@ -335,17 +409,17 @@ def similar(
     sets = texts.select("id", "component", "members", token_set(F.col("text"), shingle).alias("tokens"))
     # no filter on the sets: Spark would make them for all documents, before the join
     sets = written(sets, "jaccard-sets").where(F.size("tokens") > 0)
-    # small groups share a part; a large one is cut into blocks, and each pair of blocks is a part
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    parts = max(1, -(-sets.count() // block))
-    small = sets.where(blocks <= 1).select(
+    # large groups lose what cannot be linked; small ones share a part
+    sets = _narrowed(sets, share, block)
+    all_, outside = sets.agg(F.count("*"), F.count_if(F.col("members") > block)).first()
+    parts = max(1, -(-all_ // block))
+    small = sets.where(F.col("members") <= block).select(
         F.concat(F.lit("s"), F.pmod(F.xxhash64("component"), F.lit(parts))).alias("part"), F.lit(0).alias("a"), F.lit(0).alias("b"), "id", "tokens"
     )
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("a"), F.greatest(o, mine).alias("b")))
-    large = sets.where(blocks > 1).select(F.col("component").cast("string").alias("part"), F.explode_outer(others).alias("p"), "id", "tokens")
-    groups = small.unionByName(large.select("part", "p.a", "p.b", "id", "tokens"))
-    links = written(_group_links(groups, share).union(copies), "jaccard-links")
+    links = _group_links(small, share).union(copies)
+    if outside:
+        links = links.union(_large_links(sets.where(F.col("members") > block), share, block))
+    links = written(links, "jaccard-links")
     found = written(components(links), "jaccard-components")
     discard(candidates, links)
     return prints.select("id", F.col("n").cast("bigint").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left").select(
