@@ -119,13 +119,14 @@ def value_is_pii(col: Column, detectors: Iterable[Detector] = DETECTORS) -> Colu
     return verdict
 
 
-# One match per JSON string; group 1 is filled for strings that are keys.
-_JSON_STRINGS = r'"((?:[^"\\]++|\\.)*+)"[ \t\r\n]*+:|"(?:[^"\\]++|\\.)*+"'
+# What a JSON string holds, and what makes of a string a key.
+_JSON_INSIDE, _JSON_COLON = r'(?:[^"\\]++|\\.)*+', r"[ \t\r\n]*+:"
 _STRICT_JSON = {"allowNonNumericNumbers": "false", "allowSingleQuotes": "false"}
 # Well-formed strings and numbers, which stubs replace before the text is
 # parsed: so no limit of the parser on their length can matter.
 _GOOD_STRING = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
-_GOOD_NUMBER = r"(?<![0-9A-Za-z.+\-_])-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+\-]?+[0-9]++)?+(?![0-9A-Za-z.+\-_])"
+# Where no number can start nothing behind is looked at, which takes far longer.
+_GOOD_NUMBER = r"(?=[\-0-9])(?<![0-9A-Za-z.+\-_])-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+\-]?+[0-9]++)?+(?![0-9A-Za-z.+\-_])"
 # Brackets the parser may open inside each other. A text that it refuses and that
 # has more of them may be a document too deep for it: its brackets are folded
 # with a stack, which knows no depth.
@@ -144,6 +145,17 @@ def escaped_keyword_pattern(keywords: Iterable[str] = fv.PII_KEYWORDS) -> str:
     return "|".join("".join(map(letter, word.lower())) for word in keywords) or "(?!)"
 
 
+def _sensitive_key(keywords: Iterable[str]) -> str:
+    """Finds a key with a keyword in lower-cased JSON text, in one pass that ends at the first.
+
+    An escaped backslash starts no escape: the text is read string by string, and
+    a string letter by letter.
+    """
+    without = rf'(?:(?!{escaped_keyword_pattern(keywords)})(?:[^"\\]|\\.))*+'
+    # what stops the loop is a string that is a key and not without a keyword
+    return rf'\A(?:[^"]++|"{_JSON_INSIDE}"(?!{_JSON_COLON})|"{without}")*+"{_JSON_INSIDE}"'
+
+
 def _parses(json: Column) -> Column:
     return F.from_json(json, "k string", _STRICT_JSON)["k"].isNotNull()
 
@@ -153,10 +165,10 @@ _JSON_FOREIGN = r"[^\[\]{},:0\x22aeflnrstu \t\r\n]"
 # Words and strings as one letter each, then, without blanks, keys with their colon as k.
 _JSON_WORDS = (("true", "0"), ("false", "0"), ("null", "0"), ('""', "k"))
 _JSON_KEYS = (("k:", "s"), ("k", "0"), ("s", "k"))
-# Two tokens that may not follow each other, a last one that is open, or what is no
-# token. Here k is a key with its colon and 0 any other string, number or word; ","
-# may be followed by either, which the bracket around it decides.
-_JSON_MISPLACED = r"[^\[\]{},k0]|\{[^k}]|[\[k][^0\[{\]]|k\]|,[^k0\[{]|[0\]}][^,\]}]|[\[{k,]\z"
+# Tokens each of which may follow the one before it. Here k is a key with its colon and
+# 0 any other string, number or word; "," may be followed by either, which the bracket
+# around it decides. Runs of opening and of closing brackets are one step each.
+_JSON_PLACED = r"\A(?:(?:\[?+\{k)++(?=[0\[{])|[0\]}][\]}]*+(?=,|\z)|\[(?=[0\[{\]])|\{(?=[k}])|k(?=[0\[{])|,(?=[k0\[{]))*+\z"
 # Brackets, and commas before a key (o) or a value (a), which stand for the rest: what
 # holds no other bracket, and runs that the fold takes in one step.
 _JSON_INNERMOST = r"\[a*+\]|\{o*+\}"
@@ -171,7 +183,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _folded(stubs: Column) -> Column:
     """Whether the tokens of a stubbed text make one JSON value.
 
-    What follows what is a matter of neighbours, one pattern. What is left are
+    What follows what is a matter of neighbours, one pattern and one pass. What is left are
     brackets and commas, whose runs are folded with a stack of open brackets: a
     run of closing ones must be the top of the stack.
     """
@@ -190,11 +202,11 @@ def _folded(stubs: Column) -> Column:
 
     def closed(tokens: Column) -> Column:
         brackets = F.replace(F.replace(tokens, F.lit(",k"), F.lit("o")), F.lit(","), F.lit("a"))
-        brackets = F.regexp_replace(brackets, "[k0]++", "")
+        brackets = F.replace(F.replace(brackets, F.lit("k"), F.lit("")), F.lit("0"), F.lit(""))
         for _ in range(2):  # wide documents shrink to a few brackets
             brackets = F.regexp_replace(brackets, _JSON_INNERMOST, "")
         runs = F.regexp_extract_all(brackets, F.lit(_JSON_RUNS), F.lit(0))
-        return F.when(tokens.rlike(_JSON_MISPLACED), False).otherwise(F.aggregate(runs, F.lit(""), step) == "")
+        return F.when(tokens.rlike(_JSON_PLACED), F.aggregate(runs, F.lit(""), step) == "").otherwise(False)
 
     return F.when(stubs.rlike(_JSON_FOREIGN), False).otherwise(_let(tokens, closed))
 
@@ -207,14 +219,14 @@ def _folded_sql(stubs: str) -> str:
     tokens = f"regexp_replace({tokens}, {_quoted(f'[ {chr(92)}t{chr(92)}r{chr(92)}n]++')}, '')"
     for word, short in _JSON_KEYS:
         tokens = f"replace({tokens}, '{word}', '{short}')"
-    brackets = "regexp_replace(replace(replace(w, ',k', 'o'), ',', 'a'), '[k0]++', '')"
+    brackets = "replace(replace(replace(replace(w, ',k', 'o'), ',', 'a'), 'k', ''), '0', '')"
     for _ in range(2):
         brackets = f"regexp_replace({brackets}, {_quoted(_JSON_INNERMOST)}, '')"
     wanted = "CASE left(t, 1) WHEN 'a' THEN '[' WHEN 'o' THEN '{' ELSE replace(replace(t, ']', '['), '}', '{') END"
     kept = "CASE WHEN left(t, 1) IN ('a', 'o') THEN f ELSE substring(f, length(t) + 1) END"
     step = f"CASE WHEN left(t, 1) IN ('[', '{{') THEN concat(reverse(t), f) WHEN startswith(f, {wanted}) THEN {kept} ELSE 'x' END"
     fold = f"aggregate(regexp_extract_all({brackets}, {_quoted(_JSON_RUNS)}, 0), '', (f, t) -> {step}) = ''"
-    closed = f"CASE WHEN w RLIKE {_quoted(_JSON_MISPLACED)} THEN false ELSE {fold} END"
+    closed = f"CASE WHEN w RLIKE {_quoted(_JSON_PLACED)} THEN {fold} ELSE false END"
     return f"CASE WHEN {stubs} RLIKE {_quoted(_JSON_FOREIGN)} THEN false ELSE get(transform(array({tokens}), w -> {closed}), 0) END"
 
 
@@ -231,7 +243,7 @@ def is_json_document(col: Column) -> Column:
 
     def verdict(stubs: Column) -> Column:
         whole = _parses(F.concat(F.lit('{"k":'), stubs, F.lit("}"))) & _parses(F.concat(F.lit('{"k":['), stubs, F.lit("]}")))
-        deep = F.length(F.regexp_replace(stubs, r"[^\[{]++", "")) > _PARSED_DEPTH
+        deep = F.length(stubs) - F.length(F.replace(F.replace(stubs, F.lit("["), F.lit("")), F.lit("{"), F.lit(""))) > _PARSED_DEPTH
         return F.when(F.coalesce(whole, F.lit(False)), True).when(deep, _folded(stubs)).otherwise(False)
 
     return F.coalesce(F.when(starts, _let(stubs, verdict)), F.lit(False))
@@ -239,16 +251,12 @@ def is_json_document(col: Column) -> Column:
 
 def json_has_pii_key(col: Column, keywords: Iterable[str] = fv.PII_KEYWORDS) -> Column:
     """Whether the text is JSON with a sensitive key at any depth."""
-    # keys, one per line: a raw line break cannot occur inside a JSON string;
-    # an escaped backslash starts no escape
-    keys = F.array_join(F.regexp_extract_all(col, F.lit(_JSON_STRINGS), F.lit(1)), "\n")
-    names = F.lower(F.replace(keys, F.lit("\\\\"), F.lit("\n")))
     # Cheap tests first: most cells do not start like JSON, most JSON holds no
     # keyword at all, and only what is left is taken apart. `when` and not "&":
     # Spark computes what "&" repeats beforehand, needed or not.
     starts = col.startswith("{") | col.startswith("[")
     worth_reading = F.when(starts, F.lower(col).rlike(keyword_pattern(keywords)) | col.contains("\\u"))
-    has_key = F.when(worth_reading, names.rlike(escaped_keyword_pattern(keywords)))
+    has_key = F.when(worth_reading, F.lower(col).rlike(_sensitive_key(keywords)))
     return F.coalesce(F.when(has_key, is_json_document(col)), F.lit(False))
 
 
@@ -280,15 +288,13 @@ def should_redact_sql(column: str, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
     patterns = "|".join(d.pattern for d in DETECTORS if d.pattern)
     card = rf"{fv.CARD_DIGITS}\z"
     words = _quoted(keyword_pattern(keywords))
-    keys = f"array_join(regexp_extract_all({column}, {_quoted(_JSON_STRINGS)}, 1), '\\n')"
-    names = f"lower(replace({keys}, {_quoted(chr(92) * 2)}, '\\n'))"
     strict = ", ".join(f"'{k}', '{v}'" for k, v in _STRICT_JSON.items())
     stubs = f"""regexp_replace(regexp_replace({column}, {_quoted(_GOOD_STRING)}, '""'), {_quoted(_GOOD_NUMBER)}, '0')"""
     whole = " AND ".join(
         f"from_json(concat('{left}', s, '{right}'), 'k string', map({strict})).k IS NOT NULL"
         for left, right in (('{"k":', "}"), ('{"k":[', "]}"))
     )
-    deep = f"length(regexp_replace(s, {_quoted('[^' + chr(92) + '[{]++')}, '')) > {_PARSED_DEPTH}"
+    deep = f"length(s) - length(replace(replace(s, '[', ''), '{{', '')) > {_PARSED_DEPTH}"
     json = f"CASE WHEN coalesce({whole}, false) THEN true WHEN {deep} THEN {_folded_sql('s')} ELSE false END"
     # nested CASE: Spark computes what AND repeats beforehand, needed or not
     return f"""CASE WHEN {column} RLIKE {_quoted(rf"^(?:{patterns}|{card}|[{{\[])")} THEN CASE
@@ -297,7 +303,7 @@ def should_redact_sql(column: str, keywords: Iterable[str] = fv.PII_KEYWORDS) ->
             THEN luhn_check(regexp_replace({column}, {_quoted(rf"[{fv.SPACE_CLASS}" + r"\-]")}, ''))
         WHEN startswith({column}, '{{') OR startswith({column}, '[') THEN CASE
             WHEN lower({column}) RLIKE {words} OR contains({column}, {_quoted(chr(92) + "u")}) THEN CASE
-                WHEN {names} RLIKE {_quoted(escaped_keyword_pattern(keywords))}
+                WHEN lower({column}) RLIKE {_quoted(_sensitive_key(keywords))}
                 THEN get(transform(array({stubs}), s -> {json}), 0) ELSE false END
             ELSE false END
         ELSE false END ELSE false END"""

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from lakewarden.functions import is_json_document, should_redact
-from lakewarden.functions.detectors import _folded, _folded_sql
+from lakewarden.functions.detectors import _folded, _folded_sql, json_has_pii_key, name_is_pii, should_redact_sql
 
 
 def test_texts_are_stubbed_once(spark):
@@ -52,3 +52,46 @@ def test_verdicts_on_deep_and_wide_documents(spark):
     texts = [deep, comb, wide, deep[:-1], deep[:-2] + "}]", comb.replace(",1]", ",,1]", 1), wide[:-1] + ",]", comb[:-1] + "}"]
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, v string").select("n", is_json_document(F.col("v")), should_redact("v", F.col("v"))).collect()
     assert [(r[1], r[2]) for r in sorted(rows)] == [(True, True)] * 3 + [(False, False)] * 5
+
+
+def test_keys_are_found_in_one_pass(spark):
+    """Taking all strings out of a document took as long as the fold of its brackets; so did looking behind each letter for a number."""
+    texts = spark.createDataFrame([("[1]",)], "v string")
+
+    def plan(verdict):
+        return texts.select(verdict)._jdf.queryExecution().analyzed().toString()
+
+    assert "array_join" not in plan(json_has_pii_key(F.col("v"), ["pwd"])) and "array_join" not in should_redact_sql("v")
+    assert "(?=[\\-0-9])(?<!" in plan(is_json_document(F.col("v")))
+
+
+def test_sensitive_keys_are_those_of_a_parser(spark):
+    draw = random.Random(9)
+    parts = ["pass", "word", "x", "\\\\", "\\u0070", "assword", "\\n", '\\"', "PassWord", ":", "{", "\\\\u0070assword", "Key", "api_", "é", ","]
+
+    def string():
+        return '"' + "".join(draw.choices(parts, k=draw.randrange(4))) + '"'
+
+    def document(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return string()
+        inner = [document(depth - 1) for _ in range(draw.randrange(4))]
+        return "[" + ", ".join(inner) + "]" if draw.random() < 0.4 else "{" + ",".join(string() + draw.choice([":", " : "]) + x for x in inner) + "}"
+
+    texts = [t for t in (document(4) for _ in range(1500)) if t[0] in "[{"]
+
+    def keys(value):
+        if isinstance(value, dict):
+            yield from (k for pair in value["pairs"] for k in [pair[0], *keys(pair[1])])
+        elif isinstance(value, list):
+            yield from (k for x in value for k in keys(x))
+
+    def wanted(text):
+        found = keys(json.loads(text, object_pairs_hook=lambda pairs: {"pairs": pairs}))
+        return any(name_is_pii(k) for k in found)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "v string")
+    got = rows.select("v", json_has_pii_key(F.col("v")), F.expr(should_redact_sql("v"))).collect()
+    assert all(r[1] == r[2] == wanted(r[0]) for r in got) and 200 < sum(r[1] for r in got) < len(got) - 200
+    long = '{"a":"' + "password " * 50_000 + '","' + "x" * 200_000 + '":[' + '"password",' * 2000 + "1]}"
+    assert [tuple(r) for r in spark.createDataFrame([(long,), (long.replace("]}", '],"pwd":1}'),)], "v string").select(json_has_pii_key(F.col("v"))).collect()] == [(False,), (True,)]
