@@ -93,17 +93,26 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is written inside sends at most so many rows at a time to Python: rows that hold long arrays fill its memory, and the JVM's."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _at_most(spark: SparkSession, name: str, most: int) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    known = int(before.rstrip("b"))
+    spark.conf.set(name, min(most, known) if known > 0 else most)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int):
+    """What is written inside sends at most so many rows at a time to Python: rows that hold long arrays fill its memory, and the JVM's."""
+    return _at_most(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def arrow_bytes(spark: SparkSession, size: int):
+    """What is written inside sends about so many bytes at a time to Python, at least a row."""
+    return _at_most(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 

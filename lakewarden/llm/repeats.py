@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from .common import hinted, ship, written
+from .common import arrow_bytes, hinted, ship, written
 
 GRAM = 16
 #: Bytes of text in a chunk, and bytes of all texts for each part that passages are dealt to
@@ -35,20 +35,18 @@ BROADCAST_BYTES = 64_000_000
 #: whole strings, so no part gets all of its passages. At 80 bytes a passage 20,000 are a small share of a part; less would
 #: only send more: a passage has one or two spread pieces of some 60 bytes, but 18 strings of 50 bytes.
 HOT_CHUNKS, SPREAD = 20_000, 32
-#: Passages that are copied out of a chunk at a time
-SLICE = 16_384
+#: Passages that are copied out of a chunk at a time, passages that are compared at a time, and strings or bytes that are
+#: looked at at a time: an executor's Python holds few times as much beside the texts, however much of them repeats
+SLICE, ROWS, STRINGS = 16_384, 131_072, 524_288
+#: Bytes that Spark sends to Python at once; a chunk is more and goes by itself
+BATCH_BYTES = 1_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
-def _eights(data: np.ndarray, size: int) -> np.ndarray:
-    """The eight bytes from each of ``size`` positions, as one number, the first byte highest."""
-    padded = np.zeros(-(-(size + 16) // 8) * 8 + 8, np.uint8)
-    padded[: min(len(data), len(padded))] = data[: len(padded)]
-    out = np.empty(len(padded) - 8, np.uint64)
-    for shift in range(8):
-        out[shift::8] = padded[shift : len(padded) - 8 + shift].view(">u8")
-    return out[:size]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position that has them, as one number, the first byte highest; a view."""
+    return np.ndarray((max(len(data) - 7, 0),), ">u8", np.ascontiguousarray(data), strides=(1,))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,12 +63,22 @@ class Homes:
     def __init__(self, data: bytes, sizes: np.ndarray, length: int):
         self.raw, self.sizes, self.length = np.frombuffer(data, np.uint8), sizes, length
         self.ends = np.cumsum(sizes)
-        n, width = len(self.raw), length - GRAM + 1
-        if n < length:
-            self.hash, self.first, self.last, self.doc, self.gram = (np.zeros(0, t) for t in (np.uint64, *[np.int64] * 4))
-            return
-        eights = _eights(self.raw, n - GRAM + 9)
-        least = _mixed(eights[: n - GRAM + 1] ^ _mixed(eights[8 : n - GRAM + 9] + _B))
+        found = [self._between(a, min(a + STRINGS, len(self.raw) - length + 1)) for a in range(0, len(self.raw) - length + 1, STRINGS)]
+        found = [x for x in found if len(x[0])]
+        for one, two in zip(found[:-1], found[1:], strict=True):
+            if one[3][-1] == two[3][0]:  # a home of strings of both: all are counted to the latter
+                two[1][0] = one[1][-1]
+                for at, column in enumerate(one):
+                    one[at] = column[:-1]
+        empty = [np.zeros(0, t) for t in (np.uint64, *[np.int64] * 3)]
+        self.hash, self.first, self.last, self.gram = (np.concatenate(x) for x in zip(empty, *found, strict=True))
+        self.doc = np.searchsorted(self.ends, self.first, side="right")
+
+    def _between(self, begin: int, end: int) -> list[np.ndarray]:
+        """Hash, first and last string, and place of the homes of the strings that start there."""
+        length, width = self.length, self.length - GRAM + 1
+        eights = _eights(self.raw[begin : end + length - 1])
+        least = _mixed(eights[:-8] ^ _mixed(eights[8:] + _B))
         hashes, where = least, np.arange(len(least), dtype=np.int32)
         reach = 1
         while reach < width:  # the least of twice as many, the leftmost if equal
@@ -78,14 +86,12 @@ class Homes:
             right = least[step:] < least[:-step]
             least, where = np.where(right, least[step:], least[:-step]), np.where(right, where[step:], where[:-step])
             reach += step
-        doc = np.repeat(np.arange(len(sizes)), sizes)[: len(where)]
-        starts = np.flatnonzero(np.arange(len(where)) + length <= self.ends[doc])
+        place = np.arange(begin, end)
+        starts = np.flatnonzero(place + length <= self.ends[np.searchsorted(self.ends, place, side="right")])
         home = where[starts]
-        new = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
-        self.first = starts[new]
-        self.last = starts[np.concatenate([new[1:], [len(starts)]])[: len(new)] - 1] if len(new) else self.first
-        self.gram = home[new].astype(np.int64)
-        self.hash, self.doc = hashes[home[new]], doc[self.first]
+        new = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))[: len(home)]
+        lasts = np.concatenate([new[1:], [len(starts)]])[: len(new)] - 1
+        return [hashes[home[new]], starts[new] + begin, starts[lasts] + begin, home[new].astype(np.int64) + begin]
 
     def keys(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Part and fingerprint of each distinct hash as one sorted number; of which each home is; whether in two documents; homes."""
@@ -114,7 +120,7 @@ class Homes:
         part = ((self.hash[at] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         spread, single = hot[of[at]], hottest[of[at]]
         if spread.any():
-            eights = _eights(self.raw, len(self.raw))
+            eights = _eights(self.raw)
             # each string holds its gram with this many bytes before it, or else more bytes behind it
             before = (self.length - GRAM) // 2
             one, two = np.flatnonzero(spread & ~single & (first <= gram - before)), np.flatnonzero(spread & ~single & (last > gram - before))
@@ -130,6 +136,14 @@ class Homes:
             ]
             first, last, part, doc = np.concatenate(firsts), np.concatenate(lasts), np.concatenate(dealt), doc[taken]
         size = last - first + self.length
+        one, inverse = self._distinct(first, size, part)
+        owner = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(owner, inverse, ids[doc])
+        return {"first": first, "size": size, "id": ids[doc], "of": inverse, "one": one, "owner": owner,
+                "part": part[one], "sizes": size[one]}
+
+    def _rows(self, first: np.ndarray, size: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Part, size and bytes of each passage, as one value that sorts by them."""
         widest = 2 * self.length
         column = np.arange(widest)
         table = np.zeros((len(first), widest + 16), np.uint8)
@@ -139,12 +153,29 @@ class Homes:
             table[some, 16:] = np.where(column < size[some, None], self.raw[place], 0)
         table[:, :8] = part.astype(">u8").view(np.uint8).reshape(-1, 8)
         table[:, 8:16] = size.astype(">u8").view(np.uint8).reshape(-1, 8)
-        rows = np.ascontiguousarray(table).view(f"V{widest + 16}").ravel()
-        distinct, one, inverse = np.unique(rows, return_index=True, return_inverse=True) if len(rows) else (rows, at[:0], at[:0])
-        owner = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(owner, inverse, ids[doc])
-        return {"first": first, "size": size, "id": ids[doc], "of": inverse, "one": one, "owner": owner,
-                "part": part[one], "sizes": size[one]}
+        return table.view(f"V{widest + 16}").ravel()
+
+    def _distinct(self, first: np.ndarray, size: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each distinct passage, in order of part, size and bytes; of which one each passage is."""
+        by_part = np.argsort(part, kind="stable")
+        ends = np.flatnonzero(np.concatenate([np.diff(part[by_part]) != 0, [True]]))[: len(part)] + 1
+        ones, inverse, begin, known = [by_part[:0]], np.empty(len(part), np.int64), 0, 0
+        while begin < len(part):  # whole parts, as many as are few passages, or one
+            end = ends[max(np.searchsorted(ends, begin + ROWS, side="right") - 1, np.searchsorted(ends, begin, side="right"))]
+            held, of = [], []
+            for start in range(begin, end, ROWS):
+                some = by_part[start : min(start + ROWS, end)]
+                rows, one, own = np.unique(self._rows(first[some], size[some], part[some]), return_index=True, return_inverse=True)
+                of.append(own + sum(len(x) for x, _ in held))
+                held.append((rows, some[one]))
+            rows, one = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(held) > 1:
+                _, at, own = np.unique(rows, return_index=True, return_inverse=True)
+                one, of = one[at], [own[x] for x in of]
+            inverse[by_part[begin:end]] = np.concatenate(of) + known
+            ones.append(one)
+            begin, known = end, known + len(one)
+        return np.concatenate(ones), inverse
 
 
 def _chunks(documents: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -244,17 +275,52 @@ def _flags(homes: Homes, row, parts: int) -> list[np.ndarray]:
     return [_bits(row[name], counts) for name in names]
 
 
+def string_keys(eights: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place."""
+    key = np.zeros(len(begin), np.uint64)
+    for step in [*range(0, length - 8, 8), length - 8]:
+        key = _mixed(key ^ eights[begin + step])
+    return key
+
+
+def repeated_strings(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each string of the passages, one after the other, whether a passage of a smaller owner holds it.
+
+    Strings are dealt by some of their bytes, so only a share of them is sorted at a time.
+    """
+    strings = size - length + 1
+    total = int(strings.sum())
+    groups = max(1, -(-total // STRINGS))
+    passage = np.repeat(np.arange(len(size), dtype=np.int32), strings)
+    shift = np.cumsum(size) - size - (np.cumsum(strings) - strings)
+    dealt, eights = np.zeros(total, np.min_scalar_type(groups)), _eights(data)
+    for start in range(0, total if groups > 1 else 0, STRINGS):
+        number = np.arange(start, min(start + STRINGS, total))
+        # strings that agree agree in their first bytes and their last
+        at = number + shift[passage[number]]
+        dealt[number] = _mixed(eights[at] ^ _mixed(eights[at + length - 8] + _B)) % np.uint64(groups)
+    found = np.zeros(total, bool)
+    for group in range(groups if total else 0):
+        number = np.flatnonzero(dealt == group)
+        if not len(number):
+            continue
+        of = passage[number]
+        order, starts = runs_of(data, number + shift[of], length)
+        own = owner[of][order]
+        sample = np.minimum.reduceat(own, starts)
+        found[number[order]] = np.repeat(sample, np.diff(np.append(starts, len(order)))) < own
+    return found
+
+
 def runs_of(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes from ``begin`` sorted so that those that agree in ``length`` bytes are neighbours: order, run starts.
 
     Sorted by a hash of the bytes; that neighbours of one hash agree is checked
     on the bytes themselves, and what does not agree gets a finer order.
     """
-    eights = _eights(data, len(data))
+    eights = _eights(data)
     steps = [*range(0, length - 8, 8), length - 8]
-    key = np.zeros(len(begin), np.uint64)
-    for step in steps:
-        key = _mixed(key ^ eights[begin + step])
+    key = string_keys(eights, begin, length)
     order = np.argsort(key, kind="stable")
 
     def changes(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +333,7 @@ def runs_of(data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarra
 
     hashed, differ = changes(order)
     if (differ & ~hashed).any():  # two strings with one hash
-        order = np.lexsort([*(eights[begin + step] for step in reversed(steps)), key])
+        order = np.lexsort([*(eights[begin + step].astype(np.uint64) for step in reversed(steps)), key])
         _, differ = changes(order)
     return order, np.flatnonzero(np.concatenate([[True], differ]))[: max(len(order), 0)]
 
@@ -295,14 +361,7 @@ def _repeats(chunks: DataFrame, length: int, parts: int, broadcast_bytes: int) -
         sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in rows["sizes"]]
         size, owner = np.concatenate(sizes), np.concatenate([np.frombuffer(x, np.int64) for x in rows["owners"]])
         data = np.frombuffer(b"".join(rows["data"]), np.uint8)
-        strings = size - length + 1
-        begin = np.cumsum(size) - size
-        at = np.repeat(begin, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        order, starts = runs_of(data, at, length)
-        of = np.repeat(owner, strings)
-        sample = np.minimum.reduceat(of[order], starts)
-        found = np.empty(len(at), bool)
-        found[order] = np.repeat(sample, np.diff(np.append(starts, len(order)))) < of[order]
+        found = repeated_strings(data, size, owner, length)
         per_row = np.array([int((x - length + 1).sum()) for x in sizes])
         return pd.DataFrame({
             "part": rows["part"], "chunk": rows["chunk"],
@@ -332,11 +391,17 @@ def _cut(chunks: DataFrame, length: int, parts: int) -> DataFrame:
                     bits = _bits(masks, counts)
                     before = np.cumsum(strings) - strings
                     each = strings[p["of"]]
-                    offset = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    gone = bits[np.repeat(before[p["of"]], each) + offset] | np.repeat(p["id"] > p["owner"][p["of"]], each)
-                    at = (np.repeat(p["first"], each) + offset)[gone]
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, at + length, -1)
+                    ends = np.cumsum(each)
+                    start = 0
+                    while start < len(each):
+                        end = max(start + 1, int(np.searchsorted(ends, ends[start] + STRINGS, side="right")) - 1)
+                        many, of = each[start:end], p["of"][start:end]
+                        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        gone = bits[np.repeat(before[of], many) + offset] | np.repeat(p["id"][start:end] > p["owner"][of], many)
+                        at = (np.repeat(p["first"][start:end], many) + offset)[gone]
+                        np.add.at(covered, at, 1)
+                        np.add.at(covered, at + length, -1)
+                        start = end
                 hidden = np.cumsum(covered[:n]) > 0
                 out, begin = [], 0
                 for end in homes.ends.tolist():
@@ -351,6 +416,17 @@ def _cut(chunks: DataFrame, length: int, parts: int) -> DataFrame:
     return chunks.mapInPandas(cut, "id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, sha string")
 
 
+def _searched(rows: DataFrame, length: int, chunk_bytes: int, part_bytes: int, hot_chunks: int, broadcast_bytes: int) -> DataFrame:
+    """What `_cut` finds, written: while it is made, chunks go to Python one by one."""
+    with arrow_bytes(rows.sparkSession, BATCH_BYTES):
+        chunks = _chunks(rows, chunk_bytes)
+        total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+        parts = max(1, -(-total // part_bytes))
+        known = chunks.join(_shared_homes(chunks, length, parts, hot_chunks, broadcast_bytes), "chunk", "left")
+        answered = known.join(_repeats(known, length, parts, broadcast_bytes), "chunk", "left")
+        return written(_cut(answered, length, parts), "repeat-cuts")
+
+
 def repeated_spans(
     documents: DataFrame, id: str = "doc_id", text: str = "text", length: int = 50,
     chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES, hot_chunks: int = HOT_CHUNKS,
@@ -375,12 +451,8 @@ def repeated_spans(
     marked = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.crc32(F.col("text").cast("binary")), "n_bytes": size}).join(copies, ["h1", "h2", "n_bytes"], "left")
     copied = F.col("id") > F.col("least")
     plain = (F.col("n_bytes") < length) | F.col("id").isNull()
-    chunks = _chunks(marked.where(~F.coalesce(copied, F.lit(False)) & ~plain), chunk_bytes)
-    total = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    known = chunks.join(_shared_homes(chunks, length, parts, hot_chunks, broadcast_bytes), "chunk", "left")
-    answered = known.join(_repeats(known, length, parts, broadcast_bytes), "chunk", "left")
-    searched = _cut(answered, length, parts).select(
+    searched = _searched(marked.where(~F.coalesce(copied, F.lit(False)) & ~plain), length, chunk_bytes, part_bytes, hot_chunks, broadcast_bytes)
+    searched = searched.select(
         "id", "n_bytes", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), F.col("sha").alias("kept_sha256")
     )
     span = "array<struct<start:bigint,end:bigint>>"
